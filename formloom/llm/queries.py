@@ -18,5 +18,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts)
 
 
-QUERIES = {"op1_pack": op1_pack}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formloom.llm import toxicity
+
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op1_pack": op1_pack}
 ORACLES: dict[str, str] = {}

@@ -78,12 +78,15 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and where each row's words begin among them (rows + 1 numbers)."""
+def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and where each row's words begin among them (rows + 1 numbers).
+
+    gap: for each of the 256 bytes, whether it stands between words.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    space = _WS[data]
+    space = gap[data]
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
