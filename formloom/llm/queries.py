@@ -24,5 +24,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op1_pack": op1_pack}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formloom.llm import quality
+
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_quality": op3_quality, "op2_toxicity": op2_toxicity, "op1_pack": op1_pack}
 ORACLES: dict[str, str] = {}
