@@ -23,7 +23,7 @@ COMMON = 0.005
 RARE = 0.001
 #: Largest distances of kept documents, and the words from which on each counts.
 CHAR_DISTANCE, CHAR_WORDS = 0.25, 20
-WORD_DISTANCE, WORD_WORDS = 0.45, 100
+WORD_DISTANCE, WORD_WORDS = 0.43, 60
 
 _GAP = r"[\x20\x09-\x0D]"
 CLASSES = ("lower", "upper", "digit", "other_letter", "space", "symbol")
