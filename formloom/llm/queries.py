@@ -106,5 +106,11 @@ SELECT record_id, url,
        CASE WHEN prior.etag = etag THEN 'content-length=' || prior.n || ';content-type=text/html;date=' || ts || ';etag=' || prior.etag || ';expires=' || page_id END AS headers
 FROM joined WHERE NOT full_"""
 
-QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op9_revisits": op9_revisits}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formloom.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits}
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op9_revisits": OP9_SQL}
