@@ -118,5 +118,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard}
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formloom.llm import substrings
+
+    return substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35).drop("text")
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard}
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op9_revisits": OP9_SQL}
