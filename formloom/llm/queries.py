@@ -124,5 +124,11 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35).drop("text")
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard}
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formloom.llm import maxent
+
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_maxent": op5_maxent, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard}
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op9_revisits": OP9_SQL}
