@@ -92,50 +92,71 @@ def common_words(docs: DataFrame) -> DataFrame:
     return top.select("lang", F.transform("t", lambda x: x["word"]).alias("common"), shares.alias("common_share"))
 
 
-def measures(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """doc_id, lang, the counts of the base rules, the character-class counts and the distance of common words."""
+def _class_counts(text: Column) -> list[Column]:
+    """Characters of each of CLASSES."""
+    found = {c: _less(text, p).cast("long") for c, p in (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("other_letter", r"[^\x00-\x7F]+"), ("space", _GAP + "+"))}
+    found["symbol"] = F.char_length(text).cast("long")
+    for c in CLASSES[:-1]:
+        found["symbol"] = found["symbol"] - found[c]
+    return [found[c].alias(c) for c in CLASSES]
+
+
+def char_reference(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """lang and ref (characters of each class) of the languages of `common`; lang null: of all documents."""
+    counts = docs.select("lang", *_class_counts(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    sums = written(counts.groupBy("lang").agg(*[F.sum(c).cast("double").alias(c) for c in CLASSES]), "class-counts")
+    ref = F.array(*[F.col(c) for c in CLASSES]).alias("ref")
+    named = sums.join(F.broadcast(common.where("lang is not null").select("lang")), "lang").select("lang", ref)
+    return named.unionByName(sums.agg(*[F.sum(c).alias(c) for c in CLASSES]).select(F.lit(None).cast("string").alias("lang"), ref))
+
+
+def measures(docs: DataFrame, common: DataFrame, chars: DataFrame, carry: list[str]) -> DataFrame:
+    """The columns `carry`, the counts of the base rules and both distances."""
     text = F.col("text")
-    df = docs.select("doc_id", "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = docs.select(*carry, "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df = df.withColumn("w", words(text))
     df = _repeats(df)
     symbols = text
     for c in "#*$%&|<>":
         symbols = F.replace(symbols, F.lit(c), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(" \t\x0b\x0c\r")) != "")
-    named, other = F.broadcast(common.where("lang is not null")), F.broadcast(common.where("lang is null").select(F.col("common").alias("c0"), F.col("common_share").alias("s0")))
-    df = df.join(named, "lang", "left").crossJoin(other)
-    df = df.withColumns({
-        "known_lang": F.when(F.col("common").isNotNull(), F.col("lang")),
-        "common": F.coalesce("common", "c0"), "common_share": F.coalesce("common_share", "s0"),
-    })
+    known = written(common.join(chars, common["lang"].eqNullSafe(chars["lang"])).select(common["lang"], "common", "common_share", "ref"), "references")
+    named = F.broadcast(known.where("lang is not null"))
+    other = F.broadcast(known.where("lang is null").select(F.col("common").alias("c0"), F.col("common_share").alias("s0"), F.col("ref").alias("r0")))
+    df = df.join(named, "lang", "left").join(other, how="left")
+    df = df.withColumns({"common": F.coalesce("common", "c0"), "common_share": F.coalesce("common_share", "s0"), "ref": F.coalesce("ref", "r0")})
     df = df.withColumn("hit", F.filter("w", lambda x: F.array_contains(F.col("common"), x)))
     df = df.select(
-        "doc_id", F.col("known_lang").alias("lang"), F.size("w").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace(text, _GAP + "+", "")).cast("long").alias("word_chars"),
+        *carry, F.size("w").cast("long").alias("n_words"),
         (F.octet_length(text) - F.octet_length(symbols)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.char_length(text).cast("long").alias("n_chars"),
-        *[_less(text, p).cast("long").alias(c) for c, p in (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("other_letter", r"[^\x00-\x7F]+"))],
+        F.char_length(text).cast("long").alias("n_chars"), F.array(*_class_counts(text)).alias("classes"), "ref",
         F.transform("common", lambda c: F.size(F.filter("hit", lambda h: h == c))).alias("counts"), F.size("hit").alias("hits"), "common_share",
     )
-    df = df.withColumns({"space": F.col("n_chars") - F.col("word_chars"), "symbol": F.col("word_chars") - F.col("lower") - F.col("upper") - F.col("digit") - F.col("other_letter")})
     shares = F.transform(F.concat("counts", F.array(F.col("n_words") - F.col("hits"))), lambda x: x / F.col("n_words"))
-    return df.withColumn("word_distance", F.when(F.col("n_words") > 0, _distance(shares, F.col("common_share")))).drop("counts", "hits", "common_share", "n_chars")
+    return df.select(
+        *carry, "n_words", (F.col("n_chars") - F.get("classes", F.lit(CLASSES.index("space")))).alias("word_chars"), "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.when(F.col("n_words") > 0, _distance(_share(F.col("classes").cast("array<double>")), _share(F.col("ref")))).alias("char_distance"),
+        F.when(F.col("n_words") > 0, _distance(shares, F.col("common_share"))).alias("word_distance"),
+    )
 
 
-def rules(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance."""
-    found = written(measures(docs, common_words(docs)), "quality")
-    sums = [F.sum(c).cast("double").alias(c) for c in CLASSES]
-    ref = F.array(*[F.col(c) for c in CLASSES])
-    named = found.where("lang is not null").groupBy("lang").agg(*sums).select("lang", ref.alias("r1"))
-    every = found.agg(*sums).select(ref.alias("r0"))
-    df = found.join(F.broadcast(named), "lang", "left").crossJoin(F.broadcast(every))
-    mine = F.array(*[F.col(c).cast("double") for c in CLASSES])
-    df = df.withColumn("char_distance", F.when(F.col("n_words") > 0, _distance(_share(mine), _share(F.coalesce("r1", "r0")))))
+def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """measures() of every row with base_failed and kept; docs: text, lang and the columns `carry`."""
+    common = written(common_words(docs), "common-words")
+    df = measures(docs, common, char_reference(docs, common), carry)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = ((F.col("n_words") >= CHAR_WORDS) & (F.col("char_distance") > CHAR_DISTANCE)) | ((F.col("n_words") >= WORD_WORDS) & (F.col("word_distance") > WORD_DISTANCE))
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
-        (~base & ~F.coalesce(far, F.lit(False))).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
-    )
+    return df.withColumns({"base_failed": base, "kept": ~base & ~F.coalesce(far, F.lit(False))})
+
+
+def rules(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance."""
+    df = judged(docs.select("doc_id", "lang", "text"), ["doc_id"])
+    rounded = [F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")]
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *rounded)
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns."""
+    return judged(docs.select(F.struct(*docs.columns).alias("_row"), "lang", "text"), ["_row"]).where("kept").select("_row.*")

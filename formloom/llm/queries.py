@@ -130,5 +130,29 @@ def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_maxent": op5_maxent, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard}
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op9_revisits": OP9_SQL}
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formloom.llm import lines
+
+    cut = lines.without_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP6_SQL = """
+WITH keyed AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM keyed),
+named AS (SELECT doc_id, text, n, line, row_number() OVER (PARTITION BY doc_id, text ORDER BY n) AS i
+          FROM lines WHERE regexp_matches(line, '[^ \\t\\x0b\\x0c\\r]')),
+pairs AS (SELECT a.doc_id, a.text, a.i, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.text, a.i) AS copy
+          FROM named a JOIN named b ON a.doc_id = b.doc_id AND a.text = b.text AND b.i = a.i + 1),
+gone AS (SELECT DISTINCT doc_id, text, i + d AS i FROM pairs, (VALUES (0), (1)) AS t(d) WHERE copy > 1),
+kept AS (
+  SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE g.i IS NULL) AS left_,
+         count(m.i) AS n_lines, count(g.i) AS n_removed
+  FROM lines l LEFT JOIN named m ON m.doc_id = l.doc_id AND m.text = l.text AND m.n = l.n
+  LEFT JOIN gone g ON g.doc_id = m.doc_id AND g.text = m.text AND g.i = m.i GROUP BY l.doc_id, l.text)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(left_, '')) AS text_sha256 FROM kept"""
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_maxent": op5_maxent, "op6_lines": op6_lines, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op6_lines": OP6_SQL, "op9_revisits": OP9_SQL}
