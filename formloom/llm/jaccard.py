@@ -3,9 +3,9 @@
 1. Texts with equal shingle sets become one representative.
 2. Every set gives a prefix in one global order of all shingles: shingles met in many prefixes last, else by hash. Two
    sets that reach the threshold share at least 1 + n // SLACK shingles of their prefixes (n: the smaller size).
-   Prefix shingles that occur in one set only are dropped, and so are sets with too few left.
-3. The remaining sets are dealt into blocks by their first shared shingle; a family larger than a block is dealt over
-   several. In each block an inverted index over whole sets answers T-occurrence queries with DivideSkip: the longest
+   Prefix shingles that no other set of a fitting size has are dropped, and so are sets with too few left.
+3. The remaining sets are dealt into blocks by size class and by their first shared shingle; a family larger than a
+   block is dealt over several. In each block an inverted index over whole sets answers T-occurrence queries with DivideSkip: the longest
    lists of a query are set aside, the shorter ones are merged, and candidates of the merge are looked up in the long
    ones by binary search. Sizes then decide exactly.
 4. Links between blocks are found the same way: a set becomes a query to each other block in which enough of its
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.llm import words as W
@@ -149,6 +149,8 @@ def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.0085) -> tuple[np
     keep = counts >= t - aside
     found, counts = found[keep], counts[keep]
     for k, x in enumerate(long):
+        if not len(found):
+            break
         at = np.searchsorted(x, found)
         at[at == len(x)] = 0
         counts += x[at] == found
@@ -239,13 +241,25 @@ def _active_sets(docs: DataFrame, active: DataFrame, size: int) -> DataFrame:
     return given.mapInArrow(made, "rep long, shingles binary")
 
 
+def _size_class(n: Column, percent: int) -> Column:
+    """A number that differs by at most one between sets whose sizes allow a link."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else n.cast("int")
+
+
+def _met(tokens: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, n, cls) of shingles that another set of a fitting size class has in its prefix too."""
+    rows = tokens.join(usable.select("rep", "n", _size_class(F.col("n"), percent).alias("cls")), "rep")
+    keyed = rows.withColumn("near", F.explode(F.array(F.col("cls"), F.col("cls") + 1)))
+    often = keyed.groupBy("token", "near").agg(F.count("*").alias("c")).where("c > 1").select("token", "near")
+    return keyed.join(often, ["token", "near"]).select("token", "rep", "n", "cls").distinct()
+
+
 def _asked(tokens: DataFrame, places: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(rep, block, w): sets with w shared prefix shingles, enough, in sets of another block that are in other groups."""
-    rows = tokens.join(places.select("rep", "n", "block"), "rep").join(comps, "rep")
-    lively = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rows = written(rows.join(lively, "token"), "lively")
-    there = rows.groupBy("token", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).withColumnRenamed("block", "to")
-    pairs = rows.join(there, "token").where("block <> to and (lo <> comp or hi <> comp)")
+    """(rep, block, w): sets with w shared prefix shingles, enough, in sets of another block, of a fitting size class and in other groups."""
+    rows = written(tokens.join(places.select("rep", "block"), "rep").join(comps, "rep"), "placed")
+    there = rows.groupBy("token", "cls", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).withColumnsRenamed({"block": "to", "cls": "near"})
+    asking = rows.withColumn("near", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    pairs = asking.join(there, ["token", "near"]).where("block <> to and (lo <> comp or hi <> comp)")
     least = 1 + F.floor(F.col("n") * percent / 100 / SLACK)
     return pairs.groupBy("rep", "comp", "n", "to").agg(F.count("*").alias("w")).where(F.col("w") >= least).select("rep", "comp", F.col("to").alias("block"), "w")
 
@@ -278,11 +292,14 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     tokens = written(tokens.join(shared, "token"), "tokens")
     least = 1 + F.floor(F.col("n") * percent / 100 / SLACK)
-    active = tokens.groupBy("rep").agg(F.count("*").alias("m"), F.min("token").alias("key")).join(usable.select("rep", "n"), "rep").where(F.col("m") >= least)
-    families = active.groupBy("key").agg(F.count("*").alias("size"))
-    placed = active.join(families, "key").select("rep", "n", "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).alias("salt"))
-    blocks = max(1, -(-active.count() // (BLOCK // 2)))
-    places = written(placed.select("rep", "n", F.pmod(F.xxhash64("key", "salt"), F.lit(blocks)).alias("block")), "places")
+    tokens = written(_met(tokens, usable, percent), "met")
+    active = tokens.groupBy("rep", "n", "cls").agg(F.count("*").alias("m"), F.min("token").alias("key")).where(F.col("m") >= least)
+    active = written(active, "active")
+    families = active.groupBy("cls", "key").agg(F.count("*").alias("size"))
+    classes = active.groupBy("cls").agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("blocks"))
+    placed = active.join(families, ["cls", "key"]).join(classes, "cls").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
+    block = F.col("cls").cast("long") * (1 << 32) + F.pmod(F.xxhash64("key", "salt"), F.col("blocks"))
+    places = written(placed.select("rep", "n", block.alias("block")), "places")
     sets = written(_active_sets(docs, places, size).join(places.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "sets")
     tokens = written(tokens.join(places.select("rep"), "rep", "left_semi"), "tokens")
     comps = places.select("rep", F.col("rep").alias("comp"))
