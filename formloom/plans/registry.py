@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from formloom.functions.dialect import DUCK, SPARK, Spark
 from formloom.plans import fixtures
+from formloom.plans.store import written
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "conversations")
+#: Results that many operators read: written once to the shared folder instead of being worked out for each reader.
+WRITTEN = ("score_key", "stored_value", "resolve_value", "match_blank", "either_or", "plan_entries", "apply_reading")
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,12 @@ def query(op: Operator, more: dict[str, Operator]) -> Callable[[SparkSession, st
 
         def get(name: str) -> DataFrame:
             if name not in made:
-                made[name] = run(spark, derived[name][0], {x: get(x) for x in derived[name][1]}) if name in derived else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                if name in derived:
+                    made[name] = run(spark, derived[name][0], {x: get(x) for x in derived[name][1]})
+                    if name in WRITTEN:
+                        made[name] = written(made[name], name)
+                else:
+                    made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
             return made[name]
 
         return op.apply(spark, **{x: get(x) for x in op.inputs})
