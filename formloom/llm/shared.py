@@ -1,27 +1,5 @@
-"""Tables written to the folder that the cluster shares, to cut lineage in a way that survives lost executors."""
+"""The shared-folder tables of the library, under the name that these operators use."""
 
-from __future__ import annotations
+from formloom.plans.store import shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (as in tests), a new temporary folder is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not (kept := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to a new place in the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/formloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "written"]
