@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from formloom.operators import identity, matching, overlay, planning, privacy
+from formloom.operators import geometry, identity, matching, overlay, pages, planning, privacy, stream_text
 from formloom.plans.registry import Operator, oracle, query
 
-MODULES = (matching, identity, planning, overlay, privacy)
+MODULES = (matching, identity, planning, overlay, privacy, stream_text, geometry, pages)
 OPERATORS: dict[str, Operator] = {o.name: o for m in MODULES for o in m.OPERATORS}
 QUERIES = {n: query(o, OPERATORS) for n, o in OPERATORS.items()}
 
