@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formloom.llm import words as W
@@ -38,10 +38,10 @@ from formloom.llm.shared import written
 #: Prefixes hold n // SLACK shingles more than the threshold alone asks for.
 SLACK = 20
 #: A shingle of more prefixes than this comes last in the order (more, where that would mark over MARKED shingles).
-FREQUENT, MARKED = 16, 1 << 20
+FREQUENT, MARKED = 6, 1 << 20
 #: Sets in one block of the index, and queries that one task puts to a block, on average.
 BLOCK, QUERIES = 1024, 2048
-#: Sets of a group that are sent to another block before all are.
+#: Sets of a group that are sent to other blocks before all are.
 FIRST_SENT = 3
 #: Bits of the filter that keeps most unlinked texts from being shingled once more.
 FILTER_BITS = 21
@@ -254,14 +254,27 @@ def _met(tokens: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
     return keyed.join(often, ["token", "near"]).select("token", "rep", "n", "cls").distinct()
 
 
-def _asked(tokens: DataFrame, places: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(rep, block, w): sets with w shared prefix shingles, enough, in sets of another block, of a fitting size class and in other groups."""
+def _asked(tokens: DataFrame, places: DataFrame, comps: DataFrame, percent: int, few: bool) -> DataFrame:
+    """(rep, block): sets that share enough prefix shingles with sets of another block, of a fitting size class and in other groups.
+
+    few: only FIRST_SENT sets of each group ask. A set asks no block unless all other groups together share enough.
+    """
     rows = written(tokens.join(places.select("rep", "block"), "rep").join(comps, "rep"), "placed")
-    there = rows.groupBy("token", "cls", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).withColumnsRenamed({"block": "to", "cls": "near"})
-    asking = rows.withColumn("near", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
-    pairs = asking.join(there, ["token", "near"]).where("block <> to and (lo <> comp or hi <> comp)")
+    asking = rows
+    if few:
+        turn = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("rep")))
+        asking = rows.join(comps.join(places.select("rep"), "rep").withColumn("turn", turn).where(F.col("turn") <= FIRST_SENT).select("rep"), "rep", "left_semi")
     least = 1 + F.floor(F.col("n") * percent / 100 / SLACK)
-    return pairs.groupBy("rep", "comp", "n", "to").agg(F.count("*").alias("w")).where(F.col("w") >= least).select("rep", "comp", F.col("to").alias("block"), "w")
+    asking = asking.withColumn("near", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+    other = (F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))
+    summary = [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+    anywhere = rows.groupBy("token", "cls").agg(*summary).withColumnRenamed("cls", "near")
+    lively = asking.join(anywhere, ["token", "near"]).where(other).drop("lo", "hi")
+    enough = lively.groupBy("rep", "n").agg(F.countDistinct("token").alias("w")).where(F.col("w") >= least).select("rep")
+    asking = written(lively.join(enough, "rep", "left_semi"), "asking")
+    there = rows.groupBy("token", "cls", "block").agg(*summary).withColumnsRenamed({"block": "to", "cls": "near"})
+    pairs = asking.join(there, ["token", "near"]).where((F.col("block") != F.col("to")) & other)
+    return pairs.groupBy("rep", "n", "to").agg(F.count("*").alias("w")).where(F.col("w") >= least).select("rep", F.col("to").alias("block"))
 
 
 def _sent(asked: DataFrame, places: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -311,14 +324,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return written(places.select("rep").join(found, places["rep"] == found["node"], "left").select("rep", F.coalesce("label", "rep").alias("comp")), "groups")
 
     comps = regrouped()
-    for some in (True, False):
-        asked = _asked(tokens, places, comps, percent)
-        if some:
-            from pyspark.sql import Window
-
-            best = F.row_number().over(Window.partitionBy("comp", "block").orderBy(F.desc("w"), "rep"))
-            asked = asked.withColumn("k", best).where(F.col("k") <= FIRST_SENT)
-        asked = written(asked.select("rep", "block"), "asked")
+    for few in (True, False):
+        asked = written(_asked(tokens, places, comps, percent, few), "asked")
         if asked.limit(1).count():
             edges = edges.unionByName(written(_sent(asked, places, comps, sets, percent), "links"))
             comps = regrouped()
