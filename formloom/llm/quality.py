@@ -159,4 +159,7 @@ def rules(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    return judged(docs.select(F.struct(*docs.columns).alias("_row"), "lang", "text"), ["_row"]).where("kept").select("_row.*")
+    found = judged(docs.select(F.struct(*docs.columns).alias("_row"), "lang", "text"), ["_row"])
+    # a column that is not deterministic keeps the filter above the projection: pushed below it, the verdict would be
+    # spelt out from the text again for each use of each measure
+    return found.select("_row", "kept", F.monotonically_increasing_id().alias("_at")).where("kept AND _at >= 0").select("_row.*")
