@@ -107,7 +107,7 @@ class Model:
         self.class_count = np.bincount(self.cls, weights=counts, minlength=CLASSES)
         self.class_count[-1] = self.rare_size
         self.bias = np.log(self.class_count + 0.5).astype(np.float32) - np.float32(np.log((self.class_count + 0.5).sum()))
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             self.inside = np.log10(counts) - np.log10(self.class_count[self.cls])
         self.inside[self.rare] = -np.log10(self.rare_size)
         if not self.docs:
