@@ -72,8 +72,8 @@ class Spark:
         """A sorted array of distinct values."""
         return f"array_sort(collect_set({e}))"
 
-    def char(self, n: int) -> str:
-        return f"chr({n})"
+    def sha(self, s: str) -> str:
+        return f"sha2({s}, 256)"
 
 
 class Duck(Spark):
@@ -130,5 +130,8 @@ class Duck(Spark):
     def collect(self, e: str) -> str:
         return f"list_sort(list_distinct(list({e})))"
 
+    def sha(self, s: str) -> str:
+        return f"sha256({s})"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -3,12 +3,51 @@
 from __future__ import annotations
 
 from formloom.operators import geometry, identity, matching, overlay, pages, planning, privacy, stream_text
+from formloom.operators import text_udfs
 from formloom.plans.registry import Operator, oracle, query
 
 MODULES = (matching, identity, planning, overlay, privacy, stream_text, geometry, pages)
 OPERATORS: dict[str, Operator] = {o.name: o for m in MODULES for o in m.OPERATORS}
 QUERIES = {n: query(o, OPERATORS) for n, o in OPERATORS.items()}
+_KEY = "0123456789abcdef"
+
+
+def _table(name: str, spark, sf_dir: str):
+    """A derived table or an operator's result over a folder."""
+    return query(Operator(f"{name}_", (name,), lambda d: f"SELECT * FROM {name}"), OPERATORS)(spark, sf_dir)
+
+
+def alias_fuzzy(spark, sf_dir: str):
+    return text_udfs.alias_fuzzy(_table("label_texts", spark, sf_dir), _table("alias_exact", spark, sf_dir))
+
+
+def sensitive_store(spark, sf_dir: str):
+    """Names and lengths of the sealed values; the ciphertext itself differs with every run."""
+    values = _table("identity_values", spark, sf_dir).where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
+    return text_udfs.sensitive_store(values, _KEY).selectExpr("slug", "key", "CAST(length(ciphertext) AS BIGINT) AS n")
+
+
+def lazy_unlock(spark, sf_dir: str):
+    values = _table("identity_values", spark, sf_dir).where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
+    ruled_out = _table("either_or", spark, sf_dir).select("form_id", "key")
+    return text_udfs.lazy_unlock(_table("wanted_keys", spark, sf_dir), ruled_out, text_udfs.sensitive_store(values, _KEY), _KEY).select("form_id", "slug", "key", "value")
+
+
+def prompt_batch(spark, sf_dir: str):
+    blanks, ids = _table("blanks", spark, sf_dir), _table("question_ids", spark, sf_dir)
+    return text_udfs.prompt_batch(blanks.join(ids, ["form_id", "blank_id"]))
+
+
+def scrub_known(spark, sf_dir: str):
+    """Street lines with their identity's city and street scrubbed."""
+    lines, known = _table("street_line", spark, sf_dir), _table("values_in_hand", spark, sf_dir)
+    return text_udfs.scrub_known(lines.join(known, "slug").selectExpr("slug", "street_line AS text", "in_hand AS known")).select("slug", "text")
+
+
+QUERIES |= {f.__name__: f for f in (alias_fuzzy, sensitive_store, lazy_unlock, prompt_batch, scrub_known)}
+LAZY_UNLOCK = Operator("lazy_unlock", ("lazy_unlock_keys", "identity_values"), lambda d: "SELECT k.form_id, k.slug, k.key, v.value FROM lazy_unlock_keys k JOIN identity_values v ON v.slug = k.slug AND v.key = k.key AND v.tier = 'vault'")
+STORE = Operator("sensitive_store", ("identity_values",), lambda d: "SELECT slug, key, length(MAX(value)) + 28 AS n FROM identity_values WHERE tier = 'vault' AND value <> '' GROUP BY slug, key")
 
 
 def oracles() -> dict[str, str]:
-    return {n: oracle(o, OPERATORS) for n, o in OPERATORS.items()}
+    return {n: oracle(o, OPERATORS) for n, o in OPERATORS.items()} | {o.name: oracle(o, OPERATORS) for o in (LAZY_UNLOCK, STORE)}
