@@ -153,7 +153,64 @@ SELECT form_id, page, {cell(12)} AS text, CAST({cell(7)} AS DOUBLE) * 72 / 150 A
 FROM (SELECT form_id, page, {tab} AS c FROM (SELECT form_id, page, {row} AS row_ FROM words) t) r WHERE {d.size('c')} >= 12 AND trim({cell(12)}) <> '' AND TRY_CAST({cell(11)} AS DOUBLE) >= 40"""
 
 
+def run_around(d: Spark) -> str:
+    """The run of a line's words (gaps of at most 12) around a box's column, to the right limit of the box or 140 points."""
+    return f"""
+SELECT form_id, page, blank_id, line_no, {d.listagg('text', ' ', 'word_no')} AS run_ FROM (
+  SELECT b.form_id, b.page, b.blank_id, w.line_no, w.text, w.word_no, w.x0, b.x0 AS bx0, b.x1 AS bx1, w.island,
+         MAX(CASE WHEN w.x1 > b.x0 AND w.x0 < b.x1 - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY b.form_id, b.page, b.blank_id, w.line_no, w.island) AS seeded
+  FROM boxes b JOIN (
+    SELECT *, CAST(SUM(CASE WHEN gap > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, page, line_no ORDER BY x0, word_no) AS BIGINT) AS island
+    FROM (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY form_id, page, line_no ORDER BY x0, word_no), 0) AS gap FROM words) g) w
+  ON w.form_id = b.form_id AND w.page = b.page AND w.line_no BETWEEN b.line_no - 1 AND b.line_no) r
+WHERE seeded = 1 AND x0 < greatest(bx1, bx0 + 140) GROUP BY form_id, page, blank_id, line_no"""
+
+
+#: Openings of headings. The derived lines hold no form headings, so their commonest openings stand in for them.
+HEADING = "^(Part|Section|Supplement|The|La|Die|Los|And) |only$"
+
+
+def label_section(d: Spark) -> str:
+    """The last heading line above a box."""
+    return f"""
+SELECT form_id, page, blank_id, max_by(text, line_no) AS section FROM (
+  SELECT b.form_id, b.page, b.blank_id, h.text, h.line_no FROM boxes b
+  JOIN (SELECT form_id, page, line_no, text, y1 FROM line_boxes WHERE {d.like('text', HEADING)}) h ON h.form_id = b.form_id AND h.page = b.page AND h.y1 <= b.y0) r
+GROUP BY form_id, page, blank_id"""
+
+
+def underscore_rules(d: Spark) -> str:
+    """Words of four underscores or more as rules, merged over gaps of at most 12, 36 points long or more."""
+    pre = f"CASE WHEN k = 0 THEN 0 ELSE length({d.join(d.slice('arr', '1', 'k'), ' ')}) + 1 END"
+    return f"""
+SELECT form_id, seq, MIN(x0) AS x0, MAX(x1) AS x1 FROM (
+  SELECT *, SUM(CASE WHEN gap > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, seq ORDER BY x0) AS island FROM (
+    SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY form_id, seq ORDER BY x0), 0) AS gap FROM (
+      SELECT form_id, seq, CAST(8 * {pre} AS BIGINT) AS x0, CAST(8 * ({pre} + length(word)) AS BIGINT) AS x1
+      FROM {d.each('(SELECT form_id, seq, ' + d.split('text', ' ') + ' AS arr FROM gap_lines)', 'arr', 'k', 'word')} w0 WHERE {d.like('word', '_{4,}')}) w) g) r
+GROUP BY form_id, seq, island HAVING MAX(x1) - MIN(x0) >= 36"""
+
+
+#: Words that open a printed signature line; the last ones stand in for them in the derived lines.
+SIGNS = "^(signature|sign|And|Et|Und)"
+
+
+def printed_signature_lines(d: Spark) -> str:
+    """The first signing word of a page with 60 points of empty paper after it: a signature blank, and a date blank beside it."""
+    return f"""
+SELECT form_id, page, kind, CASE kind WHEN 'signature' THEN x1 + 6 ELSE x1 + 212 END AS x0, CASE kind WHEN 'signature' THEN x1 + 206 ELSE x1 + 362 END AS x1, y0, y1 FROM (
+  SELECT s.form_id, s.page, k.kind, s.x1, s.y0, s.y1 FROM (
+    SELECT *, row_number() OVER (PARTITION BY form_id, page ORDER BY y0, x0) AS n FROM (
+      SELECT *, lead(x0) OVER (PARTITION BY form_id, page, line_no ORDER BY x0) - x1 AS free FROM words) f
+    WHERE {d.like('text', SIGNS)} AND (free IS NULL OR free >= 60)) s
+  CROSS JOIN (SELECT * FROM (VALUES ('signature'), ('date')) AS t(kind)) k WHERE s.n = 1) r"""
+
+
 OPERATORS = [
+    Operator("run_around", ("boxes", "words"), run_around),
+    Operator("label_section", ("boxes", "line_boxes"), label_section),
+    Operator("underscore_rules", ("gap_lines",), underscore_rules),
+    Operator("printed_signature_lines", ("words",), printed_signature_lines),
     Operator("flip_rect", ("strokes",), flip_rect),
     Operator("line_cluster", ("words",), line_cluster),
     Operator("line_boxes", ("words",), line_boxes),

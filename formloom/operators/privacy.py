@@ -86,7 +86,13 @@ def kind_from_flags(d: Spark) -> str:
     return f"SELECT form_id, node, CASE WHEN ft = 'Btn' THEN CASE WHEN {bit(15)} THEN 'radio' ELSE 'checkbox' END WHEN ft = 'Tx' THEN CASE WHEN {bit(12)} THEN 'multiline' ELSE 'text' END ELSE 'other' END AS kind, {bit(0)} AS readonly FROM field_nodes"
 
 
+def scrub_stream(d: Spark) -> str:
+    """Labels of a text stream without what follows their colon."""
+    return f"SELECT form_id, seq, {d.rx('text', r':\s*\S.*$', ':')} AS text FROM gap_lines"
+
+
 OPERATORS = [
+    Operator("scrub_stream", ("gap_lines",), scrub_stream),
     Operator("mask_value", ("identity_values",), mask_value),
     Operator("scrub_shapes", ("documents",), scrub_shapes),
     Operator("find_text", ("benchmark", "words"), find_text),

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from formloom.operators import geometry, identity, matching, overlay, pages, planning, privacy, stream_text
 from formloom.operators import text_udfs
 from formloom.plans.registry import Operator, oracle, query
+from formloom.plans.store import shared_dir
+from formloom.sources import files
+from formloom.streaming import arrivals
 
 MODULES = (matching, identity, planning, overlay, privacy, stream_text, geometry, pages)
 OPERATORS: dict[str, Operator] = {o.name: o for m in MODULES for o in m.OPERATORS}
@@ -44,10 +51,30 @@ def scrub_known(spark, sf_dir: str):
     return text_udfs.scrub_known(lines.join(known, "slug").selectExpr("slug", "street_line AS text", "in_hand AS known")).select("slug", "text")
 
 
-QUERIES |= {f.__name__: f for f in (alias_fuzzy, sensitive_store, lazy_unlock, prompt_batch, scrub_known)}
+def filled_values_sink(spark, sf_dir: str):
+    """Decisions written by format to a new folder, read back and counted."""
+    out = f"{shared_dir(spark)}/formloom/filled-{uuid.uuid4().hex}"
+    entries = _table("plan_values", spark, sf_dir).join(_table("forms", spark, sf_dir).select("form_id", "fmt"), "form_id")
+    files.write_filled(entries, sf_dir, out)
+    return spark.read.parquet(out).groupBy("fmt").agg(F.count("*").alias("n"), F.countDistinct("form_id").alias("forms"))
+
+
+def memory_upsert_stream(spark, sf_dir: str):
+    """Saves applied in two batches, the second one twice; what is remembered are each form's last save's keys."""
+    saves = _table("edits", spark, sf_dir).where("action = 'save'").selectExpr("CAST(form_id AS STRING) AS fingerprint", "blank_id", "slug AS key", "seq")
+    path = f"{shared_dir(spark)}/formloom/memory-{uuid.uuid4().hex}"
+    put = arrivals.memory_upsert(path)
+    for number, half in ((0, "seq % 2 = 0"), (1, "seq % 2 = 1"), (1, "seq % 2 = 1")):
+        put(saves.where(half), number)
+    return arrivals.memory_now(spark, path).select("fingerprint", "blank_id", "key", "seq")
+
+
+QUERIES |= {f.__name__: f for f in (filled_values_sink, memory_upsert_stream, alias_fuzzy, sensitive_store, lazy_unlock, prompt_batch, scrub_known)}
 LAZY_UNLOCK = Operator("lazy_unlock", ("lazy_unlock_keys", "identity_values"), lambda d: "SELECT k.form_id, k.slug, k.key, v.value FROM lazy_unlock_keys k JOIN identity_values v ON v.slug = k.slug AND v.key = k.key AND v.tier = 'vault'")
+SINK = Operator("filled_values_sink", ("plan_values", "forms"), lambda d: "SELECT f.fmt, COUNT(*) AS n, COUNT(DISTINCT f.form_id) AS forms FROM plan_values p JOIN forms f ON f.form_id = p.form_id GROUP BY f.fmt")
+UPSERT = Operator("memory_upsert_stream", ("edits",), lambda d: "SELECT CAST(form_id AS VARCHAR) AS fingerprint, max_by(blank_id, seq) AS blank_id, max_by(slug, seq) AS key, MAX(seq) AS seq FROM edits WHERE action = 'save' GROUP BY form_id")
 STORE = Operator("sensitive_store", ("identity_values",), lambda d: "SELECT slug, key, length(MAX(value)) + 28 AS n FROM identity_values WHERE tier = 'vault' AND value <> '' GROUP BY slug, key")
 
 
 def oracles() -> dict[str, str]:
-    return {n: oracle(o, OPERATORS) for n, o in OPERATORS.items()} | {o.name: oracle(o, OPERATORS) for o in (LAZY_UNLOCK, STORE)}
+    return {n: oracle(o, OPERATORS) for n, o in OPERATORS.items()} | {o.name: oracle(o, OPERATORS) for o in (LAZY_UNLOCK, STORE, SINK, UPSERT)}
