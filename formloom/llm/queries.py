@@ -31,6 +31,51 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\x0c\\r]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\x0b\\x0c\\r]')) AS named FROM d),
+win AS (SELECT rid, i, list_slice(w, i, i + 4) AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
+rep AS (SELECT rid, count(DISTINCT i + j) AS n FROM twice, range(5) AS t(j) GROUP BY rid),
+m AS (
+  SELECT w.rid, doc_id, lang, w, len(w) AS n_words, length(text) AS n_chars,
+         length(regexp_replace(text, '[ \\t\\n\\x0b\\x0c\\r]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(named) - len(list_distinct(named)) AS n_dup_lines,
+         coalesce(rep.n, 0) AS n_repeat_words,
+         [length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^A-Z]', '', 'g')), length(regexp_replace(text, '[^0-9]', '', 'g')),
+          length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g'))] AS c4 FROM w LEFT JOIN rep USING (rid)),
+m2 AS (SELECT *, list_concat(c4, [n_chars - word_chars, word_chars - list_sum(c4)])::DOUBLE[] AS classes FROM m),
+wc AS (SELECT lang, word, count(*) AS c FROM (SELECT lang, unnest(w) AS word FROM m2) GROUP BY ALL),
+alln AS (SELECT sum(c) AS n FROM wc),
+tot AS (SELECT lang, sum(c) AS n FROM wc WHERE lang IS NOT NULL GROUP BY lang HAVING sum(c) >= 0.001 * (SELECT n FROM alln)),
+top AS (
+  SELECT wc.lang, word, c, n FROM wc JOIN tot USING (lang) WHERE c >= 0.005 * n
+  UNION ALL SELECT NULL, word, sum(c), (SELECT n FROM alln) FROM wc GROUP BY word HAVING sum(c) >= 0.005 * (SELECT n FROM alln)),
+common AS (SELECT lang, list(word ORDER BY word) AS words, list_concat(list(c / n ORDER BY word), [(any_value(n) - sum(c)) / any_value(n)])::DOUBLE[] AS share FROM top GROUP BY lang),
+classes AS (
+  SELECT lang, [sum(classes[1]), sum(classes[2]), sum(classes[3]), sum(classes[4]), sum(classes[5]), sum(classes[6])] AS ref FROM m2 WHERE lang IN (SELECT lang FROM tot) GROUP BY lang
+  UNION ALL SELECT NULL, [sum(classes[1]), sum(classes[2]), sum(classes[3]), sum(classes[4]), sum(classes[5]), sum(classes[6])] FROM m2),
+refs AS (SELECT c.lang, words, share, ref FROM common c JOIN classes k ON c.lang IS NOT DISTINCT FROM k.lang),
+j AS (
+  SELECT m2.*, coalesce(a.words, z.words) AS words, coalesce(a.share, z.share) AS share, coalesce(a.ref, z.ref) AS ref
+  FROM m2 LEFT JOIN refs a ON a.lang = m2.lang LEFT JOIN refs z ON z.lang IS NULL),
+h AS (
+  SELECT *, list_transform(classes, lambda x: x / list_sum(classes)) AS p1, list_transform(ref, lambda x: x / list_sum(ref)) AS q1,
+         list_transform(list_concat(list_transform(words, lambda c: len(list_filter(w, lambda x: x = c))), [len(list_filter(w, lambda x: NOT list_contains(words, x)))]), lambda x: x / n_words) AS p2
+  FROM j),
+dist AS (
+  SELECT *, CASE WHEN n_words > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, len(p1) + 1), lambda i:
+            (CASE WHEN p1[i] > 0 THEN p1[i] * log2(2 * p1[i] / (p1[i] + q1[i])) ELSE 0 END) + (CASE WHEN q1[i] > 0 THEN q1[i] * log2(2 * q1[i] / (p1[i] + q1[i])) ELSE 0 END))) / 2)) END AS char_distance,
+         CASE WHEN n_words > 0 THEN sqrt(greatest(0, list_sum(list_transform(range(1, len(p2) + 1), lambda i:
+            (CASE WHEN p2[i] > 0 THEN p2[i] * log2(2 * p2[i] / (p2[i] + share[i])) ELSE 0 END) + (CASE WHEN share[i] > 0 THEN share[i] * log2(2 * share[i] / (p2[i] + share[i])) ELSE 0 END))) / 2)) END AS word_distance
+  FROM h)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+         AND NOT coalesce((n_words >= 20 AND char_distance > 0.25) OR (n_words >= 60 AND word_distance > 0.43), false) AS kept,
+       round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM dist"""
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formloom.llm import chat
 
@@ -155,4 +200,4 @@ SELECT doc_id, n_lines, n_removed, sha256(coalesce(left_, '')) AS text_sha256 FR
 
 
 QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_maxent": op5_maxent, "op6_lines": op6_lines, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard}
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op6_lines": OP6_SQL, "op9_revisits": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_lines": OP6_SQL, "op9_revisits": OP9_SQL}
