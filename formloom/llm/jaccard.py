@@ -41,8 +41,9 @@ SLACK = 20
 FREQUENT, MARKED = 6, 1 << 20
 #: Sets in one block of the index, and queries that one task puts to a block, on average.
 BLOCK, QUERIES = 1024, 2048
-#: Sets of a group that are sent to other blocks before all are.
-FIRST_SENT = 3
+#: Sets of a group that are sent to other blocks before all are, the shingles by which those blocks are found, and how
+#: many blocks each is sent to. These only join large groups early; what they leave is sent without such bounds.
+FIRST_SENT, FIRST_SHINGLES, FIRST_BLOCKS = 3, 12, 3
 #: Bits of the filter that keeps most unlinked texts from being shingled once more.
 FILTER_BITS = 21
 
@@ -257,24 +258,32 @@ def _met(tokens: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
 def _asked(tokens: DataFrame, places: DataFrame, comps: DataFrame, percent: int, few: bool) -> DataFrame:
     """(rep, block): sets that share enough prefix shingles with sets of another block, of a fitting size class and in other groups.
 
-    few: only FIRST_SENT sets of each group ask. A set asks no block unless all other groups together share enough.
+    few: only FIRST_SENT sets of each group ask, by a few shingles, and only the blocks that share most of those. Otherwise a
+    set asks no block unless all other groups together share enough.
     """
     rows = written(tokens.join(places.select("rep", "block"), "rep").join(comps, "rep"), "placed")
     asking = rows
     if few:
         turn = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("rep")))
         asking = rows.join(comps.join(places.select("rep"), "rep").withColumn("turn", turn).where(F.col("turn") <= FIRST_SENT).select("rep"), "rep", "left_semi")
+        place = F.row_number().over(Window.partitionBy("rep").orderBy("token"))
+        asking = asking.withColumn("place", place).where(F.col("place") <= FIRST_SHINGLES).drop("place")
     least = 1 + F.floor(F.col("n") * percent / 100 / SLACK)
     asking = asking.withColumn("near", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
     other = (F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))
     summary = [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
     anywhere = rows.groupBy("token", "cls").agg(*summary).withColumnRenamed("cls", "near")
     lively = asking.join(anywhere, ["token", "near"]).where(other).drop("lo", "hi")
+    if few:
+        least = F.lit(1)
     enough = lively.groupBy("rep", "n").agg(F.countDistinct("token").alias("w")).where(F.col("w") >= least).select("rep")
     asking = written(lively.join(enough, "rep", "left_semi"), "asking")
     there = rows.groupBy("token", "cls", "block").agg(*summary).withColumnsRenamed({"block": "to", "cls": "near"})
     pairs = asking.join(there, ["token", "near"]).where((F.col("block") != F.col("to")) & other)
-    return pairs.groupBy("rep", "n", "to").agg(F.count("*").alias("w")).where(F.col("w") >= least).select("rep", F.col("to").alias("block"))
+    found = pairs.groupBy("rep", "n", "to").agg(F.count("*").alias("w")).where(F.col("w") >= least)
+    if few:
+        found = found.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("w"), "to"))).where(F.col("k") <= FIRST_BLOCKS)
+    return found.select("rep", F.col("to").alias("block"))
 
 
 def _sent(asked: DataFrame, places: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
