@@ -57,24 +57,31 @@ def needed(inputs: tuple[str, ...], derived: dict[str, tuple[str, tuple[str, ...
     return out
 
 
+class Folder:
+    """The tables of a folder, the derived ones, and the results of operators on them; each is made once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, operators: dict[str, Operator]):
+        self.spark, self.sf_dir, self.made = spark, sf_dir, {}
+        self.derived = fixtures.tables(SPARK) | {o.name: (o.sql(SPARK), o.inputs) for o in operators.values()}
+
+    def get(self, name: str) -> DataFrame:
+        if name not in self.made:
+            if name in self.derived:
+                sql, inputs = self.derived[name]
+                self.made[name] = run(self.spark, sql, {x: self.get(x) for x in inputs})
+                if name in WRITTEN:
+                    self.made[name] = written(self.made[name], name)
+            else:
+                self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.made[name]
+
+
 def query(op: Operator, more: dict[str, Operator]) -> Callable[[SparkSession, str], DataFrame]:
     """The operator over the tables of a folder; inputs that are operators themselves are applied first."""
-    derived = fixtures.tables(SPARK) | {o.name: (o.sql(SPARK), o.inputs) for o in more.values() if o.name != op.name}
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        made: dict[str, DataFrame] = {}
-
-        def get(name: str) -> DataFrame:
-            if name not in made:
-                if name in derived:
-                    made[name] = run(spark, derived[name][0], {x: get(x) for x in derived[name][1]})
-                    if name in WRITTEN:
-                        made[name] = written(made[name], name)
-                else:
-                    made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            return made[name]
-
-        return op.apply(spark, **{x: get(x) for x in op.inputs})
+        folder = Folder(spark, sf_dir, {n: o for n, o in more.items() if n != op.name})
+        return op.apply(spark, **{x: folder.get(x) for x in op.inputs})
 
     return build
 

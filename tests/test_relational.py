@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from formloom.plans.queries import OPERATORS, QUERIES, oracles
+from formloom.plans.registry import Folder
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split()
@@ -31,9 +32,18 @@ def rows(columns, data):
     return sorted((tuple(plain(r[k]) for k in order) for r in data), key=str)
 
 
+@pytest.fixture(scope="module")
+def folder(spark):
+    return Folder(spark, SF, OPERATORS)
+
+
+def test_registered_query(spark):
+    assert QUERIES["match_blank"](spark, SF).count() > 0
+
+
 @pytest.mark.parametrize("name", [n for n in OPERATORS if n not in ("capacity_penalty", "line_cluster")])
-def test_equal(spark, duck, name):
-    got = QUERIES[name](spark, SF)
+def test_equal(folder, duck, name):
+    got = folder.get(name)
     rel = duck.execute(oracles()[name])
     columns = [c[0] for c in rel.description]
     assert sorted(got.columns) == sorted(columns)
