@@ -6,7 +6,8 @@ ranges of all tasks, and a suffix whose prefix is unique drops out, since no lon
 overlapping ranks give the order by exactly MIN_LINES lines. Suffixes with equal rank then are one interval of the
 suffix array with a longest common prefix of at least that; the interval starts at the rank and ends that many suffixes
 later. All but its first suffix in document order start later copies, and later copies that follow each other line by
-line make one maximal repeated run. All their lines are deleted.
+line make one maximal repeated run. All their lines are deleted. With passage_words, a single line of so many words or
+more is a passage of its own: its later copies are deleted too, whatever lines stand around them.
 
 "First" is by (doc_id, hash of the text, line number). Nulls: a null text has no lines; a null doc_id comes first.
 Rows equal in doc_id and text are one document here: each keeps the same lines. A copy may overlap its original. Empty
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from formloom.llm.shared import written
 
 MIN_LINES = 2
+#: Words that make a single line a passage: as many as a repeated window of op7_substrings has.
+PASSAGE_WORDS = 35
 
 _AT = ["doc", "th", "i"]
 
@@ -35,6 +38,10 @@ def _has_word(line):
     return F.ltrim(line, F.lit(" \t\x0b\x0c\r")) != ""
 
 
+def _has_words(line, n: int):
+    return F.rlike(line, F.lit(rf"^[ \t\x0b\x0c\r]*+(?:[^ \t\x0b\x0c\r]++[ \t\x0b\x0c\r]++){{{n - 1}}}[^ \t\x0b\x0c\r]"))
+
+
 def ranked(keys: DataFrame, by: list[str]) -> DataFrame:
     """keys (distinct `by`, with their count c) with `rank`: how many suffixes have a smaller key.
 
@@ -64,13 +71,21 @@ def _classes(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     return written(rows.join(ranked(often, by), by).select(*_AT, "rank", "c"), name)
 
 
-def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc, th, starts: the lines (counted among those with a word) at which a later copy of min_lines lines begins.
+def _later(order: DataFrame, by: list[str]) -> DataFrame:
+    """The places of order whose key occurs before them."""
+    first = order.groupBy(*by).agg(F.min(F.struct(*_AT)).alias("first"))
+    return order.join(first, by).where(F.struct(*_AT) > F.col("first")).select(*_AT)
+
+
+def later_copies(docs: DataFrame, min_lines: int = MIN_LINES, passage_words: int | None = None) -> DataFrame:
+    """doc, th, starts, singles: lines (counted among those with a word) at which a later copy begins.
 
+    starts: of min_lines lines; singles: of one line of passage_words words or more (none without that number).
     docs: doc, th, text.
     """
     lines = docs.select("doc", "th", F.posexplode(F.filter(F.split("text", "\n"), _has_word)).alias("i", "line"))
-    lines = lines.select(*_AT, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    long = _has_words(F.col("line"), passage_words) if passage_words else F.lit(False)
+    lines = lines.select(*_AT, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), long.alias("long"))
     often = lines.groupBy("h", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h", "h2")
     lines = written(lines.join(often, ["h", "h2"]).dropDuplicates(_AT), "lines")
     order = _classes(lines, ["h", "h2"], "order-1")
@@ -81,18 +96,21 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         pairs = order.select(*_AT, "rank").join(ahead, _AT).withColumnRenamed("rank", "own")
         length += step
         order = _classes(pairs, ["own", "next"], f"order-{length}")
-    first = order.groupBy("rank").agg(F.min(F.struct(*_AT)).alias("first"))
-    later = order.join(first, "rank").where(F.struct(*_AT) > F.col("first"))
-    return written(later.groupBy("doc", "th").agg(F.collect_list("i").alias("starts")), "copies")
+    later = _later(order, ["rank"]).withColumn("single", F.lit(False))
+    if passage_words:
+        later = later.unionByName(_later(lines.where("long"), ["h", "h2"]).withColumn("single", F.lit(True)))
+    lists = [F.collect_list(F.when(on, F.col("i"))).alias(n) for n, on in (("starts", ~F.col("single")), ("singles", F.col("single")))]
+    return written(later.groupBy("doc", "th").agg(*lists), "copies")
 
 
-def without_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def without_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, passage_words: int | None = None) -> DataFrame:
     """docs with the lines of later copies taken out of text, and n_lines and n_removed (lines with a word)."""
-    own = ["n_lines", "n_removed", "doc", "th", "starts"]
+    own = ["n_lines", "n_removed", "doc", "th", "starts", "singles"]
     rest = [c for c in docs.columns if c not in own]
     keyed = docs.select(*rest).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     keyed = keyed.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64("text")})
-    joined = keyed.join(later_copies(keyed.select("doc", "th", "text"), min_lines), ["doc", "th"], "left").select(*rest, "starts")
+    joined = keyed.join(later_copies(keyed.select("doc", "th", "text"), min_lines, passage_words), ["doc", "th"], "left")
+    joined = joined.select(*rest, "starts", "singles")
     at, schema = rest.index("text"), keyed.select(*rest).schema.add("n_lines", "long").add("n_removed", "long")
     for f in schema.fields:
         f.nullable = True
@@ -102,10 +120,10 @@ def without_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFr
             for lo in range(0, len(whole), 1000):
                 b = whole.slice(lo, 1000)
                 texts, total, removed = [], [], []
-                for text, starts in zip(b.column(at).to_pylist(), b.column(len(rest)).to_pylist()):
+                for text, starts, singles in zip(*[b.column(k).to_pylist() for k in (at, len(rest), len(rest) + 1)]):
                     lines = text.split("\n")
                     named = [k for k, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]
-                    gone = {named[s + k] for s in starts or () for k in range(min_lines)}
+                    gone = {named[s + k] for s in starts or () for k in range(min_lines)} | {named[s] for s in singles or ()}
                     texts.append("\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else text)
                     total.append(len(named))
                     removed.append(len(gone))
