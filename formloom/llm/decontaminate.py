@@ -1,7 +1,8 @@
 """Benchmark decontamination by a BM25 index of the test items and block-max WAND.
 
 The test items are indexed in blocks of bounded size; each block goes to all tasks, and every document is read once
-for each block. A document is cut into passages that overlap by half, twice as long as the longest item of a length
+for each block. Document frequencies and the mean length are those of the whole benchmark, whatever block an item is in.
+A document is cut into passages that overlap by half, twice as long as the longest item of a length
 class, so that any copy of an item lies whole in one passage. Every passage is a query. Impacts are BM25 scores
 divided by the score that the item gets from its own text, so one threshold serves all items. Passages whose largest
 impacts in every run of ITEMS items stay below the threshold are passed over at once; the others go through block-max
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formloom.llm import words as W
+from formloom.llm.shared import written
 
 #: Items in one block of the index, on average.
 BLOCK_ITEMS = 2048
@@ -209,15 +211,41 @@ def _add_hits(docs: DataFrame, index: list[Index]) -> DataFrame:
     return docs.mapInArrow(found, docs.schema)
 
 
+def _statistics(items: DataFrame) -> tuple[DataFrame, int, float]:
+    """block, term, df: the terms of each block with their document frequency in all items; how many items have words; their mean length.
+
+    items: text, block.
+    """
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in W.slices(b.column(0)):
+                h, first = words(data, offsets)
+                rows = [np.unique(h[x:y]).view(np.int64) for x, y in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array(np.diff(first), pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["block", "n", "terms"])
+
+    held = written(items.select("text", "block").mapInArrow(terms, "block long, n long, terms array<long>").where("n > 0"), "items")
+    size = held.agg(F.count("*").alias("items"), F.avg("n").alias("mean")).first()
+    pairs = held.select("block", F.explode("terms").alias("term")).groupBy("block", "term").agg(F.count("*").alias("c"))
+    df = pairs.groupBy("term").agg(F.sum("c").alias("df"))
+    return written(pairs.join(df, "term").select("block", "term", "df"), "terms"), size["items"], size["mean"]
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with a column `hits`: the test items that each text holds (a column of that name is replaced)."""
     out = docs.withColumn("hits", F.array().cast(f"array<{HIT}>"))
     out = out.to(T.StructType([T.StructField(f.name, T._parse_datatype_string(f"array<{HIT}>") if f.name == "hits" else f.dataType, True) for f in out.schema.fields]))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     blocks = -(-items.count() // BLOCK_ITEMS)
+    if not blocks:
+        return out
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("long"))
+    terms, n, mean = _statistics(items)
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        if index := indexes([(r.item_id, r.text) for r in block]):
+        block = items.where(F.col("block") == k).orderBy("item_id", "text").collect()
+        known = terms.where(F.col("block") == k).select("term", "df").toArrow()
+        df = known["df"].to_numpy()
+        idf = dict(zip(known["term"].to_numpy().view(np.uint64).tolist(), np.log(1 + (n - df + 0.5) / (df + 0.5)).tolist()))
+        if index := indexes([(r.item_id, r.text) for r in block], idf, mean):
             out = _add_hits(out, index)
     return out
 
