@@ -21,8 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of runs of lines or of one long line; those that consist of such copies alone go."""
-    cut = lines.without_repeated_runs(docs, passage_words=lines.PASSAGE_WORDS)
-    left = cut.where("n_removed = 0 or n_removed < n_lines")
+    own = ("_fl_lines", "_fl_removed", "_fl_run")  # so that columns of the same names as the operator's stay
+    cut = lines.without_repeated_runs(docs, passage_words=lines.PASSAGE_WORDS, lengths=False, names=own)
+    left = cut.where("_fl_removed = 0 or _fl_removed < _fl_lines")
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -178,25 +178,31 @@ def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from formloom.llm import lines
 
-    cut = lines.without_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+    cut = lines.without_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=lines.PASSAGE_WORDS)
+    return cut.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2("text", 256).alias("text_sha256"))
 
 
 OP6_SQL = """
-WITH keyed AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (
-  SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM keyed),
-named AS (SELECT doc_id, text, n, line, row_number() OVER (PARTITION BY doc_id, text ORDER BY n) AS i
+WITH RECURSIVE keyed AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id, text) AS d FROM documents),
+lines AS (SELECT d, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM keyed),
+named AS (SELECT d, n, line, row_number() OVER (ORDER BY d, n) AS p, min(d * 1000000000 + n) OVER (PARTITION BY line) AS c
           FROM lines WHERE regexp_matches(line, '[^ \\t\\x0b\\x0c\\r]')),
-pairs AS (SELECT a.doc_id, a.text, a.i, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.text, a.i) AS copy
-          FROM named a JOIN named b ON a.doc_id = b.doc_id AND a.text = b.text AND b.i = a.i + 1),
-gone AS (SELECT DISTINCT doc_id, text, i + d AS i FROM pairs, (VALUES (0), (1)) AS t(d) WHERE copy > 1),
+pairs AS (SELECT a.p, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.p) AS copy FROM named a JOIN named b ON b.p = a.p + 1 AND b.d = a.d),
+passages AS (SELECT p, row_number() OVER (PARTITION BY line ORDER BY p) AS copy FROM named
+             WHERE regexp_matches(line, '^[ \\t\\x0b\\x0c\\r]*(?:[^ \\t\\x0b\\x0c\\r]+[ \\t\\x0b\\x0c\\r]+){34}[^ \\t\\x0b\\x0c\\r]')),
+gone AS (SELECT p + k AS p FROM pairs, (VALUES (0), (1)) AS t(k) WHERE copy > 1 UNION SELECT p FROM passages WHERE copy > 1),
+runs AS (
+  SELECT p, d, c, 1 AS len FROM (SELECT p, d, c, count(*) OVER (PARTITION BY c) AS k FROM named) WHERE k > 1
+  UNION ALL
+  SELECT p, d, c, len FROM (
+    SELECT r.p, r.d, r.len + 1 AS len, min(r.p) OVER (PARTITION BY r.c, n.c) AS c, count(*) OVER (PARTITION BY r.c, n.c) AS k
+    FROM runs r JOIN named n ON n.p = r.p + r.len AND n.d = r.d) WHERE k > 1),
+longest AS (SELECT d, max(len) AS len FROM runs WHERE len > 1 GROUP BY d),
 kept AS (
-  SELECT l.doc_id, l.text, string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE g.i IS NULL) AS left_,
-         count(m.i) AS n_lines, count(g.i) AS n_removed
-  FROM lines l LEFT JOIN named m ON m.doc_id = l.doc_id AND m.text = l.text AND m.n = l.n
-  LEFT JOIN gone g ON g.doc_id = m.doc_id AND g.text = m.text AND g.i = m.i GROUP BY l.doc_id, l.text)
-SELECT doc_id, n_lines, n_removed, sha256(coalesce(left_, '')) AS text_sha256 FROM kept"""
+  SELECT l.d, string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE g.p IS NULL) AS left_, count(m.p) AS n_lines, count(g.p) AS n_removed
+  FROM lines l LEFT JOIN named m ON m.d = l.d AND m.n = l.n LEFT JOIN gone g ON g.p = m.p GROUP BY l.d)
+SELECT doc_id, n_lines, n_removed, CAST(coalesce(len, 0) AS BIGINT) AS longest_run, sha256(coalesce(left_, '')) AS text_sha256
+FROM keyed JOIN kept USING (d) LEFT JOIN longest USING (d)"""
 
 
 QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_maxent": op5_maxent, "op6_lines": op6_lines, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard}

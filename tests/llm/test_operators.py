@@ -114,10 +114,13 @@ def test_substrings(spark, docs, empty):
 
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_lines(spark, docs, empty, least):
-    unique = sorted({(d if d is not None else -(1 << 63), t or "") for d, t, *_ in corpus()})
+    block = "\n".join(f"run line {k}" for k in range(11))  # a run of eleven lines, met whole, in parts and overlapping itself
+    more = [(900, block, "en", "s", 0), (901, "x\n" + block + "\ny", "en", "s", 0), (902, block.split("\n", 4)[4] + "\nz", "en", "s", 0), (903, "again\n" * 9, "en", "s", 0)]
+    given = corpus() + more
+    unique = sorted({(d if d is not None else -(1 << 63), t or "") for d, t, *_ in given})
     keyed = spark.createDataFrame(unique, "d long, t string").select("d", "t", F.xxhash64("t").alias("h")).collect()
     order = sorted((r.d, r.h, r.t) for r in keyed)
-    seen, gone = set(), collections.defaultdict(set)
+    seen, gone, runs = set(), collections.defaultdict(set), collections.defaultdict(list)
     for d, _, t in order:
         named = [x for x in t.split("\n") if WORD.search(x)]
         for k in range(len(named) - least + 1):
@@ -125,20 +128,36 @@ def test_lines(spark, docs, empty, least):
             if run in seen:
                 gone[d, t] |= set(range(k, k + least))
             seen.add(run)
-    out = lines.without_repeated_runs(docs.withColumn("starts", F.lit("x")).drop("starts").withColumn("i", F.lit(7)), least)
-    assert out.columns == [*docs.columns, "i", "n_lines", "n_removed"]
-    got = collections.Counter((r.doc_id, r.text, r.n_removed) for r in out.collect())
+        for k in range(len(named)):
+            for n in range(least, len(named) - k + 1):
+                runs[tuple(named[k : k + n])].append((d, t))
+    longest = collections.Counter()
+    for run, places in runs.items():
+        for p in places if len(places) > 1 else ():
+            longest[p] = max(longest[p], len(run))
+    clashing = ["starts", "singles", "doc", "th", "i", "longest", "rank"]
+    table = docs.unionByName(spark.createDataFrame(more, SCHEMA))
+    for k, c in enumerate(clashing):
+        table = table.withColumn(c, F.lit(k))
+    out = lines.without_repeated_runs(table.withColumn("n_removed", F.lit("old")), least)
+    assert out.columns == [*docs.columns, *clashing, "n_lines", "n_removed", "longest_run"]
+    rows = out.collect()
+    assert all([r[c] for c in clashing] == list(range(len(clashing))) for r in rows)
+    got = collections.Counter((r.doc_id, r.text, r.n_removed, r.longest_run) for r in rows)
     want = collections.Counter()
-    for d, t, *_ in corpus():
+    for d, t, *_ in given:
         t, k, left = t or "", -1, []
-        g = gone[d if d is not None else -(1 << 63), t]
+        at = (d if d is not None else -(1 << 63), t)
         for x in t.split("\n"):
             k += bool(WORD.search(x))
-            if not (WORD.search(x) and k in g):
+            if not (WORD.search(x) and k in gone[at]):
                 left.append(x)
-        want[d, "\n".join(left), len(g)] += 1
+        want[d, "\n".join(left), len(gone[at]), longest[at]] += 1
     assert got == want
     assert lines.without_repeated_runs(empty, least).count() == 0
+    if least == 2:
+        short = lines.without_repeated_runs(table.select("doc_id", "text"), least, lengths=False)
+        assert collections.Counter((r.doc_id, r.text, r.n_removed) for r in short.collect()) == collections.Counter({k[:3]: sum(c for x, c in want.items() if x[:3] == k[:3]) for k in want})
 
 
 def test_quality(spark, docs, empty):
