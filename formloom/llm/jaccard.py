@@ -9,14 +9,15 @@
    lists of a query are set aside, the shorter ones are merged, and candidates of the merge are looked up in the long
    ones by binary search. Sizes then decide exactly.
 4. Links between blocks are found the same way: a set becomes a query to each other block in which enough of its
-   prefix shingles occur in sets that it is not yet connected with. First only a few sets of each group are sent; what
-   is still open after that is sent whole, so that no link between different groups is missed.
+   prefix shingles occur in sets of a larger group (ties by number) than its own. A link joins two groups whichever of
+   them asks, so the members of a large family need not ask for every stray set near it. First only a few sets of each
+   group are sent; what is still open after that is sent whole, so that no link between different groups is missed.
 
 The order only steers the work; any order gives the same links. Shingles are compared by 64-bit hashes.
 
 Nulls: a null text has no words. A text with fewer words than a shingle has is one shingle; one without words is linked
-with nothing. Rows that share a doc_id count as one document in each other's groups, and repeated rows come out each. A
-null doc_id gets the group of its text's other documents, or null. Empty tables give empty results. Extra columns are
+with nothing. Rows that share a doc_id but not a text are grouped by their texts, and repeated rows come out each. A null
+doc_id gets the group of its text's other documents, or null; texts that only rows without an id have are linked with none. Empty tables give empty results. Extra columns are
 ignored by groups() and kept by one_of_each().
 """
 
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formloom.llm import words as W
+from formloom.llm.bitmaps import bitmap, passes
 from formloom.llm.components import components
 from formloom.llm.shared import written
 
@@ -44,8 +46,6 @@ BLOCK, QUERIES = 1024, 2048
 #: Sets of a group that are sent to other blocks before all are, the shingles by which those blocks are found, and how
 #: many blocks each is sent to. These only join large groups early; what they leave is sent without such bounds.
 FIRST_SENT, FIRST_SHINGLES, FIRST_BLOCKS = 3, 12, 3
-#: Bits of the filter that keeps most unlinked texts from being shingled once more.
-FILTER_BITS = 21
 
 
 def shingles(h: np.ndarray, size: int) -> np.ndarray:
@@ -60,6 +60,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 + n // SLACK
 
 
+def digest(s: np.ndarray) -> int:
+    """A number for each set of shingles: texts with equal sets have equal ones."""
+    d1 = np.add.reduce(W.mix(s), initial=W.U(0), keepdims=True)
+    d2 = np.add.reduce(W.mix(s + W.U(0x632BE59BD9B4E019)), initial=W.U(0), keepdims=True)
+    return int(W.mix(d1 + W.mix(d2)).view(np.int64)[0])
+
+
 def _texts(b: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
     for lo, _, data, offsets in W.slices(b.column(column)):
         data = W.lower(data)
@@ -92,17 +99,16 @@ def _frequent(docs: DataFrame, size: int, percent: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, d1, d2 (a digest of the set) and prefix of every text."""
+    """doc_id, n, rep (the set's digest) and prefix of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = shared.value
         for b in batches:
-            n, d1, d2, prefix = [], [], [], []
+            n, rep, prefix = [], [], []
             for _, s in _texts(b, 1, size):
                 n.append(len(s))
-                d1.append(int(np.add.reduce(W.mix(s), initial=W.U(0)).view(np.int64)))
-                d2.append(int(np.add.reduce(W.mix(s + W.U(0x632BE59BD9B4E019)), initial=W.U(0)).view(np.int64)))
+                rep.append(digest(s))
                 if len(s):
                     p = prefix_length(len(s), percent)
                     if len(late):
@@ -113,9 +119,9 @@ def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                             s = np.concatenate([s[~is_late], s[is_late]])
                     s = s[:p]
                 prefix.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "d1", "d2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(rep, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "rep", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, n long, d1 long, d2 long, prefix binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, n long, rep long, prefix binary")
 
 
 def _tokens(reps: DataFrame) -> DataFrame:
@@ -224,21 +230,20 @@ def search_block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _active_sets(docs: DataFrame, active: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles) of the active representatives, and of few other documents."""
-    spot = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
-    spots = np.zeros(1 << FILTER_BITS, bool)
-    spots[[r[0] for r in active.select(spot.alias("s")).distinct().collect()]] = True  # at most 2**FILTER_BITS numbers
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(spots))
-    given = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("s", spot)
+    """(rep, shingles) of the active sets (doc_id: of one text with this set), and of few other documents.
+
+    A bitmap of the ids keeps most other texts from being shingled once more.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(active.select("doc_id"), active.count()))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            b = b.filter(pa.array(wanted[b.column(2).to_numpy()]))
+            b = b.filter(pa.array(passes(bits.value, b.column(0).to_numpy())))
             if len(b):
-                found = [s.tobytes() for _, s in _texts(b, 1, size)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["rep", "shingles"])
+                found = [s for _, s in _texts(b, 1, size)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "shingles"])
 
+    given = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return given.mapInArrow(made, "rep long, shingles binary")
 
 
@@ -256,12 +261,13 @@ def _met(tokens: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
 
 
 def _asked(tokens: DataFrame, places: DataFrame, comps: DataFrame, percent: int, few: bool) -> DataFrame:
-    """(rep, block): sets that share enough prefix shingles with sets of another block, of a fitting size class and in other groups.
+    """(rep, block): sets that share enough prefix shingles with sets of another block, of a fitting size class and in larger groups.
 
     few: only FIRST_SENT sets of each group ask, by a few shingles, and only the blocks that share most of those. Otherwise a
-    set asks no block unless all other groups together share enough.
+    set asks no block unless all larger groups together share enough.
     """
-    rows = written(tokens.join(places.select("rep", "block"), "rep").join(comps, "rep"), "placed")
+    ranks = comps.join(comps.groupBy("comp").agg(F.count("*").alias("size")), "comp").select("rep", "comp", F.struct("size", "comp").alias("rank"))
+    rows = written(tokens.join(places.select("rep", "block"), "rep").join(ranks, "rep"), "placed")
     asking = rows
     if few:
         turn = F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("rep")))
@@ -270,16 +276,16 @@ def _asked(tokens: DataFrame, places: DataFrame, comps: DataFrame, percent: int,
         asking = asking.withColumn("place", place).where(F.col("place") <= FIRST_SHINGLES).drop("place")
     least = 1 + F.floor(F.col("n") * percent / 100 / SLACK)
     asking = asking.withColumn("near", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
-    other = (F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))
-    summary = [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
-    anywhere = rows.groupBy("token", "cls").agg(*summary).withColumnRenamed("cls", "near")
-    lively = asking.join(anywhere, ["token", "near"]).where(other).drop("lo", "hi")
+    larger = F.col("most") > F.col("rank")
+    summary = F.max("rank").alias("most")
+    anywhere = rows.groupBy("token", "cls").agg(summary).withColumnRenamed("cls", "near")
+    lively = asking.join(anywhere, ["token", "near"]).where(larger).drop("most")
     if few:
         least = F.lit(1)
     enough = lively.groupBy("rep", "n").agg(F.countDistinct("token").alias("w")).where(F.col("w") >= least).select("rep")
     asking = written(lively.join(enough, "rep", "left_semi"), "asking")
-    there = rows.groupBy("token", "cls", "block").agg(*summary).withColumnsRenamed({"block": "to", "cls": "near"})
-    pairs = asking.join(there, ["token", "near"]).where((F.col("block") != F.col("to")) & other)
+    there = rows.groupBy("token", "cls", "block").agg(summary).withColumnsRenamed({"block": "to", "cls": "near"})
+    pairs = asking.join(there, ["token", "near"]).where((F.col("block") != F.col("to")) & larger)
     found = pairs.groupBy("rep", "n", "to").agg(F.count("*").alias("w")).where(F.col("w") >= least)
     if few:
         found = found.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("w"), "to"))).where(F.col("k") <= FIRST_BLOCKS)
@@ -307,9 +313,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     size: words of a shingle; percent: two sets link when 100 * intersection >= percent * union.
     """
     cut = written(_prefixes(docs, size, percent, _frequent(docs, size, percent)), "prefixes")
-    reps = cut.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    reps = cut.where("n > 0").groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     reps = written(reps, "reps")
-    usable = reps.where("rep is not null")
+    usable = reps.where("doc_id is not null")
     tokens = _tokens(usable)
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     tokens = written(tokens.join(shared, "token"), "tokens")
@@ -322,7 +328,8 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     placed = active.join(families, ["cls", "key"]).join(classes, "cls").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
     block = F.col("cls").cast("long") * (1 << 32) + F.pmod(F.xxhash64("key", "salt"), F.col("blocks"))
     places = written(placed.select("rep", "n", block.alias("block")), "places")
-    sets = written(_active_sets(docs, places, size).join(places.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "sets")
+    spots = written(usable.select("rep", "doc_id").join(places.select("rep"), "rep", "left_semi"), "spots")
+    sets = written(_active_sets(docs, spots, size).join(places.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "sets")
     tokens = written(tokens.join(places.select("rep"), "rep", "left_semi"), "tokens")
     comps = places.select("rep", F.col("rep").alias("comp"))
     own = places.select("rep", "block", F.lit(0).alias("chunk"), F.lit(True).alias("member"), F.lit(True).alias("query"))
@@ -338,9 +345,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         if asked.limit(1).count():
             edges = edges.unionByName(written(_sent(asked, places, comps, sets, percent), "links"))
             comps = regrouped()
-    named = reps.select("d1", "d2", "rep").join(comps, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
-    out = cut.join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = reps.select("rep", "doc_id").join(comps, "rep", "left").select("rep", "doc_id", F.coalesce("comp", "rep").alias("comp"))
+    named = named.join(named.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").select("rep", "least")
+    out = cut.join(named, "rep", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

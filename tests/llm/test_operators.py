@@ -91,6 +91,8 @@ def test_jaccard(spark, docs, empty):
     jaccard.BLOCK = jaccard_block if jaccard_block > 2 else 1024
     assert got[None][1] == root(6)
     assert jaccard.groups(empty, 4, 85).count() == 0
+    twins = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (2, "v w x y z"), (0, "a b c d e"), (3, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.groups(twins, 4, 85).collect()) == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 3)]
     kept = jaccard.one_of_each(docs.withColumn("comp", F.lit(1)), 4, 85)
     assert kept.columns == [*docs.columns, "comp"]
     assert {r.doc_id for r in kept.collect()} == {k for k in ids if root(k) == k} | {None}
