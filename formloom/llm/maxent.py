@@ -1,14 +1,18 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-``p(token | history) = p(class | history) * p(token | class)``. The class is predicted by a maximum-entropy model on
-hashed features of the history: the last token, the one before it (skipping one), and the pair. Within a class only the
-bias features of its tokens count, whose maximum-likelihood weights are the relative frequencies; those are set
-directly. The most frequent tokens are classes of their own; the other frequent tokens are grouped by the frequent
+``p(token | history) = p(class | history) * p(token | class, history)``. The class is predicted by a maximum-entropy model
+on hashed features of the history: the last token and, skipping one, the token before it. Within a class, a token's score
+is its bias, log p(token | class), plus the weight of the pair (last token, token) if the model has one:
+``p(token | class, last) = exp(bias + weight) / Z(last, class)``. Only pairs with a weight change Z, so that Z is a sum
+over few pairs. The most frequent tokens are classes of their own; the other frequent tokens are grouped by the frequent
 token that they last follow; the tail of the frequent tokens and all rarer tokens make two more classes.
 
-Training: the counts are taken over all training texts. The weights are trained in a few rounds, each on another part of
-the training texts: every task starts from the weights of the last round, makes gradient steps on small batches of its
-own texts, and the rows it touched are averaged with those of the other tasks, weighted by how often they were used.
+Training: the counts of tokens and of pairs are gathered over all training texts, as tables that grow with them. The
+weights of the classes are trained in a few rounds, each on another part of the training texts: every task starts from
+the weights of the last round, makes gradient steps on small batches of its own texts, and the rows it touched are
+averaged with those of the other tasks, weighted by how often they were used. The weights of the pairs have an L1 penalty
+of one count; given the pair counts, those of one last token and class do not depend on any others, so tasks take them
+by group and make scaled gradient steps on the expected counts. The PAIRS weights that gain most go to all tasks.
 
 Only tokens that are among the VOCABULARY most frequent go to all tasks. The others are looked up in the table of all
 counts by a join, so every token's exact count enters the scores. Tokens are compared by 64-bit hashes.
@@ -35,9 +39,13 @@ from formloom.llm.shared import written
 VOCABULARY, GROUPED, SINGLE = 1 << 17, 1 << 14, 32
 #: Classes: SINGLE with one token (one of them the end), the groups, the tail and the rare tokens.
 CLASSES = 64
-#: Rows of the weights for the last token, the one before, and the pair.
-ROWS = (1 << 13, 1 << 12, 1 << 13)
-ROUNDS, BATCH, RATE = 2, 4096, 0.25
+#: Rows of the weights for the last token and for the one before.
+ROWS = (1 << 14, 1 << 14)
+ROUNDS, BATCH, RATE = 2, 16384, 0.25
+#: Last tokens that have pairs (the most frequent ones and the start of a text), and weights of pairs that go to all tasks.
+HEADS, PAIRS = 1 << 14, 1 << 20
+#: The L1 penalty of a pair's weight, in counts, and gradient steps.
+PENALTY, STEPS = 1.0, 15
 #: Counts held by a task before it passes them on.
 HELD = 1 << 20
 
@@ -79,6 +87,33 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(counted, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+class Table:
+    """Looks up 64-bit keys: open addressing with linear probing, all keys at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = W.U(63 - max(4, len(keys)).bit_length())  # at least twice as many slots as keys
+        slot = (W.mix(keys.view(W.U)) >> self.shift).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        n = np.arange(len(keys))
+        place = n + np.maximum.accumulate(slot[order] - n) if len(keys) else n
+        self.slots = np.full(max(1 << (64 - int(self.shift)), int(place[-1]) + 1 if len(keys) else 0) + 1, -1, np.int32)
+        self.slots[place] = order
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The index of each asked key, or -1."""
+        at = (W.mix(asked.view(W.U)) >> self.shift).astype(np.int64)
+        out = self.slots[at]
+        if not len(self.keys):
+            return out.astype(np.int64)
+        open_ = np.flatnonzero((out >= 0) & (self.keys[out] != asked))
+        while len(open_):
+            at[open_] += 1
+            out[open_] = found = self.slots[at[open_]]
+            open_ = open_[(found >= 0) & (self.keys[found] != asked[open_])]
+        return out.astype(np.int64)
+
+
 class Model:
     """What all tasks know: the frequent tokens with their counts and classes, the totals, and the weights."""
 
@@ -86,8 +121,7 @@ class Model:
         """hashes and counts of the frequent words; total and distinct of all words; docs: training texts."""
         order = np.argsort(-counts, kind="stable")
         self.hash, self.count = hashes[order], counts[order].astype(np.int64)
-        self.by_hash = np.argsort(self.hash)
-        self.sorted = self.hash[self.by_hash]
+        self.table = Table(self.hash)
         k = len(self.hash)
         self.end, self.rare, self.start = k, k + 1, k + 2
         self.tokens, self.distinct = total + docs, distinct + (docs > 0)
@@ -96,9 +130,9 @@ class Model:
         self.cls = np.full(k + 2, CLASSES - 2)
         self.cls[: min(k, SINGLE - 1)] = np.arange(min(k, SINGLE - 1))
         self.cls[self.end], self.cls[self.rare] = SINGLE - 1, CLASSES - 1
-        self.rows = [(W.mix(np.arange(k + 3).astype(W.U) + W.U(n * 0x51ED27)) >> W.U(64 - int(np.log2(r)))).astype(np.int32) for n, r in enumerate(ROWS[:2])]
-        self.pair = W.mix(np.arange(k + 3).astype(W.U) + W.U(0xABCDEF))
+        self.rows = [_STARTS[n].astype(np.int32) + (W.mix(np.arange(k + 3).astype(W.U) + W.U(n * 0x51ED27)) >> W.U(64 - int(np.log2(r)))).astype(np.int32) for n, r in enumerate(ROWS)]
         self.weights = np.zeros((_STARTS[-1], CLASSES), np.float32)
+        self.pairs, self.pair_weights, self.norms = Table(np.zeros(0, np.int64)), np.zeros(0, np.float32), np.zeros(0, np.float32)
         self._set_bias()
 
     def _set_bias(self) -> None:
@@ -135,12 +169,8 @@ class Model:
 
     def ids(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Token ids of texts with their ends, the last token and the one before of each, and the texts' token places."""
-        found = np.full(len(h), self.rare)
-        if len(self.sorted) and len(h):
-            at = np.searchsorted(self.sorted, h)
-            at[at == len(self.sorted)] = 0
-            known = self.sorted[at] == h
-            found[known] = self.by_hash[at[known]]
+        found = self.table.find(h)
+        found[found < 0] = self.rare
         texts = len(first) - 1
         places = first + np.arange(texts + 1)
         ids = np.full(len(h) + texts, self.end)
@@ -153,56 +183,103 @@ class Model:
         before[second[second < places[1:]]] = self.start
         return ids, last, before, places
 
-    def features(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Rows of the weights for each token (3 to a token)."""
-        pair = W.mix(self.pair[last] * W.U(3) + self.pair[before])
-        return np.stack([self.rows[0][last], self.rows[1][before] + _STARTS[1], (pair >> W.U(64 - int(np.log2(ROWS[2])))).astype(np.int64) + _STARTS[2]], axis=1)
-
-    def class_logs(self, f: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    def features(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the weights for each token, by feature."""
+        return self.rows[0][last], self.rows[1][before]
+
+    def pair_keys(self, ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens may have a weight with the token before them, and the keys of those pairs."""
+        head = np.where(last == self.start, HEADS, last)
+        some = np.flatnonzero(((last < min(HEADS, self.end)) | (last == self.start)) & (self.cls[ids] >= SINGLE) & (ids < self.end))
+        return some, head[some] * (self.end + 1) + ids[some]
+
+    def set_pairs(self, keys: np.ndarray, weights: np.ndarray) -> None:
+        """Takes the weights of pairs and sums up Z of each last token and class."""
+        self.pairs, self.pair_weights = Table(keys), weights.astype(np.float32)
+        w = keys % (self.end + 1)
+        cell = keys // (self.end + 1) * CLASSES + self.cls[w]
+        more = np.bincount(cell, weights=10 ** self.inside[w] * np.expm1(weights.astype(np.float32).astype(float)), minlength=(HEADS + 1) * CLASSES)
+        self.norms = np.log10(1 + more).astype(np.float32)
+
+    def logs(self, ids: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 of the predicted share of each token (of each count of it, if it is rare)."""
+        out = self.class_logs(self.features(last, before), self.cls[ids]) + self.inside[ids]
+        if len(self.norms):
+            some, keys = self.pair_keys(ids, last)
+            at = self.pairs.find(keys)
+            found = at >= 0
+            out[some] -= self.norms[keys // (self.end + 1) * CLASSES + self.cls[ids[some]]]
+            out[some[found]] += self.pair_weights[at[found]] / np.log(10)
+        return out
+
+    def class_logs(self, f: tuple[np.ndarray, np.ndarray], cls: np.ndarray) -> np.ndarray:
         """log10 of the predicted share of each token's class."""
-        out = np.empty(len(f))
-        for lo in range(0, len(f), BATCH):
-            z = self._scores(f[lo : lo + BATCH], self.weights)
-            top = z.max(axis=1)
-            out[lo : lo + BATCH] = z[np.arange(len(z)), cls[lo : lo + BATCH]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        out = np.empty(len(cls))
+        for lo in range(0, len(cls), 4096):
+            y = cls[lo : lo + 4096]
+            z = self._scores([x[lo : lo + 4096] for x in f], self.weights)
+            z -= z.max(axis=1, keepdims=True)
+            out[lo : lo + 4096] = z[np.arange(len(z)), y] - np.log(np.exp(z).sum(axis=1))
         return out / np.log(10)
 
-    def _scores(self, f: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        z = weights[f[:, 0]]
-        z += weights[f[:, 1]]
-        z += weights[f[:, 2]]
+    def _scores(self, f: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+        z = weights[f[0]]
+        z += weights[f[1]]
         z += self.bias
         return z
 
 
-def step(model: Model, weights: np.ndarray, squares: np.ndarray, used: np.ndarray, f: np.ndarray, cls: np.ndarray) -> None:
+def step(model: Model, weights: np.ndarray, squares: np.ndarray, used: np.ndarray, f: list[np.ndarray], cls: np.ndarray) -> None:
     """One gradient step on a batch; the rate of a row falls with the squares of its gradients so far."""
     z = model._scores(f, weights)
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     z[np.arange(len(z)), cls] -= 1
-    for k in range(3):
-        order = np.argsort(f[:, k], kind="stable")
-        rows = f[order, k]
+    for x in f:
+        order = np.argsort(x.astype(np.uint16), kind="stable")  # rows are fewer than 2**16
+        rows = x[order]
         begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         g = np.add.reduceat(z[order], begin, axis=0)
         rows = rows[begin]
-        squares[rows] += (g * g).mean(axis=1)
-        weights[rows] -= RATE * g / np.sqrt(squares[rows] + 1e-3)[:, None]
+        squares[rows] += np.einsum("ij,ij->i", g, g) / CLASSES
+        g *= (RATE / np.sqrt(squares[rows] + 1e-3))[:, None]
+        weights[rows] -= g
         used[rows] += np.diff(np.r_[begin, len(order)])
 
 
-def _contexts(texts: DataFrame, shared) -> DataFrame:
-    """(cell, c): how often each grouped token follows each single token (the last one before it)."""
+def pair_weights(group: np.ndarray, bias: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The weights of pairs under an L1 penalty; 0 where the bias alone predicts a pair well enough.
+
+    group: number of the pair's last token and class; bias: log p(token | class); count: of the pair; total: of the group.
+    Each step moves a weight by the log of its penalised count over its expected count.
+    """
+    share = np.exp(bias)
+    weight = np.zeros(len(group))
+    least = np.log(np.maximum(count - PENALTY, 1e-9))
+    for _ in range(STEPS):
+        z = 1 + np.bincount(group, weights=share * np.expm1(weight))
+        weight = np.maximum(0, least - np.log(total * share / z[group]))
+    return weight
+
+
+def _gathered(texts: DataFrame, shared) -> DataFrame:
+    """(key, c): how often each pair occurs, and as -1 - cell how often each grouped token follows each single token (the last one before it)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         n = min(len(m.hash), GROUPED)
         table = np.zeros(n * (SINGLE + 1), np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c.astype(np.int64))], ["key", "c"])
+
         for b in batches:
             for _, _, h, first in _hashed(b.column(0)):
-                ids, _, _, places = m.ids(h, first)
+                ids, last, _, places = m.ids(h, first)
                 single = m.cls[ids] < SINGLE
                 # the place of the last single token before each token; a text's first tokens have none
                 at = np.where(single, np.arange(len(ids)), -1)
@@ -211,10 +288,43 @@ def _contexts(texts: DataFrame, shared) -> DataFrame:
                 context = np.where(at >= begins, m.cls[ids[at]], SINGLE)
                 some = ids < n
                 table += np.bincount(ids[some] * (SINGLE + 1) + context[some], minlength=len(table))
+                held.append(m.pair_keys(ids, last)[1])
+                size += len(held[-1])
+                if size >= 4 * HELD:
+                    yield packed()
+                    held, size = [], 0
+        if size:
+            yield packed()
         cells = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table[cells])], ["cell", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - cells), pa.array(table[cells])], ["key", "c"])
+
+    return texts.select("text").mapInArrow(counted, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
-    return texts.select("text").mapInArrow(counted, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+
+def _fitted_pairs(pairs: DataFrame, shared) -> DataFrame:
+    """(key, weight, gain) of the pairs with a weight above 0; pairs: key, c."""
+    width = shared.value.end + 1
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls = shared.value.cls
+        for b in batches:
+            key = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key // width * CLASSES + cls[key % width])], ["key", "c", "cell"])
+
+    def fitted(frame: pd.DataFrame) -> pd.DataFrame:
+        key, c = frame["key"].to_numpy(), frame["c"].to_numpy(float)
+        _, cell = np.unique(frame["cell"].to_numpy(), return_inverse=True)
+        total = np.bincount(cell, weights=c)[cell]
+        some = c > PENALTY
+        key, c, total, cell = key[some], c[some], total[some], cell[some]
+        weight = pair_weights(cell, shared.value.inside[key % width] * np.log(10), c, total) if len(key) else np.zeros(0)
+        some = weight > 0
+        return pd.DataFrame({"key": key[some], "weight": weight[some], "gain": (c * weight)[some]})
+
+    # all pairs of a last token and class meet, at most VOCABULARY of them; a task gets many of these
+    parts = F.pmod(F.xxhash64("cell"), F.lit(4096)).alias("part")
+    dealt = pairs.mapInArrow(grouped, "key long, c long, cell long").select("key", "c", "cell", parts)
+    return dealt.groupBy("part").applyInPandas(fitted, "key long, weight double, gain double")
 
 
 def _trained(texts: DataFrame, shared) -> np.ndarray:
@@ -227,8 +337,8 @@ def _trained(texts: DataFrame, shared) -> np.ndarray:
             for _, _, h, first in _hashed(b.column(0)):
                 ids, last, before, _ = m.ids(h, first)
                 f, cls = m.features(last, before), m.cls[ids]
-                for lo in range(0, len(f), BATCH):
-                    step(m, weights, squares, used, f[lo : lo + BATCH], cls[lo : lo + BATCH])
+                for lo in range(0, len(cls), BATCH):
+                    step(m, weights, squares, used, [x[lo : lo + BATCH] for x in f], cls[lo : lo + BATCH])
         rows = np.flatnonzero(used)
         for lo in range(0, len(rows), 2000):
             some = rows[lo : lo + 2000]
@@ -246,32 +356,46 @@ def _trained(texts: DataFrame, shared) -> np.ndarray:
         return pd.DataFrame({"row": rows + int(frame["row"].iloc[0]) // 256 * 256, "mean": [x.tobytes() for x in mean]})
 
     touched = texts.select("text").mapInArrow(run, "part long, row long, used long, sums binary")
-    means = touched.groupBy("part").applyInPandas(added, "row long, mean binary").collect()  # at most sum(ROWS) rows
+    means = touched.groupBy("part").applyInPandas(added, "row long, mean binary").toArrow()  # at most sum(ROWS) rows
     weights = shared.value.weights.copy()
-    for r in means:
-        weights[r.row] += np.frombuffer(r.mean, np.float32)
+    if len(means):
+        weights[means["row"].to_numpy()] += np.frombuffer(b"".join(means["mean"].to_pylist()), np.float32).reshape(-1, CLASSES)
     return weights
 
 
+def _largest(table: DataFrame, column: str, most: int, *carry: str) -> tuple[pa.Table, int, int]:
+    """Rows of `table` (columns carry) with the largest values of a column, about `most` of them and not more, in the order of
+    the first of carry; how many rows there are and the sum of the column."""
+    step = F.floor(F.log2(column) * 8).cast("int")
+    sizes = table.groupBy(step.alias("size")).agg(F.count("*").alias("n"), F.sum(column).alias("total")).collect()  # few: logarithms
+    least, room = None, most
+    for r in sorted(sizes, key=lambda r: -r["size"]):
+        if (room := room - r.n) < 0:
+            break
+        least = r["size"]
+    kept = table.where(step >= least if least is not None else F.lit(False)).select(*carry).toArrow()
+    return kept.sort_by(carry[0]), sum(r.n for r in sizes), sum(r.total for r in sizes)
+
+
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the counts of all words, from the texts of `train` (doc_id, text)."""
     spark = train.sparkSession
     counts = written(token_counts(train), "token-counts")
     docs = train.count()
-    sizes = counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("size")).agg(F.count("*").alias("n"), F.sum("c").alias("total")).collect()
-    total, distinct = sum(r.total for r in sizes), sum(r.n for r in sizes)
-    least, room = None, VOCABULARY
-    for r in sorted(sizes, key=lambda r: -r["size"]):
-        if (room := room - r.n) < 0:
-            break
-        least = r["size"]
-    frequent = counts.where(F.floor(F.log2("c") * 8) >= least).orderBy("w").collect() if least is not None else []
-    model = Model(np.array([r.w for r in frequent], np.int64).view(W.U), np.array([r.c for r in frequent], np.int64), docs, total, distinct)
-    cells = _contexts(train, spark.sparkContext.broadcast(model)).collect()  # at most GROUPED * (SINGLE + 1) rows
-    model.group(np.array([r.cell for r in cells], np.int64), np.array([r.c for r in cells], np.int64))
+    frequent, distinct, total = _largest(counts, "c", VOCABULARY, "w", "c")
+    model = Model(frequent["w"].to_numpy().view(W.U), frequent["c"].to_numpy(), docs, total, distinct)
+    gathered = written(_gathered(train, shared := spark.sparkContext.broadcast(model)), "pair-counts")
+    cells = gathered.where("key < 0").toArrow()  # at most GROUPED * (SINGLE + 1) rows
+    model.group(-1 - cells["key"].to_numpy(), cells["c"].to_numpy())
+    shared.destroy()
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        model.weights = _trained(train.where(part == k), spark.sparkContext.broadcast(model))
+        model.weights = _trained(train.where(part == k), shared := spark.sparkContext.broadcast(model))
+        shared.destroy()
+    fitted = written(_fitted_pairs(gathered.where("key >= 0"), shared := spark.sparkContext.broadcast(model)), "pair-weights")
+    weights, _, _ = _largest(fitted, "gain", PAIRS, "key", "weight")
+    shared.destroy()
+    model.set_pairs(weights["key"].to_numpy(), weights["weight"].to_numpy())
     return model, counts
 
 
@@ -288,7 +412,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for b in batches:
             for lo, hi, h, first in _hashed(b.column(2)):
                 ids, last, before, places = m.ids(h, first)
-                each = m.class_logs(m.features(last, before), m.cls[ids]) + m.inside[ids]
+                each = m.logs(ids, last, before)
                 tokens = np.diff(places)
                 known = np.add.reduceat((counts[ids] > 0).astype(np.int64), places[:-1])
                 base = np.add.reduceat(logs[ids], places[:-1]) - tokens * base_size
