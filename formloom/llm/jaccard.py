@@ -2,8 +2,9 @@
 
 1. Texts with equal shingle sets become one representative.
 2. Every set gives a prefix in one global order of all shingles: shingles met in many prefixes last, else by hash. Two
-   sets that reach the threshold share at least 1 + n // SLACK shingles of their prefixes (n: the smaller size).
-   Prefix shingles that no other set of a fitting size has are dropped, and so are sets with too few left.
+   sets that reach the threshold share at least 1 + n // SLACK shingles of their prefixes (n: the smaller size), and one
+   of them among the leading ones, which are as many as the threshold alone asks for. Prefix shingles that no other set
+   of a fitting size has are dropped, and so are sets with too few left or with no leading one.
 3. The remaining sets are dealt into blocks by size class and by their first shared shingle; a family larger than a
    block is dealt over several. In each block an inverted index over whole sets answers T-occurrence queries with DivideSkip: the longest
    lists of a query are set aside, the shorter ones are merged, and candidates of the merge are looked up in the long
@@ -41,8 +42,8 @@ from formloom.llm.shared import written
 SLACK = 20
 #: A shingle of more prefixes than this comes last in the order (more, where that would mark over MARKED shingles).
 FREQUENT, MARKED = 6, 1 << 20
-#: Sets in one block of the index, and queries that one task puts to a block, on average.
-BLOCK, QUERIES = 1024, 2048
+#: Sets and shingles (16 MB) in one block of the index, at most on average, and queries that one task puts to a block.
+BLOCK, SHINGLES, QUERIES = 4096, 1 << 21, 2048
 #: Sets of a group that are sent to other blocks before all are, the shingles by which those blocks are found, and how
 #: many blocks each is sent to. These only join large groups early; what they leave is sent without such bounds.
 FIRST_SENT, FIRST_SHINGLES, FIRST_BLOCKS = 3, 12, 3
@@ -124,8 +125,8 @@ def _prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, n long, rep long, prefix binary")
 
 
-def _tokens(reps: DataFrame) -> DataFrame:
-    """(token, rep) of all prefixes."""
+def _tokens(reps: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, leading) of all prefixes."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,9 +134,10 @@ def _tokens(reps: DataFrame) -> DataFrame:
                 part = b.slice(lo, 500)
                 arrays = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
                 ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in arrays])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays)), pa.array(ids)], ["token", "rep"])
+                leading = [np.arange(len(x)) < prefix_length(n, percent) - n // SLACK for x, n in zip(arrays, part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays)), pa.array(ids), pa.array(np.concatenate(leading))], ["token", "rep", "leading"])
 
-    return reps.select("rep", "prefix").mapInArrow(spread, "token long, rep long")
+    return reps.select("rep", "prefix", "n").mapInArrow(spread, "token long, rep long, leading boolean")
 
 
 def linked(a: int, na: int, nb: int, percent: int) -> bool:
@@ -253,11 +255,12 @@ def _size_class(n: Column, percent: int) -> Column:
 
 
 def _met(tokens: DataFrame, usable: DataFrame, percent: int) -> DataFrame:
-    """(token, rep, n, cls) of shingles that another set of a fitting size class has in its prefix too."""
+    """(token, rep, n, cls, leading) of shingles that another set of a fitting size class has in its prefix too; leading: among the leading ones of both."""
     rows = tokens.join(usable.select("rep", "n", _size_class(F.col("n"), percent).alias("cls")), "rep")
     keyed = rows.withColumn("near", F.explode(F.array(F.col("cls"), F.col("cls") + 1)))
-    often = keyed.groupBy("token", "near").agg(F.count("*").alias("c")).where("c > 1").select("token", "near")
-    return keyed.join(often, ["token", "near"]).select("token", "rep", "n", "cls").distinct()
+    often = keyed.groupBy("token", "near").agg(F.count("*").alias("c"), F.count_if("leading").alias("lead")).where("c > 1").select("token", "near", "lead")
+    found = keyed.join(often, ["token", "near"]).withColumn("leading", F.col("leading") & (F.col("lead") > 1))
+    return found.groupBy("token", "rep", "n", "cls").agg(F.bool_or("leading").alias("leading"))
 
 
 def _asked(tokens: DataFrame, places: DataFrame, comps: DataFrame, percent: int, few: bool) -> DataFrame:
@@ -282,11 +285,11 @@ def _asked(tokens: DataFrame, places: DataFrame, comps: DataFrame, percent: int,
     lively = asking.join(anywhere, ["token", "near"]).where(larger).drop("most")
     if few:
         least = F.lit(1)
-    enough = lively.groupBy("rep", "n").agg(F.countDistinct("token").alias("w")).where(F.col("w") >= least).select("rep")
+    enough = lively.groupBy("rep", "n").agg(F.countDistinct("token").alias("w"), F.bool_or("leading").alias("led")).where((F.col("w") >= least) & F.col("led")).select("rep")
     asking = written(lively.join(enough, "rep", "left_semi"), "asking")
-    there = rows.groupBy("token", "cls", "block").agg(summary).withColumnsRenamed({"block": "to", "cls": "near"})
+    there = rows.groupBy("token", "cls", "block").agg(summary, F.bool_or("leading").alias("led")).withColumnsRenamed({"block": "to", "cls": "near"})
     pairs = asking.join(there, ["token", "near"]).where((F.col("block") != F.col("to")) & larger)
-    found = pairs.groupBy("rep", "n", "to").agg(F.count("*").alias("w")).where(F.col("w") >= least)
+    found = pairs.groupBy("rep", "n", "to").agg(F.count("*").alias("w"), F.bool_or(F.col("leading") & F.col("led")).alias("led")).where((F.col("w") >= least) & F.col("led"))
     if few:
         found = found.withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("w"), "to"))).where(F.col("k") <= FIRST_BLOCKS)
     return found.select("rep", F.col("to").alias("block"))
@@ -316,16 +319,17 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     reps = cut.where("n > 0").groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     reps = written(reps, "reps")
     usable = reps.where("doc_id is not null")
-    tokens = _tokens(usable)
+    tokens = _tokens(usable, percent)
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     tokens = written(tokens.join(shared, "token"), "tokens")
     least = 1 + F.floor(F.col("n") * percent / 100 / SLACK)
     tokens = written(_met(tokens, usable, percent), "met")
-    active = tokens.groupBy("rep", "n", "cls").agg(F.count("*").alias("m"), F.min("token").alias("key")).where(F.col("m") >= least)
+    active = tokens.groupBy("rep", "n", "cls").agg(F.count("*").alias("m"), F.min(F.when(F.col("leading"), F.col("token"))).alias("key")).where((F.col("m") >= least) & F.col("key").isNotNull())
     active = written(active, "active")
     families = active.groupBy("cls", "key").agg(F.count("*").alias("size"))
-    classes = active.groupBy("cls").agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("blocks"))
-    placed = active.join(families, ["cls", "key"]).join(classes, "cls").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)))
+    fits = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(SHINGLES) / F.max("n"))))
+    classes = active.groupBy("cls").agg(fits.alias("fits"), F.ceil(2 * F.count("*") / fits).alias("blocks"))
+    placed = active.join(families, ["cls", "key"]).join(classes, "cls").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / F.col("fits"))))
     block = F.col("cls").cast("long") * (1 << 32) + F.pmod(F.xxhash64("key", "salt"), F.col("blocks"))
     places = written(placed.select("rep", "n", block.alias("block")), "places")
     spots = written(usable.select("rep", "doc_id").join(places.select("rep"), "rep", "left_semi"), "spots")
