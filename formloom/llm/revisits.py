@@ -7,6 +7,10 @@ response and its headers, with those headers of the revisit that a not-modified
 The join works on ranges of (url, time), so that a URL with a large share of all records spreads over many tasks: each
 range finds the latest earlier response within itself, and one row per range and URL carries it on to later ranges.
 
+Full responses have a status of FULL; revisits have 304; records of any other status take no part. Entity tags are
+compared weakly, as for a request that asks whether a page has changed: W/"x" agrees with "x". Header names are compared
+in lower case and come out so; where one record has a name twice, the last one counts, and null values never replace others.
+
 "Earlier" is by (time, record id). Nulls: records with a null URL or time are never joined and come out as
 unresolved. Repeated rows come out each. Empty tables give empty results. Extra columns are ignored.
 """
@@ -18,7 +22,8 @@ from pyspark.sql import functions as F
 
 from formloom.llm.shared import written
 
-#: Headers that a not-modified reply may bring up to date (lower case).
+#: Statuses of full responses, and headers that a not-modified reply may bring up to date (lower case).
+FULL = (200, 203)
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 
 
@@ -59,22 +64,24 @@ def latest_before(records: DataFrame, payload: list[str]) -> DataFrame:
 
 def merged(old: Column, new: Column) -> Column:
     """The headers of a full response with the permitted ones of a revisit laid over them."""
-    fresh = F.map_filter(F.coalesce(new, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k).isin(*PERMITTED) & v.isNotNull())
-    fresh = F.transform_keys(fresh, lambda k, v: F.lower(k))
-    kept = F.map_filter(F.transform_keys(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k)), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
-    return F.map_concat(kept, fresh)
+    low = lambda m: F.transform(F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    fresh = F.filter(low(new), lambda e: e["key"].isin(*PERMITTED) & e["value"].isNotNull())
+    both = F.concat(low(old), fresh)
+    later = lambda e, i: F.exists(F.slice(both, i + 2, F.size(both)), lambda o: o["key"] == e["key"])
+    return F.map_from_entries(F.filter(both, lambda e, i: ~later(e, i)))
 
 
 def resolve(captures: DataFrame) -> DataFrame:
     """Every revisit of `captures` with what it resolves to.
 
-    captures: record_id, url (any form), ts, status int, etag, last_modified, headers map. A record with status 304 is
-    a revisit. Result: record_id, url, outcome (resolved, mismatch or unmatched), response_id and headers.
+    captures: record_id, url (any form), ts, status int, etag, last_modified, headers map. Result: record_id, url, outcome (resolved, mismatch or unmatched), response_id and headers.
     """
-    records = captures.select("record_id", canonical_url(F.col("url")).alias("url"), "ts", (F.coalesce(F.col("status"), F.lit(0)) != 304).alias("full"), "etag", "last_modified", "headers")
+    tag = F.regexp_replace("etag", "^[Ww]/", "").alias("etag")
+    known = captures.where(F.col("status").isin(304, *FULL))
+    records = known.select("record_id", canonical_url(F.col("url")).alias("url"), "ts", (F.col("status") != 304).alias("full"), tag, "last_modified", "headers")
     found = latest_before(records, ["record_id", "etag", "last_modified", "headers"]).where(~F.col("full"))
     prior = F.col("prior")
-    # a strong validator decides alone; without one on both sides the dates decide
+    # an entity tag decides alone; without one on both sides the dates decide
     same = F.when(F.col("etag").isNotNull() & prior["etag"].isNotNull(), F.col("etag") == prior["etag"]).otherwise(F.coalesce(F.col("last_modified") == prior["last_modified"], F.lit(False)))
     outcome = F.when(prior.isNull(), "unmatched").when(same, "resolved").otherwise("mismatch")
     out = found.withColumn("outcome", outcome)
