@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
 from formloom.functions import text as T
 from formloom.functions.dialect import Spark
+from formloom.plans.checks import CHECKS
 from formloom.plans.registry import Operator
 
 _BEST = "coalesce(nullif(inside, ''), nullif(right_, ''), CASE WHEN left_ <> '' AND (above = '' OR {nl} <= {na}) THEN left_ WHEN above <> '' THEN above END, nullif(section, ''), native_name)"
@@ -13,9 +18,42 @@ def flip_rect(d: Spark) -> str:
     return "SELECT form_id, page, src, least(x0, x1) AS x0, 792 - greatest(y0, y1) AS y0, greatest(x0, x1) AS x1, 792 - least(y0, y1) AS y1 FROM strokes"
 
 
-def line_cluster(d: Spark) -> str:
-    """Words to lines by vertical centre; on pages whose words have equal heights on a grid, that is one line for each centre."""
-    return "SELECT form_id, page, word_no, text, CAST(dense_rank() OVER (PARTITION BY form_id, page ORDER BY (y0 + y1) / 2) AS BIGINT) - 1 AS line FROM words"
+#: Fixed value: how far a word's centre may lie from its line's first word, as a share of the smaller height.
+LINE_TOLERANCE = 0.45
+
+
+def line_cluster(spark: SparkSession, words: DataFrame) -> DataFrame:
+    """Words to lines by vertical centre, page by page.
+
+    Words go by centre, then x0, to the latest line whose first word's centre is near enough; else they begin a line.
+    Lines are numbered from the top. A page is held by one task.
+    """
+
+    def lines(page: pd.DataFrame) -> pd.DataFrame:
+        centre = ((page["y0"] + page["y1"]) / 2).to_numpy()
+        height, top = (page["y1"] - page["y0"]).to_numpy(), page["y0"].to_numpy()
+        found, anchors, tops = [0] * len(page), [], []
+        for k in np.lexsort((page["word_no"], page["x0"], centre)).tolist():
+            for n in range(len(anchors) - 1, -1, -1):
+                a, off = anchors[n], centre[k] - centre[anchors[n]]
+                if off <= LINE_TOLERANCE * min(height[a], height[k]):
+                    break
+                if off > LINE_TOLERANCE * height[k]:  # lines before this one lie further up still
+                    n = -1
+                    break
+            else:
+                n = -1
+            if n < 0:
+                n = len(anchors)
+                anchors.append(k)
+                tops.append(top[k])
+            found[k], tops[n] = n, min(tops[n], top[k])
+        place = np.empty(len(tops), np.int64)
+        place[np.argsort(tops, kind="stable")] = np.arange(len(tops))
+        return page[["form_id", "page", "word_no", "text"]].assign(line=place[found])
+
+    given = words.select("form_id", "page", "word_no", "text", "x0", "y0", "y1")
+    return given.groupBy("form_id", "page").applyInPandas(lines, "form_id long, page long, word_no long, text string, line long")
 
 
 def line_boxes(d: Spark) -> str:
@@ -212,7 +250,7 @@ OPERATORS = [
     Operator("underscore_rules", ("gap_lines",), underscore_rules),
     Operator("printed_signature_lines", ("words",), printed_signature_lines),
     Operator("flip_rect", ("strokes",), flip_rect),
-    Operator("line_cluster", ("words",), line_cluster),
+    Operator("line_cluster", ("words",), lambda d: CHECKS["line_cluster"], line_cluster),
     Operator("line_boxes", ("words",), line_boxes),
     Operator("label_clean", ("blanks",), label_clean),
     Operator("same_line", ("boxes", "line_boxes"), same_line),

@@ -29,7 +29,11 @@ SELECT * FROM (
 
 
 def resolve_value(d: Spark) -> str:
-    return "SELECT slug, key, value FROM stored_value UNION ALL SELECT slug, key, value FROM derived_values UNION ALL SELECT slug, key, value FROM composite_value"
+    """One value for each key of an identity: what is stored goes before what is derived, and that before what is put together."""
+    return """
+SELECT slug, key, min_by(value, ord) AS value FROM (
+  SELECT slug, key, value, 0 AS ord FROM stored_value UNION ALL SELECT slug, key, value, 1 FROM derived_values UNION ALL SELECT slug, key, value, 2 FROM composite_value) r
+WHERE value <> '' GROUP BY slug, key"""
 
 
 def street_line(d: Spark) -> str:

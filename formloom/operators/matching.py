@@ -68,27 +68,35 @@ def rank_keys(d: Spark) -> str:
 
 
 def own_section(d: Spark) -> str:
-    return f"SELECT form_id, blank_id, {T.own_section(d, 'section')} AS own_section FROM blanks"
+    """Whether a blank's heading opens with another party's name; each distinct heading is read once."""
+    verdicts = f"(SELECT section AS text, {T.own_section(d, 'section')} AS own FROM (SELECT DISTINCT section FROM blanks WHERE section <> '') t)"
+    return f"SELECT b.form_id, b.blank_id, coalesce(s.own, false) AS own_section FROM blanks b LEFT JOIN {verdicts} s ON s.text = b.section"
 
 
 def own_block(d: Spark) -> str:
-    return f"SELECT form_id, blank_id, {T.own_block(d, ['section', 'inside', 'left_', 'above'])} AS own_block FROM blanks"
+    """Whether any slot of a blank opens with a phrase that puts it out of bounds; each distinct text is read once."""
+    slots = " UNION ALL ".join(f"SELECT form_id, blank_id, {c} AS text FROM blanks" for c in ("section", "inside", "left_", "above"))
+    verdicts = f"(SELECT text, {T.own_block(d, ['text'])} AS own FROM (SELECT DISTINCT text FROM ({slots}) a WHERE text <> '') t)"
+    return f"SELECT x.form_id, x.blank_id, coalesce(bool_or(v.own), false) AS own_block FROM ({slots}) x LEFT JOIN {verdicts} v ON v.text = x.text GROUP BY x.form_id, x.blank_id"
 
 
 def leading_qualifier(d: Spark) -> str:
-    """Distinct (text, key) pairs whose text opens with one of the key's vetoes."""
-    opening = f"concat(' ', {d.join(d.slice('tokens', '1', '6'), ' ')}, ' ')"
+    """Distinct (text, key) pairs whose text has one of the key's vetoes among its first six tokens; vetoes are found by their first token."""
+    first = d.at(d.split("veto_text", " "), "1")
+    here = d.join(d.slice("opening", "pos + 1", "veto_n"), " ")
     return f"""
-SELECT DISTINCT l.text, v.key FROM (SELECT text, {opening} AS opening FROM label_texts) l
-JOIN (SELECT key, concat(' ', veto_text, ' ') AS veto FROM vetoes) v ON instr(l.opening, v.veto) > 0
-JOIN (SELECT DISTINCT text, key FROM score_key) s ON s.text = l.text AND s.key = v.key"""
+SELECT DISTINCT l.text, v.key FROM {d.each('(SELECT text, ' + d.slice('tokens', '1', '6') + ' AS opening FROM label_texts)', 'opening', 'pos', 'token')} l
+JOIN (SELECT key, veto_text, veto_n, {first} AS first_token FROM vetoes) v ON v.first_token = l.token
+JOIN (SELECT DISTINCT text, key FROM score_key) s ON s.text = l.text AND s.key = v.key WHERE {here} = v.veto_text"""
 
 
 def capacity_penalty(d: Spark) -> str:
+    """How much less a blank's candidates count whose value at hand is longer than the blank takes."""
     return f"""
 SELECT b.form_id, b.blank_id, v.key, CASE WHEN cap <= 0 OR length(value) <= cap THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0.25 AS DOUBLE), round(CAST(cap AS DOUBLE) / length(value), 9)) END AS penalty
 FROM (SELECT form_id, blank_id, {T.capacity('CAST(NULL AS BIGINT)', 'width_pt', 'height_pt', 'kind')} AS cap FROM blanks) b
-JOIN forms f ON f.form_id = b.form_id JOIN peek_value v ON v.slug = f.slug"""
+JOIN (SELECT DISTINCT form_id, blank_id, key FROM match_candidates) c ON c.form_id = b.form_id AND c.blank_id = b.blank_id
+JOIN forms f ON f.form_id = b.form_id JOIN peek_value v ON v.slug = f.slug AND v.key = c.key"""
 
 
 def match_candidates(d: Spark) -> str:
@@ -98,7 +106,8 @@ SELECT w.form_id, w.blank_id, w.slot_ord, w.source, w.text, c.key, c.field_ord,
 FROM slot_weights w
 JOIN (SELECT text, key, field_ord, alias, alias_n, score FROM score_key
       UNION ALL SELECT 'signature', 'signature', 28, 'kind', 1, CAST(1 AS DOUBLE)) c ON c.text = w.text AND (w.source = 'kind') = (c.alias = 'kind')
-JOIN (SELECT form_id, blank_id FROM blanks WHERE NOT readonly AND NOT {T.own_section(d, 'section')} AND NOT {T.own_block(d, ['section', 'inside', 'left_', 'above'])}) b
+JOIN (SELECT b.form_id, b.blank_id FROM blanks b JOIN own_section s ON s.form_id = b.form_id AND s.blank_id = b.blank_id
+      JOIN own_block k ON k.form_id = b.form_id AND k.blank_id = b.blank_id WHERE NOT b.readonly AND NOT s.own_section AND NOT k.own_block) b
   ON b.form_id = w.form_id AND b.blank_id = w.blank_id
 LEFT JOIN (SELECT DISTINCT s.form_id AS qform, s.blank_id AS qblank, q.key AS qkey FROM slot_weights s JOIN leading_qualifier q ON q.text = s.text WHERE s.source <> 'kind') x
   ON x.qform = w.form_id AND x.qblank = w.blank_id AND x.qkey = c.key
@@ -133,8 +142,8 @@ OPERATORS = [
     Operator("own_section", ("blanks",), own_section),
     Operator("own_block", ("blanks",), own_block),
     Operator("leading_qualifier", ("label_texts", "vetoes", "score_key"), leading_qualifier),
-    Operator("capacity_penalty", ("blanks", "forms", "peek_value"), capacity_penalty),
-    Operator("match_candidates", ("slot_weights", "score_key", "blanks", "leading_qualifier"), match_candidates),
+    Operator("match_candidates", ("slot_weights", "score_key", "blanks", "leading_qualifier", "own_section", "own_block"), match_candidates),
+    Operator("capacity_penalty", ("blanks", "forms", "peek_value", "match_candidates"), capacity_penalty),
     Operator("match_blank", ("match_candidates", "capacity_penalty"), match_blank),
     Operator("distribute", ("identity_values",), distribute),
 ]

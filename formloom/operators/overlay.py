@@ -20,7 +20,7 @@ def fingerprint_stream_form(d: Spark) -> str:
 def same_form(d: Spark) -> str:
     """Forms by structure: how many share the kinds and the labels of all blanks."""
     whole = d.listagg("concat(kind, '|', CAST(label_id AS STRING))", ";", "blank_no")
-    return f"SELECT {d.sha('whole')} AS fingerprint, COUNT(*) AS n, MIN(form_id) AS first_form FROM (SELECT form_id, {whole} AS whole FROM blanks WHERE blank_no <= 2 GROUP BY form_id) t GROUP BY {d.sha('whole')}"
+    return f"SELECT {d.sha('whole')} AS fingerprint, COUNT(*) AS n, MIN(form_id) AS first_form FROM (SELECT form_id, {whole} AS whole FROM blanks GROUP BY form_id) t GROUP BY {d.sha('whole')}"
 
 
 def remember_form(d: Spark) -> str:
@@ -97,10 +97,14 @@ def apply_edits(d: Spark) -> str:
 
 
 def overlay_precedence(d: Spark) -> str:
-    """Plan, then memory, then the model's reading, then edits by hand."""
-    return """
-SELECT p.form_id, p.blank_id, CASE WHEN h.action IS NOT NULL THEN nullif(h.value, '') WHEN r.value IS NOT NULL THEN r.value WHEN m.value IS NOT NULL THEN m.value ELSE p.value END AS value,
-       CASE WHEN h.action IS NOT NULL THEN 'hand' WHEN r.value IS NOT NULL AND r.value <> coalesce(p.value, '') THEN 'model' WHEN r.value IS NULL AND m.value IS NOT NULL THEN 'memory' ELSE 'plan' END AS source
+    """Plan, then memory, then the model's reading, then edits by hand; each goes by the value it leaves, none included.
+
+    A reading counts where it changes the plan's value: one that clears a blank leaves it empty.
+    """
+    changed = "r.blank_id IS NOT NULL AND coalesce(r.value, '') <> coalesce(p.value, '')"
+    return f"""
+SELECT p.form_id, p.blank_id, CASE WHEN h.action IS NOT NULL THEN nullif(h.value, '') WHEN {changed} THEN r.value WHEN m.value IS NOT NULL THEN m.value ELSE p.value END AS value,
+       CASE WHEN h.action IS NOT NULL THEN 'hand' WHEN {changed} THEN 'model' WHEN m.value IS NOT NULL THEN 'memory' ELSE 'plan' END AS source
 FROM plan_entries p LEFT JOIN apply_reading r ON r.form_id = p.form_id AND r.blank_id = p.blank_id
 LEFT JOIN apply_memory m ON m.form_id = p.form_id AND m.blank_id = p.blank_id LEFT JOIN apply_edits h ON h.form_id = p.form_id AND h.blank_id = p.blank_id"""
 

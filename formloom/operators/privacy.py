@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from formloom.functions import text as T
 from formloom.functions.dialect import Spark
+from formloom.operators import trees
+from formloom.plans.checks import CHECKS
 from formloom.plans.registry import Operator
 
-_PLAIN = "[^0-9A-Za-z]"
+_PLAIN = "[^0-9a-z]"
+#: Characters by which the start of a run is found.
+OPENING = 12
 
 
 def mask_value(d: Spark) -> str:
@@ -18,21 +22,30 @@ def scrub_shapes(d: Spark) -> str:
 
 
 def find_text(d: Spark) -> str:
-    """Runs of a line's words whose letters and digits, put together, are those of a needle.
+    """Runs of a page's words whose letters and digits, put together in lower case, are those of a whole needle.
 
-    Needles are the first three words of every benchmark item without their punctuation; start words are found through
-    an equal prefix of the needle.
+    Words without letters and digits are passed over, and runs go on over line ends. Start words are found by their next
+    OPENING characters, which are a key that a needle has too; needles that are shorter by a first word that is a prefix
+    of theirs. The words of each candidate run are then put together whole.
     """
-    clean = d.rx("text", _PLAIN, "")
-    needle = d.rx(d.join(d.slice(d.split(d.rx("text", r"\s+", " "), " "), "1", "3"), ""), _PLAIN, "")
+    plain = d.rx("lower(text)", _PLAIN, "")
+    page = "OVER (PARTITION BY form_id, page ORDER BY line_no, word_no"
+    if d.name == "spark":
+        ahead = f"left(array_join(collect_list(plain) {page} ROWS BETWEEN CURRENT ROW AND {OPENING - 1} FOLLOWING), ''), {OPENING})"
+    else:
+        ahead = f"left(array_to_string(list(plain) {page} ROWS BETWEEN CURRENT ROW AND {OPENING - 1} FOLLOWING), ''), {OPENING})"
+    run = f"(SELECT form_id, page, line_no, word_no, x0, x1, plain, CAST(SUM(length(plain)) {page}) AS BIGINT) AS e, {ahead} AS ahead FROM (SELECT *, {plain} AS plain FROM words) w0 WHERE plain <> '')"
+    needle = f"(SELECT item_id, {plain} AS needle FROM benchmark)"
+    short = d.each(f"(SELECT item_id, needle, {d.seq('1', 'length(needle)')} AS seq_ FROM {needle} n0 WHERE needle <> '' AND length(needle) < {OPENING})", "seq_", "i", "j")
     return f"""
 SELECT form_id, page, line_no, item_id, x0, x1 FROM (
-  SELECT s.form_id, s.page, s.line_no, s.word_no, n.item_id, MIN(n.needle) AS needle, MIN(w.x0) AS x0, MAX(w.x1) AS x1, {d.listagg('w.plain', '', 'w.word_no')} AS found
-  FROM (SELECT item_id, needle, i + 1 AS len, substr(needle, 1, CAST(i + 1 AS INT)) AS prefix FROM {d.each('(SELECT item_id, needle, ' + d.seq('1', 'length(needle)') + ' AS seq_ FROM (SELECT item_id, ' + needle + ' AS needle FROM benchmark) b0)', 'seq_', 'i', 'j')} p0) n
-  JOIN (SELECT form_id, page, line_no, word_no, {clean} AS plain FROM words) s ON s.plain = n.prefix
-  JOIN (SELECT form_id, page, line_no, word_no, x0, x1, {clean} AS plain FROM words) w
-    ON w.form_id = s.form_id AND w.page = s.page AND w.line_no = s.line_no AND w.word_no BETWEEN s.word_no AND s.word_no + 2
-  GROUP BY s.form_id, s.page, s.line_no, s.word_no, n.item_id) f WHERE found = needle"""
+  SELECT c.form_id, c.page, c.line_no, c.item_id, c.s, MIN(c.needle) AS needle, MIN(w.x0) AS x0, MAX(w.x1) AS x1, {d.listagg('w.plain', '', 'w.e')} AS found
+  FROM (SELECT r.form_id, r.page, r.line_no, r.e - length(r.plain) AS s, n.item_id, n.needle FROM {run} r
+        JOIN (SELECT item_id, needle, left(needle, {OPENING}) AS head FROM {needle} n1 WHERE length(needle) >= {OPENING}) n ON n.head = r.ahead
+        UNION ALL SELECT r.form_id, r.page, r.line_no, r.e - length(r.plain), n.item_id, n.needle FROM {run} r
+        JOIN (SELECT item_id, needle, substr(needle, 1, CAST(i + 1 AS INT)) AS prefix FROM {short} s0) n ON n.prefix = r.plain) c
+  JOIN {run} w ON w.form_id = c.form_id AND w.page = c.page AND w.e > c.s AND w.e <= c.s + length(c.needle)
+  GROUP BY c.form_id, c.page, c.line_no, c.item_id, c.s) f WHERE found = needle"""
 
 
 def parse_region(d: Spark) -> str:
@@ -55,32 +68,6 @@ def redact_boxes(d: Spark) -> str:
     return "SELECT form_id, region_no, page, least(x0, x1) - 1.5 AS x0, y0 - 1.5 AS y0, greatest(x0, x1) + 1.5 AS x1, y1 + 1.5 AS y1 FROM regions"
 
 
-def field_roots(d: Spark) -> str:
-    """Root and depth of every node by pointer doubling (six joins reach 64 levels); nodes on a cycle have no root."""
-    up = "(SELECT n.form_id, n.node, CASE WHEN p.node IS NULL THEN n.node ELSE n.parent END AS up_, CASE WHEN p.node IS NULL THEN CAST(0 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS depth FROM field_nodes n LEFT JOIN (SELECT form_id, node FROM field_nodes) p ON p.form_id = n.form_id AND p.node = n.parent)"
-    for k in range(6):
-        up = f"(SELECT a{k}.form_id, a{k}.node, b{k}.up_, a{k}.depth + b{k}.depth AS depth FROM {up} a{k} JOIN {up} b{k} ON b{k}.form_id = a{k}.form_id AND b{k}.node = a{k}.up_)" if k < 3 else up
-    return f"SELECT form_id, node, CASE WHEN depth < 8 THEN up_ END AS root, CASE WHEN depth < 8 THEN depth END AS depth FROM {up} r"
-
-
-def field_inherit(d: Spark) -> str:
-    """The nearest field type of a node itself or of its ancestors, up to three levels."""
-    return """
-SELECT n.form_id, n.node, coalesce(n.ft, p1.ft, p2.ft, p3.ft) AS ft FROM field_nodes n
-LEFT JOIN field_nodes p1 ON p1.form_id = n.form_id AND p1.node = n.parent AND n.parent <> n.node
-LEFT JOIN field_nodes p2 ON p2.form_id = n.form_id AND p2.node = p1.parent AND p1.parent <> p1.node
-LEFT JOIN field_nodes p3 ON p3.form_id = n.form_id AND p3.node = p2.parent AND p2.parent <> p2.node"""
-
-
-def prune_fields(d: Spark) -> str:
-    """Nodes on kept pages (odd node numbers here) and all their ancestors."""
-    return """
-SELECT DISTINCT form_id, node FROM (
-  SELECT form_id, node FROM field_nodes WHERE node % 2 = 1
-  UNION ALL SELECT form_id, parent FROM field_nodes WHERE node % 2 = 1 AND parent IS NOT NULL
-  UNION ALL SELECT n.form_id, p.parent FROM field_nodes n JOIN field_nodes p ON p.form_id = n.form_id AND p.node = n.parent WHERE n.node % 2 = 1 AND p.parent IS NOT NULL) k"""
-
-
 def kind_from_flags(d: Spark) -> str:
     bit = (lambda k: f"(shiftright(flags, {k}) & 1) = 1") if d.name == "spark" else (lambda k: f"((flags >> {k}) & 1) = 1")
     return f"SELECT form_id, node, CASE WHEN ft = 'Btn' THEN CASE WHEN {bit(15)} THEN 'radio' ELSE 'checkbox' END WHEN ft = 'Tx' THEN CASE WHEN {bit(12)} THEN 'multiline' ELSE 'text' END ELSE 'other' END AS kind, {bit(0)} AS readonly FROM field_nodes"
@@ -99,8 +86,8 @@ OPERATORS = [
     Operator("parse_region", ("regions",), parse_region),
     Operator("redact_pages", ("blanks", "regions"), redact_pages),
     Operator("redact_boxes", ("regions",), redact_boxes),
-    Operator("field_roots", ("field_nodes",), field_roots),
-    Operator("field_inherit", ("field_nodes",), field_inherit),
-    Operator("prune_fields", ("field_nodes",), prune_fields),
+    Operator("field_roots", ("field_nodes",), lambda d: CHECKS["field_roots"], trees.field_roots),
+    Operator("field_inherit", ("field_nodes",), lambda d: CHECKS["field_inherit"], trees.field_inherit),
+    Operator("prune_fields", ("field_nodes", "kept_widgets"), lambda d: CHECKS["prune_fields"], trees.prune_fields),
     Operator("kind_from_flags", ("field_nodes",), kind_from_flags),
 ]

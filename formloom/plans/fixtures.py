@@ -100,11 +100,11 @@ UNION ALL SELECT {_c('c_custkey')}, 'ein', lpad(CAST((200000000 + c_custkey * 10
 UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'business_name', s_name, 'values' FROM supplier
 UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'ein', lpad(CAST((300000000 + s_suppkey * 7919) % 1000000000 AS STRING), 9, '0'), 'vault' FROM supplier""", ("customer", "supplier", "nation")),
         "paragraphs": (f"SELECT doc_id AS form_id, CAST(seq AS BIGINT) AS seq, text_ AS text, CASE WHEN seq = 0 THEN 'Heading1' WHEN (doc_id + seq) % 11 = 0 THEN 'title' ELSE 'Normal' END AS style FROM {d.each('(SELECT doc_id, text FROM documents)', d.split('text', chr(92) + 'n'), 'seq', 'text_')}", ("documents",)),
-        "words0": (f"SELECT form_id, seq, CAST(k AS BIGINT) AS k, word, arr FROM {d.each('(SELECT form_id, seq, ' + d.split('text', ' ') + ' AS arr FROM paragraphs)', 'arr', 'k', 'word')}", ("paragraphs",)),
+        "words0": (f"SELECT form_id, seq, CAST(k AS BIGINT) AS k, word FROM {d.each('(SELECT form_id, seq, ' + d.split('text', ' ') + ' AS arr FROM paragraphs)', 'arr', 'k', 'word')}", ("paragraphs",)),
         "words": (f"""
 SELECT form_id, CAST(1 + seq // 60 AS BIGINT) AS page, seq % 60 AS line_no, k AS word_no, word AS text, CAST(5 * pre AS DOUBLE) AS x0, CAST(12 * (seq % 60) AS DOUBLE) AS y0,
        CAST(5 * (pre + length(word)) AS DOUBLE) AS x1, CAST(12 * (seq % 60) + 10 AS DOUBLE) AS y1
-FROM (SELECT form_id, seq, k, word, CASE WHEN k = 0 THEN 0 ELSE length({d.join(d.slice('arr', '1', 'k'), ' ')}) + 1 END AS pre FROM words0) w WHERE word <> '' AND k < 400""".replace("//", "//" if d.name == "duck" else "DIV"), ("words0",)),
+FROM (SELECT form_id, seq, k, word, SUM(length(word) + 1) OVER (PARTITION BY form_id, seq ORDER BY k) - length(word) - 1 AS pre FROM words0) w WHERE word <> ''""".replace("//", "//" if d.name == "duck" else "DIV"), ("words0",)),
         "boxes": ("""
 SELECT form_id, page, line_no, concat('x', CAST(page AS STRING), '_', CAST(line_no AS STRING)) AS blank_id, x1 + 6 AS x0, y0 AS y0, x1 + 66 AS x1, y1 AS y1
 FROM words WHERE word_no = 2""", ("words",)),
@@ -118,6 +118,7 @@ SELECT l_orderkey AS form_id, CAST(l_linenumber AS BIGINT) AS node,
        CASE WHEN l_linenumber = 1 THEN NULL WHEN l_orderkey % 97 = 0 AND l_linenumber = 2 THEN CAST(2 AS BIGINT) ELSE CAST(floor(l_linenumber / 2) AS BIGINT) END AS parent,
        CASE WHEN MIN(l_partkey) % 3 = 0 THEN 'Tx' WHEN MIN(l_partkey) % 3 = 1 THEN 'Btn' END AS ft, MIN(l_suppkey) % 65536 * (CASE WHEN MIN(l_partkey) % 2 = 0 THEN 1 ELSE 4097 END) AS flags
 FROM lineitem GROUP BY l_orderkey, l_linenumber""", ("lineitem",)),
+        "kept_widgets": ("SELECT form_id, node FROM field_nodes WHERE node % 2 = 1", ("field_nodes",)),
         "arrivals": ("""
 SELECT concat('/in/f', CAST(user_id AS STRING), CASE WHEN user_id % 10 = 0 THEN '.txt' WHEN user_id % 4 = 0 THEN '-filled.pdf' WHEN user_id % 3 = 0 THEN '.docx' ELSE '.pdf' END) AS path,
        CAST(floor(value * 100) AS BIGINT) AS size, CAST(ts AS TIMESTAMP) AS ts FROM events""", ("events",)),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from formloom.functions.dialect import DUCK, SPARK, Spark
 from formloom.plans import fixtures
+from formloom.plans.checks import CHECKS
 from formloom.plans.store import written
 
 #: Results that many operators read: written once to the shared folder instead of being worked out for each reader.
@@ -20,17 +21,18 @@ WRITTEN = ("score_key", "stored_value", "resolve_value", "match_blank", "either_
 class Operator:
     """A relational operator.
 
-    sql gives its statement in one spelling; inputs are the tables that the statement names. apply() runs it on any
-    DataFrames with the columns that the statement uses.
+    sql gives its statement in one spelling; inputs are the tables that the statement names. frame, where given, takes
+    the session and the input tables and runs instead of the statement in Spark (for what needs rounds of joins). apply()
+    runs the operator on any DataFrames with the columns that it uses.
     """
 
     name: str
     inputs: tuple[str, ...]
     sql: Callable[[Spark], str]
-    text: str = ""
+    frame: Callable[..., DataFrame] | None = None
 
     def apply(self, spark: SparkSession, **tables: DataFrame) -> DataFrame:
-        return run(spark, self.sql(SPARK), tables)
+        return self.frame(spark, **tables) if self.frame else run(spark, self.sql(SPARK), tables)
 
 
 def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -62,15 +64,18 @@ class Folder:
 
     def __init__(self, spark: SparkSession, sf_dir: str, operators: dict[str, Operator]):
         self.spark, self.sf_dir, self.made = spark, sf_dir, {}
-        self.derived = fixtures.tables(SPARK) | {o.name: (o.sql(SPARK), o.inputs) for o in operators.values()}
+        self.operators, self.derived = operators, fixtures.tables(SPARK)
 
     def get(self, name: str) -> DataFrame:
         if name not in self.made:
-            if name in self.derived:
-                sql, inputs = self.derived[name]
-                self.made[name] = run(self.spark, sql, {x: self.get(x) for x in inputs})
+            if name in self.operators:
+                op = self.operators[name]
+                self.made[name] = op.apply(self.spark, **{x: self.get(x) for x in op.inputs})
                 if name in WRITTEN:
                     self.made[name] = written(self.made[name], name)
+            elif name in self.derived:
+                sql, inputs = self.derived[name]
+                self.made[name] = run(self.spark, sql, {x: self.get(x) for x in inputs})
             else:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self.made[name]
@@ -87,10 +92,13 @@ def query(op: Operator, more: dict[str, Operator]) -> Callable[[SparkSession, st
 
 
 def oracle(op: Operator, more: dict[str, Operator]) -> str:
-    """The same as one statement in the other spelling."""
-    derived = fixtures.tables(DUCK) | {o.name: (o.sql(DUCK), o.inputs) for o in more.values() if o.name != op.name}
+    """What DuckDB runs beside an operator: its check where there is one, else its statement in the other spelling.
+
+    Operators that are inputs stand by their own checks.
+    """
+    derived = fixtures.tables(DUCK) | {o.name: (CHECKS.get(o.name) or o.sql(DUCK), o.inputs) for o in more.values() if o.name != op.name}
     ctes = ",\n".join(f"{n} AS (\n{derived[n][0]})" for n in needed(op.inputs, derived))
-    body = op.sql(DUCK)
+    body = CHECKS.get(op.name) or op.sql(DUCK)
     if not ctes:
         return body
     recursive = "RECURSIVE " if "WITH RECURSIVE" in body or "WITH RECURSIVE" in ctes else ""
