@@ -290,7 +290,7 @@ def _gathered(texts: DataFrame, shared) -> DataFrame:
                 table += np.bincount(ids[some] * (SINGLE + 1) + context[some], minlength=len(table))
                 held.append(m.pair_keys(ids, last)[1])
                 size += len(held[-1])
-                if size >= 4 * HELD:
+                if size >= 2 * HELD:
                     yield packed()
                     held, size = [], 0
         if size:
