@@ -49,6 +49,7 @@ signature | Signature | signature; sign here; signature of; authorized signature
 """
 # Fixed values. Vetoes of all fields that a field is exempt from.
 ALLOWED = {"ein": ("employer", "employer s")}
+# Fixed values. Keys of the sensitive tier, keys that are images, box groups of split numbers, keys that stand for each other.
 SENSITIVE = ("ssn", "ein", "dob", "drivers_license", "bank_account", "bank_routing", "citizenship", "signature")
 IMAGES = ("signature",)
 SPLITS = {"ssn": (3, 2, 4), "ein": (2, 7)}
@@ -94,10 +95,6 @@ CHOICES = [(choice, answer, title, _parts(words), code) for choice, answer, titl
 PARTY_WORDS = sorted({tokens(p)[0] for p in NOT_YOURS})
 
 
-def _sql_list(items: list[str]) -> str:
-    return " ".join(items)
-
-
 def values_sql(name: str) -> str:
     """A dimension as SQL that any engine runs; token arrays are blank-separated strings."""
     q = lambda s: '"' if s is None else "'" + s.replace("'", "''") + "'"

@@ -11,7 +11,7 @@ def words(d: Spark, s: str) -> str:
     return d.filter(d.split(s, " "), "w_", "w_ <> ''")
 
 
-def normalize(d: Spark, s: str) -> str:
+def normalize(d: Spark, s: str) -> str:  # fixed values: the patterns, in this order, say what a token is
     """Tokens of a label: split at case changes, lower case, without line number and punctuation, short forms spelt out."""
     t = f"trim(lower({d.rx(s, '([a-z])([A-Z])', chr(92) + '1 ' + chr(92) + '2')}))"
     t = d.rx(t, "([0-9])([a-z])", r"\1 \2")

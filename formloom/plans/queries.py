@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ from formloom.streaming import arrivals
 MODULES = (matching, identity, planning, overlay, privacy, stream_text, geometry, pages)
 OPERATORS: dict[str, Operator] = {o.name: o for m in MODULES for o in m.OPERATORS}
 QUERIES = {n: query(o, OPERATORS) for n, o in OPERATORS.items()}
-_KEY = "0123456789abcdef"
 
 
 def _table(name: str, spark, sf_dir: str):
@@ -31,13 +31,13 @@ def alias_fuzzy(spark, sf_dir: str):
 def sensitive_store(spark, sf_dir: str):
     """Names and lengths of the sealed values; the ciphertext itself differs with every run."""
     values = _table("identity_values", spark, sf_dir).where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
-    return text_udfs.sensitive_store(values, _KEY).selectExpr("slug", "key", "CAST(length(ciphertext) AS BIGINT) AS n")
+    return text_udfs.sensitive_store(values, secrets.token_hex(8)).selectExpr("slug", "key", "CAST(length(ciphertext) AS BIGINT) AS n")
 
 
 def lazy_unlock(spark, sf_dir: str):
     values = _table("identity_values", spark, sf_dir).where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
-    ruled_out = _table("either_or", spark, sf_dir).select("form_id", "key")
-    return text_udfs.lazy_unlock(_table("wanted_keys", spark, sf_dir), ruled_out, text_udfs.sensitive_store(values, _KEY), _KEY).select("form_id", "slug", "key", "value")
+    ruled_out, key = _table("either_or", spark, sf_dir).select("form_id", "key"), secrets.token_hex(8)
+    return text_udfs.lazy_unlock(_table("wanted_keys", spark, sf_dir), ruled_out, text_udfs.sensitive_store(values, key), key).select("form_id", "slug", "key", "value")
 
 
 def prompt_batch(spark, sf_dir: str):

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (as in tests), a new temporary folder is set."""
+    """The folder of spark.checkpoint.dir. Only in local mode may it be unset (as in tests): a new temporary folder is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not (kept := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             kept = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -27,8 +27,10 @@ def settled_files(arrivals: DataFrame, quiet: str = "6 hours") -> DataFrame:
 def _seen(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing written yet
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # nothing written yet
 
 
 def one_notice(path: str) -> Callable[[DataFrame, int], None]:

@@ -41,7 +41,7 @@ def test_registered_query(spark):
     assert QUERIES["match_blank"](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in OPERATORS if n not in ("capacity_penalty", "line_cluster")])
+@pytest.mark.parametrize("name", list(OPERATORS))
 def test_equal(folder, duck, name):
     got = folder.get(name)
     rel = duck.execute(oracles()[name])
