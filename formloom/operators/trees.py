@@ -49,13 +49,14 @@ def field_inherit(spark: SparkSession, field_nodes: DataFrame) -> DataFrame:
 
 
 def prune_fields(spark: SparkSession, field_nodes: DataFrame, kept_widgets: DataFrame) -> DataFrame:
-    """The widgets that are kept (form_id, node) and all their ancestors."""
-    up = written(_parents(field_nodes.select("form_id", "node", "parent")).where("up is not null").select("form_id", "node", "up"), "parents")
+    """The widgets that are kept (form_id, node) and all their ancestors (of up to 2 * MAX_DEPTH levels)."""
+    jump = written(_parents(field_nodes.select("form_id", "node", "parent")).where("up is not null").select("form_id", "node", "up"), "jump")
     alive = written(kept_widgets.select("form_id", "node").distinct(), "alive")
-    front = alive
-    while True:
-        above = front.join(up, ["form_id", "node"]).select("form_id", F.col("up").alias("node")).distinct()
-        front = written(above.join(alive, ["form_id", "node"], "left_anti"), "front")
-        if not front.limit(1).count():
-            return alive
-        alive = alive.unionByName(front)
+    for _ in range(MAX_DEPTH.bit_length()):  # jump: the node 1, 2, 4 ... levels up
+        above = alive.join(jump, ["form_id", "node"]).select("form_id", F.col("up").alias("node"))
+        alive = written(alive.unionByName(above).distinct(), "alive")
+        further = jump.select("form_id", F.col("node").alias("up"), F.col("up").alias("next"))
+        jump = written(jump.join(further, ["form_id", "up"]).select("form_id", "node", F.col("next").alias("up")), "jump")
+        if not jump.limit(1).count():
+            break
+    return alive
