@@ -175,7 +175,7 @@ def reading_order(d: Spark) -> str:
 
 def chars_to_words(d: Spark) -> str:
     """Characters with places to words: white space breaks a run."""
-    chars = f"(SELECT form_id, seq, i, substr(text, CAST(i + 1 AS INT), 1) AS ch FROM {d.each('(SELECT form_id, seq, left(text, 80) AS text, ' + d.seq('1', 'least(length(text), 80)') + ' AS seq_ FROM paragraphs)', 'seq_', 'i', 'j')} c0)"
+    chars = f"(SELECT form_id, seq, i, substr(text, CAST(i + 1 AS INT), 1) AS ch FROM {d.each('(SELECT form_id, seq, text, ' + d.seq('1', 'length(text)') + ' AS seq_ FROM paragraphs)', 'seq_', 'i', 'j')} c0)"
     return f"""
 SELECT form_id, seq, word_no, {d.listagg('ch', '', 'i')} AS text, CAST(MIN(i) * 5 AS BIGINT) AS x0, CAST(MAX(i) * 5 + 5 AS BIGINT) AS x1
 FROM (SELECT form_id, seq, i, ch, CAST(SUM(CASE WHEN ch = ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, seq ORDER BY i) AS BIGINT) AS word_no FROM {chars} c) r WHERE ch <> ' ' GROUP BY form_id, seq, word_no"""

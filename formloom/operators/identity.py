@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from formloom.functions import text as T
 from formloom.functions.dialect import Spark
+from formloom.plans.checks import CHECKS
 from formloom.plans.registry import Operator
+from formloom.sources import files
 
 _RANK = "CASE tier WHEN 'once' THEN 0 WHEN 'values' THEN 1 WHEN 'vault' THEN 2 ELSE 3 END"
 
@@ -125,14 +129,9 @@ FROM sensitive_manifest a FULL OUTER JOIN (SELECT name FROM sensitive_manifest W
 WHERE a.name IS NULL OR b.name IS NULL"""
 
 
-def identity_json(d: Spark) -> str:
-    """Values written as JSON and read back; blank ones drop."""
-    get = "get_json_object" if d.name == "spark" else "json_extract_string"
-    keys = ("full_name", "state", "city", "zip")
-    js = "concat('{" + ",".join(f'"{k}":"' + "', coalesce(" + k + f"_v, ''), '" + '"' for k in keys) + "}')"
-    cols = ", ".join(f"MAX(CASE WHEN key = '{k}' THEN value END) AS {k}_v" for k in keys)
-    parts = " UNION ALL ".join(f"SELECT slug, '{k}' AS key, {get}(js, '$.{k}') AS value FROM (SELECT slug, {js} AS js FROM (SELECT slug, {cols} FROM stored_value GROUP BY slug) p) j" for k in keys)
-    return f"SELECT * FROM ({parts}) v WHERE value <> ''"
+def identity_json(spark: SparkSession, stored_value: DataFrame) -> DataFrame:
+    """All stored values of an identity written as one JSON object and read back; blank ones drop."""
+    return files.through_json(stored_value, "slug", "key", "value")
 
 
 OPERATORS = [
@@ -153,5 +152,5 @@ OPERATORS = [
     Operator("route_sensitive", ("identity_values", "fields", "choices"), route_sensitive),
     Operator("sensitive_manifest", ("identity_values",), sensitive_manifest),
     Operator("manifest_check", ("sensitive_manifest", "identities"), manifest_check),
-    Operator("identity_json", ("stored_value",), identity_json),
+    Operator("identity_json", ("stored_value",), lambda d: CHECKS["identity_json"], identity_json),
 ]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from formloom.functions.dialect import Spark
+from formloom.plans.checks import CHECKS
 from formloom.plans.registry import Operator
+from formloom.sources import files
 
 
 def fingerprint_page_form(d: Spark) -> str:
@@ -113,12 +117,9 @@ def latest_generation(d: Spark) -> str:
     return "SELECT e.form_id, e.seq, e.value FROM edits e JOIN (SELECT form_id, MAX(seq % 5) AS g FROM edits GROUP BY form_id) m ON m.form_id = e.form_id AND e.seq % 5 = m.g"
 
 
-def memory_json(d: Spark) -> str:
-    """Memory written as JSON by structure, read back to rows."""
-    get = "get_json_object(js, '$.keys.{}')" if d.name == "spark" else "json_extract_string(js, '$.keys.{}')"
-    js = "concat('{\"keys\":{\"b1\":\"', coalesce(MAX(CASE WHEN blank_id = 'b1' THEN key END), ''), '\",\"b2\":\"', coalesce(MAX(CASE WHEN blank_id = 'b2' THEN key END), ''), '\"}}')"
-    parts = " UNION ALL ".join(f"SELECT form_id, '{b}' AS blank_id, {get.format(b)} AS key FROM (SELECT form_id, {js} AS js FROM remember_form GROUP BY form_id) j" for b in ("b1", "b2"))
-    return f"SELECT * FROM ({parts}) v WHERE key <> ''"
+def memory_json(spark: SparkSession, remember_form: DataFrame) -> DataFrame:
+    """The remembered keys of all blanks of a form written as one JSON object and read back."""
+    return files.through_json(remember_form, "form_id", "blank_id", "key")
 
 
 OPERATORS = [
@@ -136,5 +137,5 @@ OPERATORS = [
     Operator("apply_edits", ("edits",), apply_edits),
     Operator("overlay_precedence", ("plan_entries", "apply_reading", "apply_memory", "apply_edits"), overlay_precedence),
     Operator("latest_generation", ("edits",), latest_generation),
-    Operator("memory_json", ("remember_form",), memory_json),
+    Operator("memory_json", ("remember_form",), lambda d: CHECKS["memory_json"], memory_json),
 ]

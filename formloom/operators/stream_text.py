@@ -39,7 +39,7 @@ def table_cell_blanks(d: Spark) -> str:
     return """
 SELECT form_id, tbl, row_, col, coalesce(left_, '') AS left_, coalesce(above, '') AS above FROM (
   SELECT *, lag(text) OVER (PARTITION BY form_id, tbl, row_ ORDER BY col) AS left_, lag(text) OVER (PARTITION BY form_id, tbl, col ORDER BY row_) AS above FROM cells) c
-WHERE text = '' AND (coalesce(left_, '') <> '' OR coalesce(above, '') <> '') AND coalesce(left_, '') NOT LIKE '%\\_\\_%'""".replace("NOT LIKE '%\\_\\_%'", "<> '__'")
+WHERE text = '' AND (coalesce(left_, '') <> '' OR coalesce(above, '') <> '') AND NOT contains(coalesce(left_, ''), '__')"""
 
 
 def splice_values(d: Spark) -> str:

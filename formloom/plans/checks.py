@@ -56,6 +56,8 @@ SELECT form_id, blank_id, last_[1].v AS value, last_[1].s AS source FROM (
 WITH f AS (SELECT form_id, sha256(array_to_string(list(kind || '|' || label_id ORDER BY blank_no), ';')) AS fingerprint FROM blanks GROUP BY form_id)
 SELECT fingerprint, count(*) AS n, min(form_id) AS first_form FROM f GROUP BY fingerprint""",
     "line_cluster": "SELECT form_id, page, word_no, text, dense_rank() OVER (PARTITION BY form_id, page ORDER BY y0) - 1 AS line FROM words",  # these words stand on a grid
+    "identity_json": "SELECT slug, key, value FROM stored_value WHERE value <> ''",  # a round trip changes nothing
+    "memory_json": "SELECT form_id, blank_id, key FROM remember_form WHERE key <> ''",
     "kind_from_flags": """
 SELECT form_id, node, CASE ft WHEN 'Btn' THEN if(flags // 32768 % 2 = 1, 'radio', 'checkbox') WHEN 'Tx' THEN if(flags // 4096 % 2 = 1, 'multiline', 'text') ELSE 'other' END AS kind,
        flags % 2 = 1 AS readonly FROM field_nodes""",

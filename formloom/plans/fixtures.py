@@ -130,6 +130,6 @@ SELECT event_id % 1500 AS form_id, concat('b', CAST(1 + event_id % 7 AS STRING))
         "page_specs": ("SELECT form_id, concat('f', CAST(form_id AS STRING), CASE form_id % 6 WHEN 0 THEN '#1-3@90' WHEN 1 THEN '#2-' WHEN 2 THEN '#1,1@180' WHEN 3 THEN '#x' WHEN 4 THEN '#2@45' ELSE '' END) AS spec FROM forms", ("forms",)),
         "regions": ("SELECT form_id, blank_no AS region_no, page, CASE WHEN blank_no % 2 = 0 THEN width_pt ELSE width_pt + 90 END AS x0, height_pt AS y0, width_pt + 40 AS x1, height_pt * 2 AS y1 FROM blanks0 WHERE label_id % 9 = 0", ("blanks0",)),
         "gap_lines": (f"SELECT form_id, seq, {d.rx(d.rx('text', ' (the|la|de|und|of) ', ' _____ '), '^([A-Za-z]+) ', chr(92) + '1: ')} AS text FROM paragraphs", ("paragraphs",)),
-        "cells": (f"SELECT form_id, CAST(0 AS BIGINT) AS tbl, CAST(seq AS BIGINT) AS row_, CAST(k AS BIGINT) AS col, CASE WHEN (length(word) + k) % 4 = 0 THEN '' ELSE word END AS text FROM words0 WHERE k < 4 AND word <> ''", ("words0",)),
+        "cells": (f"SELECT form_id, CAST(0 AS BIGINT) AS tbl, CAST(seq AS BIGINT) AS row_, CAST(k AS BIGINT) AS col, CASE WHEN (length(word) + k) % 4 = 0 THEN '' ELSE word END AS text FROM words0 WHERE word <> ''", ("words0",)),
     }
     return out

@@ -38,3 +38,10 @@ def write_filled(entries: DataFrame, source: str, out: str) -> None:
     if source.rstrip("/") == out.rstrip("/"):
         raise ValueError("the filled copy cannot take the place of its source")
     entries.write.mode("errorifexists").partitionBy("fmt").parquet(out)
+
+
+def through_json(rows: DataFrame, of: str, key: str, value: str) -> DataFrame:
+    """Rows (of, key, value) with a value, written as one JSON object for each `of` and read back; of equal keys the largest value counts."""
+    named = rows.where(F.col(key).isNotNull() & (F.col(value) != "")).groupBy(of, key).agg(F.max(value).alias(value))
+    objects = named.groupBy(of).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(key, value)))).alias("js"))
+    return objects.select(of, F.explode(F.from_json("js", "map<string,string>")).alias(key, value))

@@ -120,3 +120,10 @@ def test_checks_are_not_the_operators_own_statements(name):
 
     op = OPERATORS[name]
     assert op.frame or op.sql(DUCK).split() != CHECKS[name].split()
+
+
+def test_json_carries_all_keys_and_any_text(spark):
+    values = [("a", "city", 'St. "Q" \\ {x}'), ("a", "zip", "1"), ("b", "phone", "é\n"), ("b", "zip", ""), ("b", "ssn", None)]
+    assert apply(spark, "identity_json", stored_value=("slug string, key string, value string", values)) == sorted(values[:3], key=repr)
+    keys = [(1, f"b{k}", f"k{k}") for k in range(9)] + [(2, "b1", None)]
+    assert apply(spark, "memory_json", remember_form=("form_id long, blank_id string, key string", keys)) == keys[:9]
