@@ -1,7 +1,7 @@
 """Benchmark decontamination by a BM25 index of the test items and block-max WAND.
 
-The test items are indexed in blocks of bounded size; each block goes to all tasks, and every document is read once
-for each block. Document frequencies and the mean length are those of the whole benchmark, whatever block an item is in.
+The test items are indexed in blocks of bounded size, each in a task; one after the other goes to all tasks, and every
+document is read once for each block. Document frequencies and the mean length are those of the whole benchmark, whatever block an item is in.
 A document is cut into passages that overlap by half, twice as long as the longest item of a length
 class, so that any copy of an item lies whole in one passage. Every passage is a query. Impacts are BM25 scores
 divided by the score that the item gets from its own text, so one threshold serves all items. Passages whose largest
@@ -16,9 +16,11 @@ hits. Extra columns are kept by hits(), which adds the column `hits`.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,6 +193,19 @@ def search_rows(index: list[Index], h: np.ndarray, first: np.ndarray) -> list[di
     return out
 
 
+def _built(items: DataFrame, terms: DataFrame, n: int, mean: float) -> DataFrame:
+    """block and its indexes, pickled; items: item_id, text, block; terms: block, term, df."""
+
+    def build(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        df = known["df"].to_numpy()
+        idf = dict(zip(known["term"].to_numpy().view(np.uint64).tolist(), np.log(1 + (n - df + 0.5) / (df + 0.5)).tolist()))
+        frame = frame.sort_values(["item_id", "text"])
+        made = indexes(list(zip(frame["item_id"].tolist(), frame["text"].tolist())), idf, mean) if len(frame) else []
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])] if made else [], "index": [pickle.dumps(made)] if made else []})
+
+    return items.groupBy("block").cogroup(terms.groupBy("block")).applyInPandas(build, "block long, index binary")
+
+
 def _add_hits(docs: DataFrame, index: list[Index]) -> DataFrame:
     """docs with the hits of one block added to its column `hits`."""
     at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(index)
@@ -240,13 +255,12 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return out
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("long"))
     terms, n, mean = _statistics(items)
+    if not n:
+        return out
+    built = written(_built(items, terms, n, mean), "index")
     for k in range(blocks):
-        block = items.where(F.col("block") == k).orderBy("item_id", "text").collect()
-        known = terms.where(F.col("block") == k).select("term", "df").toArrow()
-        df = known["df"].to_numpy()
-        idf = dict(zip(known["term"].to_numpy().view(np.uint64).tolist(), np.log(1 + (n - df + 0.5) / (df + 0.5)).tolist()))
-        if index := indexes([(r.item_id, r.text) for r in block], idf, mean):
-            out = _add_hits(out, index)
+        for row in built.where(F.col("block") == k).collect():  # one, or none where no item of the block has words
+            out = _add_hits(out, pickle.loads(row["index"]))
     return out
 
 
@@ -259,5 +273,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no test item is found, with their columns."""
-    kept = [c for c in docs.columns if c != "hits"]
-    return hits(docs.select(*kept), benchmark).where(F.size("hits") == 0).select(*kept)
+    own = {"hits": "_fl_hits"} if "hits" in docs.columns else {}
+    found = hits(docs.withColumnsRenamed(own), benchmark).where(F.size("hits") == 0).drop("hits")
+    return found.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)

@@ -230,7 +230,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int, steps: in
 
 def _pack_group(frame: pd.DataFrame, capacity: int, number: int) -> pd.DataFrame:
     lengths = frame["length"].to_numpy(np.int64)
-    order = np.lexsort((frame["ids_crc32"], frame["piece"], frame["doc_id"].fillna(-1), -lengths))
+    order = np.lexsort((frame["ids_crc32"], frame["piece"], frame["doc_id"], frame["no_id"], -lengths))
     frame, lengths = frame.iloc[order], lengths[order]
     bins = local_search(lengths, best_fit(lengths, capacity), capacity)
     by = np.argsort(bins, kind="stable")
@@ -245,12 +245,14 @@ def _pack_group(frame: pd.DataFrame, capacity: int, number: int) -> pd.DataFrame
 
 def pack(parts: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFrame:
     """The rows of pieces() with sequence_id and offset; see the module's text for the method."""
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # null ids travel as a flag: a null among longs would turn a group's ids into floats
+    columns = ["doc_id", "no_id", "piece", "start", "length", "ids_crc32"]
+    parts = parts.withColumns({"no_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
     parts = written(parts.select(*columns), "pieces")
     loose, done, number = parts.where(F.col("length") < capacity), [], 0
     whole = parts.where(F.col("length") >= capacity)
     done.append(whole.withColumns({"sequence_id": F.monotonically_increasing_id() + F.lit(1 << 61), "offset": F.lit(0).cast("long")}))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, offset long, sequence_id long, fill long"
+    schema = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long, grp long, offset long, sequence_id long, fill long"
     count, before = loose.count(), None
     while count:
         groups = -(-count // group)
@@ -268,4 +270,4 @@ def pack(parts: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFram
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out
+    return out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

@@ -9,7 +9,8 @@ range finds the latest earlier response within itself, and one row per range and
 
 Full responses have a status of FULL; revisits have 304; records of any other status take no part. Entity tags are
 compared weakly, as for a request that asks whether a page has changed: W/"x" agrees with "x". Header names are compared
-in lower case and come out so; where one record has a name twice, the last one counts, and null values never replace others.
+in lower case and come out so; where one record has a name in several spellings, the one that sorts last counts. Null
+values of a revisit replace nothing.
 
 "Earlier" is by (time, record id). Nulls: records with a null URL or time are never joined and come out as
 unresolved. Repeated rows come out each. Empty tables give empty results. Extra columns are ignored.
@@ -64,7 +65,7 @@ def latest_before(records: DataFrame, payload: list[str]) -> DataFrame:
 
 def merged(old: Column, new: Column) -> Column:
     """The headers of a full response with the permitted ones of a revisit laid over them."""
-    low = lambda m: F.transform(F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    low = lambda m: F.transform(F.coalesce(F.array_sort(F.map_entries(m)), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     fresh = F.filter(low(new), lambda e: e["key"].isin(*PERMITTED) & e["value"].isNotNull())
     both = F.concat(low(old), fresh)
     later = lambda e, i: F.exists(F.slice(both, i + 2, F.size(both)), lambda o: o["key"] == e["key"])

@@ -66,6 +66,8 @@ def test_packing(spark, docs, empty):
     total = sum(r.length for r in out)
     assert len(by) <= -(-total // 512) + 2
     assert packing.pack(packing.pieces(empty, path)).count() == 0
+    large = spark.createDataFrame([(9007199254740993, "a"), (None, "b"), (-1, None), (-1, None), (None, "")], "doc_id long, text string")
+    assert collections.Counter(r.doc_id for r in packing.pack(packing.pieces(large, path)).collect()) == {9007199254740993: 1, None: 2, -1: 2}
 
 
 def test_jaccard(spark, docs, empty):
@@ -183,8 +185,9 @@ def test_decontaminate(spark, docs, empty):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).collect()}
     assert (7, 1) in found and not [x for x in found if x[1] in (2, 3, 4)]
-    clean = decontaminate.clean(docs.withColumn("hits", F.lit(0)).drop("hits"), benchmark)
-    assert clean.columns == docs.columns and 7 not in {r.doc_id for r in clean.collect()}
+    clean = decontaminate.clean(docs.withColumn("hits", F.lit(3)), benchmark)
+    assert clean.columns == [*docs.columns, "hits"] and 7 not in {r.doc_id for r in clean.collect()} and {r.hits for r in clean.collect()} == {3}
+    assert decontaminate.clean(docs, spark.createDataFrame([(1, " "), (2, None)], "item_id long, text string")).count() == docs.count()
     assert clean.count() >= docs.count() - len({d for d, _ in found})
     assert decontaminate.clean(docs, benchmark.limit(0)).count() == docs.count()
     assert decontaminate.contaminated(empty, benchmark).count() == 0
@@ -333,6 +336,20 @@ def test_revisits(spark):
                 assert got[k].response_id == prior[0] and got[k].headers == {"date": str(k), "x": "1"}
 
 
+def test_revisits_headers_statuses_and_weak_tags(spark):
+    url = "http://a.example/"
+    rows = [
+        (1, url, 1, 200, '"e"', {"Date": "1", "date": "2", "X": "1", "x": "2"}), (2, url, 2, 404, '"f"', {"Date": "9"}), (3, url, 3, None, '"g"', None),
+        (4, url, 4, 304, 'W/"e"', {"DATE": "4", "Date": "5", "Expires": None, "content-length": "0"}), (4, url, 4, 304, 'W/"e"', {"DATE": "4", "Date": "5", "Expires": None, "content-length": "0"}),
+        (5, "http://b.example/", 5, 304, None, None),
+    ]
+    schema = "record_id long, url string, ts long, status int, etag string, headers map<string,string>"
+    df = spark.createDataFrame(rows, schema).withColumns({"ts": F.timestamp_seconds("ts"), "last_modified": F.lit(None).cast("timestamp"), "part": F.lit(1), "prior": F.lit(2)})
+    got = sorted((r.record_id, r.outcome, r.response_id, r.headers) for r in revisits.resolve(df).collect())
+    assert got == [(4, "resolved", 1, {"x": "2", "date": "5"})] * 2 + [(5, "unmatched", None, None)]
+    assert revisits.resolve(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     random.seed(8)
     edges = [(random.randrange(60), random.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 130)]
