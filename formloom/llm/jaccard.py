@@ -42,8 +42,8 @@ from formloom.llm.shared import written
 SLACK = 20
 #: A shingle of more prefixes than this comes last in the order (more, where that would mark over MARKED shingles).
 FREQUENT, MARKED = 6, 1 << 20
-#: Sets and shingles (16 MB) in one block of the index, at most on average, and queries that one task puts to a block.
-BLOCK, SHINGLES, QUERIES = 4096, 1 << 21, 2048
+#: Sets and shingles (4 MB) in one block of the index, at most on average, and queries that one task puts to a block.
+BLOCK, SHINGLES, QUERIES = 4096, 1 << 19, 2048
 #: Sets of a group that are sent to other blocks before all are, the shingles by which those blocks are found, and how
 #: many blocks each is sent to. These only join large groups early; what they leave is sent without such bounds.
 FIRST_SENT, FIRST_SHINGLES, FIRST_BLOCKS = 3, 12, 3
