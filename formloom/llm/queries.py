@@ -205,5 +205,45 @@ SELECT doc_id, n_lines, n_removed, CAST(coalesce(len, 0) AS BIGINT) AS longest_r
 FROM keyed JOIN kept USING (d) LEFT JOIN longest USING (d)"""
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_maxent": op5_maxent, "op6_lines": op6_lines, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard}
-ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_lines": OP6_SQL, "op9_revisits": OP9_SQL}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formloom.llm import repair
+
+    turns = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(turns), turns.select("conv_id").distinct())
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from formloom.llm import pieces
+
+    coded = pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from formloom.llm import negatives
+
+    vectors = table(spark, sf_dir, "embeddings").where(negatives.usable(F.col("label"), F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = vectors.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"))
+    return negatives.mine(scaled, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS k FROM s WHERE same) x WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_chat": op4_chat, "op5_maxent": op5_maxent, "op6_lines": op6_lines, "op7_substrings": op7_substrings, "op8_decontaminate": op8_decontaminate, "op9_revisits": op9_revisits, "op10_jaccard": op10_jaccard, "op11_repair": op11_repair, "op12_pieces": op12_pieces, "op13_negatives": op13_negatives}
+ORACLES: dict[str, str] = {"op3_quality": OP3_SQL, "op4_chat": OP4_SQL, "op6_lines": OP6_SQL, "op9_revisits": OP9_SQL, "op13_negatives": OP13_SQL}
