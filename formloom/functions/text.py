@@ -21,12 +21,11 @@ def normalize(d: Spark, s: str) -> str:  # fixed values: the patterns, in this o
     return d.map(words(d, t), "x_", f"CASE x_ {cases} ELSE x_ END")
 
 
-def label_clean(d: Spark, ws: str) -> str:
+def label_clean(d: Spark, ws: str) -> str:  # fixed values: the patterns
     """The text of label words: dot leaders dropped, a glued line number set apart, trailing colon and leaders off."""
-    t = d.join(d.filter(ws, "w_", f"NOT {d.like('w_', r'^[._…·]{2,}$')}"), " ")
-    t = d.rx(t, "^([0-9]{1,2})([A-Z])", r"\1 \2")
-    t = d.rx(t, r"\s+", " ")
-    return f"trim({d.rx(t, r'[\s.:_]+$', '')})"
+    t = d.join(d.filter(ws, "w_", f"NOT {d.like('w_', r'^[.…·\s]+$')}"), " ")
+    t = d.rx(t, "^([0-9]{1,2})([A-Z(])", r"\1 \2")
+    return f"trim({d.rx(d.rx(t, r'[\s.:…]+$', ''), r'\s+', ' ')})"
 
 
 def has_phrase(d: Spark, toks: str, phrases: list[str]) -> str:

@@ -64,44 +64,6 @@ def label_clean(d: Spark) -> str:
     return f"SELECT form_id, blank_id, {T.label_clean(d, d.split('label', ' '))} AS label FROM blanks"
 
 
-def same_line(d: Spark) -> str:
-    return """
-SELECT form_id, page, blank_id, line_no FROM (
-  SELECT b.form_id, b.page, b.blank_id, l.line_no, row_number() OVER (PARTITION BY b.form_id, b.page, b.blank_id ORDER BY abs((l.y0 + l.y1) / 2 - (b.y0 + b.y1) / 2), l.line_no) AS k
-  FROM boxes b JOIN line_boxes l ON l.form_id = b.form_id AND l.page = b.page AND (b.y0 + b.y1) / 2 BETWEEN l.y0 - 3 AND l.y1 + 3) r WHERE k = 1"""
-
-
-def label_left(d: Spark) -> str:
-    """The run of words that ends at the box, nearest within 72 points, up to a gap of more than 12."""
-    return f"""
-SELECT form_id, page, blank_id, {d.listagg('text', ' ', 'x0')} AS left_ FROM (
-  SELECT *, SUM(CASE WHEN gap > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, page, blank_id ORDER BY x0 DESC, word_no DESC) AS breaks, MIN(dist) OVER (PARTITION BY form_id, page, blank_id) AS nearest FROM (
-    SELECT b.form_id, b.page, b.blank_id, w.text, w.word_no, w.x0, b.x0 - w.x1 AS dist, coalesce(lead(w.x0) OVER (PARTITION BY b.form_id, b.page, b.blank_id ORDER BY w.x0, w.word_no) - w.x1, 0) AS gap
-    FROM boxes b JOIN same_line s ON s.form_id = b.form_id AND s.page = b.page AND s.blank_id = b.blank_id
-    JOIN words w ON w.form_id = b.form_id AND w.page = b.page AND w.line_no = s.line_no AND w.x1 <= b.x0 + 3) g) r
-WHERE breaks = 0 AND nearest <= 72 GROUP BY form_id, page, blank_id"""
-
-
-def label_right(d: Spark) -> str:
-    """The first words right of a box, from within 24 points to a gap of more than 12 or a width of 260."""
-    return f"""
-SELECT form_id, page, blank_id, {d.listagg('text', ' ', 'x0')} AS right_ FROM (
-  SELECT *, SUM(CASE WHEN gap > 12 OR x1 - start_ > 260 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, page, blank_id ORDER BY x0, word_no) AS breaks FROM (
-    SELECT b.form_id, b.page, b.blank_id, w.text, w.word_no, w.x0, w.x1, MIN(w.x0) OVER (PARTITION BY b.form_id, b.page, b.blank_id) - b.x1 AS first_gap, MIN(w.x0) OVER (PARTITION BY b.form_id, b.page, b.blank_id) AS start_,
-           coalesce(w.x0 - lag(w.x1) OVER (PARTITION BY b.form_id, b.page, b.blank_id ORDER BY w.x0, w.word_no), 0) AS gap
-    FROM boxes b JOIN words w ON w.form_id = b.form_id AND w.page = b.page AND w.line_no = b.line_no AND w.x0 >= b.x1 - 3) g WHERE first_gap <= 24) r
-WHERE breaks = 0 GROUP BY form_id, page, blank_id"""
-
-
-def label_above(d: Spark) -> str:
-    """The nearest line above (a gap of -0.75 of the height to 15 points) with words over the box."""
-    return f"""
-SELECT form_id, page, blank_id, {d.listagg('text', ' ', 'word_no')} AS above FROM (
-  SELECT b.form_id, b.page, b.blank_id, w.text, w.word_no, rank() OVER (PARTITION BY b.form_id, b.page, b.blank_id ORDER BY b.y0 - w.y1, w.line_no) AS k
-  FROM boxes b JOIN words w ON w.form_id = b.form_id AND w.page = b.page AND w.line_no = b.line_no - 1 AND w.x0 < b.x1 + 80 AND w.x1 > b.x0 AND b.y0 - w.y1 BETWEEN -0.75 * (b.y1 - b.y0) AND 15) r
-WHERE k = 1 GROUP BY form_id, page, blank_id"""
-
-
 def label_inside(d: Spark) -> str:
     """Words wholly inside a box, by rounded height and then from left to right."""
     return f"""
@@ -109,10 +71,6 @@ SELECT b.form_id, b.page, b.blank_id, {d.listagg('w.text', ' ', d.half_even('w.y
 FROM boxes b JOIN words w ON w.form_id = b.form_id AND w.page = b.page AND w.x0 >= b.x0 - 1 AND w.x1 <= b.x1 + 1 AND w.y0 >= b.y0 - 1 AND w.y1 <= b.y1 + 1 GROUP BY b.form_id, b.page, b.blank_id"""
 
 
-def label_row(d: Spark) -> str:
-    return f"SELECT form_id, page, blank_id, {d.join(d.slice(d.split('left_', ' '), '1', '5'), ' ')} AS row_ FROM label_left"
-
-
 def label_best(d: Spark) -> str:
     best = _BEST.format(nl=d.size(d.split("left_", " ")), na=d.size(d.split("above", " ")))
     return f"SELECT form_id, blank_id, {best} AS best FROM blanks"
@@ -145,18 +103,6 @@ SELECT form_id, page, grp, COUNT(*) AS n, MIN(x0) AS x0, MAX(x1) AS x1 FROM (
 GROUP BY form_id, page, grp HAVING COUNT(*) >= 2"""
 
 
-def classify_rules(d: Spark) -> str:
-    return "SELECT form_id, page, x0, x1, y0 AS y, src FROM strokes WHERE x1 - x0 >= 36 AND ((src = 'segment' AND abs(y1 - y0) <= 1) OR (src = 'rect' AND y1 - y0 <= 2.5))"
-
-
-def rule_blanks(d: Spark) -> str:
-    """Rules as blanks: not as wide as the page, the first of equal ones, clear of other rules' boxes above them."""
-    return f"""
-SELECT form_id, page, x0, x1, y FROM (
-  SELECT *, row_number() OVER (PARTITION BY form_id, page, {d.half_even('x0')}, {d.half_even('x1')}, {d.half_even('y')} ORDER BY y DESC, x0) AS k FROM classify_rules WHERE x1 - x0 <= 0.85 * 612) r
-WHERE k = 1"""
-
-
 def scanned_pages(d: Spark) -> str:
     return "SELECT p.form_id, p.page FROM form_pages p LEFT JOIN (SELECT form_id AS f2, page AS p2, COUNT(*) AS n FROM words GROUP BY form_id, page) w ON w.f2 = p.form_id AND w.p2 = p.page WHERE coalesce(w.n, 0) < 5"
 
@@ -191,82 +137,18 @@ SELECT form_id, page, {cell(12)} AS text, CAST({cell(7)} AS DOUBLE) * 72 / 150 A
 FROM (SELECT form_id, page, {tab} AS c FROM (SELECT form_id, page, {row} AS row_ FROM words) t) r WHERE {d.size('c')} >= 12 AND trim({cell(12)}) <> '' AND TRY_CAST({cell(11)} AS DOUBLE) >= 40"""
 
 
-def run_around(d: Spark) -> str:
-    """The run of a line's words (gaps of at most 12) around a box's column, to the right limit of the box or 140 points."""
-    return f"""
-SELECT form_id, page, blank_id, line_no, {d.listagg('text', ' ', 'word_no')} AS run_ FROM (
-  SELECT b.form_id, b.page, b.blank_id, w.line_no, w.text, w.word_no, w.x0, b.x0 AS bx0, b.x1 AS bx1, w.island,
-         MAX(CASE WHEN w.x1 > b.x0 AND w.x0 < b.x1 - 1 THEN 1 ELSE 0 END) OVER (PARTITION BY b.form_id, b.page, b.blank_id, w.line_no, w.island) AS seeded
-  FROM boxes b JOIN (
-    SELECT *, CAST(SUM(CASE WHEN gap > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, page, line_no ORDER BY x0, word_no) AS BIGINT) AS island
-    FROM (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY form_id, page, line_no ORDER BY x0, word_no), 0) AS gap FROM words) g) w
-  ON w.form_id = b.form_id AND w.page = b.page AND w.line_no BETWEEN b.line_no - 1 AND b.line_no) r
-WHERE seeded = 1 AND x0 < greatest(bx1, bx0 + 140) GROUP BY form_id, page, blank_id, line_no"""
-
-
-#: Openings of headings. The derived lines hold no form headings, so their commonest openings stand in for them.
-HEADING = "^(Part|Section|Supplement|The|La|Die|Los|And) |only$"
-
-
-def label_section(d: Spark) -> str:
-    """The last heading line above a box."""
-    return f"""
-SELECT form_id, page, blank_id, max_by(text, line_no) AS section FROM (
-  SELECT b.form_id, b.page, b.blank_id, h.text, h.line_no FROM boxes b
-  JOIN (SELECT form_id, page, line_no, text, y1 FROM line_boxes WHERE {d.like('text', HEADING)}) h ON h.form_id = b.form_id AND h.page = b.page AND h.y1 <= b.y0) r
-GROUP BY form_id, page, blank_id"""
-
-
-def underscore_rules(d: Spark) -> str:
-    """Words of four underscores or more as rules, merged over gaps of at most 12, 36 points long or more."""
-    pre = f"CASE WHEN k = 0 THEN 0 ELSE length({d.join(d.slice('arr', '1', 'k'), ' ')}) + 1 END"
-    return f"""
-SELECT form_id, seq, MIN(x0) AS x0, MAX(x1) AS x1 FROM (
-  SELECT *, SUM(CASE WHEN gap > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, seq ORDER BY x0) AS island FROM (
-    SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY form_id, seq ORDER BY x0), 0) AS gap FROM (
-      SELECT form_id, seq, CAST(8 * {pre} AS BIGINT) AS x0, CAST(8 * ({pre} + length(word)) AS BIGINT) AS x1
-      FROM {d.each('(SELECT form_id, seq, ' + d.split('text', ' ') + ' AS arr FROM gap_lines)', 'arr', 'k', 'word')} w0 WHERE {d.like('word', '_{4,}')}) w) g) r
-GROUP BY form_id, seq, island HAVING MAX(x1) - MIN(x0) >= 36"""
-
-
-#: Words that open a printed signature line; the last ones stand in for them in the derived lines.
-SIGNS = "^(signature|sign|And|Et|Und)"
-
-
-def printed_signature_lines(d: Spark) -> str:
-    """The first signing word of a page with 60 points of empty paper after it: a signature blank, and a date blank beside it."""
-    return f"""
-SELECT form_id, page, kind, CASE kind WHEN 'signature' THEN x1 + 6 ELSE x1 + 212 END AS x0, CASE kind WHEN 'signature' THEN x1 + 206 ELSE x1 + 362 END AS x1, y0, y1 FROM (
-  SELECT s.form_id, s.page, k.kind, s.x1, s.y0, s.y1 FROM (
-    SELECT *, row_number() OVER (PARTITION BY form_id, page ORDER BY y0, x0) AS n FROM (
-      SELECT *, lead(x0) OVER (PARTITION BY form_id, page, line_no ORDER BY x0) - x1 AS free FROM words) f
-    WHERE {d.like('text', SIGNS)} AND (free IS NULL OR free >= 60)) s
-  CROSS JOIN (SELECT * FROM (VALUES ('signature'), ('date')) AS t(kind)) k WHERE s.n = 1) r"""
-
-
 OPERATORS = [
-    Operator("run_around", ("boxes", "words"), run_around),
-    Operator("label_section", ("boxes", "line_boxes"), label_section),
-    Operator("underscore_rules", ("gap_lines",), underscore_rules),
-    Operator("printed_signature_lines", ("words",), printed_signature_lines),
     Operator("flip_rect", ("strokes",), flip_rect),
     Operator("line_cluster", ("words",), lambda d: CHECKS["line_cluster"], line_cluster),
     Operator("line_boxes", ("words",), line_boxes),
     Operator("label_clean", ("blanks",), label_clean),
-    Operator("same_line", ("boxes", "line_boxes"), same_line),
-    Operator("label_left", ("boxes", "same_line", "words"), label_left),
-    Operator("label_right", ("boxes", "words"), label_right),
-    Operator("label_above", ("boxes", "words"), label_above),
     Operator("label_inside", ("boxes", "words"), label_inside),
-    Operator("label_row", ("label_left",), label_row),
     Operator("label_best", ("blanks",), label_best),
     Operator("label_all_text", ("blanks",), label_all_text),
     Operator("tooltip_override", ("blanks",), tooltip_override),
     Operator("label_display", ("blanks",), label_display),
     Operator("capacity", ("blanks",), capacity),
     Operator("split_groups", ("strokes",), split_groups),
-    Operator("classify_rules", ("strokes",), classify_rules),
-    Operator("rule_blanks", ("classify_rules",), rule_blanks),
     Operator("scanned_pages", ("form_pages", "words"), scanned_pages),
     Operator("hand_blanks", ("regions",), hand_blanks),
     Operator("shift_blank", ("blanks",), shift_blank),

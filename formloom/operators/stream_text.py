@@ -50,17 +50,66 @@ SELECT form_id, seq, {d.listagg("concat(part, CASE WHEN i < n - 1 THEN concat('<
 FROM (SELECT form_id, seq, i, part, n FROM {d.each('(SELECT form_id, seq, ' + d.size('parts') + ' AS n, parts FROM (SELECT form_id, seq, ' + parts + ' AS parts FROM gap_lines) g0)', 'parts', 'i', 'part')} p0) p GROUP BY form_id, seq"""
 
 
+#: Fixed value: names that a word processor gives fields by itself, which say nothing.
+GENERIC_NAME = "^(Text|Check|Dropdown)[0-9]*$"
+
+
 def field_machine(d: Spark) -> str:
-    """Runs of begin, instruction, result and end markers to fields; every sixth word of a line begins one here."""
+    """Runs with begin, separate and end markers to the fields of a paragraph.
+
+    The depth of a run is a running sum of markers, so a run belongs to the last field begun at its depth and what is
+    nested in a field is another one. Of its runs before the separator the instruction is made, of those after it the
+    result. Only text and checkbox fields are blanks. A text field is labelled by what stands outside all fields before
+    it, a checkbox by what follows its end; a name that somebody chose is authoritative. A stray end is no marker, a
+    field without an end ends with the paragraph.
+    """
+    strip = lambda s: d.rx(s, "^[ :\\t]+|[ :\\t]+$", "")
+    value = d.rx("coalesce(result, '')", "^[\\s\u2002\u00a0]+|[\\s\u2002\u00a0]+$", "")
+    line = "PARTITION BY form_id, seq"
     return f"""
-SELECT form_id, seq, field_no, MAX(CASE WHEN phase = 1 THEN word END) AS instr, {d.listagg("CASE WHEN phase BETWEEN 3 AND 4 THEN word ELSE '' END", ' ', 'k')} AS result
-FROM (SELECT form_id, seq, k, word, k % 6 AS phase, SUM(CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, seq ORDER BY k) AS field_no FROM words0) r
-GROUP BY form_id, seq, field_no""".replace("SUM(CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, seq ORDER BY k)", "CAST(SUM(CASE WHEN k % 6 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, seq ORDER BY k) AS BIGINT)")
+WITH sums AS (SELECT *, SUM(CASE fld_char WHEN 'begin' THEN 1 WHEN 'end' THEN -1 ELSE 0 END) OVER ({line} ORDER BY run_no) AS s FROM runs),
+depths AS (
+  SELECT form_id, seq, run_no, fld_char, instr, name, checked, coalesce(text, '') AS text, s - least(0, low) AS after_, s < least(0, coalesce(lag(low) OVER ({line} ORDER BY run_no), 0)) AS stray
+  FROM (SELECT *, MIN(s) OVER ({line} ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low FROM sums) m),
+levels AS (SELECT *, CASE WHEN fld_char = 'end' AND NOT stray THEN after_ + 1 ELSE after_ END AS depth FROM depths),
+owned AS (
+  SELECT *, MAX(CASE WHEN fld_char = 'begin' THEN run_no END) OVER (PARTITION BY form_id, seq, depth ORDER BY run_no) AS field,
+         SUM(CASE WHEN depth = 0 THEN length(text) ELSE 0 END) OVER ({line} ORDER BY run_no) AS outside, SUM(length(text)) OVER ({line} ORDER BY run_no) AS upto FROM levels),
+phased AS (SELECT *, SUM(CASE WHEN fld_char = 'separate' THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, seq, field ORDER BY run_no) AS past FROM owned WHERE depth > 0),
+fields_ AS (
+  SELECT form_id, seq, field, upper(coalesce({d.listagg("CASE WHEN past = 0 AND fld_char = '' THEN instr END", '', 'run_no')}, '')) AS instr, {d.listagg("CASE WHEN past > 0 AND fld_char = '' THEN text END", '', 'run_no')} AS result,
+         coalesce(MAX(CASE WHEN fld_char = 'begin' THEN name END), '') AS name, bool_or(fld_char = 'begin' AND coalesce(checked, false)) AS checked,
+         MAX(CASE WHEN fld_char = 'begin' THEN outside END) AS before_, MAX(CASE WHEN fld_char = 'end' THEN upto END) AS behind
+  FROM phased GROUP BY form_id, seq, field),
+whole AS (SELECT form_id, seq, coalesce({d.listagg("CASE WHEN depth = 0 THEN text END", '', 'run_no')}, '') AS outside_text, {d.listagg('text', '', 'run_no')} AS all_text FROM owned GROUP BY form_id, seq)
+SELECT form_id, seq, CAST(row_number() OVER ({line} ORDER BY field) AS BIGINT) AS field_no, kind, CASE WHEN kind = 'text' THEN {strip("substr(outside_text, 1, CAST(before_ AS INT))")} ELSE '' END AS left_,
+       CASE WHEN kind = 'checkbox' AND behind IS NOT NULL THEN {strip("substr(all_text, CAST(behind + 1 AS INT))")} ELSE '' END AS right_,
+       CASE WHEN named THEN name ELSE '' END AS inside, name AS native_name, named AS authoritative, CASE WHEN kind = 'text' THEN {value} WHEN checked THEN 'checked' ELSE '' END AS value
+FROM (SELECT f.*, w.outside_text, w.all_text, CASE WHEN f.instr LIKE '%FORMCHECKBOX%' THEN 'checkbox' WHEN f.instr LIKE '%FORMTEXT%' THEN 'text' END AS kind, f.name <> '' AND NOT {d.like('f.name', GENERIC_NAME)} AS named
+      FROM fields_ f JOIN whole w ON w.form_id = f.form_id AND w.seq = f.seq) k WHERE kind IS NOT NULL"""
+
+
+#: Fixed value: the sign of a ticked control.
+TICKED = "☒"
 
 
 def content_controls(d: Spark) -> str:
-    """Control rows to kinds and labels; the controls are the blanks with their native names as tags."""
-    return "SELECT form_id, blank_id, CASE WHEN kind = 'checkbox' THEN 'checkbox' WHEN kind = 'signature' THEN 'picture' WHEN label_id IN (22, 37) THEN 'date' ELSE 'text' END AS kind, coalesce(nullif(native_name, ''), label) AS inside, native_name <> '' AS authoritative FROM blanks"
+    """Controls of a paragraph to blanks: kind by type, label by alias, else tag, else the words around, value unless it is a placeholder.
+
+    A name is authoritative. A box's words follow it in its paragraph; other controls without a name are labelled by
+    what stands before them.
+    """
+    strip = lambda s: d.rx(s, "^[ :\\t]+|[ :\\t]+$", "")
+    found = "CASE WHEN own = '' THEN 0 ELSE strpos(para, own) END" if d.name == "duck" else "CASE WHEN own = '' THEN 0 ELSE instr(para, own) END"
+    return f"""
+SELECT form_id, seq, control_no, kind, CASE WHEN kind <> 'checkbox' AND name = '' THEN before_ ELSE '' END AS left_,
+       CASE WHEN kind = 'checkbox' THEN CASE WHEN behind = '' THEN name ELSE behind END ELSE '' END AS right_,
+       CASE WHEN kind = 'checkbox' AND contains(lower(behind), lower(name)) THEN '' ELSE name END AS inside, tag AS native_name, name <> '' AS authoritative,
+       CASE WHEN placeholder THEN '' WHEN kind = 'checkbox' THEN CASE WHEN trim(own) = '{TICKED}' THEN 'checked' ELSE '' END ELSE trim(own) END AS value
+FROM (SELECT form_id, seq, control_no, own, tag, placeholder, coalesce(nullif(alias, ''), tag) AS name, CASE type_ WHEN 'checkbox' THEN 'checkbox' WHEN 'date' THEN 'date' WHEN 'picture' THEN 'signature' ELSE 'text' END AS kind,
+             {strip("CASE WHEN at_ > 0 THEN substr(para, 1, CAST(at_ - 1 AS INT)) ELSE para END")} AS before_, {strip("CASE WHEN at_ > 0 THEN substr(para, CAST(at_ + length(own) AS INT)) ELSE '' END")} AS behind
+      FROM (SELECT form_id, seq, control_no, coalesce(alias, '') AS alias, coalesce(tag, '') AS tag, type_, coalesce(placeholder, false) AS placeholder, own, para, {found} AS at_
+            FROM (SELECT form_id, seq, control_no, alias, tag, type_, placeholder, coalesce(own, '') AS own, coalesce(para, '') AS para FROM controls) c0) c1) c"""
 
 
 OPERATORS = [
@@ -70,6 +119,6 @@ OPERATORS = [
     Operator("underscore_blanks", ("gap_lines",), underscore_blanks),
     Operator("table_cell_blanks", ("cells",), table_cell_blanks),
     Operator("splice_values", ("gap_lines",), splice_values),
-    Operator("field_machine", ("words0",), field_machine),
-    Operator("content_controls", ("blanks",), content_controls),
+    Operator("field_machine", ("runs",), field_machine),
+    Operator("content_controls", ("controls",), content_controls),
 ]

@@ -80,6 +80,21 @@ WITH RECURSIVE alive AS (
   SELECT form_id, node FROM kept_widgets
   UNION SELECT a.form_id, p.node FROM alive a JOIN field_nodes n ON n.form_id = a.form_id AND n.node = a.node JOIN field_nodes p ON p.form_id = n.form_id AND p.node = n.parent)
 SELECT form_id, node FROM alive""",
+    "label_section": rf"""
+WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY form_id, page ORDER BY line_no) AS k FROM line_boxes),
+h AS (
+  SELECT a.form_id, a.page, a.line_no, a.y1, trim(a.text) AS raw, CASE WHEN n.y0 - a.y1 BETWEEN -4 AND 6 AND n.x1 > a.x0 AND n.x0 < a.x1 THEN trim(n.text) END AS under, n.y1 AS under_y1
+  FROM l a LEFT JOIN l n ON n.form_id = a.form_id AND n.page = a.page AND n.k = a.k + 1
+  WHERE regexp_matches(a.text, '(?i)^\s*((part|section)\s+([ivxlc]+|\d+)|supplement\s+[a-z])\b') OR regexp_matches(a.text, '(?i)^\s*(for\s+)?[a-z''’ ]{{3,40}}\s+only\b\.?\s*$')),
+over_ AS (
+  SELECT b.form_id, b.page, b.blank_id, raw, CASE WHEN under_y1 <= b.y0 + 3 THEN concat_ws(' ', raw, under) ELSE raw END AS text, row_number() OVER (PARTITION BY b.form_id, b.page, b.blank_id ORDER BY h.line_no) AS k
+  FROM boxes b JOIN h ON h.form_id = b.form_id AND h.page = b.page AND h.y1 <= b.y0 + 3),
+held AS (
+  SELECT * FROM over_ WHERE k = 1
+  UNION ALL SELECT o.form_id, o.page, o.blank_id, CASE WHEN keep THEN g.raw ELSE o.raw END, CASE WHEN keep THEN g.text ELSE o.text END, o.k
+  FROM held g JOIN over_ o ON o.form_id = g.form_id AND o.page = g.page AND o.blank_id = g.blank_id AND o.k = g.k + 1,
+  LATERAL (SELECT starts_with(lower(g.raw), lower(o.raw)) AND length(o.raw) < length(g.raw) AS keep))
+SELECT form_id, page, blank_id, text AS section FROM held QUALIFY row_number() OVER (PARTITION BY form_id, page, blank_id ORDER BY k DESC) = 1""",
     "find_text": f"""
 WITH v AS (SELECT *, sum(length(plain)) OVER (PARTITION BY form_id, page ORDER BY line_no, word_no) AS e FROM (SELECT *, {_PLAIN} AS plain FROM words) w WHERE plain <> ''),
 n AS (SELECT item_id, {_PLAIN} AS needle FROM benchmark WHERE {_PLAIN} <> ''),

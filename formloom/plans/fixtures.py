@@ -48,6 +48,9 @@ Date
 Social securty number
 OnlyEmployer's use
 """.strip().split("\n")
+#: Lines that forms have and prose lacks; they stand for some of the documents' lines.
+FORM_LINES = ["Part II. Certification", "Section 2. Employer Review", "Section 2", "Supplement A, USCIS", "Supplement A", "For Office Use Only", "Employers Only",
+              "Signature of", "Employee's signature (This form is not valid unless you sign it.)", "Name: ____________ ____", "________________ City_______", "and the address of the taxpayer . . . ."]
 SECTIONS = ["", "", "", "", "", "", "", "Section 2. Employer Review and Verification", "Supplement A. Preparer and/or Translator Certification",
             "Section 1. Employee Information and Attestation: Employees must complete and sign", "Employers Only", "Part II."]
 
@@ -100,19 +103,26 @@ UNION ALL SELECT {_c('c_custkey')}, 'ein', lpad(CAST((200000000 + c_custkey * 10
 UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'business_name', s_name, 'values' FROM supplier
 UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'ein', lpad(CAST((300000000 + s_suppkey * 7919) % 1000000000 AS STRING), 9, '0'), 'vault' FROM supplier""", ("customer", "supplier", "nation")),
         "paragraphs": (f"SELECT doc_id AS form_id, CAST(seq AS BIGINT) AS seq, text_ AS text, CASE WHEN seq = 0 THEN 'Heading1' WHEN (doc_id + seq) % 11 = 0 THEN 'title' ELSE 'Normal' END AS style FROM {d.each('(SELECT doc_id, text FROM documents)', d.split('text', chr(92) + 'n'), 'seq', 'text_')}", ("documents",)),
+        "form_lines": (_values(FORM_LINES, "line_id, line"), ()),
+        "page_lines": ("SELECT p.form_id, p.seq, coalesce(f.line, p.text) AS text FROM paragraphs p LEFT JOIN form_lines f ON f.line_id = (p.form_id * 5 + p.seq) % 97", ("paragraphs", "form_lines")),
+        "page_words": (f"SELECT form_id, seq, CAST(k AS BIGINT) AS k, word FROM {d.each('(SELECT form_id, seq, ' + d.split('text', ' ') + ' AS arr FROM page_lines)', 'arr', 'k', 'word')}", ("page_lines",)),
         "words0": (f"SELECT form_id, seq, CAST(k AS BIGINT) AS k, word FROM {d.each('(SELECT form_id, seq, ' + d.split('text', ' ') + ' AS arr FROM paragraphs)', 'arr', 'k', 'word')}", ("paragraphs",)),
         "words": (f"""
 SELECT form_id, CAST(1 + seq // 60 AS BIGINT) AS page, seq % 60 AS line_no, k AS word_no, word AS text, CAST(5 * pre AS DOUBLE) AS x0, CAST(12 * (seq % 60) AS DOUBLE) AS y0,
        CAST(5 * (pre + length(word)) AS DOUBLE) AS x1, CAST(12 * (seq % 60) + 10 AS DOUBLE) AS y1
-FROM (SELECT form_id, seq, k, word, SUM(length(word) + 1) OVER (PARTITION BY form_id, seq ORDER BY k) - length(word) - 1 AS pre FROM words0) w WHERE word <> ''""".replace("//", "//" if d.name == "duck" else "DIV"), ("words0",)),
+FROM (SELECT form_id, seq, k, word, SUM(length(word) + 1) OVER (PARTITION BY form_id, seq ORDER BY k) - length(word) - 1 AS pre FROM page_words) w WHERE word <> ''""".replace("//", "//" if d.name == "duck" else "DIV"), ("page_words",)),
         "boxes": ("""
-SELECT form_id, page, line_no, concat('x', CAST(page AS STRING), '_', CAST(line_no AS STRING)) AS blank_id, x1 + 6 AS x0, y0 AS y0, x1 + 66 AS x1, y1 AS y1
+SELECT form_id, page, line_no, concat('x', CAST(page AS STRING), '_', CAST(line_no AS STRING)) AS blank_id, x1 + 6 AS x0, y0 AS y0, x1 + CASE WHEN form_id % 3 = 0 THEN 20 ELSE 66 END AS x1, y1 AS y1
 FROM words WHERE word_no = 2""", ("words",)),
+        "word_pages": ("SELECT DISTINCT form_id, page, CAST(612 AS DOUBLE) AS width, CAST(792 AS DOUBLE) AS height FROM words", ("words",)),
+        # a rule or a thin rectangle after the third word of a line, some of them twice
         "strokes": ("""
-SELECT l_orderkey AS form_id, CAST(1 + l_linenumber % 3 AS BIGINT) AS page, CAST(30 + MIN(l_partkey) % 200 AS DOUBLE) AS x0,
-       CAST(30 + MIN(l_partkey) % 200 + MIN(l_suppkey) * 5 AS DOUBLE) AS x1, CAST(700 - l_linenumber * 40 AS DOUBLE) AS y0,
-       CAST(700 - l_linenumber * 40 + MIN(l_suppkey) % 3 AS DOUBLE) AS y1, CASE WHEN MIN(l_partkey) % 2 = 0 THEN 'segment' ELSE 'rect' END AS src
-FROM lineitem GROUP BY l_orderkey, l_linenumber""", ("lineitem",)),
+SELECT form_id, page, x1 + 6 AS x0, x1 + 6 + CAST(form_id * 7 % 90 + line_no * 11 % 400 AS DOUBLE) AS x1, 792 - y1 AS y0, 792 - y1 + CAST(line_no % 4 AS DOUBLE) AS y1, CASE WHEN (form_id + line_no) % 2 = 0 THEN 'segment' ELSE 'rect' END AS src
+FROM words WHERE word_no = 2 OR (word_no = 3 AND line_no % 7 = 0) UNION ALL
+SELECT form_id, page, x1 + 6, x1 + 6 + CAST(form_id * 7 % 90 + line_no * 11 % 400 AS DOUBLE), 792 - y1 + 0.25, 792 - y1 + 0.25, 'segment' FROM words WHERE word_no = 2 AND line_no % 3 = 0""", ("words",)),
+        "taken_boxes": ("SELECT form_id, page, x1 AS x0, 792 - y1 AS y0, x1 + 30 AS x1, 792 - y0 AS y1 FROM words WHERE word_no = 2 AND line_no % 5 = 4", ("words",)),
+        "real_fields": ("SELECT DISTINCT form_id FROM words WHERE form_id % 11 = 3", ("words",)),
+        "real_signatures": ("SELECT DISTINCT form_id, page FROM words WHERE form_id % 13 = 5", ("words",)),
         "field_nodes": ("""
 SELECT l_orderkey AS form_id, CAST(l_linenumber AS BIGINT) AS node,
        CASE WHEN l_linenumber = 1 THEN NULL WHEN l_orderkey % 97 = 0 AND l_linenumber = 2 THEN CAST(2 AS BIGINT) ELSE CAST(floor(l_linenumber / 2) AS BIGINT) END AS parent,
@@ -130,6 +140,19 @@ SELECT event_id % 1500 AS form_id, concat('b', CAST(1 + event_id % 7 AS STRING))
         "page_specs": ("SELECT form_id, concat('f', CAST(form_id AS STRING), CASE form_id % 6 WHEN 0 THEN '#1-3@90' WHEN 1 THEN '#2-' WHEN 2 THEN '#1,1@180' WHEN 3 THEN '#x' WHEN 4 THEN '#2@45' ELSE '' END) AS spec FROM forms", ("forms",)),
         "regions": ("SELECT form_id, blank_no AS region_no, page, CASE WHEN blank_no % 2 = 0 THEN width_pt ELSE width_pt + 90 END AS x0, height_pt AS y0, width_pt + 40 AS x1, height_pt * 2 AS y1 FROM blanks0 WHERE label_id % 9 = 0", ("blanks0",)),
         "gap_lines": (f"SELECT form_id, seq, {d.rx(d.rx('text', ' (the|la|de|und|of) ', ' _____ '), '^([A-Za-z]+) ', chr(92) + '1: ')} AS text FROM paragraphs", ("paragraphs",)),
+        # every fourteenth word of a paragraph begins a field, with another one inside on forms of even number
+        "runs": ("""
+SELECT form_id, seq, run_no, fld_char, CASE WHEN fld_char = '' AND at_ = 1 THEN CASE (form_id + seq + run_no) % 4 WHEN 0 THEN ' FORMTEXT ' WHEN 1 THEN ' FORMCHECKBOX ' WHEN 2 THEN ' FORM' ELSE 'PAGE' END WHEN fld_char = '' AND at_ = 2 THEN CASE WHEN (form_id + seq + run_no - 1) % 4 = 2 THEN 'TEXT' ELSE '' END WHEN at_ = 5 AND nested THEN 'formtext' END AS instr,
+       CASE WHEN fld_char = 'begin' THEN CASE WHEN at_ = 4 THEN 'Dropdown3' ELSE CASE (form_id + seq + run_no) % 5 WHEN 0 THEN 'Text1' WHEN 1 THEN 'Check2' WHEN 2 THEN 'city' WHEN 3 THEN 'Agree' END END END AS name,
+       fld_char = 'begin' AND seq % 2 = 0 AS checked, CASE WHEN fld_char = '' AND at_ <> 1 AND at_ <> 2 AND NOT (at_ = 5 AND nested) THEN concat(word, CASE WHEN at_ = 13 THEN ': ' ELSE ' ' END) ELSE '' END AS text
+FROM (SELECT form_id, seq, k AS run_no, word, at_, nested, CASE WHEN at_ = 0 OR at_ = 4 AND nested THEN 'begin' WHEN at_ = 3 OR at_ = 6 AND nested THEN 'separate' WHEN at_ = 10 OR at_ = 8 AND nested THEN 'end' ELSE '' END AS fld_char
+      FROM (SELECT form_id, seq, k, word, k % 14 AS at_, form_id % 2 = 0 AS nested FROM words0) w) r""", ("words0",)),
+        # the longest word of a paragraph's second, third or fourth is a control's content
+        "controls": (f"""
+SELECT form_id, seq, CAST(k AS BIGINT) AS control_no, CASE WHEN (form_id + seq) % 3 = 0 THEN word WHEN (form_id + seq) % 3 = 1 THEN 'City' END AS alias, CASE WHEN seq % 4 = 0 THEN concat('tag', CAST(k AS STRING)) ELSE '' END AS tag,
+       CASE (form_id + k) % 5 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'date' WHEN 2 THEN 'picture' WHEN 3 THEN 'text' END AS type_, seq % 6 = 5 AS placeholder, CASE WHEN (form_id + k) % 5 = 0 AND seq % 2 = 0 THEN '☒' ELSE word END AS own,
+       CASE WHEN (form_id + k) % 5 = 0 AND seq % 2 = 0 THEN concat('☒ ', text) ELSE text END AS para
+FROM (SELECT w.form_id, w.seq, w.k, w.word, p.text FROM words0 w JOIN paragraphs p ON p.form_id = w.form_id AND p.seq = w.seq WHERE w.k BETWEEN 1 AND 3) c""", ("words0", "paragraphs")),
         "cells": (f"SELECT form_id, CAST(0 AS BIGINT) AS tbl, CAST(seq AS BIGINT) AS row_, CAST(k AS BIGINT) AS col, CASE WHEN (length(word) + k) % 4 = 0 THEN '' ELSE word END AS text FROM words0 WHERE word <> ''", ("words0",)),
     }
     return out

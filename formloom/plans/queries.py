@@ -7,14 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from formloom.operators import geometry, identity, matching, overlay, pages, planning, privacy, stream_text
+from formloom.operators import geometry, identity, labels, matching, overlay, pages, planning, privacy, rules, stream_text
 from formloom.operators import text_udfs
 from formloom.plans.registry import Operator, oracle, query
 from formloom.plans.store import shared_dir
 from formloom.sources import files
 from formloom.streaming import arrivals
 
-MODULES = (matching, identity, planning, overlay, privacy, stream_text, geometry, pages)
+MODULES = (matching, identity, planning, overlay, privacy, stream_text, geometry, labels, rules, pages)
 OPERATORS: dict[str, Operator] = {o.name: o for m in MODULES for o in m.OPERATORS}
 QUERIES = {n: query(o, OPERATORS) for n, o in OPERATORS.items()}
 

@@ -14,7 +14,7 @@ from formloom.plans.checks import CHECKS
 from formloom.plans.store import written
 
 #: Results that many operators read: written once to the shared folder instead of being worked out for each reader.
-WRITTEN = ("score_key", "stored_value", "resolve_value", "match_blank", "either_or", "plan_entries", "apply_reading")
+WRITTEN = ("score_key", "stored_value", "resolve_value", "match_blank", "either_or", "plan_entries", "apply_reading", "run_around", "rule_boxes", "rule_runs")
 
 
 @dataclass(frozen=True)
