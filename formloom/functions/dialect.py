@@ -48,6 +48,13 @@ class Spark:
     def split(self, s: str, sep: str) -> str:
         return f"split({s}, {self.lit(sep)})"
 
+    def parts(self, s: str, pattern: str) -> str:
+        """A string split at a pattern."""
+        return f"split({s}, {self.lit(pattern)})"
+
+    def array(self, *items: str) -> str:
+        return f"array({', '.join(items)})"
+
     def join(self, a: str, sep: str) -> str:
         return f"array_join({a}, {self.lit(sep)})"
 
@@ -109,6 +116,12 @@ class Duck(Spark):
     def split(self, s: str, sep: str) -> str:
         return f"string_split({s}, {self.lit(sep)})" if sep != "\\n" else f"string_split({s}, chr(10))"
 
+    def parts(self, s: str, pattern: str) -> str:
+        return f"regexp_split_to_array({s}, {self.lit(pattern)})"
+
+    def array(self, *items: str) -> str:
+        return f"[{', '.join(items)}]"
+
     def join(self, a: str, sep: str) -> str:
         return f"array_to_string({a}, {self.lit(sep)})"
 

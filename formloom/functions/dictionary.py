@@ -113,6 +113,9 @@ def values_sql(name: str) -> str:
         flat = [(g, c, a, t, " ".join(tokens(w)), len(tokens(w)), code) for g, (c, a, t, ws, code) in enumerate(CHOICES) for w in ws]
         cells = [f"({g}, {q(c)}, {q(a)}, {q(t)}, {q(w)}, {n}, {q(code)})" for g, c, a, t, w, n, code in flat]
         head = "choice_ord, choice, answer, answer_title, words_text, words_n, code"
+    elif name == "splits":
+        cells = [f"({q(key)}, {len(ns)}, {k}, {1 + sum(ns[:k])}, {n})" for key, ns in SPLITS.items() for k, n in enumerate(ns)]
+        head = "key, n_parts, part_no, at_, n_chars"
     else:
         raise KeyError(name)
     return f"SELECT * FROM (VALUES {', '.join(cells)}) AS t({head})"

@@ -53,7 +53,7 @@ def capacity(max_chars: str, width: str, height: str, kind: str) -> str:
     """Characters that a blank takes."""
     one = f"greatest(1, CAST(floor({width} / 5) AS BIGINT))"
     rows = f"CASE WHEN {kind} = 'multiline' THEN greatest(1, CAST(floor({height} / 12) AS BIGINT)) ELSE 1 END"
-    return f"CASE WHEN {max_chars} IS NOT NULL THEN {max_chars} WHEN {width} <= 0 THEN 0 ELSE {one} * ({rows}) END"
+    return f"CASE WHEN coalesce({max_chars}, 0) <> 0 THEN {max_chars} WHEN {width} <= 0 THEN 0 ELSE {one} * ({rows}) END"
 
 
 def mask(s: str) -> str:

@@ -91,16 +91,34 @@ def label_display(d: Spark) -> str:
 
 
 def capacity(d: Spark) -> str:
-    return f"SELECT form_id, blank_id, CAST({T.capacity('CASE WHEN label_id % 5 = 0 THEN label_id + 1 END', 'width_pt', 'height_pt', 'kind')} AS BIGINT) AS capacity FROM blanks"
+    return f"SELECT form_id, blank_id, CAST({T.capacity('max_chars', 'width_pt', 'height_pt', 'kind')} AS BIGINT) AS capacity FROM blanks"
+
+
+# Fixed values, in points: how far the heights of boxes in one band differ, and the gap between neighbours.
+BAND, GAP = 2, 30
+# Fixed value: what stands between the boxes of a number and is no label.
+PUNCTUATION = r"^[-–—.,/:;|()\[\] ]*$"
 
 
 def split_groups(d: Spark) -> str:
-    """Runs of strokes in one band with gaps of 0 to 30 to the one before, two or more."""
-    return """
-SELECT form_id, page, grp, COUNT(*) AS n, MIN(x0) AS x0, MAX(x1) AS x1 FROM (
-  SELECT *, CAST(SUM(CASE WHEN gap BETWEEN 0 AND 30 AND band THEN 0 ELSE 1 END) OVER (PARTITION BY form_id, page ORDER BY x0, y0, x1) AS BIGINT) AS grp FROM (
-    SELECT form_id, page, x0, x1, y0, x0 - lag(x1) OVER (PARTITION BY form_id, page ORDER BY x0, y0, x1) AS gap, abs(y0 - lag(y0) OVER (PARTITION BY form_id, page ORDER BY x0, y0, x1)) <= 200 AS band FROM strokes) g) r
-GROUP BY form_id, page, grp HAVING COUNT(*) >= 2"""
+    """Runs of text boxes side by side that share one label: each member's place in its group, and the label.
+
+    A box goes on a run if it is in the band of the one before and 0 to 30 points to its right. Members without a label,
+    or with punctuation for one, go along; a run with two labels or none is no group.
+    """
+    page = "form_id, page"
+    best = _BEST.format(nl=d.size(d.split("left_", " ")), na=d.size(d.split("above", " ")))
+    return f"""
+WITH texts AS (SELECT form_id, page, blank_id, x0, y0, x1, y1, blank_no, CASE WHEN {d.like(f'coalesce({best}, {chr(39) * 2})', PUNCTUATION)} THEN NULL ELSE {best} END AS best FROM raw_blanks WHERE kind IN ('text', 'multiline')),
+steps AS (
+  SELECT *, CASE WHEN abs(y0 - (lag(y0) OVER w)) <= {BAND} AND abs(y1 - (lag(y1) OVER w)) <= {BAND} AND x0 - (lag(x1) OVER w) BETWEEN 0 AND {GAP} THEN 0 ELSE 1 END AS begins
+  FROM texts WINDOW w AS (PARTITION BY {page} ORDER BY y0, x0, blank_no)),
+runs_ AS (SELECT *, SUM(begins) OVER (PARTITION BY {page} ORDER BY y0, x0, blank_no) AS run FROM steps),
+groups_ AS (
+  SELECT form_id, page, run, MIN(best) AS shared, COUNT(*) AS n, row_number() OVER (PARTITION BY form_id ORDER BY page, run) AS grp_no
+  FROM runs_ GROUP BY form_id, page, run HAVING COUNT(*) >= 2 AND MIN(best) = MAX(best))
+SELECT r.form_id, r.page, r.blank_id, concat('g', CAST(g.grp_no AS STRING)) AS grp, CAST(row_number() OVER (PARTITION BY r.form_id, r.page, r.run ORDER BY r.x0, r.blank_no) - 1 AS BIGINT) AS grp_index, g.n, g.shared
+FROM runs_ r JOIN groups_ g ON g.form_id = r.form_id AND g.page = r.page AND g.run = r.run"""
 
 
 def scanned_pages(d: Spark) -> str:
@@ -148,7 +166,7 @@ OPERATORS = [
     Operator("tooltip_override", ("blanks",), tooltip_override),
     Operator("label_display", ("blanks",), label_display),
     Operator("capacity", ("blanks",), capacity),
-    Operator("split_groups", ("strokes",), split_groups),
+    Operator("split_groups", ("raw_blanks",), split_groups),
     Operator("scanned_pages", ("form_pages", "words"), scanned_pages),
     Operator("hand_blanks", ("regions",), hand_blanks),
     Operator("shift_blank", ("blanks",), shift_blank),

@@ -9,11 +9,44 @@ from __future__ import annotations
 
 from formloom.functions import text as T
 from formloom.functions.dialect import DUCK
+from formloom.functions.dictionary import PARTY_WORDS
 
 _BY_TIER = "coalesce(max(value) FILTER (WHERE tier = 'once'), max(value) FILTER (WHERE tier = 'values'){})"
-_SLOTS = ["section", "inside", "left_", "above"]
+_SLOTS = ["row_", "section", "inside", "left_", "above"]
 _PLAIN = "regexp_replace(lower(text), '[^a-z0-9]', '', 'g')"
 
+#: The aliases that the catalogue's labels hold nearly, as difflib finds them by trying every window of every label.
+_NEARLY = """
+  ('1 Name of entity/individual. An entry is required.', 'full_name', 'individual name', 0.857143, 3),
+  ('6 City, state, and ZIP code', 'city_state_zip', 'city town state and zip code', 0.901961, 0),
+  ('6 City, state, and ZIP code', 'city_state_zip', 'city or town state and zip code', 0.851852, 0),
+  ('Social security number', 'ssn', 'your social security number', 0.897959, 0),
+  ('Employer identification number', 'ssn', 'taxpayer identification number', 0.866667, 0),
+  ('Employer identification number', 'ein', 'taxpayer identification number', 0.866667, 0),
+  ('City or town, state, and ZIP code', 'city_state_zip', 'city state and zip code', 0.869565, 2),
+  ('City or town, state, and ZIP code', 'city_state_zip', 'city town state and zip code', 0.888889, 1),
+  ('Daytime phone number', 'phone', 'telephone number', 0.857143, 1),
+  ('Email address', 'address1', 'mailing address', 0.857143, 0),
+  ('Email address', 'email', 'e mail address', 0.962963, 0),
+  ('7 List account number(s) here (optional)', 'bank_account', 'deposit account number', 0.829268, 0),
+  ('Employer''s Telephone Number', 'phone', 'phone number', 0.857143, 2),
+  ('Spouse''s Social Security Number', 'ssn', 'your social security number', 0.901961, 1),
+  ('Enter your EIN', 'ein', 'fein', 0.857143, 2),
+  ('Date of Rehire (if applicable)', 'date_today', 'dated', 0.888889, 0),
+  ('Expiration Date', 'date_today', 'dated', 0.888889, 1),
+  ('Date of Birth', 'date_today', 'dated', 0.888889, 0),
+  ('Enter Other Last Names Used (if any)', 'full_name', 'name', 0.888889, 3),
+  ('Enter Other Last Names Used (if any)', 'last_name', 'last name', 0.947368, 2),
+  ('Signature Date mm/dd/yyyy', 'date_today', 'dated', 0.888889, 1),
+  ('LLC. Enter the tax classification', 'tax_classification', 'federal tax classification', 0.833333, 2),
+  ('(a) First name and middle initial', 'business_name', 'firm name', 0.842105, 1),
+  ('Date', 'date_today', 'dated', 0.888889, 0),
+  ('Social securty number', 'ssn', 'social security number', 0.976744, 0),
+  ('Social securty number', 'ssn', 'social security no', 0.976744, 0),
+  ('Social securty number', 'ssn', 'social security', 0.965517, 0),
+  ('Social securty number', 'ssn', 'your social security number', 0.875, 0)
+"""
+
 CHECKS = {
     "stored_value": f"SELECT slug, key, {_BY_TIER.format(', max(value) FILTER (WHERE tier = ' + chr(39) + 'vault' + chr(39) + ')')} AS value FROM identity_values WHERE value <> '' GROUP BY slug, key",
     "peek_value": f"SELECT * FROM (SELECT slug, key, {_BY_TIER.format('')} AS value FROM identity_values WHERE value <> '' GROUP BY slug, key) v WHERE value IS NOT NULL",
@@ -33,17 +66,23 @@ SELECT a.text, a.key, a.score, count(b.key) + 1 AS rank_ FROM score_key a
 LEFT JOIN score_key b ON b.text = a.text AND (b.score > a.score OR b.score = a.score AND b.field_ord < a.field_ord) GROUP BY ALL""",
     "own_section": f"SELECT form_id, blank_id, {T.own_section(DUCK, 'section')} AS own_section FROM blanks",
     "own_block": f"SELECT form_id, blank_id, {T.own_block(DUCK, _SLOTS)} AS own_block FROM blanks",
-    "leading_qualifier": """
-SELECT DISTINCT l.text, v.key FROM label_texts l, vetoes v, score_key s
-WHERE contains(' ' || array_to_string(l.tokens[1:6], ' ') || ' ', ' ' || v.veto_text || ' ') AND s.text = l.text AND s.key = v.key""",
-    "capacity_penalty": f"""
-SELECT b.form_id, b.blank_id, v.key, CASE WHEN cap <= 0 OR length(value) <= cap THEN 1.0::DOUBLE ELSE greatest(0.25, round(cap::DOUBLE / length(value), 9)) END AS penalty
-FROM (SELECT form_id, blank_id, {T.capacity('CAST(NULL AS BIGINT)', 'width_pt', 'height_pt', 'kind')} AS cap FROM blanks) b, forms f, peek_value v
-WHERE f.form_id = b.form_id AND v.slug = f.slug AND (b.form_id, b.blank_id, v.key) IN (SELECT (form_id, blank_id, key) FROM match_candidates)""",
+    "alias_fuzzy": f"SELECT v.text, v.key, v.alias, CAST(v.ratio AS DOUBLE) AS ratio, CAST(v.pos AS BIGINT) AS pos FROM (VALUES {_NEARLY}) AS v(text, key, alias, ratio, pos) WHERE v.text IN (SELECT text FROM label_texts)",
+    "leading_qualifier": f"""
+WITH s AS (
+  SELECT text, tokens, list_transform(list_transform(regexp_split_to_array(text, '[.;:]\\s+'), lambda p: {T.normalize(DUCK, 'p')}), lambda t: ' ' || array_to_string(t, ' ') || ' ') AS sentences FROM label_texts),
+h AS (SELECT text, key, alias, list_filter(sentences, lambda x: contains(x, ' ' || alias_text || ' '))[1] AS sentence FROM s, aliases),
+r AS (SELECT DISTINCT row_ AS text, {T.normalize(DUCK, 'row_')}[1:4] AS opening FROM blanks WHERE row_ <> '')
+SELECT DISTINCT text, key, '' AS alias, 'opening' AS rule FROM s, vetoes WHERE contains(' ' || array_to_string(tokens[1:6], ' ') || ' ', ' ' || veto_text || ' ')
+UNION ALL SELECT DISTINCT h.text, h.key, h.alias, 'sentence' FROM h JOIN vetoes v ON v.key = h.key AND contains(h.sentence, ' ' || v.veto_text || ' ')
+UNION ALL SELECT DISTINCT r.text, key, '', 'row' FROM r, vetoes WHERE string_split(veto_text, ' ')[1] IN ({', '.join(f"'{w}'" for w in PARTY_WORDS)}) AND contains(' ' || array_to_string(opening, ' ') || ' ', ' ' || veto_text || ' ')""",
+    "capacity_penalty": """
+SELECT c.form_id, c.blank_id, v.key, CASE WHEN v.key <> 'signature' AND c.grp IS NULL AND cap > 0 AND length(value) > cap THEN greatest(0.25, round(cap::DOUBLE / length(value), 9)) ELSE 1.0::DOUBLE END AS penalty
+FROM (SELECT form_id, blank_id, key, any_value(cap) AS cap, any_value(grp) AS grp FROM match_candidates GROUP BY ALL) c, forms f, peek_value v WHERE f.form_id = c.form_id AND v.slug = f.slug AND v.key = c.key""",
     "match_blank": """
-WITH c AS (SELECT m.*, raw * CASE WHEN key = 'signature' THEN 1 ELSE coalesce(penalty, 1) END AS s FROM match_candidates m LEFT JOIN capacity_penalty USING (form_id, blank_id, key)),
+WITH held AS (SELECT f.form_id, v.key, length(v.value) AS n FROM forms f JOIN peek_value v ON v.slug = f.slug),
+c AS (SELECT m.*, raw * CASE WHEN m.key <> 'signature' AND grp IS NULL AND cap > 0 AND n > cap THEN greatest(0.25, round(cap::DOUBLE / n, 9)) ELSE 1 END AS s FROM match_candidates m LEFT JOIN held h ON h.form_id = m.form_id AND h.key = m.key),
 best AS (SELECT DISTINCT ON (form_id, blank_id) * FROM c ORDER BY form_id, blank_id, round(s, 9) DESC, alias_n DESC, slot_ord, round(raw, 9) DESC, field_ord)
-SELECT form_id, blank_id, key, source, alias, round(s, 6) AS score FROM best WHERE s >= 0.55""",
+SELECT form_id, blank_id, key, source, alias, round(s, 6) AS score, exact FROM best WHERE s >= if(exact, 0.55, 0.75)""",
     "overlay_precedence": """
 SELECT form_id, blank_id, last_[1].v AS value, last_[1].s AS source FROM (
   SELECT p.form_id, p.blank_id, [x FOR x IN [

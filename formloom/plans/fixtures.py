@@ -68,22 +68,33 @@ def tables(d: Spark) -> dict[str, tuple[str, tuple[str, ...]]]:
     out = {
         "label_catalogue": (_values(LABELS, "label_id, label"), ()),
         "section_catalogue": (_values(SECTIONS, "section_id, section"), ()),
-        **{n: (dictionary.values_sql(n), ()) for n in ("aliases", "vetoes", "fields", "choices")},
+        **{n: (dictionary.values_sql(n), ()) for n in ("aliases", "vetoes", "fields", "choices", "splits")},
         "forms": (f"SELECT o_orderkey AS form_id, {_c('o_custkey')} AS slug, CASE WHEN o_orderkey % 5 = 0 THEN 'docx' ELSE 'pdf' END AS fmt, CAST(1 + o_orderkey % 4 AS BIGINT) AS page_count FROM orders", ("orders",)),
-        "blanks0": ("""
+        # single blanks of a form, and on some forms a number's boxes side by side: three or two, some locked, some too many
+        "blanks0": (f"""
 SELECT l_orderkey AS form_id, CAST(l_linenumber AS BIGINT) AS blank_no, concat('b', CAST(l_linenumber AS STRING)) AS blank_id,
        MIN(l_partkey) % 40 AS label_id, MIN(l_suppkey) % 12 AS section_id,
        CASE WHEN MIN(l_partkey) % 7 = 0 THEN 'checkbox' WHEN MIN(l_partkey) % 11 = 0 THEN 'signature'
             WHEN MIN(l_partkey) % 5 = 0 THEN 'multiline' ELSE 'text' END AS kind,
        CAST(14 + (MIN(l_partkey) * 7) % 300 AS DOUBLE) AS width_pt, CAST(10 + MIN(l_suppkey) % 30 AS DOUBLE) AS height_pt,
-       CAST(1 + l_linenumber % 3 AS BIGINT) AS page, MIN(l_partkey) % 29 = 0 AS readonly, MIN(l_suppkey) % 17 = 0 AS scanned
-FROM lineitem GROUP BY l_orderkey, l_linenumber""", ("lineitem",)),
-        "blanks": ("""
-SELECT b.*, CASE WHEN label_id % 8 = 7 THEN label ELSE '' END AS inside, CASE WHEN kind = 'checkbox' THEN label ELSE '' END AS right_,
+       CAST(1 + l_linenumber % 3 AS BIGINT) AS page, MIN(l_partkey) % 29 = 0 AS readonly, MIN(l_suppkey) % 17 = 0 AS scanned,
+       CAST(40 + l_linenumber * 97 % 200 AS DOUBLE) AS x0, CAST(60 + l_linenumber * 40 AS DOUBLE) AS y0, CAST(0 AS BIGINT) AS member
+FROM lineitem GROUP BY l_orderkey, l_linenumber
+UNION ALL
+SELECT form_id, 101 + i, concat('b', CAST(101 + i AS STRING)), CASE form_id % 8 WHEN 3 THEN CASE WHEN form_id % 5 = 0 THEN 36 ELSE 3 END WHEN 5 THEN 19 ELSE 4 END, 0, 'text', CAST(50 + 5 * i AS DOUBLE), CAST(14 AS DOUBLE), 1, form_id % 96 = 3 AND i = 1, form_id % 72 = 5,
+       CAST(40 + 70 * i AS DOUBLE), CAST(700 AS DOUBLE), 1 + i
+FROM {d.each("(SELECT o_orderkey AS form_id, " + d.seq("1", "CASE WHEN o_orderkey % 8 = 5 THEN 2 ELSE 3 END") + " AS seq_ FROM orders WHERE o_orderkey % 8 IN (3, 5, 7))", "seq_", "i", "j")} g""", ("lineitem", "orders")),
+        "raw_blanks": ("""
+SELECT form_id, blank_no, blank_id, label_id, kind, page, x0, y0, x0 + width_pt AS x1, y0 + height_pt AS y1, width_pt, height_pt, CASE WHEN label_id % 5 = 0 THEN 20 + label_id END AS max_chars, readonly, scanned,
+       CASE WHEN label_id % 8 = 7 THEN label ELSE '' END AS inside, CASE WHEN kind = 'checkbox' THEN label ELSE '' END AS right_,
        CASE WHEN label_id % 8 NOT IN (6, 7) AND kind <> 'checkbox' THEN label ELSE '' END AS left_,
-       CASE WHEN label_id % 8 = 6 THEN label ELSE '' END AS above, section, CASE WHEN blank_no % 2 = 0 THEN concat('f1_', CAST(blank_no AS STRING)) ELSE '' END AS native_name,
-       label_id % 10 = 9 AS authoritative, label
-FROM blanks0 b JOIN label_catalogue USING (label_id) JOIN section_catalogue USING (section_id)""", ("blanks0", "label_catalogue", "section_catalogue")),
+       CASE WHEN label_id % 8 = 6 THEN label ELSE '' END AS above, section, CASE WHEN blank_no % 13 = 5 AND label_id % 3 = 0 THEN 'Employers name and address' ELSE '' END AS row_,
+       CASE WHEN blank_no % 2 = 0 AND member = 0 THEN concat('f1_', CAST(blank_no AS STRING)) ELSE '' END AS native_name, label_id % 10 = 9 AS authoritative, label
+FROM (SELECT b.*, CASE member WHEN 2 THEN '-' WHEN 3 THEN '' ELSE c.label END AS label, s.section FROM blanks0 b JOIN label_catalogue c ON c.label_id = b.label_id JOIN section_catalogue s ON s.section_id = b.section_id) b""", ("blanks0", "label_catalogue", "section_catalogue")),
+        "blanks": ("""
+SELECT r.form_id, r.blank_no, r.blank_id, r.label_id, r.kind, r.page, r.x0, r.y0, r.x1, r.y1, r.width_pt, r.height_pt, r.max_chars, r.readonly, r.scanned, r.inside, r.right_, r.left_,
+       CASE WHEN g.grp IS NOT NULL AND r.left_ = '' AND r.above = '' THEN g.shared ELSE r.above END AS above, r.section, r.row_, r.native_name, r.authoritative, r.label, g.grp, g.grp_index
+FROM raw_blanks r LEFT JOIN split_groups g ON g.form_id = r.form_id AND g.blank_id = r.blank_id""", ("raw_blanks", "split_groups")),
         "identities": (f"SELECT {_c('c_custkey')} AS slug, c_name AS label, 'person' AS kind, c_custkey AS ord FROM customer UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), s_name, 'business', 1000000000 + s_suppkey FROM supplier", ("customer", "supplier")),
         "identity_values": (f"""
 SELECT {_c('c_custkey')} AS slug, 'full_name' AS key, c_name AS value, 'values' AS tier FROM customer

@@ -24,10 +24,6 @@ def _table(name: str, spark, sf_dir: str):
     return query(Operator(f"{name}_", (name,), lambda d: f"SELECT * FROM {name}"), OPERATORS)(spark, sf_dir)
 
 
-def alias_fuzzy(spark, sf_dir: str):
-    return text_udfs.alias_fuzzy(_table("label_texts", spark, sf_dir), _table("alias_exact", spark, sf_dir))
-
-
 def sensitive_store(spark, sf_dir: str):
     """Names and lengths of the sealed values; the ciphertext itself differs with every run."""
     values = _table("identity_values", spark, sf_dir).where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
@@ -69,7 +65,7 @@ def memory_upsert_stream(spark, sf_dir: str):
     return arrivals.memory_now(spark, path).select("fingerprint", "blank_id", "key", "seq")
 
 
-QUERIES |= {f.__name__: f for f in (filled_values_sink, memory_upsert_stream, alias_fuzzy, sensitive_store, lazy_unlock, prompt_batch, scrub_known)}
+QUERIES |= {f.__name__: f for f in (filled_values_sink, memory_upsert_stream, sensitive_store, lazy_unlock, prompt_batch, scrub_known)}
 LAZY_UNLOCK = Operator("lazy_unlock", ("lazy_unlock_keys", "identity_values"), lambda d: "SELECT k.form_id, k.slug, k.key, v.value FROM lazy_unlock_keys k JOIN identity_values v ON v.slug = k.slug AND v.key = k.key AND v.tier = 'vault'")
 SINK = Operator("filled_values_sink", ("plan_values", "forms"), lambda d: "SELECT f.fmt, COUNT(*) AS n, COUNT(DISTINCT f.form_id) AS forms FROM plan_values p JOIN forms f ON f.form_id = p.form_id GROUP BY f.fmt")
 UPSERT = Operator("memory_upsert_stream", ("edits",), lambda d: "SELECT CAST(form_id AS VARCHAR) AS fingerprint, max_by(blank_id, seq) AS blank_id, max_by(slug, seq) AS key, MAX(seq) AS seq FROM edits WHERE action = 'save' GROUP BY form_id")

@@ -14,7 +14,10 @@ from formloom.plans.checks import CHECKS
 from formloom.plans.store import written
 
 #: Results that many operators read: written once to the shared folder instead of being worked out for each reader.
-WRITTEN = ("score_key", "stored_value", "resolve_value", "match_blank", "either_or", "plan_entries", "apply_reading", "run_around", "rule_boxes", "rule_runs")
+WRITTEN = (
+    "blanks", "text_verdicts", "qualifier_lists", "score_key", "match_candidates", "match_blank", "blank_keys", "stored_value", "resolve_value", "either_or",
+    "plan_entries", "apply_memory", "apply_reading", "run_around", "rule_boxes", "rule_runs",
+)
 
 
 @dataclass(frozen=True)
@@ -71,13 +74,13 @@ class Folder:
             if name in self.operators:
                 op = self.operators[name]
                 self.made[name] = op.apply(self.spark, **{x: self.get(x) for x in op.inputs})
-                if name in WRITTEN:
-                    self.made[name] = written(self.made[name], name)
             elif name in self.derived:
                 sql, inputs = self.derived[name]
                 self.made[name] = run(self.spark, sql, {x: self.get(x) for x in inputs})
             else:
                 self.made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            if name in WRITTEN:
+                self.made[name] = written(self.made[name], name)
         return self.made[name]
 
 

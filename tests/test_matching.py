@@ -9,12 +9,12 @@ from formloom.functions import dictionary
 
 
 def frame(spark, rows):
-    cols = "form_id long, blank_id string, kind string, readonly boolean, inside string, right_ string, left_ string, above string, native_name string, section string, width_pt double, height_pt double"
-    full = [(1, f"b{k}", r.get("kind", "text"), False, r.get("inside", ""), "", r.get("left_", ""), r.get("above", ""), "", r.get("section", ""), 300.0, 12.0) for k, r in enumerate(rows)]
+    cols = "form_id long, blank_id string, kind string, readonly boolean, inside string, right_ string, left_ string, above string, native_name string, section string, width_pt double, height_pt double, row_ string, authoritative boolean, max_chars long, grp string"
+    full = [(1, f"b{k}", r.get("kind", "text"), False, r.get("inside", ""), "", r.get("left_", ""), r.get("above", ""), r.get("native_name", ""), r.get("section", ""), r.get("width", 300.0), 12.0, r.get("row_", ""), r.get("authoritative", False), r.get("max_chars"), r.get("grp")) for k, r in enumerate(rows)]
     return spark.createDataFrame(full, cols)
 
 
-def match(spark, rows, values=()):
+def match(spark, rows, values=(), exact=False):
     from formloom.plans.registry import run
 
     blanks = frame(spark, rows)
@@ -28,7 +28,7 @@ def match(spark, rows, values=()):
             made[name] = op.apply(spark, **{x: get(x) for x in op.inputs})
         return made[name]
 
-    return {r.blank_id: r.key for r in get("match_blank").collect()}
+    return {r.blank_id: (r.key, r.exact) if exact else r.key for r in get("match_blank").collect()}
 
 
 CASES = [
@@ -60,6 +60,40 @@ def test_cases(spark):
     assert {k: got.get(f"b{k}") for k in range(len(CASES))} == {k: key for k, (_, key) in enumerate(CASES)}
 
 
+MORE = [
+    ({"left_": "Social securty number"}, ("ssn", False)),  # near enough to offer
+    ({"left_": "Total stated on line 7"}, None),
+    ({"left_": "E-mail adress"}, ("email", True)),  # a shorter alias is there word for word
+    ({"inside": "Enter Last Name. This is the last name of the employer"}, ("last_name", True)),
+    ({"inside": "Enter Last Name. This is the last name of the employer", "authoritative": True}, ("last_name", True)),  # the first sentence holds the alias
+    ({"inside": "If this page was completed by somebody else the name of the witness", "authoritative": True}, None),
+    ({"inside": "If this page was completed by somebody else the name of the witness"}, None),  # too near before or in the alias
+    ({"inside": "Name to be written in full as in the passport by each new employer", "authoritative": True}, None),
+    ({"inside": "Name to be written in full as in the passport by each new employer"}, ("full_name", True)),
+    ({"left_": "City", "row_": "Employers name and address"}, None),
+    ({"left_": "City", "row_": "The name and address of employers"}, ("city", True)),
+    ({"left_": "Employer identification number", "row_": "Employers only"}, None),
+    ({"left_": "Employer identification number", "row_": "Employer identification number"}, ("ein", True)),
+    ({"native_name": "City"}, ("city", True)),
+    ({"left_": "Section 1., Enter City or Town.", "section": "Section 1. Employee Information and Attestation: Employees must complete and sign"}, ("city", True)),
+    ({"left_": "Signature Date mm/dd/yyyy"}, ("date_today", True)),
+    ({"left_": "Enter your EIN"}, ("ein", True)),
+    ({"left_": "Enter Other Last Names Used (if any)"}, None),
+]
+
+
+def test_near_matches_sentences_and_rows(spark):
+    got = match(spark, [c for c, _ in MORE], exact=True)
+    assert {k: got.get(f"b{k}") for k in range(len(MORE))} == {k: key for k, (_, key) in enumerate(MORE)}
+
+
+def test_what_fits_decides(spark):
+    held = [("me", "address1", "1200 Maple Avenue, Springfield"), ("me", "state", "OR")]
+    rows = [{"left_": "Address or state", "width": 300.0}, {"left_": "Address or state", "width": 12.0}, {"left_": "Address or state", "width": 12.0, "grp": "g1"}, {"left_": "Address or state", "width": 300.0, "max_chars": 2}]
+    got = match(spark, rows, held)
+    assert got["b1"] == got["b3"] == "state" and got["b0"] == got["b2"]  # a box of a group holds a part only
+
+
 @pytest.mark.parametrize(
     "text, tokens",
     [("5Address (number, street)", ["address", "number", "street"]), ("OnlyEmployer's use", ["only", "employer", "s", "use"]), ("Tel. no.", ["telephone", "number"]), ("José", ["jos"]), ("", []), ("12b Apt", ["b", "apartment"])],
