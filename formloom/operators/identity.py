@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from formloom.functions import text as T
-from formloom.functions.dialect import Spark
+from formloom.functions.dialect import SPARK, Spark
+from formloom.functions.dictionary import ALTERNATIVES
 from formloom.plans.checks import CHECKS
 from formloom.plans.registry import Operator
 from formloom.sources import files
@@ -81,12 +88,75 @@ def identity_summary(d: Spark) -> str:
 
 
 
-def slugify(d: Spark) -> str:
-    """Slugs of labels shortened so that they repeat; a taken slug gets the next free number."""
-    base = d.rx(d.rx('lower(left(label, 14))', '[^a-z0-9]+', '-'), '^-+|-+$', '')
-    return f"""
-SELECT label, ord, CASE WHEN k = 1 THEN base ELSE concat(base, '-', CAST(k AS STRING)) END AS slug
-FROM (SELECT label, ord, base, row_number() OVER (PARTITION BY base ORDER BY ord) AS k FROM (SELECT label, ord, {base} AS base FROM identities) b) n"""
+# The slug of a label without letters and digits, and a slug's number, which begins with 2.
+NAMELESS, NUMBER = "identity", "-([2-9]|[1-9][0-9]+)$"
+
+
+def slug_base(d: Spark, label: str) -> str:
+    return f"coalesce(nullif({d.rx(d.rx(f'lower({label})', '[^a-z0-9]+', '-'), '^-+|-+$', '')}, ''), '{NAMELESS}')"
+
+
+class _Slugs:
+    """The slugs of one family that are taken: for each slug before a number, the least free number and those taken above it.
+
+    So a name that comes again and again takes no more memory than once.
+    """
+
+    def __init__(self) -> None:
+        self.plain: set[str] = set()
+        self.free: dict[str, int] = {}
+        self.above: dict[str, set[int]] = {}
+
+    def taken(self, slug: str) -> bool:
+        if slug in self.plain:
+            return True
+        base, _, n = slug.rpartition("-")
+        return base in self.free and n.isdecimal() and str(int(n)) == n and int(n) >= 2 and (int(n) < self.free[base] or int(n) in self.above[base])
+
+    def _number(self, base: str, n: int) -> None:
+        above = self.above.setdefault(base, set())
+        above.add(n)
+        at = self.free.setdefault(base, 2)
+        while at in above:
+            above.remove(at)
+            at += 1
+        self.free[base] = at
+
+    def take(self, base: str) -> str:
+        """The slug itself if it is free, else with the least number that is."""
+        slug = base
+        if self.taken(slug):
+            n = self.free.get(base, 2)
+            slug = f"{base}-{n}"  # plain slugs with a number are kept by it, so this one is free
+        m = re.search(NUMBER, slug)
+        if m:
+            self._number(slug[: m.start()], int(m[1]))
+        else:
+            self.plain.add(slug)
+        return slug
+
+
+def slugify(spark: SparkSession, slug_labels: DataFrame) -> DataFrame:
+    """Slugs of labels in order of their creation; a taken slug gets the next free number.
+
+    A label that ends in a number may hold a slug that another label would get, so labels whose slugs differ in such
+    numbers only are one family. A family is a stream in order through one task, which keeps what is taken by ranges.
+    """
+    base = F.expr(slug_base(SPARK, "label"))
+    family = F.regexp_replace(base, "(-([2-9]|[1-9][0-9]+))+$", "")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, slugs = None, _Slugs()
+        for b in batches:
+            out = []
+            for f, x in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                if f != now:
+                    now, slugs = f, _Slugs()
+                out.append(slugs.take(x))
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array(out, pa.string())], ["label", "ord", "slug"])
+
+    dealt = slug_labels.select(family.alias("family"), F.col("ord").cast("long"), "label", base.alias("base")).where("label is not null")
+    return dealt.repartition("family").sortWithinPartitions("family", "ord", "label").mapInArrow(named, "label string, ord long, slug string")
 
 
 def identity_lookup(d: Spark) -> str:
@@ -99,13 +169,88 @@ LEFT JOIN (SELECT lower(label) AS low, min_by(slug, ord) AS slug FROM identities
 CROSS JOIN (SELECT min_by(slug, ord) AS slug FROM identities) z"""
 
 
-def identity_changelog(d: Spark) -> str:
-    """The last value of every key after the last deletion of its identity; edits as the change log."""
+#: Kinds of identities, and what a person is taxed as unless they say otherwise.
+KINDS, PERSON_TAX = ("person", "business"), "individual"
+
+
+def lives(d: Spark) -> str:
+    """Births and deaths of identities: a creation, or a set value, of one that is not there; a deletion of one that is.
+
+    Sets that are refused (an unknown or sensitive key, a choice without that answer) change nothing.
+    """
     return """
-SELECT e.slug, e.blank_id AS key, max_by(CASE WHEN e.action = 'set' THEN e.value ELSE '' END, e.seq) AS value
-FROM edits e LEFT JOIN (SELECT slug AS gone, MAX(seq) AS last_gone FROM edits WHERE action = 'forget' GROUP BY slug) g ON g.gone = e.slug
-WHERE e.action IN ('set', 'clear') AND e.seq > coalesce(g.last_gone, -1)
-GROUP BY e.slug, e.blank_id HAVING max_by(CASE WHEN e.action = 'set' THEN e.value ELSE '' END, e.seq) <> ''"""
+SELECT library, slug, seq, op, value, label FROM (
+  SELECT *, lag(op) OVER (PARTITION BY library, slug ORDER BY seq) AS before_ FROM (
+    SELECT c.* FROM changes c LEFT JOIN fields f ON f.key = c.key LEFT JOIN (SELECT DISTINCT choice FROM choices) h ON h.choice = c.key LEFT JOIN (SELECT DISTINCT choice, answer FROM choices) o ON o.choice = c.key AND o.answer = c.value
+    WHERE c.op IN ('create', 'delete') OR c.op = 'set' AND f.key IS NOT NULL AND NOT f.sensitive AND (h.choice IS NULL OR c.value = '' OR o.answer IS NOT NULL)) e) l
+WHERE CASE WHEN op = 'delete' THEN before_ IS NOT NULL AND before_ <> 'delete' ELSE before_ IS NULL OR before_ = 'delete' END"""
+
+
+def default_identity(spark: SparkSession, lives: DataFrame) -> DataFrame:
+    """The default of each library: the one born alone; when it dies, the first by slug of those left, if there is one.
+
+    A library's births and deaths are a stream in order through one task.
+    """
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, default, alive, heap, out = None, "", set(), [], []
+        for b in batches:
+            for library, slug, op in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                if library != now:
+                    if now is not None:
+                        out.append((now, default))
+                    now, default, alive, heap = library, "", set(), []
+                if op != "delete":
+                    alive.add(slug)
+                    heapq.heappush(heap, slug)
+                    if len(alive) == 1:
+                        default = slug
+                else:
+                    alive.discard(slug)
+                    while heap and heap[0] not in alive:
+                        heapq.heappop(heap)
+                    if slug == default:
+                        default = heap[0] if heap else ""
+        if now is not None:
+            out.append((now, default))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["library", "slug"])
+
+    dealt = lives.select(F.col("library").cast("long"), "slug", "op", "seq").repartition("library").sortWithinPartitions("library", "seq")
+    return dealt.select("library", "slug", "op").mapInArrow(followed, "library long, slug string").where("slug <> ''")
+
+
+def identity_changelog(d: Spark) -> str:
+    """What a log of changes leaves: items label, kind, prefers, default and value:key of every identity that is there.
+
+    A deletion cuts off all that was before; what comes before the next birth finds no identity. A new kind clears the
+    preferences, a preference replaces the one of its group, an empty value takes a value away, an empty name none.
+    """
+    alternatives = " ".join(f"WHEN '{k}' THEN '{'/'.join(g)}'" for g in ALTERNATIVES for k in g)
+    kinds = ", ".join(f"'{k}'" for k in KINDS)
+    return f"""
+WITH births AS (
+  SELECT library, slug, seq AS born, CASE WHEN op = 'create' AND value IN ({kinds}) THEN value ELSE 'person' END AS kind, CASE WHEN op = 'create' THEN coalesce(nullif(trim(label), ''), initcap_(slug)) ELSE initcap_(slug) END AS label
+  FROM (SELECT *, row_number() OVER (PARTITION BY library, slug ORDER BY seq DESC) AS k FROM lives) l WHERE k = 1 AND op <> 'delete'),
+since AS (
+  SELECT c.library, c.slug, c.seq, c.op, c.key, c.value, f.key IS NOT NULL AND NOT f.sensitive AND (h.choice IS NULL OR c.value = '' OR o.answer IS NOT NULL) AS allowed
+  FROM changes c JOIN births b ON b.library = c.library AND b.slug = c.slug AND c.seq >= b.born
+  LEFT JOIN fields f ON f.key = c.key LEFT JOIN (SELECT DISTINCT choice FROM choices) h ON h.choice = c.key LEFT JOIN (SELECT DISTINCT choice, answer FROM choices) o ON o.choice = c.key AND o.answer = c.value),
+kinds AS (SELECT library, slug, max_by(value, seq) AS kind, MAX(seq) AS seq FROM since WHERE op = 'set_kind' AND value IN ({kinds}) GROUP BY library, slug),
+names AS (SELECT library, slug, max_by(trim(value), seq) AS label FROM since WHERE op = 'rename' AND trim(value) <> '' GROUP BY library, slug),
+prefers AS (
+  SELECT library, slug, {d.listagg('key', ',', 'seq')} AS prefers FROM (
+    SELECT s.library, s.slug, max_by(s.key, s.seq) AS key, MAX(s.seq) AS seq FROM since s LEFT JOIN kinds k ON k.library = s.library AND k.slug = s.slug
+    WHERE s.op = 'set_preference' AND s.seq > coalesce(k.seq, -1) GROUP BY s.library, s.slug, CASE s.key {alternatives} ELSE s.key END) g GROUP BY library, slug),
+held AS (
+  SELECT library, slug, key, max_by(value, seq) AS value FROM (
+    SELECT library, slug, key, value, seq FROM since WHERE op = 'set' AND allowed
+    UNION ALL SELECT library, slug, 'tax_classification', '{PERSON_TAX}', born - 0.5 FROM births WHERE kind = 'person') v GROUP BY library, slug, key)
+SELECT b.library, b.slug, 'label' AS item, coalesce(n.label, b.label) AS value FROM births b LEFT JOIN names n ON n.library = b.library AND n.slug = b.slug
+UNION ALL SELECT b.library, b.slug, 'kind', coalesce(k.kind, b.kind) FROM births b LEFT JOIN kinds k ON k.library = b.library AND k.slug = b.slug
+UNION ALL SELECT library, slug, 'prefers', prefers FROM prefers
+UNION ALL SELECT library, slug, 'default', 'yes' FROM default_identity
+UNION ALL SELECT library, slug, concat('value:', key), value FROM held WHERE value <> ''""".replace("initcap_(slug)", "concat(upper(left(slug, 1)), lower(substr(slug, 2)))")
 
 
 def route_sensitive(d: Spark) -> str:
@@ -146,9 +291,11 @@ OPERATORS = [
     Operator("identity_preference", ("identities",), identity_preference),
     Operator("preference_union", ("identity_preference", "identities"), preference_union),
     Operator("identity_summary", ("identities", "stored_value"), identity_summary),
-    Operator("slugify", ("identities",), slugify),
+    Operator("slugify", ("slug_labels",), lambda d: CHECKS["slugify"], slugify),
     Operator("identity_lookup", ("forms", "identities"), identity_lookup),
-    Operator("identity_changelog", ("edits",), identity_changelog),
+    Operator("lives", ("changes", "fields", "choices"), lives),
+    Operator("default_identity", ("lives",), lambda d: CHECKS["default_identity"], default_identity),
+    Operator("identity_changelog", ("changes", "lives", "default_identity", "fields", "choices"), identity_changelog),
     Operator("route_sensitive", ("identity_values", "fields", "choices"), route_sensitive),
     Operator("sensitive_manifest", ("identity_values",), sensitive_manifest),
     Operator("manifest_check", ("sensitive_manifest", "identities"), manifest_check),

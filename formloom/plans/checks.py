@@ -67,6 +67,22 @@ LEFT JOIN score_key b ON b.text = a.text AND (b.score > a.score OR b.score = a.s
     "own_section": f"SELECT form_id, blank_id, {T.own_section(DUCK, 'section')} AS own_section FROM blanks",
     "own_block": f"SELECT form_id, blank_id, {T.own_block(DUCK, _SLOTS)} AS own_block FROM blanks",
     "alias_fuzzy": f"SELECT v.text, v.key, v.alias, CAST(v.ratio AS DOUBLE) AS ratio, CAST(v.pos AS BIGINT) AS pos FROM (VALUES {_NEARLY}) AS v(text, key, alias, ratio, pos) WHERE v.text IN (SELECT text FROM label_texts)",
+    "slugify": """
+WITH RECURSIVE b AS (SELECT label, ord, coalesce(nullif(trim(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'identity') AS base FROM slug_labels),
+f AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY ord) AS k FROM (SELECT *, regexp_replace(base, '(-([2-9]|[1-9][0-9]+))+$', '') AS family FROM b) x),
+step AS (
+  SELECT family, k, label, ord, base AS slug, [base] AS taken FROM f WHERE k = 1
+  UNION ALL SELECT family, k, label, ord, slug, list_append(taken, slug) FROM (
+    SELECT n.family, n.k, n.label, n.ord, s.taken, CASE WHEN NOT list_contains(s.taken, n.base) THEN n.base ELSE n.base || '-' || list_filter(range(2, len(s.taken) + 3), lambda x: NOT list_contains(s.taken, n.base || '-' || x))[1] END AS slug
+    FROM step s JOIN f n ON n.family = s.family AND n.k = s.k + 1))
+SELECT label, ord, slug FROM step""",
+    "default_identity": """
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY library ORDER BY seq) AS k FROM lives),
+step AS (
+  SELECT library, k, CASE WHEN op = 'delete' THEN []::VARCHAR[] ELSE [slug] END AS alive, CASE WHEN op = 'delete' THEN '' ELSE slug END AS def FROM e WHERE k = 1
+  UNION ALL SELECT library, k, alive, CASE WHEN op <> 'delete' THEN CASE WHEN len(alive) = 1 THEN slug ELSE def END WHEN slug = def THEN coalesce(list_sort(alive)[1], '') ELSE def END FROM (
+    SELECT e.library, e.k, e.op, e.slug, s.def, CASE WHEN e.op = 'delete' THEN list_filter(s.alive, lambda x: x <> e.slug) ELSE list_append(s.alive, e.slug) END AS alive FROM step s JOIN e ON e.library = s.library AND e.k = s.k + 1))
+SELECT library, def AS slug FROM step QUALIFY row_number() OVER (PARTITION BY library ORDER BY k DESC) = 1 AND def <> ''""",
     "leading_qualifier": f"""
 WITH s AS (
   SELECT text, tokens, list_transform(list_transform(regexp_split_to_array(text, '[.;:]\\s+'), lambda p: {T.normalize(DUCK, 'p')}), lambda t: ' ' || array_to_string(t, ' ') || ' ') AS sentences FROM label_texts),

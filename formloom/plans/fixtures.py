@@ -96,6 +96,16 @@ SELECT r.form_id, r.blank_no, r.blank_id, r.label_id, r.kind, r.page, r.x0, r.y0
        CASE WHEN g.grp IS NOT NULL AND r.left_ = '' AND r.above = '' THEN g.shared ELSE r.above END AS above, r.section, r.row_, r.native_name, r.authoritative, r.label, g.grp, g.grp_index
 FROM raw_blanks r LEFT JOIN split_groups g ON g.form_id = r.form_id AND g.blank_id = r.blank_id""", ("raw_blanks", "split_groups")),
         "identities": (f"SELECT {_c('c_custkey')} AS slug, c_name AS label, 'person' AS kind, c_custkey AS ord FROM customer UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), s_name, 'business', 1000000000 + s_suppkey FROM supplier", ("customer", "supplier")),
+        # labels of which many make one slug, some with a number that another's slug may have taken
+        "slug_labels": ("SELECT ord, concat('Shop ', CAST(ord % 61 AS STRING), CASE ord % 7 WHEN 0 THEN ' & Co.' WHEN 1 THEN concat(' & co ', CAST(2 + ord % 9 AS STRING)) WHEN 2 THEN ' Co' WHEN 3 THEN concat('-co-', CAST(ord % 4 AS STRING), '-2') WHEN 4 THEN ' CO!' ELSE concat(' Co ', CAST(ord % 5 AS STRING)) END) AS label FROM identities", ("identities",)),
+        # changes to identities: fifty libraries of a few identities each
+        "changes": ("""
+SELECT event_id % 50 AS library, event_id AS seq, CASE event_id % 10 WHEN 0 THEN 'create' WHEN 1 THEN 'delete' WHEN 2 THEN 'set_kind' WHEN 3 THEN 'set_preference' WHEN 4 THEN 'rename' ELSE 'set' END AS op,
+       concat('p', CAST((event_id // 7 + user_id) % 6 AS STRING)) AS slug,
+       CASE WHEN event_id % 10 = 3 THEN CASE user_id % 3 WHEN 0 THEN 'ssn' WHEN 1 THEN 'ein' ELSE 'phone' END WHEN event_id % 10 > 4 THEN CASE user_id % 6 WHEN 0 THEN 'city' WHEN 1 THEN 'zip' WHEN 2 THEN 'ssn' WHEN 3 THEN 'no_such_key' WHEN 4 THEN 'filing_status' ELSE 'tax_classification' END END AS key,
+       CASE event_id % 10 WHEN 0 THEN CASE user_id % 3 WHEN 0 THEN 'business' WHEN 1 THEN 'person' ELSE 'ghost' END WHEN 2 THEN CASE user_id % 4 WHEN 0 THEN 'ghost' WHEN 1 THEN 'person' ELSE 'business' END WHEN 4 THEN CASE user_id % 5 WHEN 0 THEN '  ' ELSE concat(' Label ', CAST(event_id % 13 AS STRING), ' ') END
+            ELSE CASE user_id % 6 WHEN 4 THEN CASE event_id % 3 WHEN 0 THEN 'single' ELSE 'nonsense' END WHEN 5 THEN CASE event_id % 3 WHEN 0 THEN 'c_corp' ELSE '' END ELSE CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('v', CAST(event_id AS STRING)) END END END AS value,
+       CASE WHEN event_id % 10 = 0 THEN CASE WHEN user_id % 4 = 0 THEN ' ' ELSE concat('New ', CAST(user_id AS STRING)) END END AS label FROM events""".replace("//", "//" if d.name == "duck" else "DIV"), ("events",)),
         "identity_values": (f"""
 SELECT {_c('c_custkey')} AS slug, 'full_name' AS key, c_name AS value, 'values' AS tier FROM customer
 UNION ALL SELECT {_c('c_custkey')}, 'state', n_name, 'values' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 <> 0

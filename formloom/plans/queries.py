@@ -56,12 +56,12 @@ def filled_values_sink(spark, sf_dir: str):
 
 
 def memory_upsert_stream(spark, sf_dir: str):
-    """Saves applied in two batches, the second one twice; what is remembered are each form's last save's keys."""
+    """Saves applied in batches, some of them twice; what is remembered are each form's last save's keys."""
     saves = _table("edits", spark, sf_dir).where("action = 'save'").selectExpr("CAST(form_id AS STRING) AS fingerprint", "blank_id", "slug AS key", "seq")
     path = f"{shared_dir(spark)}/formloom/memory-{uuid.uuid4().hex}"
-    put = arrivals.memory_upsert(path)
-    for number, half in ((0, "seq % 2 = 0"), (1, "seq % 2 = 1"), (1, "seq % 2 = 1")):
-        put(saves.where(half), number)
+    put = arrivals.memory_upsert(path, width=3)
+    for number in (0, 1, 1, 2, 3, 1, 4, 4):
+        put(saves.where(f"seq % 5 = {number}"), number)
     return arrivals.memory_now(spark, path).select("fingerprint", "blank_id", "key", "seq")
 
 

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from formloom.streaming.ledger import Ledger
 
 
 def arrivals_source(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -24,26 +26,13 @@ def settled_files(arrivals: DataFrame, quiet: str = "6 hours") -> DataFrame:
     return bursts.where("size > 0").select("path", "size", "ts")
 
 
-def _seen(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)  # nothing written yet
-
-
 def one_notice(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that adds each path once, ever, to the notices under `path`.
-
-    Each batch has a folder of its own, overwritten if the batch is run again.
-    """
+    """A foreachBatch function that adds each path once, ever, to the notices under `path`; only the buckets of a batch's paths are read."""
 
     def add(batch: DataFrame, number: int) -> None:
         first = batch.groupBy("path").agg(F.min("ts").alias("ts"))
-        seen = _seen(batch.sparkSession, f"{path}/batch=*", first.schema)
-        earlier = seen.where(~F.input_file_name().contains(f"/batch={number}/"))
-        first.join(earlier.select("path"), "path", "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        notices = Ledger(batch.sparkSession, path, ("path",))
+        notices.add(first.join(notices.near(first, first.schema).select("path"), "path", "left_anti"), number)
 
     return add
 
@@ -54,17 +43,46 @@ def is_form(notices: DataFrame, blank_counts: DataFrame, least: int = 3) -> Data
     return joined.withColumn("is_form", F.col("blanks") >= least)
 
 
-def memory_upsert(path: str) -> Callable[[DataFrame, int], None]:
+def _schema(columns: str) -> T.StructType:
+    out = T.StructType()
+    for c in columns.split(", "):
+        out = out.add(*c.split())
+    return out
+
+
+_SAVED = _schema("fingerprint string, blank_id string, key string, seq long")
+_REMEMBERED = _schema("fingerprint string, part string, slug string, blank_id string, key string, page long, kind string, x double, y double, seq long")
+
+
+def memory_upsert(path: str, width: int = 8) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for saves (fingerprint, blank_id, key, seq): the last save of a fingerprint wins."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.select("fingerprint", "blank_id", "key", "seq").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.select(*[F.col(f.name).cast(f.dataType) for f in _SAVED.fields])
+        Ledger(batch.sparkSession, path, ("fingerprint",), "seq", width).add(rows, number)
 
     return put
 
 
 def memory_now(spark: SparkSession, path: str) -> DataFrame:
     """The remembered keys: the rows of each fingerprint's last save."""
-    saves = spark.read.parquet(f"{path}/batch=*")
-    last = saves.groupBy("fingerprint").agg(F.max("seq").alias("seq"))
-    return saves.join(last, ["fingerprint", "seq"]).distinct()
+    return Ledger(spark, path, ("fingerprint",), "seq").now(_SAVED)
+
+
+def memory_tables_upsert(path: str, width: int = 8) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for whole saves, as rows of remember_form().
+
+    Keys, moves and placed blanks are replaced by any later save of the form, ticks and clears by a later save of the same
+    identity. A save that leaves a part empty says so by a row of that part without a blank.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*[F.col(f.name).cast(f.dataType) for f in _REMEMBERED.fields]).fillna("", ["slug"])
+        Ledger(batch.sparkSession, path, ("fingerprint", "part", "slug"), "seq", width).add(rows, number)
+
+    return put
+
+
+def memory_tables_now(spark: SparkSession, path: str) -> DataFrame:
+    """What is remembered of every form, part by part."""
+    return Ledger(spark, path, ("fingerprint", "part", "slug"), "seq").now(_REMEMBERED).where("blank_id is not null")

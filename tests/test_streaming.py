@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from formloom.operators import text_udfs
 from formloom.sources import files
 from formloom.streaming import arrivals
+from formloom.streaming.ledger import Ledger
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,6 +46,36 @@ def test_memory_upsert(spark, tmp_path):
     assert {(r.fingerprint, r.blank_id, r.key) for r in arrivals.memory_now(spark, str(tmp_path / "m")).collect()} == {("f", "b2", "state"), ("g", "b1", "city")}
 
 
+def test_a_ledger_merges_and_knows_its_batches(spark, tmp_path):
+    schema = "fingerprint string, blank_id string, key string, seq long"
+    put, path = arrivals.memory_upsert(str(tmp_path / "l"), width=3), str(tmp_path / "l")
+    ledger = Ledger(spark, path, ("fingerprint",), "seq", width=3)
+    want = {}
+    for number in range(14):
+        rows = [(f"f{k}", f"b{number}", "zip", number) for k in range(number % 4, 5)]
+        want |= {r[0]: r for r in rows}
+        for _ in range(1 + number % 2):  # some batches come twice
+            put(spark.createDataFrame(rows, schema), number)
+        assert len(ledger.runs()) <= 6 and sum(hi - lo + 1 for lo, hi in ledger.runs()) == number + 1
+    put(spark.createDataFrame([("f0", "again", "x", 99)], schema), 3)  # within a merged run: known
+    assert ledger.runs() == [(0, 8), (9, 11), (12, 12), (13, 13)]
+    assert {r.fingerprint: tuple(r) for r in arrivals.memory_now(spark, path).collect()} == want
+    near = ledger.near(spark.createDataFrame([("f3",)], "fingerprint string"), spark.createDataFrame([], schema).schema)
+    assert ("f3", "b13", "zip", 13) in [tuple(r) for r in near.collect()]
+    (tmp_path / "l" / "batch=0000000000-0000000001").mkdir()  # what a lost merge leaves is passed over
+    assert ledger.runs()[0] == (0, 8)
+
+
+def test_all_of_a_save_is_kept(spark, tmp_path):
+    put, path = arrivals.memory_tables_upsert(str(tmp_path / "t")), str(tmp_path / "t")
+    schema = "fingerprint string, part string, slug string, blank_id string, key string, page long, kind string, x double, y double, seq long"
+    row = lambda part, seq, blank, slug=None, key=None, **at: ("f", part, slug, blank, key, at.get("page"), at.get("kind"), at.get("x"), at.get("y"), seq)
+    put(spark.createDataFrame([row("keys", 1, "b1", key="zip"), row("keys", 1, "b2", key="city"), row("checked", 1, "b3", "ann"), row("cleared", 1, "b4", "bob"), row("placed", 1, "~1", page=2, kind="date", x=1.5, y=2.0), row("moved", 1, "b5", x=3.0, y=0.0)], schema), 0)
+    put(spark.createDataFrame([row("keys", 2, "b1", key="state"), row("checked", 2, "b9", "bob"), row("cleared", 2, None, "bob"), row("placed", 2, None)], schema), 1)
+    got = {(r.part, r.slug, r.blank_id, r.key) for r in arrivals.memory_tables_now(spark, path).collect()}
+    assert got == {("keys", "", "b1", "state"), ("checked", "ann", "b3", None), ("checked", "bob", "b9", None), ("moved", "", "b5", None)}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.PDF").write_text("x")
     (tmp_path / "b.txt").write_text("x")
