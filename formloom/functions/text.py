@@ -61,8 +61,22 @@ def mask(s: str) -> str:
     return f"CASE WHEN length({s}) <= 4 THEN repeat('*', CAST(length({s}) AS INT)) ELSE concat(repeat('*', CAST(length({s}) - 4 AS INT)), right({s}, 4)) END"
 
 
+#: White space of any script.
+SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# What an answer looks like: an e-mail address, a date, three digits or more with blanks, brackets, dots or
+# dashes between; and in a text stream what follows a colon, up to two blanks, a tab or the end.
+ANSWERS = (r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+", r"\b\p{Nd}{1,2}[/.-]\p{Nd}{1,2}[/.-]\p{Nd}{2,4}\b", rf"\p{{Nd}}(?:[{SPACE}().-]*\p{{Nd}}){{2,}}")
+AFTER_COLON = rf":[ \t]*[^:_{SPACE}][^:]*?([{SPACE}]{{2,}}|\t|\n?\z)"
+ANSWER = "[answer]"
+
+
 def scrub_shapes(d: Spark, s: str) -> str:
-    """E-mail addresses, dates and runs of three digits or more replaced."""
-    t = d.rx(s, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[answer]")
-    t = d.rx(t, r"\b[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{1,4}\b", "[answer]")
-    return d.rx(t, "[0-9]{3,}", "[answer]")
+    """What looks like an answer replaced."""
+    for shape in ANSWERS:
+        s = d.rx(s, shape, ANSWER)
+    return s
+
+
+def scrub_stream(d: Spark, s: str) -> str:
+    """What follows a colon replaced, as far as it can be one answer."""
+    return d.rx(s, AFTER_COLON, f": {ANSWER}\\1")

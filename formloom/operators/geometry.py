@@ -125,16 +125,26 @@ def scanned_pages(d: Spark) -> str:
     return "SELECT p.form_id, p.page FROM form_pages p LEFT JOIN (SELECT form_id AS f2, page AS p2, COUNT(*) AS n FROM words GROUP BY form_id, page) w ON w.f2 = p.form_id AND w.p2 = p.page WHERE coalesce(w.n, 0) < 5"
 
 
+# Width and height of blanks that are put on a page by hand, by kind.
+HAND_SIZES = (("date", 150, 12), ("text", 200, 12), ("tick", 10, 10), ("signature", 200, 22))
+
+
 def hand_blanks(d: Spark) -> str:
-    return "SELECT form_id, region_no, page, kind, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM (SELECT r.*, k.kind, k.w, k.h FROM regions r JOIN (SELECT * FROM (VALUES (0, 'date', 150, 12), (1, 'text', 200, 12), (2, 'tick', 10, 10), (3, 'signature', 200, 22)) AS t(n, kind, w, h)) k ON k.n = r.region_no % 4) a"
+    sizes = ", ".join(f"('{k}', {w}, {h})" for k, w, h in HAND_SIZES)
+    return f"SELECT a.form_id, a.region_no, a.page, a.kind, a.x0, a.y0, a.x0 + k.w AS x1, a.y0 + k.h AS y1 FROM annotations a JOIN (SELECT * FROM (VALUES {sizes}) AS t(kind, w, h)) k ON k.kind = a.kind"
 
 
 def shift_blank(d: Spark) -> str:
-    return "SELECT form_id, blank_id, width_pt + blank_no AS x, height_pt - blank_no AS y, kind = 'signature' AS movable FROM blanks"
+    """Boxes moved by how far they were dragged; only signatures, and blanks that were drawn on the page, can be."""
+    return """
+SELECT b.form_id, b.blank_id, b.x0 + coalesce(o.dx, 0) AS x0, b.y0 + coalesce(o.dy, 0) AS y0, b.x1 + coalesce(o.dx, 0) AS x1, b.y1 + coalesce(o.dy, 0) AS y1, b.kind = 'signature' OR b.drawn AS movable
+FROM (SELECT form_id, blank_id, kind, x0, y0, x1, y1, false AS drawn FROM blanks UNION ALL SELECT form_id, concat('~hand', CAST(region_no AS STRING)), kind, x0, y0, x1, y1, true FROM hand_blanks) b
+LEFT JOIN offsets o ON o.form_id = b.form_id AND o.blank_id = b.blank_id"""
 
 
 def reading_order(d: Spark) -> str:
-    return f"SELECT form_id, blank_id, CAST(row_number() OVER (PARTITION BY form_id ORDER BY page, -{d.half_even('height_pt / 6')}, width_pt, blank_no) AS BIGINT) AS ord FROM blanks WHERE kind IN ('text', 'multiline') AND NOT readonly"
+    """Blanks to type in by page, from the top in steps of six points, from left to right."""
+    return f"SELECT form_id, blank_id, CAST(row_number() OVER (PARTITION BY form_id ORDER BY page, {d.half_even('y1 / 6')}, x0, blank_no) AS BIGINT) AS ord FROM blanks WHERE kind IN ('text', 'multiline') AND NOT readonly"
 
 
 def chars_to_words(d: Spark) -> str:
@@ -168,8 +178,8 @@ OPERATORS = [
     Operator("capacity", ("blanks",), capacity),
     Operator("split_groups", ("raw_blanks",), split_groups),
     Operator("scanned_pages", ("form_pages", "words"), scanned_pages),
-    Operator("hand_blanks", ("regions",), hand_blanks),
-    Operator("shift_blank", ("blanks",), shift_blank),
+    Operator("hand_blanks", ("annotations",), hand_blanks),
+    Operator("shift_blank", ("blanks", "hand_blanks", "offsets"), shift_blank),
     Operator("reading_order", ("blanks",), reading_order),
     Operator("chars_to_words", ("paragraphs",), chars_to_words),
     Operator("ocr_words", ("words",), ocr_words),

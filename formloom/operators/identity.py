@@ -71,7 +71,8 @@ def peek_value(d: Spark) -> str:
 
 
 def values_in_hand(d: Spark) -> str:
-    return f"SELECT v.slug, {d.collect('v.value')} AS in_hand FROM resolve_value v JOIN fields f ON f.key = v.key WHERE NOT f.image GROUP BY v.slug"
+    """Every value that can be read without unlocking, of whatever tier; pictures are none."""
+    return f"SELECT v.slug, {d.collect('v.value')} AS in_hand FROM identity_values v LEFT JOIN fields f ON f.key = v.key WHERE v.tier <> 'vault' AND v.value <> '' AND NOT coalesce(f.image, false) GROUP BY v.slug"
 
 
 def identity_preference(d: Spark) -> str:
@@ -287,7 +288,7 @@ OPERATORS = [
     Operator("street_line", ("stored_value",), street_line),
     Operator("has_key", ("resolve_value", "identity_values"), has_key),
     Operator("peek_value", ("identity_values",), peek_value),
-    Operator("values_in_hand", ("resolve_value", "fields"), values_in_hand),
+    Operator("values_in_hand", ("identity_values", "fields"), values_in_hand),
     Operator("identity_preference", ("identities",), identity_preference),
     Operator("preference_union", ("identity_preference", "identities"), preference_union),
     Operator("identity_summary", ("identities", "stored_value"), identity_summary),

@@ -4,95 +4,180 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from formloom.functions import text as T
 from formloom.functions.dialect import Spark
+from formloom.operators.matching import BLOCK_SLOTS, SLOTS
 from formloom.plans.checks import CHECKS
 from formloom.plans.registry import Operator
 from formloom.sources import files
 
 
+_SLOTS = "concat_ws('|', inside, right_, left_, above, section, native_name)"
+
+
 def fingerprint_page_form(d: Spark) -> str:
-    part = "concat(blank_id, '|', kind, '|', CAST(CAST(" + d.half_even("width_pt") + " AS BIGINT) AS STRING), '|', CAST(CAST(" + d.half_even("height_pt") + " AS BIGINT) AS STRING), '|', inside, '|', left_, '|', above)"
-    text = f"concat(CAST(MAX(f.page_count) AS STRING), ';', {d.listagg(part, ';', 'blank_no')})"
-    return f"SELECT form_id, left({d.sha('whole')}, 24) AS fingerprint FROM (SELECT b.form_id, {text} AS whole FROM blanks b JOIN forms f ON f.form_id = b.form_id WHERE f.fmt = 'pdf' GROUP BY b.form_id) t"
+    """Digest of a page form: pages and their sizes, and every blank's name, kind, rounded box and labels, in order."""
+    whole = lambda c: f"CAST(CAST({d.half_even(c)} AS BIGINT) AS STRING)"
+    part = f"concat_ws('|', b.blank_id, b.kind, {whole('b.x0')}, {whole('b.y0')}, {whole('b.x1')}, {whole('b.y1')}, {_SLOTS})"
+    size = f"concat({whole('width')}, 'x', {whole('height')})"
+    return f"""
+SELECT b.form_id, left({d.sha("concat(CAST(b.page_count AS STRING), ';', coalesce(p.sizes, ''), ';', b.blanks_)")}, 24) AS fingerprint
+FROM (SELECT b.form_id, MAX(f.page_count) AS page_count, {d.listagg(part, ';', 'b.blank_no')} AS blanks_ FROM blanks b JOIN forms f ON f.form_id = b.form_id WHERE f.fmt = 'pdf' GROUP BY b.form_id) b
+LEFT JOIN (SELECT form_id, {d.listagg(size, ',', 'page')} AS sizes FROM form_pages GROUP BY form_id) p ON p.form_id = b.form_id"""
 
 
 def fingerprint_stream_form(d: Spark) -> str:
-    whole = d.listagg("concat(b.blank_id, '|', b.kind, '|', b.inside, '|', b.left_, '|', b.above)", ";", "b.blank_no")
+    whole = d.listagg(f"concat_ws('|', b.blank_id, b.kind, {_SLOTS})", ";", "b.blank_no")
     return f"SELECT form_id, left({d.sha('whole')}, 24) AS fingerprint FROM (SELECT b.form_id, {whole} AS whole FROM blanks b JOIN forms f ON f.form_id = b.form_id WHERE f.fmt = 'docx' GROUP BY b.form_id) t"
 
 
-def same_form(d: Spark) -> str:
-    """Forms by structure: how many share the kinds and the labels of all blanks."""
-    whole = d.listagg("concat(kind, '|', CAST(label_id AS STRING))", ";", "blank_no")
-    return f"SELECT {d.sha('whole')} AS fingerprint, COUNT(*) AS n, MIN(form_id) AS first_form FROM (SELECT form_id, {whole} AS whole FROM blanks GROUP BY form_id) t GROUP BY {d.sha('whole')}"
+def fingerprints(d: Spark) -> str:
+    return "SELECT form_id, fingerprint FROM fingerprint_page_form UNION ALL SELECT form_id, fingerprint FROM fingerprint_stream_form"
 
 
-def remember_form(d: Spark) -> str:
-    """Keys of saved plans by structure: of each form's last save, never values."""
-    return """
-SELECT s.form_id, p.blank_id, p.key FROM (SELECT form_id, MAX(seq) AS at_ FROM edits WHERE action = 'save' GROUP BY form_id) s
-JOIN plan_entries p ON p.form_id = s.form_id WHERE p.key IS NOT NULL AND p.value IS NOT NULL"""
+def same_form(d: Spark) -> str:
+    """Forms of one structure: how many share a fingerprint, and the first of them."""
+    return "SELECT fingerprint, COUNT(*) AS n, MIN(form_id) AS first_form FROM fingerprints GROUP BY fingerprint"
 
 
 def forget_form(d: Spark) -> str:
-    """Remembered forms whose last save is later than the last request to forget them."""
+    """Saves that count: those later than the last request to forget a form of that structure, with their readings."""
     return """
-SELECT s.form_id, s.saved FROM (SELECT form_id, MAX(seq) AS saved FROM edits WHERE action = 'save' GROUP BY form_id) s
-LEFT JOIN (SELECT form_id, MAX(seq) AS gone FROM edits WHERE action = 'forget' GROUP BY form_id) g ON g.form_id = s.form_id WHERE g.gone IS NULL OR g.gone < s.saved"""
+SELECT s.fingerprint, s.form_id, s.slug, s.seq FROM (SELECT f.fingerprint, e.form_id, e.slug, e.seq FROM edits e JOIN fingerprints f ON f.form_id = e.form_id WHERE e.action = 'save') s
+LEFT JOIN (SELECT f.fingerprint, MAX(e.seq) AS gone FROM edits e JOIN fingerprints f ON f.form_id = e.form_id WHERE e.action = 'forget' GROUP BY f.fingerprint) g ON g.fingerprint = s.fingerprint WHERE g.gone IS NULL OR g.gone < s.seq"""
+
+
+def remember_form(d: Spark) -> str:
+    """What saved forms, as they were after the model's reading, leave behind by structure, never a value: five tables told apart by `part`.
+
+    keys: which key filled which blank. moved: how far a blank was dragged. placed: signature and date blanks put there by
+    hand. The last save of a structure replaces these three. checked and cleared: boxes ticked and blanks emptied by hand;
+    the last save of an identity replaces its own. Boxes that a stored answer ticks, and text typed for the occasion, are
+    not kept.
+    """
+    entries = """(SELECT p.form_id, p.blank_id, p.key, p.value, b.kind, b.readonly, h.action, c.choice IS NOT NULL AS is_choice
+  FROM apply_reading p JOIN blanks b ON b.form_id = p.form_id AND b.blank_id = p.blank_id LEFT JOIN apply_edits h ON h.form_id = p.form_id AND h.blank_id = p.blank_id
+  LEFT JOIN (SELECT DISTINCT choice FROM choices) c ON c.choice = p.key)"""
+    rows = lambda save, part, slug, key, where: f"SELECT s.fingerprint, s.form_id, '{part}' AS part, {slug} AS slug, e.blank_id, {key} AS key, CAST(NULL AS BIGINT) AS page, CAST(NULL AS STRING) AS kind, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, s.seq FROM {save} s JOIN {entries} e ON e.form_id = s.form_id WHERE {where}"
+    return f"""
+WITH last_ AS (SELECT fingerprint, max_by(form_id, seq) AS form_id, MAX(seq) AS seq FROM forget_form GROUP BY fingerprint),
+last_each AS (SELECT fingerprint, slug, max_by(form_id, seq) AS form_id, MAX(seq) AS seq FROM forget_form GROUP BY fingerprint, slug)
+{rows('last_', 'keys', "''", 'e.key', "e.action IS NULL AND e.value IS NOT NULL AND e.key IS NOT NULL AND NOT e.is_choice AND e.kind <> 'checkbox'")}
+UNION ALL {rows('last_each', 'checked', 's.slug', 'NULL', "e.kind = 'checkbox' AND e.action = 'set'")}
+UNION ALL {rows('last_each', 'cleared', 's.slug', 'NULL', "e.action = 'clear' AND e.key IS NOT NULL AND NOT e.readonly")}
+UNION ALL SELECT s.fingerprint, s.form_id, 'moved', '', m.blank_id, NULL, NULL, NULL, m.dx, m.dy, s.seq FROM last_ s JOIN offsets m ON m.form_id = s.form_id WHERE m.dx <> 0 OR m.dy <> 0
+UNION ALL SELECT s.fingerprint, s.form_id, 'placed', '', concat('~hand', CAST(a.region_no AS STRING)), NULL, a.page, a.kind, a.x0, a.y0, s.seq FROM last_ s JOIN annotations a ON a.form_id = s.form_id WHERE a.kind IN ('signature', 'date')"""
 
 
 def restore_placed(d: Spark) -> str:
-    """Hand-placed blanks (signature lines of saved forms, moved by a point) that the form lacks at that rounded place."""
-    x, y = d.half_even("width_pt"), d.half_even("height_pt")
+    """Remembered hand-placed blanks for every form of their structure that has none of that kind at the same rounded place."""
     return f"""
-SELECT p.form_id, p.page, p.kind, p.x, p.y FROM (
-  SELECT form_id, page, kind, CAST({x} AS BIGINT) + CASE WHEN blank_no % 2 = 0 THEN 1 ELSE 0 END AS x, CAST({y} AS BIGINT) AS y FROM blanks WHERE kind = 'signature') p
-LEFT JOIN (SELECT DISTINCT form_id AS f2, page AS p2, kind AS k2, CAST({x} AS BIGINT) AS x2, CAST({y} AS BIGINT) AS y2 FROM blanks) b
-  ON b.f2 = p.form_id AND b.p2 = p.page AND b.k2 = p.kind AND b.x2 = p.x AND b.y2 = p.y WHERE b.f2 IS NULL"""
+SELECT f.form_id, m.page, m.kind, m.x, m.y FROM remember_form m JOIN fingerprints f ON f.fingerprint = m.fingerprint
+LEFT JOIN (SELECT DISTINCT form_id, page, kind, {d.half_even('x0')} AS x, {d.half_even('y0')} AS y FROM blanks) b
+  ON b.form_id = f.form_id AND b.page = m.page AND b.kind = m.kind AND b.x = {d.half_even('m.x')} AND b.y = {d.half_even('m.y')}
+WHERE m.part = 'placed' AND b.form_id IS NULL"""
 
 
 def apply_memory(d: Spark) -> str:
-    """Blanks left empty by the plan, filled with the key that a form with the same label was saved with."""
-    return """
-SELECT p.form_id, p.blank_id, r.key, v.value FROM plan_entries p
-JOIN blanks b ON b.form_id = p.form_id AND b.blank_id = p.blank_id
-JOIN (SELECT x.label_id, MIN(m.key) AS key FROM remember_form m JOIN blanks x ON x.form_id = m.form_id AND x.blank_id = m.blank_id GROUP BY x.label_id) r ON r.label_id = b.label_id
-JOIN forms f ON f.form_id = p.form_id
-JOIN resolve_value v ON v.slug = f.slug AND v.key = r.key
-LEFT JOIN either_or e ON e.form_id = p.form_id AND e.key = r.key
-WHERE p.value IS NULL AND NOT b.readonly AND b.kind NOT IN ('checkbox', 'signature') AND e.key IS NULL"""
+    """What was done last time with a form of this structure, over a fresh plan: blanks emptied, boxes ticked, keys filled in.
+
+    What an identity emptied stays empty. A box is ticked unless a stored answer says otherwise. A remembered key fills
+    an empty blank, if it was not ruled out, is no picture or choice, and the blank is not somebody else's; a group is
+    filled whole, if all of its boxes are empty and as many as the number has parts, and never one box with all of it.
+    """
+    joins = " ".join(f"LEFT JOIN qualifier_lists q{k} ON q{k}.text = b.{c}" for k, c in enumerate(SLOTS))
+    against = " OR ".join(f"coalesce({d.has(f'q{k}.opening', 'm.key')}, false)" for k in range(len(SLOTS)))
+    blocks = " ".join(f"LEFT JOIN text_verdicts v{k} ON v{k}.text = b.{c}" for k, c in enumerate(BLOCK_SLOTS))
+    blocked = " OR ".join(f"coalesce(v{k}.own_block, false)" for k in range(len(BLOCK_SLOTS)))
+    digits = d.rx("value", "[^0-9]", "")
+    return f"""
+WITH here AS (
+  SELECT f.form_id, f.slug AS who, p.fingerprint FROM forms f JOIN fingerprints p ON p.form_id = f.form_id),
+done AS (SELECT h.form_id, m.part, m.blank_id FROM here h JOIN remember_form m ON m.fingerprint = h.fingerprint AND m.slug = h.who WHERE m.part IN ('checked', 'cleared')),
+held AS (SELECT p.form_id, p.blank_id, p.value, b.kind, b.grp, b.grp_index, c.blank_id IS NOT NULL AS cleared FROM plan_entries p JOIN blanks b ON b.form_id = p.form_id AND b.blank_id = p.blank_id
+  LEFT JOIN (SELECT form_id, blank_id FROM done WHERE part = 'cleared') c ON c.form_id = p.form_id AND c.blank_id = p.blank_id WHERE NOT b.readonly),
+keyed AS (
+  SELECT b.form_id, b.blank_id, m.key, b.grp, b.grp_index, v.value, f.n_split FROM here h JOIN remember_form m ON m.fingerprint = h.fingerprint AND m.part = 'keys'
+  JOIN blanks b ON b.form_id = h.form_id AND b.blank_id = m.blank_id {joins} {blocks}
+  LEFT JOIN text_verdicts s ON s.text = b.section LEFT JOIN qualifier_lists r ON r.text = b.row_
+  JOIN fields f ON f.key = m.key LEFT JOIN (SELECT DISTINCT choice FROM choices) c ON c.choice = m.key LEFT JOIN either_or e ON e.form_id = h.form_id AND e.key = m.key
+  JOIN resolve_value v ON v.slug = h.who AND v.key = m.key
+  WHERE NOT f.image AND c.choice IS NULL AND e.key IS NULL AND NOT coalesce(s.own_section, false) AND NOT ({blocked}) AND NOT ({against}) AND NOT coalesce({d.has('r.rows_', 'm.key')}, false)),
+groups_ AS (
+  SELECT h.form_id, h.grp, COUNT(*) AS n, COUNT(h.value) AS filled, bool_or(h.cleared) AS any_cleared, min_by(k.key, h.grp_index) AS key, min_by(k.value, h.grp_index) AS value
+  FROM held h LEFT JOIN keyed k ON k.form_id = h.form_id AND k.blank_id = h.blank_id WHERE h.grp IS NOT NULL GROUP BY h.form_id, h.grp)
+SELECT form_id, blank_id, CAST(NULL AS STRING) AS key, CAST(NULL AS STRING) AS value, 'left empty, as last time' AS note FROM held WHERE cleared
+UNION ALL
+SELECT h.form_id, h.blank_id, NULL, 'checked', 'ticked, as last time' FROM held h JOIN done x ON x.form_id = h.form_id AND x.blank_id = h.blank_id AND x.part = 'checked'
+LEFT JOIN tick_choices t ON t.form_id = h.form_id AND t.blank_id = h.blank_id WHERE h.kind = 'checkbox' AND h.value IS NULL AND NOT h.cleared AND coalesce(t.decision, '') <> 'not this one'
+UNION ALL
+SELECT h.form_id, h.blank_id, k.key, k.value, 'filled, as last time' FROM held h JOIN keyed k ON k.form_id = h.form_id AND k.blank_id = h.blank_id WHERE h.value IS NULL AND NOT h.cleared AND h.kind <> 'checkbox' AND h.grp IS NULL
+UNION ALL
+SELECT h.form_id, h.blank_id, g.key, substr(CASE WHEN {digits.replace('value', 'g.value')} = '' THEN g.value ELSE {digits.replace('value', 'g.value')} END, CAST(s.at_ AS INT), CAST(s.n_chars AS INT)), 'filled, as last time'
+FROM held h JOIN groups_ g ON g.form_id = h.form_id AND g.grp = h.grp AND g.filled = 0 AND NOT g.any_cleared JOIN splits s ON s.key = g.key AND s.n_parts = g.n AND s.part_no = h.grp_index WHERE h.kind <> 'checkbox'"""
 
 
 def question_ids(d: Spark) -> str:
     return "SELECT form_id, blank_id, concat('q', CAST(row_number() OVER (PARTITION BY form_id ORDER BY blank_no) AS STRING)) AS qid FROM blanks WHERE NOT readonly"
 
 
-def replies(d: Spark) -> str:
-    """A reply of the model for every third form, with chatter around the JSON."""
-    return """
-SELECT form_id, concat('Sure. {"mapping":{"q1":', CASE WHEN form_id % 2 = 0 THEN 'null' ELSE '"full_name"' END, ',"q2":"', CASE WHEN form_id % 5 = 0 THEN 'no_such_key' ELSE 'zip' END, '","q99":"city"}} Done.') AS text
-FROM forms WHERE form_id % 3 = 0"""
+# Characters of a reason and of a question, and questions, that are kept of a reply.
+REASON_CHARS, QUESTION_CHARS, QUESTIONS = 160, 200, 12
+
+
+def _reply(d: Spark) -> str:
+    """form_id and the JSON of each reply, from the first opening brace to the last closing one; null where there is none."""
+    js = f"nullif({d.extract('text', '(?s)([{].*[}])', 1)}, '')"
+    if d.name == "spark":
+        read = "from_json(js, 'blanks array<struct<id:string,key:string,why:string>>, questions array<string>')"
+        return f"(SELECT form_id, CASE WHEN try_parse_json(js) IS NOT NULL THEN {read} END AS said FROM (SELECT form_id, {js} AS js FROM replies) j)"
+    read = """from_json(js, '{"blanks":[{"id":"VARCHAR","key":"VARCHAR","why":"VARCHAR"}],"questions":["VARCHAR"]}')"""
+    return f"(SELECT form_id, CASE WHEN json_valid(js) THEN {read} END AS said FROM (SELECT form_id, {js} AS js FROM replies) j)"
 
 
 def parse_replies(d: Spark) -> str:
-    """Question and key of every reply; unknown questions and keys drop, null clears."""
-    get = "get_json_object(js, concat('$.mapping.', qid))" if d.name == "spark" else "json_extract_string(js, concat('$.mapping.', qid))"
+    """Blank, key and reason of every answer of a reply: the last one to a question counts.
+
+    Questions that were not asked and keys that the dictionary lacks drop; no key clears. Reasons are cut and scrubbed.
+    """
+    answer = d.each(f"(SELECT form_id, said.blanks AS blanks FROM {_reply(d)} r WHERE said IS NOT NULL AND said.blanks IS NOT NULL)", "blanks", "n", "answer")
+    return f"""
+SELECT form_id, blank_id, key, reason FROM (
+  SELECT q.form_id, q.blank_id, a.key, {T.scrub_shapes(d, f'left(a.why, {REASON_CHARS})')} AS reason, row_number() OVER (PARTITION BY q.form_id, q.blank_id ORDER BY a.n DESC) AS k
+  FROM (SELECT form_id, n, answer.id AS qid, CASE WHEN answer.key IN ('', 'null') THEN NULL ELSE answer.key END AS key, coalesce(answer.why, '') AS why FROM {answer} e WHERE answer IS NOT NULL) a
+  JOIN question_ids q ON q.form_id = a.form_id AND q.qid = a.qid LEFT JOIN fields f ON f.key = a.key WHERE a.key IS NULL OR f.key IS NOT NULL) s WHERE k = 1"""
+
+
+def reply_questions(d: Spark) -> str:
+    """What replies ask back, at most twelve questions, cut and scrubbed; a reply that is no JSON has a reason instead."""
+    asked = d.each(f"(SELECT form_id, said.questions AS questions FROM {_reply(d)} r WHERE said IS NOT NULL AND said.questions IS NOT NULL)", "questions", "n", "question")
     return f"""
-SELECT r.form_id, r.blank_id, CASE WHEN r.said = 'null' THEN NULL ELSE r.said END AS key FROM (
-  SELECT q.form_id, q.blank_id, coalesce({get}, CASE WHEN js LIKE concat('%"', qid, '":null%') THEN 'null' END) AS said
-  FROM question_ids q JOIN (SELECT form_id, {d.extract('text', '([{].*[}])', 1)} AS js FROM replies) j ON j.form_id = q.form_id) r
-LEFT JOIN fields f ON f.key = r.said WHERE r.said = 'null' OR f.key IS NOT NULL"""
+SELECT form_id, CAST(n + 1 AS BIGINT) AS ord, {T.scrub_shapes(d, f'left(question, {QUESTION_CHARS})')} AS question, CAST(NULL AS STRING) AS refused FROM {asked} e WHERE n < {QUESTIONS} AND question IS NOT NULL
+UNION ALL SELECT form_id, NULL, NULL, 'the reply holds no JSON' FROM {_reply(d)} r WHERE said IS NULL"""
 
 
 def apply_reading(d: Spark) -> str:
-    """The plan with a model's reading over it: null clears, a key replaces where that is allowed."""
+    """The plan with a model's reading over it, and why.
+
+    Blanks that are locked, and boxes to tick, stay as they are. No key clears. A key replaces another, if it is no
+    picture, choice or key that was ruled out, the blank is no box of a group and was not emptied on purpose; its value is
+    the one that is stored, and a key that is not stored is missing.
+    """
     return """
-SELECT p.form_id, p.blank_id, CASE WHEN r.blank_id IS NULL OR b.kind = 'checkbox' OR e.key IS NOT NULL OR f.image THEN p.key ELSE r.key END AS key,
-       CASE WHEN r.blank_id IS NULL OR b.kind = 'checkbox' OR e.key IS NOT NULL OR f.image OR r.key = p.key THEN p.value ELSE v.value END AS value
-FROM plan_entries p JOIN blanks b ON b.form_id = p.form_id AND b.blank_id = p.blank_id JOIN forms g ON g.form_id = p.form_id
-LEFT JOIN parse_replies r ON r.form_id = p.form_id AND r.blank_id = p.blank_id
-LEFT JOIN fields f ON f.key = r.key LEFT JOIN either_or e ON e.form_id = p.form_id AND e.key = r.key
-LEFT JOIN resolve_value v ON v.slug = g.slug AND v.key = r.key"""
+SELECT form_id, blank_id, CASE WHEN does = 'fill' THEN new_key WHEN does = 'clear' THEN NULL ELSE key END AS key, CASE WHEN does = 'fill' THEN new_value WHEN does = 'clear' THEN NULL ELSE value END AS value,
+       CASE WHEN does = 'miss' THEN new_key END AS missing_key,
+       CASE WHEN does = 'clear' AND reason <> '' THEN concat('left empty by the model: ', reason) WHEN does = 'clear' THEN 'left empty by the model' WHEN does = 'miss' THEN concat('the model wants ', title, ' here, which is not stored')
+            WHEN does = 'fill' AND value IS NOT NULL AND key IS NOT NULL THEN concat('corrected by the model from ', key, ': ', reason) WHEN does = 'fill' AND reason <> '' THEN concat('model: ', reason) WHEN does = 'fill' THEN 'filled by the model' END AS note
+FROM (
+  SELECT p.form_id, p.blank_id, p.key, p.value, r.key AS new_key, v.value AS new_value, r.reason, f.title,
+         CASE WHEN r.blank_id IS NULL OR b.readonly OR b.kind = 'checkbox' THEN 'keep' WHEN r.key IS NULL THEN CASE WHEN p.value IS NOT NULL THEN 'clear' ELSE 'keep' END
+              WHEN f.image OR c.choice IS NOT NULL OR e.key IS NOT NULL OR b.grp IS NOT NULL OR p.value IS NULL AND h.action = 'clear' OR p.value IS NOT NULL AND r.key = p.key THEN 'keep'
+              WHEN v.value IS NOT NULL THEN 'fill' WHEN k.key IS NOT NULL THEN 'keep' ELSE 'miss' END AS does
+  FROM plan_entries p JOIN blanks b ON b.form_id = p.form_id AND b.blank_id = p.blank_id JOIN forms g ON g.form_id = p.form_id
+  LEFT JOIN parse_replies r ON r.form_id = p.form_id AND r.blank_id = p.blank_id
+  LEFT JOIN apply_edits h ON h.form_id = p.form_id AND h.blank_id = p.blank_id
+  LEFT JOIN fields f ON f.key = r.key LEFT JOIN (SELECT DISTINCT choice FROM choices) c ON c.choice = r.key LEFT JOIN either_or e ON e.form_id = p.form_id AND e.key = r.key
+  LEFT JOIN resolve_value v ON v.slug = g.slug AND v.key = r.key LEFT JOIN has_key k ON k.slug = g.slug AND k.key = r.key) s"""
 
 
 def apply_edits(d: Spark) -> str:
@@ -107,14 +192,15 @@ def overlay_precedence(d: Spark) -> str:
     """
     changed = "r.blank_id IS NOT NULL AND coalesce(r.value, '') <> coalesce(p.value, '')"
     return f"""
-SELECT p.form_id, p.blank_id, CASE WHEN h.action IS NOT NULL THEN nullif(h.value, '') WHEN {changed} THEN r.value WHEN m.value IS NOT NULL THEN m.value ELSE p.value END AS value,
-       CASE WHEN h.action IS NOT NULL THEN 'hand' WHEN {changed} THEN 'model' WHEN m.value IS NOT NULL THEN 'memory' ELSE 'plan' END AS source
+SELECT p.form_id, p.blank_id, CASE WHEN h.action IS NOT NULL THEN nullif(h.value, '') WHEN {changed} THEN r.value WHEN m.blank_id IS NOT NULL THEN m.value ELSE p.value END AS value,
+       CASE WHEN h.action IS NOT NULL THEN 'hand' WHEN {changed} THEN 'model' WHEN m.blank_id IS NOT NULL THEN 'memory' ELSE 'plan' END AS source
 FROM plan_entries p LEFT JOIN apply_reading r ON r.form_id = p.form_id AND r.blank_id = p.blank_id
 LEFT JOIN apply_memory m ON m.form_id = p.form_id AND m.blank_id = p.blank_id LEFT JOIN apply_edits h ON h.form_id = p.form_id AND h.blank_id = p.blank_id"""
 
 
 def latest_generation(d: Spark) -> str:
-    return "SELECT e.form_id, e.seq, e.value FROM edits e JOIN (SELECT form_id, MAX(seq % 5) AS g FROM edits GROUP BY form_id) m ON m.form_id = e.form_id AND e.seq % 5 = m.g"
+    """Results of each document's last request; those of earlier ones are dropped."""
+    return "SELECT r.form_id, r.generation, r.seq, r.value FROM results r JOIN (SELECT form_id, MAX(generation) AS g FROM results GROUP BY form_id) m ON m.form_id = r.form_id AND r.generation = m.g"
 
 
 def memory_json(spark: SparkSession, remember_form: DataFrame) -> DataFrame:
@@ -123,19 +209,20 @@ def memory_json(spark: SparkSession, remember_form: DataFrame) -> DataFrame:
 
 
 OPERATORS = [
-    Operator("fingerprint_page_form", ("blanks", "forms"), fingerprint_page_form),
+    Operator("fingerprint_page_form", ("blanks", "forms", "form_pages"), fingerprint_page_form),
     Operator("fingerprint_stream_form", ("blanks", "forms"), fingerprint_stream_form),
-    Operator("same_form", ("blanks",), same_form),
-    Operator("remember_form", ("edits", "plan_entries"), remember_form),
-    Operator("forget_form", ("edits",), forget_form),
-    Operator("restore_placed", ("blanks",), restore_placed),
-    Operator("apply_memory", ("plan_entries", "blanks", "remember_form", "forms", "resolve_value", "either_or"), apply_memory),
+    Operator("fingerprints", ("fingerprint_page_form", "fingerprint_stream_form"), fingerprints),
+    Operator("same_form", ("fingerprints",), same_form),
+    Operator("forget_form", ("edits", "fingerprints"), forget_form),
+    Operator("remember_form", ("forget_form", "apply_reading", "blanks", "apply_edits", "choices", "offsets", "annotations"), remember_form),
+    Operator("restore_placed", ("remember_form", "fingerprints", "blanks"), restore_placed),
+    Operator("apply_memory", ("forms", "fingerprints", "remember_form", "plan_entries", "blanks", "qualifier_lists", "text_verdicts", "fields", "choices", "either_or", "resolve_value", "tick_choices", "splits"), apply_memory),
     Operator("question_ids", ("blanks",), question_ids),
-    Operator("replies", ("forms",), replies),
+    Operator("reply_questions", ("replies",), reply_questions),
     Operator("parse_replies", ("question_ids", "replies", "fields"), parse_replies),
-    Operator("apply_reading", ("plan_entries", "blanks", "forms", "parse_replies", "fields", "either_or", "resolve_value"), apply_reading),
+    Operator("apply_reading", ("plan_entries", "blanks", "forms", "parse_replies", "apply_edits", "fields", "choices", "either_or", "resolve_value", "has_key"), apply_reading),
     Operator("apply_edits", ("edits",), apply_edits),
     Operator("overlay_precedence", ("plan_entries", "apply_reading", "apply_memory", "apply_edits"), overlay_precedence),
-    Operator("latest_generation", ("edits",), latest_generation),
+    Operator("latest_generation", ("results",), latest_generation),
     Operator("memory_json", ("remember_form",), lambda d: CHECKS["memory_json"], memory_json),
 ]

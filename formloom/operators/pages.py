@@ -11,15 +11,29 @@ def page_info(d: Spark) -> str:
 
 
 def page_spec(d: Spark) -> str:
-    """Specs file#ranges@turn to single pages in order; '4-' runs to the end, bad ones are marked."""
-    p = r"^(f[0-9]+)(#([0-9,-]+))?(@([0-9]+))?$"
-    ok = f"({d.like('spec', p)} AND coalesce(TRY_CAST(nullif({d.extract('spec', p, 5)}, '') AS BIGINT), 0) % 90 = 0)"
-    part = f"(SELECT form_id, spec, page_count, turn, CAST(i AS BIGINT) AS i, part FROM {d.each('(SELECT s.form_id, s.spec, f.page_count, coalesce(TRY_CAST(nullif(' + d.extract('s.spec', p, 5) + chr(44) + ' ' + chr(39) * 2 + ') AS BIGINT), 0) AS turn, ' + d.split('coalesce(nullif(' + d.extract('s.spec', p, 3) + ', ' + chr(39) * 2 + '), ' + chr(39) + '1-' + chr(39) + ')', ',') + ' AS parts FROM page_specs s JOIN forms f ON f.form_id = s.form_id WHERE ' + ok.replace('spec', 's.spec') + ')', 'parts', 'i', 'part')} p0)"
-    lo = f"CAST({d.extract('part', '^([0-9]+)', 1)} AS BIGINT)"
-    hi = f"CASE WHEN {d.like('part', '-$')} THEN page_count WHEN part LIKE '%-%' THEN CAST({d.extract('part', '-([0-9]+)$', 1)} AS BIGINT) ELSE {lo} END"
+    """Specs file#ranges@turn to single pages in order, or to one row with the reason for refusing them.
+
+    Ranges are numbers, a-b, or a- up to the end; no ranges are all pages. A spec is refused as a whole.
+    """
+    number = "^-?[0-9]+$"
+    range_ = "^[0-9]+( *- *[0-9]*)?$"
+    bound = lambda x, k: f"CAST(nullif({d.extract(x, '^([0-9]+) *(-?) *([0-9]*)$', k)}, '') AS BIGINT)"
+    low = lambda x: bound(x, 1)
+    high = lambda x: f"CASE WHEN {x} LIKE '%-%' THEN coalesce({bound(x, 3)}, page_count) ELSE {low(x)} END"
+    listed = d.filter(d.map(d.split("CASE WHEN rest = '' THEN '1-' ELSE rest END", ","), "p_", "trim(p_)"), "p_", "p_ <> ''")
     return f"""
-SELECT form_id, CAST(row_number() OVER (PARTITION BY form_id ORDER BY i, page) AS BIGINT) AS ord, page, turn
-FROM (SELECT form_id, turn, i, lo + CAST(k AS BIGINT) AS page, page_count FROM {d.each('(SELECT *, ' + d.seq('lo', 'hi') + ' AS seq_ FROM (SELECT *, ' + lo + ' AS lo, ' + hi + ' AS hi FROM ' + part + ' q) q2)', 'seq_', 'k', 'j')} x0) x WHERE page <= page_count"""
+WITH cut AS (
+  SELECT s.form_id, s.spec, f.page_count, {d.extract('s.spec', '^([^#]*)', 1)} AS file_, {d.extract('s.spec', '^[^#]*#([^@]*)', 1)} AS rest, {d.extract('s.spec', '^[^#]*#[^@]*@(.*)$', 1)} AS turn_text
+  FROM page_specs s JOIN forms f ON f.form_id = s.form_id),
+parts_ AS (SELECT *, CASE WHEN turn_text = '' THEN 0 ELSE TRY_CAST(turn_text AS BIGINT) END AS turn, {listed} AS parts FROM cut),
+tried AS (
+  SELECT *, CASE WHEN file_ = '' THEN 'no file' WHEN turn_text <> '' AND NOT {d.like('turn_text', number)} THEN 'the turn is no number' WHEN turn % 90 <> 0 THEN 'the turn is no quarter'
+    WHEN {d.exists('parts', 'p_', f'NOT {d.like("p_", range_)}')} THEN 'the pages are no numbers'
+    WHEN {d.exists('parts', 'p_', f'NOT coalesce({low("p_")} BETWEEN 1 AND page_count AND {high("p_")} BETWEEN {low("p_")} AND page_count, false)')} THEN 'the file has no such pages' END AS reason
+  FROM parts_),
+ranges_ AS (SELECT form_id, turn, i, {d.seq(low('part'), high('part'))} AS pages_ FROM {d.each('(SELECT form_id, turn, page_count, parts FROM tried WHERE reason IS NULL)', 'parts', 'i', 'part')} r)
+SELECT form_id, CAST(row_number() OVER (PARTITION BY form_id ORDER BY i, k) AS BIGINT) AS ord, CAST(page AS BIGINT) AS page, turn, CAST(NULL AS STRING) AS reason FROM {d.each('ranges_', 'pages_', 'k', 'page')} p
+UNION ALL SELECT form_id, NULL, NULL, NULL, reason FROM tried WHERE reason IS NOT NULL"""
 
 
 def assemble_pages(d: Spark) -> str:
@@ -39,7 +53,7 @@ def form_manifest(d: Spark) -> str:
 
 def paragraph_admission(d: Spark) -> str:
     """Bodies refused for their size, for declarations that could expand, or for holding nothing."""
-    return "SELECT page_id, CASE WHEN length(html) > 4000 THEN 'too large' WHEN upper(html) LIKE '%<!ENTITY%' THEN 'entity' WHEN trim(html) = '' THEN 'no body' WHEN html NOT LIKE '%<article>%' THEN 'no article' ELSE 'ok' END AS reason FROM pages"
+    return "SELECT page_id, CASE WHEN length(html) > 67108864 THEN 'too large' WHEN upper(html) LIKE '%<!ENTITY%' THEN 'entity' WHEN trim(html) = '' THEN 'no body' WHEN html NOT LIKE '%<article>%' THEN 'no article' ELSE 'ok' END AS reason FROM pages"
 
 
 def recent_forms(d: Spark) -> str:

@@ -74,8 +74,8 @@ def kind_from_flags(d: Spark) -> str:
 
 
 def scrub_stream(d: Spark) -> str:
-    """Labels of a text stream without what follows their colon."""
-    return f"SELECT form_id, seq, {d.rx('text', r':\s*\S.*$', ':')} AS text FROM gap_lines"
+    """Labels of a text stream without what follows their colons."""
+    return f"SELECT form_id, seq, {T.scrub_stream(d, 'text')} AS text FROM gap_lines"
 
 
 OPERATORS = [

@@ -104,12 +104,9 @@ SELECT form_id, blank_id, last_[1].v AS value, last_[1].s AS source FROM (
   SELECT p.form_id, p.blank_id, [x FOR x IN [
     {'on_': h.action IS NOT NULL, 'v': CASE WHEN h.action = 'set' AND h.value <> '' THEN h.value END, 's': 'hand'},
     {'on_': r.blank_id IS NOT NULL AND coalesce(r.value, '') <> coalesce(p.value, ''), 'v': r.value, 's': 'model'},
-    {'on_': m.value IS NOT NULL, 'v': m.value, 's': 'memory'}, {'on_': true, 'v': p.value, 's': 'plan'}] IF x.on_] AS last_
+    {'on_': m.blank_id IS NOT NULL, 'v': m.value, 's': 'memory'}, {'on_': true, 'v': p.value, 's': 'plan'}] IF x.on_] AS last_
   FROM plan_entries p LEFT JOIN apply_reading r USING (form_id, blank_id) LEFT JOIN apply_memory m USING (form_id, blank_id) LEFT JOIN apply_edits h USING (form_id, blank_id)) o""",
     "apply_edits": "SELECT form_id, blank_id, action, CASE WHEN action = 'set' THEN value ELSE '' END AS value FROM (SELECT DISTINCT ON (form_id, blank_id) * FROM edits WHERE action IN ('set', 'clear') ORDER BY form_id, blank_id, seq DESC) e",
-    "same_form": """
-WITH f AS (SELECT form_id, sha256(array_to_string(list(kind || '|' || label_id ORDER BY blank_no), ';')) AS fingerprint FROM blanks GROUP BY form_id)
-SELECT fingerprint, count(*) AS n, min(form_id) AS first_form FROM f GROUP BY fingerprint""",
     "line_cluster": "SELECT form_id, page, word_no, text, dense_rank() OVER (PARTITION BY form_id, page ORDER BY y0) - 1 AS line FROM words",  # these words stand on a grid
     "identity_json": "SELECT slug, key, value FROM stored_value WHERE value <> ''",  # a round trip changes nothing
     "memory_json": "SELECT form_id, blank_id, key FROM remember_form WHERE key <> ''",

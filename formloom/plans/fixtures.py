@@ -154,12 +154,16 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber""", ("lineitem",)),
 SELECT concat('/in/f', CAST(user_id AS STRING), CASE WHEN user_id % 10 = 0 THEN '.txt' WHEN user_id % 4 = 0 THEN '-filled.pdf' WHEN user_id % 3 = 0 THEN '.docx' ELSE '.pdf' END) AS path,
        CAST(floor(value * 100) AS BIGINT) AS size, CAST(ts AS TIMESTAMP) AS ts FROM events""", ("events",)),
         "edits": ("""
-SELECT event_id % 1500 AS form_id, concat('b', CAST(1 + event_id % 7 AS STRING)) AS blank_id, concat('c', CAST(user_id AS STRING)) AS slug,
-       CASE event_type WHEN 'click' THEN 'set' WHEN 'error' THEN 'clear' WHEN 'signup' THEN 'forget' WHEN 'purchase' THEN 'save' ELSE 'none' END AS action,
-       concat('v', CAST(event_id AS STRING)) AS value, event_id AS seq FROM events""", ("events",)),
+SELECT e.event_id % 1500 AS form_id, concat('b', CAST(1 + e.event_id % 7 AS STRING)) AS blank_id, CASE WHEN e.event_id % 3 = 0 OR f.slug IS NULL THEN concat('c', CAST(e.user_id AS STRING)) ELSE f.slug END AS slug,
+       CASE e.event_type WHEN 'click' THEN 'set' WHEN 'error' THEN 'clear' WHEN 'signup' THEN 'forget' WHEN 'purchase' THEN 'save' ELSE 'none' END AS action,
+       concat('v', CAST(e.event_id AS STRING)) AS value, e.event_id AS seq FROM events e LEFT JOIN forms f ON f.form_id = e.event_id % 1500""", ("events", "forms")),
         "form_pages": (f"SELECT form_id, CAST(i + 1 AS BIGINT) AS page, CAST(612 AS DOUBLE) AS width, CAST(792 AS DOUBLE) AS height, (form_id * 90 * (i + 1)) % 720 - 360 AS rotation FROM {d.each('(SELECT form_id, ' + d.seq('1', 'page_count') + ' AS seq_ FROM forms)', 'seq_', 'i', 'j')}", ("forms",)),
-        "page_specs": ("SELECT form_id, concat('f', CAST(form_id AS STRING), CASE form_id % 6 WHEN 0 THEN '#1-3@90' WHEN 1 THEN '#2-' WHEN 2 THEN '#1,1@180' WHEN 3 THEN '#x' WHEN 4 THEN '#2@45' ELSE '' END) AS spec FROM forms", ("forms",)),
+        "page_specs": ("SELECT form_id, concat(CASE WHEN form_id % 41 = 0 THEN '' ELSE concat('f', CAST(form_id AS STRING)) END, CASE form_id % 13 WHEN 0 THEN '#1-3@90' WHEN 1 THEN '#2-' WHEN 2 THEN '#1,1@180' WHEN 3 THEN '#x' WHEN 4 THEN '#2@45' WHEN 5 THEN '#1-99' WHEN 6 THEN '#2-1' WHEN 7 THEN '#@-90' WHEN 8 THEN '#1,, 2 ' WHEN 9 THEN '#0' WHEN 10 THEN '#,' WHEN 11 THEN '#1@half' ELSE '' END) AS spec FROM forms", ("forms",)),
         "regions": ("SELECT form_id, blank_no AS region_no, page, CASE WHEN blank_no % 2 = 0 THEN width_pt ELSE width_pt + 90 END AS x0, height_pt AS y0, width_pt + 40 AS x1, height_pt * 2 AS y1 FROM blanks0 WHERE label_id % 9 = 0", ("blanks0",)),
+        # what was put on a page by hand, how far blanks were dragged, and results of requests that overtook each other
+        "annotations": ("SELECT form_id, region_no, page, CASE region_no % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'text' WHEN 2 THEN 'tick' ELSE 'signature' END AS kind, x0, y0 FROM regions", ("regions",)),
+        "offsets": ("SELECT form_id, blank_id, CASE WHEN blank_no % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(blank_no AS DOUBLE) END AS dx, CASE WHEN blank_no % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(-2 AS DOUBLE) END AS dy FROM blanks0 WHERE kind = 'signature' OR blank_no % 4 = 1", ("blanks0",)),
+        "results": ("SELECT form_id, seq % 5 AS generation, seq, value FROM edits", ("edits",)),
         "gap_lines": (f"SELECT form_id, seq, {d.rx(d.rx('text', ' (the|la|de|und|of) ', ' _____ '), '^([A-Za-z]+) ', chr(92) + '1: ')} AS text FROM paragraphs", ("paragraphs",)),
         # every fourteenth word of a paragraph begins a field, with another one inside on forms of even number
         "runs": ("""
@@ -174,6 +178,11 @@ SELECT form_id, seq, CAST(k AS BIGINT) AS control_no, CASE WHEN (form_id + seq)
        CASE (form_id + k) % 5 WHEN 0 THEN 'checkbox' WHEN 1 THEN 'date' WHEN 2 THEN 'picture' WHEN 3 THEN 'text' END AS type_, seq % 6 = 5 AS placeholder, CASE WHEN (form_id + k) % 5 = 0 AND seq % 2 = 0 THEN '☒' ELSE word END AS own,
        CASE WHEN (form_id + k) % 5 = 0 AND seq % 2 = 0 THEN concat('☒ ', text) ELSE text END AS para
 FROM (SELECT w.form_id, w.seq, w.k, w.word, p.text FROM words0 w JOIN paragraphs p ON p.form_id = w.form_id AND p.seq = w.seq WHERE w.k BETWEEN 1 AND 3) c""", ("words0", "paragraphs")),
+        # a model's reply for every third form, with chatter around the JSON; some are cut off
+        "replies": ("""
+SELECT form_id, CASE WHEN form_id % 33 = 0 THEN 'I cannot answer.' WHEN form_id % 39 = 0 THEN '{"blanks": [' ELSE concat('Sure. {"blanks":[{"id":"q1","key":', CASE WHEN form_id % 2 = 0 THEN 'null' ELSE '"full_name"' END, ',"why":"call 555-010-0100 {now}"},{"id":"q2","key":"', CASE WHEN form_id % 5 = 0 THEN 'no_such_key' ELSE 'zip' END,
+       '"},{"id":"q3","key":"', CASE form_id % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'ssn' WHEN 2 THEN 'signature' ELSE 'city' END, '","why":"says so"},{"id":"q99","key":"city"},{"id":"q4","key":"state"},{"id":"q4","key":"', CASE WHEN form_id % 7 < 3 THEN 'null' ELSE 'country' END, '"}],"questions":["Are you married?","Born on 01/02/1990?"]} Done.') END AS text
+FROM forms WHERE form_id % 3 = 0""", ("forms",)),
         "cells": (f"SELECT form_id, CAST(0 AS BIGINT) AS tbl, CAST(seq AS BIGINT) AS row_, CAST(k AS BIGINT) AS col, CASE WHEN (length(word) + k) % 4 = 0 THEN '' ELSE word END AS text FROM words0 WHERE word <> ''", ("words0",)),
     }
     return out
