@@ -15,7 +15,8 @@ _BEST = "coalesce(nullif(inside, ''), nullif(right_, ''), CASE WHEN left_ <> ''
 
 
 def flip_rect(d: Spark) -> str:
-    return "SELECT form_id, page, src, least(x0, x1) AS x0, 792 - greatest(y0, y1) AS y0, greatest(x0, x1) AS x1, 792 - least(y0, y1) AS y1 FROM strokes"
+    """Boxes from the bottom left to boxes from the top left of their page, corners in order."""
+    return "SELECT s.form_id, s.page, s.src, least(s.x0, s.x1) AS x0, p.height - greatest(s.y0, s.y1) AS y0, greatest(s.x0, s.x1) AS x1, p.height - least(s.y0, s.y1) AS y1 FROM strokes s JOIN word_pages p ON p.form_id = s.form_id AND p.page = s.page"
 
 
 #: Fixed value: how far a word's centre may lie from its line's first word, as a share of the smaller height.
@@ -81,13 +82,22 @@ def label_all_text(d: Spark) -> str:
 
 
 def tooltip_override(d: Spark) -> str:
-    """A native name as tooltip takes the place of the label found on the page."""
-    return "SELECT form_id, blank_id, CASE WHEN native_name <> '' THEN native_name ELSE left_ END AS left_, CASE WHEN native_name <> '' THEN '' ELSE above END AS above, CASE WHEN native_name <> '' THEN '' ELSE inside END AS inside, native_name <> '' AS authoritative FROM blanks"
+    """A tooltip is the form's own word for a blank: it takes the place of the label found on the page."""
+    return "SELECT form_id, blank_id, CASE WHEN tooltip <> '' THEN tooltip ELSE left_ END AS left_, CASE WHEN tooltip <> '' THEN '' ELSE above END AS above, CASE WHEN tooltip <> '' THEN '' ELSE inside END AS inside, authoritative OR tooltip <> '' AS authoritative FROM raw_blanks"
+
+
+# Fixed value: a form's own line number before a label, which a pointer may lead in.
+OWN_NUMBER = r"^([Ss]ee\s+)?[0-9]{1,2}([a-z]\s+|\s*)([A-Z(])"
 
 
 def label_display(d: Spark) -> str:
-    t = d.rx(d.rx("label", r"^(See )?[0-9]{1,2}[a-z]?\s*", ""), r"[\s.:]+$", "")
-    return f"SELECT form_id, blank_id, CASE WHEN length(t) > 52 THEN concat(rtrim(left(t, 51)), '…') ELSE t END AS display FROM (SELECT form_id, blank_id, {t} AS t FROM blanks) b"
+    """A blank's label on one line: the words that its match came from, else its best; without the form's line number, cut at 52."""
+    best = _BEST.format(nl=d.size(d.split("left_", " ")), na=d.size(d.split("above", " ")))
+    matched = "CASE m.source WHEN 'inside' THEN b.inside WHEN 'right' THEN b.right_ WHEN 'left' THEN b.left_ WHEN 'above' THEN b.above END"
+    return f"""
+SELECT form_id, blank_id, CASE WHEN t = '' THEN 'unlabelled' WHEN length(t) > 52 THEN concat(rtrim(left(t, 51)), '…') ELSE t END AS display FROM (
+  SELECT form_id, blank_id, {d.rx('label', OWN_NUMBER, chr(92) + '3')} AS t FROM (
+    SELECT b.form_id, b.blank_id, trim(coalesce(nullif({matched}, ''), b.best, '')) AS label FROM (SELECT *, {best} AS best FROM blanks) b LEFT JOIN match_blank m ON m.form_id = b.form_id AND m.blank_id = b.blank_id) l) d"""
 
 
 def capacity(d: Spark) -> str:
@@ -148,39 +158,42 @@ def reading_order(d: Spark) -> str:
 
 
 def chars_to_words(d: Spark) -> str:
-    """Characters with places to words: white space breaks a run."""
-    chars = f"(SELECT form_id, seq, i, substr(text, CAST(i + 1 AS INT), 1) AS ch FROM {d.each('(SELECT form_id, seq, text, ' + d.seq('1', 'length(text)') + ' AS seq_ FROM paragraphs)', 'seq_', 'i', 'j')} c0)"
+    """A page's characters with boxes to words: white space breaks a run, a word's box holds its characters' boxes."""
+    blank = d.like("ch", f"^[{T.SPACE}]*$")
     return f"""
-SELECT form_id, seq, word_no, {d.listagg('ch', '', 'i')} AS text, CAST(MIN(i) * 5 AS BIGINT) AS x0, CAST(MAX(i) * 5 + 5 AS BIGINT) AS x1
-FROM (SELECT form_id, seq, i, ch, CAST(SUM(CASE WHEN ch = ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, seq ORDER BY i) AS BIGINT) AS word_no FROM {chars} c) r WHERE ch <> ' ' GROUP BY form_id, seq, word_no"""
+SELECT form_id, page, word_no, {d.listagg('ch', '', 'i')} AS text, MIN(x0) AS x0, MIN(y0) AS y0, MAX(x1) AS x1, MAX(y1) AS y1
+FROM (SELECT *, CAST(SUM(CASE WHEN {blank} THEN 1 ELSE 0 END) OVER (PARTITION BY form_id, page ORDER BY i) AS BIGINT) AS word_no FROM chars) r WHERE NOT {blank} GROUP BY form_id, page, word_no"""
+
+
+# The resolution that pages are read at, and the least confidence of a word.
+DPI, CONFIDENCE = 150, 40
 
 
 def ocr_words(d: Spark) -> str:
     """Tab-separated recognition rows to words: 12 columns, text, confidence of 40 or more, pixels to points."""
-    row = "concat_ws('\t', '5', '1', CAST(line_no AS STRING), '0', '0', CAST(word_no AS STRING), CAST(x0 * 2 AS STRING), CAST(y0 * 2 AS STRING), '0', '0', CAST(length(text) * 17 % 100 AS STRING), text)"
     cell = lambda k: d.at("c", str(k))
-    tab = d.split("row_", "\t")
+    points = lambda k: f"TRY_CAST({cell(k)} AS DOUBLE) * 72 / {DPI}"
     return f"""
-SELECT form_id, page, {cell(12)} AS text, CAST({cell(7)} AS DOUBLE) * 72 / 150 AS x0, CAST({cell(8)} AS DOUBLE) * 72 / 150 AS y0
-FROM (SELECT form_id, page, {tab} AS c FROM (SELECT form_id, page, {row} AS row_ FROM words) t) r WHERE {d.size('c')} >= 12 AND trim({cell(12)}) <> '' AND TRY_CAST({cell(11)} AS DOUBLE) >= 40"""
+SELECT form_id, page, {cell(12)} AS text, {points(7)} AS x0, {points(8)} AS y0, {points(7)} + {points(9)} AS x1, {points(8)} + {points(10)} AS y1
+FROM (SELECT form_id, page, {d.split('row_', chr(9))} AS c FROM ocr_tsv) r WHERE {d.size('c')} >= 12 AND trim({cell(12)}) <> '' AND TRY_CAST({cell(11)} AS DOUBLE) >= {CONFIDENCE}"""
 
 
 OPERATORS = [
-    Operator("flip_rect", ("strokes",), flip_rect),
+    Operator("flip_rect", ("strokes", "word_pages"), flip_rect),
     Operator("line_cluster", ("words",), lambda d: CHECKS["line_cluster"], line_cluster),
     Operator("line_boxes", ("words",), line_boxes),
     Operator("label_clean", ("blanks",), label_clean),
     Operator("label_inside", ("boxes", "words"), label_inside),
     Operator("label_best", ("blanks",), label_best),
     Operator("label_all_text", ("blanks",), label_all_text),
-    Operator("tooltip_override", ("blanks",), tooltip_override),
-    Operator("label_display", ("blanks",), label_display),
+    Operator("tooltip_override", ("raw_blanks",), tooltip_override),
+    Operator("label_display", ("blanks", "match_blank"), label_display),
     Operator("capacity", ("blanks",), capacity),
     Operator("split_groups", ("raw_blanks",), split_groups),
     Operator("scanned_pages", ("form_pages", "words"), scanned_pages),
     Operator("hand_blanks", ("annotations",), hand_blanks),
     Operator("shift_blank", ("blanks", "hand_blanks", "offsets"), shift_blank),
     Operator("reading_order", ("blanks",), reading_order),
-    Operator("chars_to_words", ("paragraphs",), chars_to_words),
-    Operator("ocr_words", ("words",), ocr_words),
+    Operator("chars_to_words", ("chars",), chars_to_words),
+    Operator("ocr_words", ("ocr_tsv",), ocr_words),
 ]

@@ -54,10 +54,15 @@ SELECT slug, CASE WHEN address2 IS NULL THEN address1 WHEN {named} THEN concat(a
 FROM (SELECT slug, {_parts(d)} FROM stored_value GROUP BY slug) p WHERE address1 IS NOT NULL"""
 
 
-def derived_values(d: Spark) -> str:
-    """Today's date (a parameter, fixed here) and the letter of an LLC's tax classification."""
-    return """
-SELECT slug, 'date_today' AS key, '03/09/2024' AS value FROM identities
+#: The day that stands for today where no other is given, so that runs can be compared.
+AS_OF = "2024-03-09"
+
+
+def derived_values(d: Spark, as_of: str = AS_OF) -> str:
+    """Today's date, as a form writes it, and the letter of an LLC's tax classification."""
+    month, day, year = as_of[5:7], as_of[8:10], as_of[:4]
+    return f"""
+SELECT slug, 'date_today' AS key, '{month}/{day}/{year}' AS value FROM identities
 UNION ALL SELECT v.slug, 'llc_tax_code', c.code FROM stored_value v JOIN (SELECT DISTINCT answer, code FROM choices WHERE choice = 'tax_classification' AND code <> '') c
   ON v.value = c.answer WHERE v.key = 'tax_classification'"""
 
@@ -75,12 +80,19 @@ def values_in_hand(d: Spark) -> str:
     return f"SELECT v.slug, {d.collect('v.value')} AS in_hand FROM identity_values v LEFT JOIN fields f ON f.key = v.key WHERE v.tier <> 'vault' AND v.value <> '' AND NOT coalesce(f.image, false) GROUP BY v.slug"
 
 
+# The tax number that a kind of identity goes by.
+KIND_PREFERS = (("person", "ssn"), ("business", "ein"))
+
+
 def identity_preference(d: Spark) -> str:
-    return "SELECT slug, CASE WHEN kind = 'business' THEN 'ein' ELSE 'ssn' END AS prefer FROM identities"
+    """The keys that an identity prefers: those it says, else its kind's; other kinds prefer none."""
+    kinds = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND_PREFERS)
+    return f"SELECT slug, prefer FROM (SELECT slug, CASE WHEN prefers <> '' THEN prefers ELSE CASE kind {kinds} END END AS prefer FROM identities) p WHERE prefer IS NOT NULL"
 
 
 def preference_union(d: Spark) -> str:
-    return f"SELECT slug, {d.collect('k')} AS prefers FROM (SELECT slug, prefer AS k FROM identity_preference UNION ALL SELECT slug, 'ein' FROM identities WHERE ord % 3 = 0) u GROUP BY slug"
+    """What an identity prefers, and what a run does."""
+    return f"SELECT slug, {d.collect('k')} AS prefers FROM (SELECT slug, prefer AS k FROM identity_preference UNION ALL SELECT slug, key FROM run_prefers) u GROUP BY slug"
 
 
 def identity_summary(d: Spark) -> str:
@@ -161,13 +173,13 @@ def slugify(spark: SparkSession, slug_labels: DataFrame) -> DataFrame:
 
 
 def identity_lookup(d: Spark) -> str:
-    """Names (forms' slugs, labels in upper case, or unknown) to identities: by slug, by label, else the first identity."""
+    """Names to identities: by slug, else by label in any case, else the default."""
     return """
 SELECT n.form_id, n.name, coalesce(a.slug, b.slug, z.slug) AS slug
-FROM (SELECT form_id, CASE WHEN form_id % 3 = 0 THEN upper(concat('customer#', lpad(substr(slug, 2), 9, '0'))) WHEN form_id % 7 = 0 THEN 'nobody' ELSE slug END AS name FROM forms) n
+FROM asked_names n
 LEFT JOIN identities a ON a.slug = n.name
 LEFT JOIN (SELECT lower(label) AS low, min_by(slug, ord) AS slug FROM identities GROUP BY lower(label)) b ON b.low = lower(n.name)
-CROSS JOIN (SELECT min_by(slug, ord) AS slug FROM identities) z"""
+CROSS JOIN (SELECT MIN(slug) AS slug FROM default_slug) z"""
 
 
 #: Kinds of identities, and what a person is taxed as unless they say otherwise.
@@ -290,10 +302,10 @@ OPERATORS = [
     Operator("peek_value", ("identity_values",), peek_value),
     Operator("values_in_hand", ("identity_values", "fields"), values_in_hand),
     Operator("identity_preference", ("identities",), identity_preference),
-    Operator("preference_union", ("identity_preference", "identities"), preference_union),
+    Operator("preference_union", ("identity_preference", "run_prefers"), preference_union),
     Operator("identity_summary", ("identities", "stored_value"), identity_summary),
     Operator("slugify", ("slug_labels",), lambda d: CHECKS["slugify"], slugify),
-    Operator("identity_lookup", ("forms", "identities"), identity_lookup),
+    Operator("identity_lookup", ("asked_names", "identities", "default_slug"), identity_lookup),
     Operator("lives", ("changes", "fields", "choices"), lives),
     Operator("default_identity", ("lives",), lambda d: CHECKS["default_identity"], default_identity),
     Operator("identity_changelog", ("changes", "lives", "default_identity", "fields", "choices"), identity_changelog),

@@ -41,26 +41,39 @@ def assemble_pages(d: Spark) -> str:
 
 
 def rebuild_form(d: Spark) -> str:
-    """Field roots reached from the copied pages (nodes with the page's number), in order of first use."""
-    return "SELECT s.form_id, r.root, MIN(s.ord) AS first_ord FROM page_spec s JOIN field_roots r ON r.form_id = s.form_id AND r.node = s.page WHERE r.root IS NOT NULL GROUP BY s.form_id, r.root"
+    """Roots of the fields whose widgets stand on the copied pages, in order of first use."""
+    return "SELECT s.form_id, r.root, MIN(s.ord) AS first_ord FROM page_spec s JOIN widget_pages w ON w.form_id = s.form_id AND w.page = s.page JOIN field_roots r ON r.form_id = w.form_id AND r.node = w.node WHERE r.root IS NOT NULL GROUP BY s.form_id, r.root"
 
 
 def form_manifest(d: Spark) -> str:
     """Files by their suffix; others are refused."""
-    suffix = f"lower({d.extract('url', r'[.]([A-Za-z0-9]+)([?#].*)?$', 1)})"
-    return f"SELECT page_id, url, {suffix} AS suffix, CASE WHEN {suffix} IN ('pdf', 'docx', 'html') THEN {suffix} END AS fmt FROM pages"
+    suffix = f"lower({d.extract('path', r'[.]([A-Za-z0-9]+)$', 1)})"
+    return f"SELECT path, length, CASE WHEN {suffix} IN ('pdf', 'docx') THEN {suffix} END AS fmt FROM files"
+
+
+# Bytes of a body at most, and the declarations that it must not hold.
+BODY_BYTES, DECLARATIONS = 64 * 1024 * 1024, ("<!DOCTYPE", "<!ENTITY")
 
 
 def paragraph_admission(d: Spark) -> str:
-    """Bodies refused for their size, for declarations that could expand, or for holding nothing."""
-    return "SELECT page_id, CASE WHEN length(html) > 67108864 THEN 'too large' WHEN upper(html) LIKE '%<!ENTITY%' THEN 'entity' WHEN trim(html) = '' THEN 'no body' WHEN html NOT LIKE '%<article>%' THEN 'no article' ELSE 'ok' END AS reason FROM pages"
+    """Bodies refused for their size, for declarations that could expand, in either byte order of UTF-16 too, or for having no body.
+
+    A body with zero bytes or a byte order mark near its beginning is UTF-16; its text is that without the zero bytes.
+    """
+    size = "octet_length(body)" if d.name == "duck" else "length(body)"
+    text = "upper(coalesce({}, ''))".format("try(decode(unhex(plain)))" if d.name == "duck" else "try_validate_utf8(decode(unhex(plain), 'UTF-8'))")
+    wide = f"({d.like('left(h, 4)', '^(FFFE|FEFF)')} OR {d.like('left(h, 400)', '^(..)*00')})"
+    declared = " OR ".join(f"contains(t, '{x}')" for x in DECLARATIONS)
+    return f"""
+SELECT path, CASE WHEN n IS NULL THEN 'no document part' WHEN n > {BODY_BYTES} THEN 'too large' WHEN {declared} THEN 'declares entities' WHEN NOT contains(t, '<W:BODY') THEN 'no body' ELSE 'ok' END AS reason
+FROM (SELECT path, n, {text} AS t FROM (SELECT path, n, CASE WHEN {wide} THEN {d.rx(d.rx('h', '^(FFFE|FEFF)', ''), '(..)00|00(..)', chr(92) + '1' + chr(92) + '2')} ELSE h END AS plain FROM (SELECT path, {size} AS n, hex(body) AS h FROM parts) x) y) z"""
 
 
-def recent_forms(d: Spark) -> str:
-    """The newest hundred files without filled copies; those that are no forms (fewer than three blanks) drop after the limit."""
-    return """
-SELECT t.path, t.modified, t.blanks FROM (
-  SELECT path, MAX(ts) AS modified, MAX(size) % 9 AS blanks FROM arrivals WHERE NOT path LIKE '%-filled%' GROUP BY path ORDER BY modified DESC, path LIMIT 100) t WHERE t.blanks >= 3"""
+def recent_forms(d: Spark, most: int = 100) -> str:
+    """The newest files without filled copies; those that are no forms (fewer than three blanks) drop after the limit."""
+    return f"""
+SELECT t.path, t.modified, b.blanks FROM (SELECT path, modified FROM files WHERE {d.like('lower(path)', '[.](pdf|docx)$')} AND NOT contains(path, '-filled') ORDER BY modified DESC, path LIMIT {most}) t
+JOIN blank_counts b ON b.path = t.path WHERE b.blanks >= 3"""
 
 
 def arrivals_source(d: Spark) -> str:
@@ -80,19 +93,20 @@ def one_notice(d: Spark) -> str:
 
 
 def is_form(d: Spark) -> str:
-    return "SELECT n.path, n.ts, coalesce(b.blanks, 0) AS blanks, coalesce(b.blanks, 0) >= 3 AS is_form FROM one_notice n LEFT JOIN (SELECT path, MAX(size) % 9 AS blanks FROM arrivals WHERE size % 5 <> 0 GROUP BY path) b ON b.path = n.path"
+    """Whether an announced file has three blanks or more; one that could not be read has none."""
+    return "SELECT n.path, n.ts, coalesce(b.blanks, 0) AS blanks, coalesce(b.blanks, 0) >= 3 AS is_form FROM one_notice n LEFT JOIN blank_counts b ON b.path = n.path"
 
 
 OPERATORS = [
     Operator("page_info", ("form_pages",), page_info),
     Operator("page_spec", ("page_specs", "forms"), page_spec),
     Operator("assemble_pages", ("page_spec", "form_pages"), assemble_pages),
-    Operator("rebuild_form", ("page_spec", "field_roots"), rebuild_form),
-    Operator("form_manifest", ("pages",), form_manifest),
-    Operator("paragraph_admission", ("pages",), paragraph_admission),
-    Operator("recent_forms", ("arrivals",), recent_forms),
+    Operator("rebuild_form", ("page_spec", "widget_pages", "field_roots"), rebuild_form),
+    Operator("form_manifest", ("files",), form_manifest),
+    Operator("paragraph_admission", ("parts",), paragraph_admission),
+    Operator("recent_forms", ("files", "blank_counts"), recent_forms),
     Operator("arrivals_source", ("arrivals",), arrivals_source),
     Operator("settled_files", ("arrivals_source",), settled_files),
     Operator("one_notice", ("settled_files",), one_notice),
-    Operator("is_form", ("one_notice", "arrivals"), is_form),
+    Operator("is_form", ("one_notice", "blank_counts"), is_form),
 ]

@@ -32,18 +32,17 @@ def wanted_keys(d: Spark) -> str:
 
 
 def either_or(d: Spark) -> str:
-    """Keys ruled out where a form wants both sides: the preferred one stays, else neither if both could be answered.
+    """Keys ruled out where a form wants both sides of an either/or.
 
-    Every second form states the preference of its identity's kind.
+    A preferred side stays and the other goes, stored or not; of two that are preferred the first by name. Without a
+    preference both go if both could be answered, which is a conflict.
     """
-    return """
+    return f"""
 SELECT form_id, key, conflict FROM (
-  SELECT w.form_id, w.key, p.prefer IS NULL AS conflict,
-         CASE WHEN p.prefer IS NOT NULL THEN w.key <> p.prefer ELSE w.both_had = 2 AND w.had END AS out_
-  FROM (SELECT w.form_id, w.slug, w.key, h.key IS NOT NULL AS had,
-               COUNT(*) OVER (PARTITION BY w.form_id, w.slug) AS both_wanted, SUM(CASE WHEN h.key IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.form_id, w.slug) AS both_had
-        FROM wanted_keys w LEFT JOIN has_key h ON h.slug = w.slug AND h.key = w.key WHERE w.key IN ('ssn', 'ein')) w
-  LEFT JOIN identity_preference p ON p.slug = w.slug AND w.form_id % 2 = 0
+  SELECT w.form_id, w.key, w.stated IS NULL AS conflict, CASE WHEN w.stated IS NOT NULL THEN w.key <> w.stated ELSE w.both_had = 2 AND w.had END AS out_
+  FROM (SELECT w.form_id, w.key, h.key IS NOT NULL AS had, COUNT(*) OVER (PARTITION BY w.form_id, w.slug) AS both_wanted, SUM(CASE WHEN h.key IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.form_id, w.slug) AS both_had,
+               MIN(CASE WHEN coalesce({d.has('p.prefers', 'w.key')}, false) THEN w.key END) OVER (PARTITION BY w.form_id, w.slug) AS stated
+        FROM wanted_keys w LEFT JOIN has_key h ON h.slug = w.slug AND h.key = w.key LEFT JOIN preference_union p ON p.slug = w.slug WHERE w.key IN ('ssn', 'ein')) w
   WHERE w.both_wanted = 2) r WHERE out_"""
 
 
@@ -156,7 +155,7 @@ OPERATORS = [
     Operator("accept_groups", ("blanks", "match_blank", "fields"), accept_groups),
     Operator("blank_keys", ("blanks", "accept_groups", "match_blank"), blank_keys),
     Operator("wanted_keys", ("blank_keys", "forms"), wanted_keys),
-    Operator("either_or", ("wanted_keys", "has_key", "identity_preference"), either_or),
+    Operator("either_or", ("wanted_keys", "has_key", "preference_union"), either_or),
     Operator("plan_values", ("blank_keys", "splits", "forms", "fields", "either_or", "wanted_keys", "resolve_value", "street_line"), plan_values),
     Operator("suggestions", ("blank_keys", "fields"), suggestions),
     Operator("tick_choices", ("blanks", "text_verdicts", "choices", "forms", "stored_value"), tick_choices),

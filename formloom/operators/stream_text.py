@@ -26,12 +26,19 @@ def above_carry(d: Spark) -> str:
     return f"SELECT form_id, seq, coalesce({last} (PARTITION BY form_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS above FROM (SELECT form_id, seq, CASE WHEN trim(text) <> '' THEN text END AS h FROM paragraphs) p"
 
 
+# Points and characters of one underscore.
+UNDERSCORE_POINTS, UNDERSCORE_CHARS = 5.5, 1.6
+
+
 def underscore_blanks(d: Spark) -> str:
-    """Runs of three underscores or more: the label is the text since the run before."""
-    parts = d.split(d.rx("text", "_{3,}", "~"), "~") if d.name == "duck" else "split(text, '_{3,}')"
+    """Runs of three underscores or more: the label is the text since the run before, else the paragraph above; the run's length says how much it takes."""
+    parts = d.parts("text", "_{3,}")
+    n = f"length({d.at('runs_', 'i + 1')})"
     return f"""
-SELECT form_id, seq, CAST(i AS BIGINT) AS blank_no, {d.rx(d.rx('part', '^[ :]+', ''), '[ :]+$', '')} AS label, CAST(5 * 5.5 AS DOUBLE) AS width_pt, CAST(8 AS BIGINT) AS max_chars
-FROM (SELECT form_id, seq, i, part, n FROM {d.each('(SELECT form_id, seq, ' + d.size('parts') + ' AS n, parts FROM (SELECT form_id, seq, ' + parts + ' AS parts FROM gap_lines) g0)', 'parts', 'i', 'part')} p0) p WHERE i < n - 1"""
+SELECT p.form_id, p.seq, CAST(p.i AS BIGINT) AS blank_no, p.label, CASE WHEN p.label = '' THEN coalesce(a.above, '') ELSE '' END AS above, CAST(p.n * {UNDERSCORE_POINTS} AS DOUBLE) AS width_pt, CAST(floor(p.n * {UNDERSCORE_CHARS}) AS BIGINT) AS max_chars
+FROM (SELECT form_id, seq, i, {d.rx('part', '^[ :\\t]+|[ :\\t]+$', '')} AS label, {n} AS n
+      FROM {d.each('(SELECT form_id, seq, ' + parts + ' AS parts, ' + d.all('text', '_{3,}') + ' AS runs_ FROM gap_lines)', 'parts', 'i', 'part')} q WHERE i < {d.size('runs_')}) p
+LEFT JOIN above_carry a ON a.form_id = p.form_id AND a.seq = p.seq"""
 
 
 def table_cell_blanks(d: Spark) -> str:
@@ -116,7 +123,7 @@ OPERATORS = [
     Operator("para_headings", ("paragraphs",), para_headings),
     Operator("section_carry", ("paragraphs",), section_carry),
     Operator("above_carry", ("paragraphs",), above_carry),
-    Operator("underscore_blanks", ("gap_lines",), underscore_blanks),
+    Operator("underscore_blanks", ("gap_lines", "above_carry"), underscore_blanks),
     Operator("table_cell_blanks", ("cells",), table_cell_blanks),
     Operator("splice_values", ("gap_lines",), splice_values),
     Operator("field_machine", ("runs",), field_machine),

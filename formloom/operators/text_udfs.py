@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from formloom.functions import text
+from formloom.functions.dialect import SPARK
 from formloom.functions.dictionary import FIELDS, tokens
 
 FLOOR, SURE = 0.82, 0.75
@@ -46,11 +49,16 @@ def alias_fuzzy(label_texts: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def scrub_known(rows: DataFrame) -> DataFrame:
-    """rows (text, known array<string>) with the known values taken out, longest first, whatever their case."""
-    known = F.array_sort(F.filter("known", lambda v: F.length(v) > 1), lambda a, b: F.length(b) - F.length(a))
-    quoted = lambda v: F.concat(F.lit(r"(?i)\Q"), F.replace(v, F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
-    folded = rows.withColumn("text", nfc("text")).withColumn("known", known)
-    return folded.withColumn("text", F.aggregate("known", F.col("text"), lambda t, v: F.regexp_replace(t, quoted(v), F.lit("[answer]"))))
+    """rows (text, known array<string>) with the known values taken out, longest first, whatever their case.
+
+    Both are held in one Unicode form. A value of one character is taken out as a word after a colon only.
+    """
+    mark = "\x00"
+    folded = rows.withColumn("text", nfc("text")).withColumn("known", F.split(nfc(F.array_join(F.transform("known", lambda v: F.trim(F.replace(v, F.lit(mark), F.lit("")))), mark)), mark))
+    known = F.array_sort(F.array_distinct(F.filter("known", lambda v: v != "")), lambda a, b: F.when(F.length(b) != F.length(a), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    plain = lambda v: F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
+    cut = lambda t, v: F.when(F.length(v) > 1, F.regexp_replace(t, F.concat(F.lit("(?iu)"), plain(v)), F.lit("[answer]"))).otherwise(F.regexp_replace(t, F.concat(F.lit(r"(:\s*)"), plain(v), F.lit(r"(?![\p{L}\p{N}_])")), F.lit("$1[answer]")))
+    return folded.withColumn("known", known).withColumn("text", F.when(F.col("text").isNotNull(), F.aggregate("known", F.col("text"), cut)))
 
 
 def scrub_stream(text: Column) -> Column:
@@ -80,3 +88,34 @@ def prompt_batch(blanks: DataFrame) -> DataFrame:
     item = F.struct("blank_no", "qid", label.alias("label"), "kind")
     asked = blanks.groupBy("form_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return asked.select("form_id", F.to_json(F.transform("items", lambda x: F.struct(x["qid"].alias("id"), x["label"].alias("label"), x["kind"].alias("kind")))).alias("prompt"))
+
+
+#: Keys that no model is asked about: they are worked out.
+NOT_ASKED = ("date_today", "llc_tax_code")
+LABEL_CHARS = 220
+ASK = (
+    "Check how the blanks of a form were matched with stored details, for the {kind} who fills it. For every blank give the key of the detail that belongs there, or null to leave it empty: "
+    "the same key as matcher_put to agree, another one to correct it. Leave empty what is somebody else's, what you would need to know more for, and every checkbox. If in doubt, leave it empty. "
+    'Reply with JSON only: {{"blanks": [{{"id": "q1", "key": null, "why": "short"}}], "questions": []}}. Keys: {keys} Blanks: '
+)
+
+
+def prompts(blanks: DataFrame) -> DataFrame:
+    """form_id and the question that a model is asked about a form: keys by name, and blanks as they are printed, without any value.
+
+    blanks: form_id, blank_no, qid, kind, page, width_pt, label slots, fmt, identity_kind, put (the key that the matcher
+    filled in) and known (the form's and the identity's values, which are taken out of labels). Labels of a text stream
+    also lose what follows their colons.
+    """
+    slots = {"beside": F.when(F.col("right_") != "", F.col("right_")).otherwise(F.col("left_")), "above": F.col("above"), "section": F.col("section"), "field_name": F.col("native_name")}
+    base = blanks.select("form_id", "blank_no", "qid", "kind", "page", F.bround("width_pt").cast("long").alias("width_pt"), "fmt", "identity_kind", "put", "known", F.map_from_arrays(F.array(*map(F.lit, slots)), F.array(*slots.values())).alias("slots"))
+    texts = base.select("form_id", "blank_no", "known", "fmt", F.explode("slots").alias("slot", "text")).where("text <> ''")
+    shapes = F.expr(text.scrub_shapes(SPARK, "text"))
+    clean = scrub_known(texts).withColumn("text", shapes).withColumn("text", F.when(F.col("fmt") == "docx", F.expr(text.scrub_stream(SPARK, "text"))).otherwise(F.col("text")))
+    said = clean.groupBy("form_id", "blank_no").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.left("text", F.lit(LABEL_CHARS)).alias("text")))).alias("said"))
+    whole = base.drop("slots", "known").join(said, ["form_id", "blank_no"], "left")
+    item = F.struct("blank_no", F.struct(F.col("qid").alias("id"), "kind", "page", "width_pt", *[F.col("said")[c].alias(c) for c in slots], F.col("put").alias("matcher_put")).alias("blank"))
+    asked = whole.groupBy("form_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.max("identity_kind").alias("who"))
+    keys = json.dumps([{"key": k, "means": title} for k, title, _, _ in FIELDS if k not in NOT_ASKED])
+    before, after = ASK.format(kind="\x00", keys=keys).split("\x00")
+    return asked.select("form_id", F.concat(F.lit(before), "who", F.lit(after), F.to_json(F.transform("items", lambda x: x["blank"]))).alias("prompt"))

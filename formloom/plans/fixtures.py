@@ -89,13 +89,23 @@ SELECT form_id, blank_no, blank_id, label_id, kind, page, x0, y0, x0 + width_pt
        CASE WHEN label_id % 8 = 7 THEN label ELSE '' END AS inside, CASE WHEN kind = 'checkbox' THEN label ELSE '' END AS right_,
        CASE WHEN label_id % 8 NOT IN (6, 7) AND kind <> 'checkbox' THEN label ELSE '' END AS left_,
        CASE WHEN label_id % 8 = 6 THEN label ELSE '' END AS above, section, CASE WHEN blank_no % 13 = 5 AND label_id % 3 = 0 THEN 'Employers name and address' ELSE '' END AS row_,
-       CASE WHEN blank_no % 2 = 0 AND member = 0 THEN concat('f1_', CAST(blank_no AS STRING)) ELSE '' END AS native_name, label_id % 10 = 9 AS authoritative, label
+       CASE WHEN blank_no % 2 = 0 AND member = 0 THEN concat('f1_', CAST(blank_no AS STRING)) ELSE '' END AS native_name, CASE WHEN blank_no % 5 = 2 THEN concat('Enter ', label) ELSE '' END AS tooltip, label_id % 10 = 9 AS authoritative, label
 FROM (SELECT b.*, CASE member WHEN 2 THEN '-' WHEN 3 THEN '' ELSE c.label END AS label, s.section FROM blanks0 b JOIN label_catalogue c ON c.label_id = b.label_id JOIN section_catalogue s ON s.section_id = b.section_id) b""", ("blanks0", "label_catalogue", "section_catalogue")),
         "blanks": ("""
 SELECT r.form_id, r.blank_no, r.blank_id, r.label_id, r.kind, r.page, r.x0, r.y0, r.x1, r.y1, r.width_pt, r.height_pt, r.max_chars, r.readonly, r.scanned, r.inside, r.right_, r.left_,
        CASE WHEN g.grp IS NOT NULL AND r.left_ = '' AND r.above = '' THEN g.shared ELSE r.above END AS above, r.section, r.row_, r.native_name, r.authoritative, r.label, g.grp, g.grp_index
 FROM raw_blanks r LEFT JOIN split_groups g ON g.form_id = r.form_id AND g.blank_id = r.blank_id""", ("raw_blanks", "split_groups")),
-        "identities": (f"SELECT {_c('c_custkey')} AS slug, c_name AS label, 'person' AS kind, c_custkey AS ord FROM customer UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), s_name, 'business', 1000000000 + s_suppkey FROM supplier", ("customer", "supplier")),
+        "identities": (f"SELECT {_c('c_custkey')} AS slug, c_name AS label, CASE WHEN c_custkey % 4 = 0 THEN 'other' ELSE 'person' END AS kind, c_custkey AS ord, CASE WHEN c_custkey % 9 = 5 THEN 'ein' ELSE '' END AS prefers FROM customer UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), s_name, 'business', 1000000000 + s_suppkey, '' FROM supplier", ("customer", "supplier")),
+        "run_prefers": ("SELECT slug, 'ein' AS key FROM identities WHERE ord % 7 = 0", ("identities",)),
+        "default_slug": ("SELECT min_by(slug, ord) AS slug FROM identities", ("identities",)),
+        "asked_names": ("SELECT form_id, CASE WHEN form_id % 3 = 0 THEN upper(concat('customer#', lpad(substr(slug, 2), 9, '0'))) WHEN form_id % 7 = 0 THEN 'nobody' ELSE slug END AS name FROM forms", ("forms",)),
+        "files": ("SELECT concat('/in/p', CAST(page_id AS STRING), CASE page_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX' WHEN 2 THEN '-filled.pdf' WHEN 3 THEN '.docx' WHEN 4 THEN '.pdf' ELSE '.html' END) AS path, CAST(length(html) AS BIGINT) AS length, page_id * 7919 % 10007 AS modified FROM pages", ("pages",)),
+        # how many blanks a file was found to have; some could not be read
+        "blank_counts": ("SELECT path, length % 9 AS blanks FROM files WHERE length % 5 <> 0 UNION ALL SELECT path, MAX(size) % 9 FROM arrivals WHERE size % 5 <> 0 GROUP BY path", ("files", "arrivals")),
+        # bodies of documents, some declared, some in UTF-16 of either byte order, some missing
+        "parts": (f"""
+SELECT path, CASE WHEN page_id % 11 = 10 THEN NULL ELSE unhex(CASE page_id % 3 WHEN 1 THEN concat('FFFE', {d.rx('h', '(..)', chr(92) + '100')}) WHEN 2 THEN {d.rx('h', '(..)', '00' + chr(92) + '1')} ELSE h END) END AS body
+FROM (SELECT page_id, concat('/in/p', CAST(page_id AS STRING)) AS path, hex(encode_(concat(CASE WHEN page_id % 5 = 0 THEN '<!doctype x>' WHEN page_id % 7 = 0 THEN '<!Entity a>' ELSE '<?xml?>' END, CASE WHEN page_id % 4 = 0 THEN '' ELSE '<w:body/>' END, {d.rx('left(html, 200)', '[^ -;=-~]', '?')}))) AS h FROM pages) p""".replace("encode_(", "encode(" if d.name == "duck" else "("), ("pages",)),
         # labels of which many make one slug, some with a number that another's slug may have taken
         "slug_labels": ("SELECT ord, concat('Shop ', CAST(ord % 61 AS STRING), CASE ord % 7 WHEN 0 THEN ' & Co.' WHEN 1 THEN concat(' & co ', CAST(2 + ord % 9 AS STRING)) WHEN 2 THEN ' Co' WHEN 3 THEN concat('-co-', CAST(ord % 4 AS STRING), '-2') WHEN 4 THEN ' CO!' ELSE concat(' Co ', CAST(ord % 5 AS STRING)) END) AS label FROM identities", ("identities",)),
         # changes to identities: fifty libraries of a few identities each
@@ -164,6 +174,9 @@ SELECT e.event_id % 1500 AS form_id, concat('b', CAST(1 + e.event_id % 7 AS STRI
         "annotations": ("SELECT form_id, region_no, page, CASE region_no % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'text' WHEN 2 THEN 'tick' ELSE 'signature' END AS kind, x0, y0 FROM regions", ("regions",)),
         "offsets": ("SELECT form_id, blank_id, CASE WHEN blank_no % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(blank_no AS DOUBLE) END AS dx, CASE WHEN blank_no % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(-2 AS DOUBLE) END AS dy FROM blanks0 WHERE kind = 'signature' OR blank_no % 4 = 1", ("blanks0",)),
         "results": ("SELECT form_id, seq % 5 AS generation, seq, value FROM edits", ("edits",)),
+        "ocr_tsv": ("SELECT form_id, page, concat_ws('\t', '5', '1', CAST(line_no AS STRING), '0', '0', CAST(word_no AS STRING), CAST(CAST(x0 * 2 AS BIGINT) AS STRING), CAST(CAST(y0 * 2 AS BIGINT) AS STRING), CASE WHEN word_no % 17 = 3 THEN '' ELSE CAST(length(text) * 10 AS STRING) END, '20', CASE WHEN word_no % 19 = 4 THEN 'n/a' ELSE CAST(length(text) * 17 % 100 AS STRING) END, CASE WHEN word_no % 23 = 5 THEN ' ' ELSE text END) AS row_ FROM words", ("words",)),
+        "chars": (f"SELECT form_id, CAST(1 + seq // 60 AS BIGINT) AS page, CAST(seq % 60 * 100000 + i AS BIGINT) AS i, substr(text, CAST(i + 1 AS INT), 1) AS ch, CAST(5 * i AS DOUBLE) AS x0, CAST(12 * (seq % 60) AS DOUBLE) AS y0, CAST(5 * i + 5 AS DOUBLE) AS x1, CAST(12 * (seq % 60) + 10 AS DOUBLE) AS y1 FROM {d.each('(SELECT form_id, seq, line_ AS text, ' + d.seq('1', 'length(line_)') + ' AS seq_ FROM (SELECT form_id, seq, concat(text, chr(9)) AS line_ FROM paragraphs) l0)', 'seq_', 'i', 'j')} c0".replace("//", "//" if d.name == "duck" else "DIV"), ("paragraphs",)),
+        "widget_pages": ("SELECT form_id, node, 1 + node % 3 AS page FROM field_nodes", ("field_nodes",)),
         "gap_lines": (f"SELECT form_id, seq, {d.rx(d.rx('text', ' (the|la|de|und|of) ', ' _____ '), '^([A-Za-z]+) ', chr(92) + '1: ')} AS text FROM paragraphs", ("paragraphs",)),
         # every fourteenth word of a paragraph begins a field, with another one inside on forms of even number
         "runs": ("""

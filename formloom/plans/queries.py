@@ -37,16 +37,25 @@ def lazy_unlock(spark, sf_dir: str):
 
 
 def prompt_batch(spark, sf_dir: str):
-    blanks, ids = _table("blanks", spark, sf_dir), _table("question_ids", spark, sf_dir)
-    return text_udfs.prompt_batch(blanks.join(ids, ["form_id", "blank_id"]))
+    """What a model is asked about every form; values at hand serve to take them out of labels only."""
+    get = lambda name: _table(name, spark, sf_dir)
+    forms = get("forms").select("form_id", "slug", "fmt").join(get("identities").selectExpr("slug", "kind AS identity_kind"), "slug", "left")
+    forms = forms.join(get("values_in_hand").withColumnRenamed("in_hand", "known"), "slug", "left").withColumns({"known": F.coalesce("known", F.array().cast("array<string>")), "identity_kind": F.coalesce("identity_kind", F.lit("person"))})
+    put = get("plan_entries").where("value IS NOT NULL AND key IS NOT NULL").selectExpr("form_id", "blank_id", "key AS put")
+    return text_udfs.prompts(get("blanks").join(get("question_ids"), ["form_id", "blank_id"]).join(forms, "form_id").join(put, ["form_id", "blank_id"], "left"))
 
 
 def scrub_known(spark, sf_dir: str):
-    """Street lines with their identity's city and street scrubbed."""
+    """Street lines with their identity's values scrubbed."""
     lines, known = _table("street_line", spark, sf_dir), _table("values_in_hand", spark, sf_dir)
     return text_udfs.scrub_known(lines.join(known, "slug").selectExpr("slug", "street_line AS text", "in_hand AS known")).select("slug", "text")
 
 
+def memory_tables(spark, sf_dir: str):
+    """Memory files of forms, written as JSON from what was remembered, read as the rows of their five tables."""
+    return files.memory_json(files.memory_files(_table("remember_form", spark, sf_dir)))
+
+
 def filled_values_sink(spark, sf_dir: str):
     """Decisions written by format to a new folder, read back and counted."""
     out = f"{shared_dir(spark)}/formloom/filled-{uuid.uuid4().hex}"
@@ -65,12 +74,13 @@ def memory_upsert_stream(spark, sf_dir: str):
     return arrivals.memory_now(spark, path).select("fingerprint", "blank_id", "key", "seq")
 
 
-QUERIES |= {f.__name__: f for f in (filled_values_sink, memory_upsert_stream, sensitive_store, lazy_unlock, prompt_batch, scrub_known)}
+QUERIES |= {f.__name__: f for f in (filled_values_sink, memory_upsert_stream, sensitive_store, lazy_unlock, prompt_batch, scrub_known, memory_tables)}
 LAZY_UNLOCK = Operator("lazy_unlock", ("lazy_unlock_keys", "identity_values"), lambda d: "SELECT k.form_id, k.slug, k.key, v.value FROM lazy_unlock_keys k JOIN identity_values v ON v.slug = k.slug AND v.key = k.key AND v.tier = 'vault'")
 SINK = Operator("filled_values_sink", ("plan_values", "forms"), lambda d: "SELECT f.fmt, COUNT(*) AS n, COUNT(DISTINCT f.form_id) AS forms FROM plan_values p JOIN forms f ON f.form_id = p.form_id GROUP BY f.fmt")
 UPSERT = Operator("memory_upsert_stream", ("edits",), lambda d: "SELECT CAST(form_id AS VARCHAR) AS fingerprint, max_by(blank_id, seq) AS blank_id, max_by(slug, seq) AS key, MAX(seq) AS seq FROM edits WHERE action = 'save' GROUP BY form_id")
+TABLES = Operator("memory_tables", ("remember_form",), lambda d: "SELECT fingerprint, part, CASE WHEN part IN ('checked', 'cleared') THEN slug ELSE '' END AS slug, CASE WHEN part <> 'placed' THEN blank_id END AS blank_id, key, page, kind, x, y FROM remember_form")
 STORE = Operator("sensitive_store", ("identity_values",), lambda d: "SELECT slug, key, length(MAX(value)) + 28 AS n FROM identity_values WHERE tier = 'vault' AND value <> '' GROUP BY slug, key")
 
 
 def oracles() -> dict[str, str]:
-    return {n: oracle(o, OPERATORS) for n, o in OPERATORS.items()} | {o.name: oracle(o, OPERATORS) for o in (LAZY_UNLOCK, STORE, SINK, UPSERT)}
+    return {n: oracle(o, OPERATORS) for n, o in OPERATORS.items()} | {o.name: oracle(o, OPERATORS) for o in (LAZY_UNLOCK, STORE, SINK, UPSERT, TABLES)}

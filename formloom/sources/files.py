@@ -33,6 +33,39 @@ def identity_json(files: DataFrame) -> DataFrame:
     return out.where(F.trim("value") != "")
 
 
+def memory_json(memory: DataFrame) -> DataFrame:
+    """Memory files (fingerprint, json) as rows (fingerprint, part, slug, blank_id, key, page, kind, x, y) of five tables.
+
+    keys: blank to key. checked and cleared: blanks by identity; a plain list of checked ones is the saver's. placed:
+    objects with page, kind and place, others drop. moved: blanks with two numbers, others drop.
+    """
+    raw = F.from_json("json", "struct<keys:map<string,string>,checked:string,cleared:map<string,array<string>>,placed:array<string>,moved:map<string,string>,saved_by:string>")
+    df = memory.select("fingerprint", raw.alias("m")).where("m is not null")
+    none = {"slug": F.lit(""), "blank_id": F.lit(None).cast("string"), "key": F.lit(None).cast("string"), "page": F.lit(None).cast("long"), "kind": F.lit(None).cast("string"), "x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")}
+    part = lambda d, name, **cells: d.select("fingerprint", F.lit(name).alias("part"), *[(cells.get(c, e)).alias(c) for c, e in none.items()])
+    keys = part(df.select("fingerprint", F.explode("m.keys").alias("b", "k")), "keys", blank_id=F.col("b"), key=F.col("k"))
+    listed = F.when(F.col("m.checked").startswith("["), F.create_map(F.coalesce("m.saved_by", F.lit("")), F.from_json("m.checked", "array<string>")))
+    marks = lambda name, by: part(df.select("fingerprint", F.explode(by).alias("s", "l")).select("fingerprint", "s", F.explode("l").alias("b")), name, slug=F.col("s"), blank_id=F.col("b"))
+    checked = marks("checked", F.coalesce(listed, F.from_json("m.checked", "map<string,array<string>>")))
+    at = F.from_json("p", "struct<page:long,kind:string,x:double,y:double>")
+    placed = df.select("fingerprint", F.explode("m.placed").alias("p")).where(F.col("p").startswith("{")).select("fingerprint", at.alias("p"))
+    placed = part(placed, "placed", page=F.col("p.page"), kind=F.col("p.kind"), x=F.col("p.x"), y=F.col("p.y"))
+    moved = df.select("fingerprint", F.explode("m.moved").alias("b", "v")).select("fingerprint", "b", F.from_json("v", "array<double>").alias("v")).where("size(v) = 2 and v[0] is not null and v[1] is not null")
+    return keys.unionByName(checked).unionByName(marks("cleared", F.col("m.cleared"))).unionByName(placed).unionByName(part(moved, "moved", blank_id=F.col("b"), x=F.col("v")[0], y=F.col("v")[1]))
+
+
+def memory_files(remembered: DataFrame) -> DataFrame:
+    """What is remembered of every structure as one JSON object: the files that memory_json() reads."""
+    of = lambda part: F.col("part") == part
+    marks = remembered.where("part in ('checked', 'cleared')").groupBy("fingerprint", "part", "slug").agg(F.array_sort(F.collect_list("blank_id")).alias("blanks"))
+    marks = marks.groupBy("fingerprint").agg(*[F.map_from_entries(F.collect_list(F.when(of(p), F.struct("slug", "blanks")))).alias(p) for p in ("checked", "cleared")])
+    rest = remembered.groupBy("fingerprint").agg(
+        F.map_from_entries(F.collect_list(F.when(of("keys"), F.struct("blank_id", "key")))).alias("keys"), F.collect_list(F.when(of("placed"), F.struct("page", "kind", "x", "y"))).alias("placed"),
+        F.map_from_entries(F.collect_list(F.when(of("moved"), F.struct("blank_id", F.array("x", "y").alias("by"))))).alias("moved"),
+    )
+    return rest.join(marks, "fingerprint", "left").select("fingerprint", F.to_json(F.struct("keys", "checked", "cleared", "placed", "moved")).alias("json"))
+
+
 def write_filled(entries: DataFrame, source: str, out: str) -> None:
     """Decisions to a new folder, by format; never over the source, never over what is there."""
     if source.rstrip("/") == out.rstrip("/"):

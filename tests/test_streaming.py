@@ -1,5 +1,7 @@
 """Streams against their batch twins, sources and the operators with Python or encryption."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,42 @@ def test_scrubbing(spark):
     assert spark.createDataFrame([("Name: Ann",)], "t string").select(text_udfs.scrub_stream(F.col("t"))).first()[0] == "Name:"
     blanks = spark.createDataFrame([(1, 2, "q2", "call 5551234", "text"), (1, 1, "q1", "Name", "text")], "form_id long, blank_no long, qid string, label string, kind string")
     assert text_udfs.prompt_batch(blanks).first().prompt == '[{"id":"q1","label":"Name","kind":"text"},{"id":"q2","label":"call [answer]","kind":"text"}]'
+
+
+def test_known_values_of_one_character_and_form(spark):
+    rows = [("Middle initial: Q and Q", ["Q"]), ("Initial: Quest", ["Q"]), ("Jose\u0301 at RUE É", ["Jos\u00e9", "rue \u00e9", " ", ""]), ("a.c abc", ["a.c"]), ("x", []), (None, ["Ann"])]
+    df = spark.createDataFrame(rows, "text string, known array<string>")
+    assert [r.text for r in text_udfs.scrub_known(df).collect()] == ["Middle initial: [answer] and Q", "Initial: Quest", "[answer] at [answer]", "[answer] abc", "x", None]
+
+
+def test_a_prompt_names_keys_and_holds_no_value(spark):
+    cols = "form_id long, blank_no long, qid string, kind string, page long, width_pt double, right_ string, left_ string, above string, section string, native_name string, fmt string, identity_kind string, put string, known array<string>"
+    known = ["Alex Rivera", "97403", "Q"]
+    rows = [
+        (1, 2, "q2", "text", 1, 150.5, "", "Name: ALEX RIVERA", "Zip 97403 of Oak", "", "", "docx", "person", "full_name", known),
+        (1, 1, "q1", "checkbox", 2, 9.0, "Single", "left", "", "Part II", "f1", "docx", "person", None, known),
+        (2, 1, "q1", "text", 1, 10.0, "", "Born: 01/02/1990 " + "x" * 300, "", "", "", "pdf", "business", None, []),
+    ]
+    got = {r.form_id: r.prompt for r in text_udfs.prompts(spark.createDataFrame(rows, cols)).collect()}
+    assert not any(v.lower() in p.lower() for p in got.values() for v in known if len(v) > 1) and "1990" not in got[2]
+    asked = json.loads(got[1].partition("Blanks: ")[2])
+    assert asked == [
+        {"id": "q1", "kind": "checkbox", "page": 2, "width_pt": 9, "beside": "Single", "section": "Part II", "field_name": "f1"},
+        {"id": "q2", "kind": "text", "page": 1, "width_pt": 150, "beside": "Name: [answer]", "above": "Zip [answer] of Oak", "matcher_put": "full_name"},
+    ]
+    (other,) = json.loads(got[2].partition("Blanks: ")[2])
+    assert other["beside"].startswith("Born: [answer] xxx") and len(other["beside"]) == 220 and "for the business" in got[2]
+    keys = {x["key"] for x in json.loads(got[1].partition("Keys: ")[2].partition(" Blanks: ")[0])}
+    assert "ssn" in keys and "date_today" not in keys
+
+
+def test_memory_files(spark):
+    js = [
+        ("f", '{"keys": {"b1": "zip"}, "checked": {"ann": ["b2", "b3"]}, "cleared": {"bob": ["b4"]}, "placed": [{"page": 1, "kind": "date", "x": 1.5, "y": 2}, 7], "moved": {"b5": [1, -2.5], "b6": [1], "b7": "no"}}'),
+        ("g", '{"checked": ["b1"], "saved_by": "cy"}'), ("h", "not json"), ("i", "{}"),
+    ]
+    got = {(r.fingerprint, r.part, r.slug, r.blank_id, r.key, r.page, r.kind, r.x, r.y) for r in files.memory_json(spark.createDataFrame(js, "fingerprint string, json string")).collect()}
+    assert got == {
+        ("f", "keys", "", "b1", "zip", None, None, None, None), ("f", "checked", "ann", "b2", None, None, None, None, None), ("f", "checked", "ann", "b3", None, None, None, None, None), ("f", "cleared", "bob", "b4", None, None, None, None, None),
+        ("f", "placed", "", None, None, 1, "date", 1.5, 2.0), ("f", "moved", "", "b5", None, None, None, 1.0, -2.5), ("g", "checked", "cy", "b1", None, None, None, None, None),
+    }
