@@ -118,17 +118,18 @@ def split_groups(d: Spark) -> str:
     """
     page = "form_id, page"
     best = _BEST.format(nl=d.size(d.split("left_", " ")), na=d.size(d.split("above", " ")))
+    slots = "inside, right_, left_, above, section, native_name"
     return f"""
-WITH texts AS (SELECT form_id, page, blank_id, x0, y0, x1, y1, blank_no, CASE WHEN {d.like(f'coalesce({best}, {chr(39) * 2})', PUNCTUATION)} THEN NULL ELSE {best} END AS best FROM raw_blanks WHERE kind IN ('text', 'multiline')),
-steps AS (
-  SELECT *, CASE WHEN abs(y0 - (lag(y0) OVER w)) <= {BAND} AND abs(y1 - (lag(y1) OVER w)) <= {BAND} AND x0 - (lag(x1) OVER w) BETWEEN 0 AND {GAP} THEN 0 ELSE 1 END AS begins
-  FROM texts WINDOW w AS (PARTITION BY {page} ORDER BY y0, x0, blank_no)),
-runs_ AS (SELECT *, SUM(begins) OVER (PARTITION BY {page} ORDER BY y0, x0, blank_no) AS run FROM steps),
-groups_ AS (
-  SELECT form_id, page, run, MIN(best) AS shared, COUNT(*) AS n, row_number() OVER (PARTITION BY form_id ORDER BY page, run) AS grp_no
-  FROM runs_ GROUP BY form_id, page, run HAVING COUNT(*) >= 2 AND MIN(best) = MAX(best))
-SELECT r.form_id, r.page, r.blank_id, concat('g', CAST(g.grp_no AS STRING)) AS grp, CAST(row_number() OVER (PARTITION BY r.form_id, r.page, r.run ORDER BY r.x0, r.blank_no) - 1 AS BIGINT) AS grp_index, g.n, g.shared
-FROM runs_ r JOIN groups_ g ON g.form_id = r.form_id AND g.page = r.page AND g.run = r.run"""
+WITH steps AS (
+  SELECT form_id, page, blank_id, x0, y0, blank_no, {slots}, CASE WHEN abs(y0 - (lag(y0) OVER w)) <= {BAND} AND abs(y1 - (lag(y1) OVER w)) <= {BAND} AND x0 - (lag(x1) OVER w) BETWEEN 0 AND {GAP} THEN 0 ELSE 1 END AS begins
+  FROM raw_blanks WHERE kind IN ('text', 'multiline') WINDOW w AS (PARTITION BY {page} ORDER BY y0, x0, blank_no)),
+runs_ AS (
+  SELECT *, coalesce(lead(begins) OVER (PARTITION BY {page} ORDER BY y0, x0, blank_no), 1) = 1 AND begins = 1 AS alone, SUM(begins) OVER (PARTITION BY {page} ORDER BY y0, x0, blank_no) AS run FROM steps),
+texts AS (SELECT form_id, page, blank_id, x0, blank_no, run, coalesce({best}, '') AS best FROM runs_ WHERE NOT alone),
+named AS (SELECT *, CASE WHEN {d.like('best', PUNCTUATION)} THEN NULL ELSE best END AS real_ FROM texts),
+members AS (SELECT *, MIN(real_) OVER w AS shared, MAX(real_) OVER w AS other, COUNT(*) OVER w AS n FROM named WINDOW w AS (PARTITION BY {page}, run))
+SELECT form_id, page, blank_id, concat('g', CAST(dense_rank() OVER (PARTITION BY form_id ORDER BY page, run) AS STRING)) AS grp, CAST(row_number() OVER (PARTITION BY {page}, run ORDER BY x0, blank_no) - 1 AS BIGINT) AS grp_index, n, shared
+FROM members WHERE n >= 2 AND shared = other"""
 
 
 def scanned_pages(d: Spark) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from formloom.operators import geometry, identity, labels, matching, overlay, pages, planning, privacy, rules, stream_text
 from formloom.operators import text_udfs
-from formloom.plans.registry import Operator, oracle, query
+from formloom.plans.registry import Folder, Operator, oracle, query
 from formloom.plans.store import shared_dir
 from formloom.sources import files
 from formloom.streaming import arrivals
@@ -19,26 +19,28 @@ OPERATORS: dict[str, Operator] = {o.name: o for m in MODULES for o in m.OPERATOR
 QUERIES = {n: query(o, OPERATORS) for n, o in OPERATORS.items()}
 
 
-def _table(name: str, spark, sf_dir: str):
-    """A derived table or an operator's result over a folder."""
-    return query(Operator(f"{name}_", (name,), lambda d: f"SELECT * FROM {name}"), OPERATORS)(spark, sf_dir)
+def _tables(spark, sf_dir: str):
+    """What gives derived tables and operators' results over a folder by name, each made once."""
+    return Folder(spark, sf_dir, OPERATORS).get
 
 
 def sensitive_store(spark, sf_dir: str):
     """Names and lengths of the sealed values; the ciphertext itself differs with every run."""
-    values = _table("identity_values", spark, sf_dir).where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
+    get = _tables(spark, sf_dir)
+    values = get("identity_values").where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
     return text_udfs.sensitive_store(values, secrets.token_hex(8)).selectExpr("slug", "key", "CAST(length(ciphertext) AS BIGINT) AS n")
 
 
 def lazy_unlock(spark, sf_dir: str):
-    values = _table("identity_values", spark, sf_dir).where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
-    ruled_out, key = _table("either_or", spark, sf_dir).select("form_id", "key"), secrets.token_hex(8)
-    return text_udfs.lazy_unlock(_table("wanted_keys", spark, sf_dir), ruled_out, text_udfs.sensitive_store(values, key), key).select("form_id", "slug", "key", "value")
+    get = _tables(spark, sf_dir)
+    values = get("identity_values").where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
+    ruled_out, key = get("either_or").select("form_id", "key"), secrets.token_hex(8)
+    return text_udfs.lazy_unlock(get("wanted_keys"), ruled_out, text_udfs.sensitive_store(values, key), key).select("form_id", "slug", "key", "value")
 
 
 def prompt_batch(spark, sf_dir: str):
     """What a model is asked about every form; values at hand serve to take them out of labels only."""
-    get = lambda name: _table(name, spark, sf_dir)
+    get = _tables(spark, sf_dir)
     forms = get("forms").select("form_id", "slug", "fmt").join(get("identities").selectExpr("slug", "kind AS identity_kind"), "slug", "left")
     forms = forms.join(get("values_in_hand").withColumnRenamed("in_hand", "known"), "slug", "left").withColumns({"known": F.coalesce("known", F.array().cast("array<string>")), "identity_kind": F.coalesce("identity_kind", F.lit("person"))})
     put = get("plan_entries").where("value IS NOT NULL AND key IS NOT NULL").selectExpr("form_id", "blank_id", "key AS put")
@@ -47,26 +49,30 @@ def prompt_batch(spark, sf_dir: str):
 
 def scrub_known(spark, sf_dir: str):
     """Street lines with their identity's values scrubbed."""
-    lines, known = _table("street_line", spark, sf_dir), _table("values_in_hand", spark, sf_dir)
+    get = _tables(spark, sf_dir)
+    lines, known = get("street_line"), get("values_in_hand")
     return text_udfs.scrub_known(lines.join(known, "slug").selectExpr("slug", "street_line AS text", "in_hand AS known")).select("slug", "text")
 
 
 def memory_tables(spark, sf_dir: str):
     """Memory files of forms, written as JSON from what was remembered, read as the rows of their five tables."""
-    return files.memory_json(files.memory_files(_table("remember_form", spark, sf_dir)))
+    get = _tables(spark, sf_dir)
+    return files.memory_json(files.memory_files(get("remember_form")))
 
 
 def filled_values_sink(spark, sf_dir: str):
     """Decisions written by format to a new folder, read back and counted."""
+    get = _tables(spark, sf_dir)
     out = f"{shared_dir(spark)}/formloom/filled-{uuid.uuid4().hex}"
-    entries = _table("plan_values", spark, sf_dir).join(_table("forms", spark, sf_dir).select("form_id", "fmt"), "form_id")
+    entries = get("plan_values").join(get("forms").select("form_id", "fmt"), "form_id")
     files.write_filled(entries, sf_dir, out)
     return spark.read.parquet(out).groupBy("fmt").agg(F.count("*").alias("n"), F.countDistinct("form_id").alias("forms"))
 
 
 def memory_upsert_stream(spark, sf_dir: str):
     """Saves applied in batches, some of them twice; what is remembered are each form's last save's keys."""
-    saves = _table("edits", spark, sf_dir).where("action = 'save'").selectExpr("CAST(form_id AS STRING) AS fingerprint", "blank_id", "slug AS key", "seq")
+    get = _tables(spark, sf_dir)
+    saves = get("edits").where("action = 'save'").selectExpr("CAST(form_id AS STRING) AS fingerprint", "blank_id", "slug AS key", "seq")
     path = f"{shared_dir(spark)}/formloom/memory-{uuid.uuid4().hex}"
     put = arrivals.memory_upsert(path, width=3)
     for number in (0, 1, 1, 2, 3, 1, 4, 4):

@@ -15,7 +15,7 @@ from formloom.plans.store import written
 
 #: Results that many operators read: written once to the shared folder instead of being worked out for each reader.
 WRITTEN = (
-    "blanks", "text_verdicts", "qualifier_lists", "score_key", "match_candidates", "match_blank", "blank_keys", "stored_value", "resolve_value", "either_or",
+    "blanks", "label_texts", "alias_exact", "alias_hits", "text_verdicts", "qualifier_lists", "score_key", "match_candidates", "match_blank", "blank_keys", "stored_value", "resolve_value", "either_or",
     "plan_entries", "fingerprints", "remember_form", "apply_memory", "apply_reading", "run_around", "rule_boxes", "rule_runs",
 )
 
