@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,49 +66,44 @@ def sorted_suffixes(rows: DataFrame, by: list[str], name: str) -> tuple[DataFram
     numbers += [("pdoc", "long"), ("pth", "long"), ("pi", "long")]
     schema = T.StructType([T.StructField(c, T._parse_datatype_string(k), True) for c, k in [("part", "int"), *[(c, "long") for c in _AT + key], *numbers]])
 
-    def numbered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """n: the row's number in its range; s and t: those at which its own rank and its key begin there."""
         held, before, n, s, t = None, None, 0, 0, 0
 
-        def out(f: pd.DataFrame, after: pd.DataFrame | None) -> pd.DataFrame:
+        def out(f: dict[str, np.ndarray], after: dict[str, np.ndarray] | None) -> pa.RecordBatch:
             nonlocal before, n, s, t
-            whole = pd.concat([x for x in (before, f, after) if x is not None], ignore_index=True)
-            cols = [whole[c].to_numpy() for c in key]
-            own = cols[0][1:] == cols[0][:-1]
-            same = own & ~whole["alone"].to_numpy(bool)[1:] & ~whole["alone"].to_numpy(bool)[:-1]
-            for c in cols[1:]:
-                same &= c[1:] == c[:-1]
-            lo, m = int(before is not None), len(f)
+            m, lo = len(f["own"]), int(before is not None)
+            whole = {c: np.concatenate([x[c] for x in (before, f, after) if x is not None]) for c in [*key, "alone"]}
+            own = whole["own"][1:] == whole["own"][:-1]
+            same = own & ~whole["alone"][1:] & ~whole["alone"][:-1]
+            for c in by:
+                same &= whole[c][1:] == whole[c][:-1]
             own_here, same_here = np.zeros(m, bool), np.zeros(m, bool)
             own_here[1 - lo :], same_here[1 - lo :] = own[: m - 1 + lo], same[: m - 1 + lo]
             at = n + np.arange(m)
-            g = pd.DataFrame({c: f[c] for c in ["part", *_AT, *key]})
-            g["n"] = at
-            g["s"] = np.maximum.accumulate(np.where(own_here, s, at))
-            g["t"] = np.maximum.accumulate(np.where(same_here, t, at))
-            g["same"] = same_here
-            g["goes_on"] = pd.array([*same_here[1:], bool(same[-1]) if after is not None else None], dtype="boolean")
+            starts = np.maximum.accumulate(np.where(own_here, s, at))
+            begins = np.maximum.accumulate(np.where(same_here, t, at))
+            goes_on = np.append(same_here[1:], after is not None and same[-1])
+            unknown = np.zeros(m, bool)
+            unknown[-1] = after is None
             parts = own_here & ~same_here
-            g["parts"] = parts
-            for c, x in zip(_AT, ("pdoc", "pth", "pi")):
-                prior = np.roll(f[c].to_numpy(), 1)
-                if before is not None:
-                    prior[0] = before[c].iloc[0]
-                g[x] = pd.array(np.where(parts, prior, 0), dtype="Int64")
-                g.loc[~parts, x] = pd.NA
-            before, n, s, t = f.iloc[-1:], n + m, int(g["s"].iloc[-1]), int(g["t"].iloc[-1])
-            return g[schema.names]
-
-        for f in frames:
-            if not len(f):
+            columns = [f[c] for c in ["part", *_AT, *key]] + [at, starts, begins, same_here]
+            columns = [*map(pa.array, columns), pa.array(goes_on, mask=unknown), pa.array(parts)]
+            columns += [pa.array(np.concatenate([f[c][:1] if before is None else before[c], f[c][:-1]]), mask=~parts) for c in _AT]
+            before, n, s, t = {c: x[-1:] for c, x in f.items()}, n + m, int(starts[-1]), int(begins[-1])
+            return pa.RecordBatch.from_arrays(columns, schema.names)
+
+        for b in batches:
+            if not len(b):
                 continue
+            f = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
             if held is not None:
-                yield out(held, f.iloc[:1])
+                yield out(held, {c: x[:1] for c, x in f.items()})
             held = f
         if held is not None:
             yield out(held, None)
 
-    done = written(dealt.select("part", *_AT, *key, "alone").mapInPandas(numbered, schema), name)
+    done = written(dealt.select("part", *_AT, *key, "alone").mapInArrow(numbered, schema), name)
     # one row a range: how its first and its last keys go on from range to range
     ends = done.groupBy("part").agg(
         F.count("*").alias("size"), F.max("same").alias("any"), F.min_by(F.struct(*_AT, *key), "n").alias("first"), F.max_by(F.struct(*_AT, *key, "s", "t"), "n").alias("last"),
@@ -252,6 +246,7 @@ def without_repeated_runs(
 
     # texts without a repeat stay where they are; the others meet their copies in one join, by the same plan at every size
     ours = picked(True).join(copies.hint("merge"), ["_fl_doc", "_fl_th"], "left").select(*rest, "_fl_starts", "_fl_singles", F.coalesce("_fl_longest", F.lit(0).cast("long")).alias("_fl_longest"))
-    none = F.lit(None).cast("array<long>")
-    others = picked(False).select(*rest, none.alias("_fl_starts"), none.alias("_fl_singles"), F.lit(0).cast("long").alias("_fl_longest"))
-    return others.mapInArrow(cut, schema).unionByName(ours.mapInArrow(cut, schema))
+    n_lines = F.size(F.filter(F.split("text", "\n"), _has_word)).cast("long")
+    zero = F.lit(0).cast("long")
+    others = picked(False).select(*rest, n_lines.alias(names[0]), zero.alias(names[1]), zero.alias(names[2]))
+    return others.unionByName(ours.mapInArrow(cut, schema))
