@@ -267,10 +267,10 @@ UNION ALL SELECT library, slug, concat('value:', key), value FROM held WHERE val
 
 
 def route_sensitive(d: Spark) -> str:
-    """Changes to the plain tier with the reason for refusing them; changes are built from the stored values."""
+    """Changes asked of the plain tier, with the reason for refusing them."""
     return """
 SELECT c.slug, c.key, c.value, CASE WHEN f.key IS NULL THEN 'unknown key' WHEN f.sensitive THEN 'sensitive' WHEN h.choice IS NOT NULL AND o.answer IS NULL THEN 'not an answer' END AS reason
-FROM (SELECT slug, CASE WHEN length(value) % 13 = 0 THEN concat(key, '_x') ELSE key END AS key, CASE WHEN slug LIKE '%7' THEN upper(value) ELSE value END AS value FROM identity_values) c
+FROM asked_changes c
 LEFT JOIN fields f ON f.key = c.key LEFT JOIN (SELECT DISTINCT choice FROM choices) h ON h.choice = c.key
 LEFT JOIN (SELECT DISTINCT choice, answer FROM choices) o ON o.choice = c.key AND o.answer = c.value"""
 
@@ -280,10 +280,10 @@ def sensitive_manifest(d: Spark) -> str:
 
 
 def manifest_check(d: Spark) -> str:
-    """Names on one side only; the manifest here lacks every seventeenth customer's."""
+    """Names that are stored and not listed, or listed and not stored; how often a side has a name does not count."""
     return """
 SELECT coalesce(a.name, b.name) AS name, a.name IS NULL AS not_stored, b.name IS NULL AS not_listed
-FROM sensitive_manifest a FULL OUTER JOIN (SELECT name FROM sensitive_manifest WHERE NOT name LIKE '%17/%' UNION ALL SELECT concat(slug, '/dob') FROM identities WHERE ord % 50 = 0) b ON a.name = b.name
+FROM (SELECT DISTINCT name FROM sensitive_manifest WHERE name IS NOT NULL) a FULL OUTER JOIN (SELECT DISTINCT name FROM manifest WHERE name IS NOT NULL) b ON a.name = b.name
 WHERE a.name IS NULL OR b.name IS NULL"""
 
 
@@ -309,8 +309,8 @@ OPERATORS = [
     Operator("lives", ("changes", "fields", "choices"), lives),
     Operator("default_identity", ("lives",), lambda d: CHECKS["default_identity"], default_identity),
     Operator("identity_changelog", ("changes", "lives", "default_identity", "fields", "choices"), identity_changelog),
-    Operator("route_sensitive", ("identity_values", "fields", "choices"), route_sensitive),
+    Operator("route_sensitive", ("asked_changes", "fields", "choices"), route_sensitive),
     Operator("sensitive_manifest", ("identity_values",), sensitive_manifest),
-    Operator("manifest_check", ("sensitive_manifest", "identities"), manifest_check),
+    Operator("manifest_check", ("sensitive_manifest", "manifest"), manifest_check),
     Operator("identity_json", ("stored_value",), lambda d: CHECKS["identity_json"], identity_json),
 ]

@@ -59,9 +59,57 @@ SELECT form_id, region_no, TRY_CAST({d.extract('spec', pattern, 1)} AS BIGINT) A
        NOT {d.like('spec', pattern)} AS rejected FROM (SELECT form_id, region_no, {spec} AS spec FROM regions) s"""
 
 
+def redaction_runs(d: Spark) -> str:
+    """Every form with the number of pages that are rebuilt, or with the reason for which nothing is written.
+
+    A form without regions is refused, and so is one with a region on a page that it has not; the page of its first such
+    region by number is named.
+    """
+    known = "r.page BETWEEN 1 AND g.page_count"
+    return f"""
+SELECT f.form_id, CASE WHEN r.form_id IS NULL THEN 'nothing to black out' WHEN r.bad > 0 THEN concat('no page ', r.first_bad) END AS reason, CASE WHEN r.bad = 0 THEN r.rebuilt ELSE 0 END AS rebuilt
+FROM forms f LEFT JOIN (
+  SELECT r.form_id, COUNT(DISTINCT r.page) AS rebuilt, SUM(CASE WHEN {known} THEN 0 ELSE 1 END) AS bad,
+         min_by(coalesce(CAST(r.page AS STRING), '?'), CASE WHEN {known} THEN NULL ELSE r.region_no END) AS first_bad
+  FROM regions r JOIN forms g ON g.form_id = r.form_id GROUP BY r.form_id) r ON r.form_id = f.form_id"""
+
+
+_BLACKED = "(SELECT DISTINCT form_id AS f2, page AS p2 FROM regions)"
+
+
+def _stays(columns: str, table: str) -> str:
+    return f"""
+SELECT {columns} FROM {table} b JOIN (SELECT form_id FROM redaction_runs WHERE reason IS NULL) u ON u.form_id = b.form_id
+LEFT JOIN {_BLACKED} r ON r.f2 = b.form_id AND r.p2 = b.page WHERE r.f2 IS NULL"""
+
+
 def redact_pages(d: Spark) -> str:
-    """Blanks that stay: those on pages without a region."""
-    return "SELECT b.form_id, b.blank_id, b.page FROM blanks b LEFT JOIN (SELECT DISTINCT form_id AS f2, page AS p2 FROM regions) r ON r.f2 = b.form_id AND r.p2 = b.page WHERE r.f2 IS NULL"
+    """Blanks that stay: those on pages without a region, of forms that are not refused."""
+    return _stays("b.form_id, b.blank_id, b.page", "blanks")
+
+
+def redact_words(d: Spark) -> str:
+    """Words that stay, as blanks do."""
+    return _stays("b.form_id, b.page, b.line_no, b.word_no, b.text", "words")
+
+
+def redaction_counts(d: Spark) -> str:
+    """What a run keeps and removes; nothing where it is refused."""
+
+    def counts(table: str) -> str:
+        n = lambda test, name: f"COUNT(CASE WHEN {test} THEN 1 END) AS {name}"
+        return f"(SELECT b.form_id, {n('r.f2 IS NULL', 'kept')}, {n('r.f2 IS NOT NULL', 'removed')} FROM {table} b LEFT JOIN {_BLACKED} r ON r.f2 = b.form_id AND r.p2 = b.page GROUP BY b.form_id)"
+
+    return f"""
+SELECT u.form_id, u.reason, u.rebuilt, coalesce(b.kept, 0) AS blanks_kept, coalesce(b.removed, 0) AS blanks_removed, coalesce(w.kept, 0) AS words_kept, coalesce(w.removed, 0) AS words_removed
+FROM redaction_runs u LEFT JOIN {counts("blanks")} b ON b.form_id = u.form_id AND u.reason IS NULL LEFT JOIN {counts("words")} w ON w.form_id = u.form_id AND u.reason IS NULL"""
+
+
+def calculation_order(d: Spark) -> str:
+    """The order in which a form's fields are worked out, without the fields that are gone, numbered anew from 1."""
+    return """
+SELECT c.form_id, CAST(row_number() OVER (PARTITION BY c.form_id ORDER BY c.pos, c.node) AS BIGINT) AS pos, c.node
+FROM calc_order c JOIN prune_fields p ON p.form_id = c.form_id AND p.node = c.node"""
 
 
 def redact_boxes(d: Spark) -> str:
@@ -84,7 +132,11 @@ OPERATORS = [
     Operator("scrub_shapes", ("documents",), scrub_shapes),
     Operator("find_text", ("benchmark", "words"), find_text),
     Operator("parse_region", ("regions",), parse_region),
-    Operator("redact_pages", ("blanks", "regions"), redact_pages),
+    Operator("redaction_runs", ("forms", "regions"), redaction_runs),
+    Operator("redact_pages", ("blanks", "regions", "redaction_runs"), redact_pages),
+    Operator("redact_words", ("words", "regions", "redaction_runs"), redact_words),
+    Operator("redaction_counts", ("blanks", "words", "regions", "redaction_runs"), redaction_counts),
+    Operator("calculation_order", ("calc_order", "prune_fields"), calculation_order),
     Operator("redact_boxes", ("regions",), redact_boxes),
     Operator("field_roots", ("field_nodes",), lambda d: CHECKS["field_roots"], trees.field_roots),
     Operator("field_inherit", ("field_nodes",), lambda d: CHECKS["field_inherit"], trees.field_inherit),

@@ -74,12 +74,17 @@ def sensitive_store(values: DataFrame, key: str) -> DataFrame:
     return last.select("slug", "key", sealed.alias("ciphertext"))
 
 
+def opened(store: DataFrame, key: str) -> DataFrame:
+    """A store's rows with their values; a row that was moved to another name fails."""
+    value = F.aes_decrypt(F.col("ciphertext"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws("/", "slug", "key"))
+    return store.withColumn("value", value.cast("string"))
+
+
 def lazy_unlock(wanted: DataFrame, ruled_out: DataFrame, store: DataFrame, key: str) -> DataFrame:
     """Values of the wanted keys that are not ruled out; nothing else is decrypted."""
     asked = wanted.join(ruled_out, ["form_id", "key"], "left_anti")
     held = store.join(asked.select("slug", "key").distinct(), ["slug", "key"], "left_semi")
-    opened = F.aes_decrypt(F.col("ciphertext"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws("/", "slug", "key")).cast("string")
-    return asked.join(held.select("slug", "key", opened.alias("value")), ["slug", "key"])
+    return asked.join(opened(held, key).select("slug", "key", "value"), ["slug", "key"])
 
 
 def prompt_batch(blanks: DataFrame) -> DataFrame:

@@ -113,7 +113,31 @@ SELECT form_id, blank_id, last_[1].v AS value, last_[1].s AS source FROM (
     "kind_from_flags": """
 SELECT form_id, node, CASE ft WHEN 'Btn' THEN if(flags // 32768 % 2 = 1, 'radio', 'checkbox') WHEN 'Tx' THEN if(flags // 4096 % 2 = 1, 'multiline', 'text') ELSE 'other' END AS kind,
        flags % 2 = 1 AS readonly FROM field_nodes""",
-    "redact_pages": "SELECT b.form_id, b.blank_id, b.page FROM blanks b WHERE NOT EXISTS (FROM regions r WHERE r.form_id = b.form_id AND r.page = b.page)",
+    "redaction_runs": """
+SELECT form_id, CASE WHEN n = 0 THEN 'nothing to black out' WHEN bad IS NOT NULL THEN 'no page ' || bad END AS reason, if(n > 0 AND bad IS NULL, rebuilt, 0) AS rebuilt
+FROM (SELECT f.form_id, count(r.page) AS n, arg_min(r.page, r.region_no) FILTER (WHERE r.page < 1 OR r.page > f.page_count) AS bad, count(DISTINCT r.page) AS rebuilt
+      FROM forms f LEFT JOIN regions r USING (form_id) GROUP BY f.form_id) s""",
+    "redact_pages": """
+SELECT b.form_id, b.blank_id, b.page FROM blanks b WHERE NOT EXISTS (FROM regions r WHERE r.form_id = b.form_id AND r.page = b.page)
+AND b.form_id IN (SELECT form_id FROM redaction_runs WHERE rebuilt > 0)""",
+    "redact_words": """
+SELECT w.form_id, w.page, w.line_no, w.word_no, w.text FROM words w WHERE (w.form_id, w.page) NOT IN (SELECT form_id, page FROM regions)
+AND w.form_id IN (SELECT form_id FROM redaction_runs WHERE rebuilt > 0)""",
+    "redaction_counts": """
+SELECT form_id, reason, rebuilt, CAST(sum(bk) AS BIGINT) AS blanks_kept, CAST(sum(br) AS BIGINT) AS blanks_removed, CAST(sum(wk) AS BIGINT) AS words_kept, CAST(sum(wr) AS BIGINT) AS words_removed FROM (
+  SELECT form_id, reason, rebuilt, 0 AS bk, 0 AS br, 0 AS wk, 0 AS wr FROM redaction_runs
+  UNION ALL SELECT u.form_id, reason, rebuilt, 1 - hit, hit, 0, 0 FROM redaction_runs u JOIN (SELECT form_id, CAST((form_id, page) IN (SELECT form_id, page FROM regions) AS BIGINT) AS hit FROM blanks) b ON b.form_id = u.form_id AND rebuilt > 0
+  UNION ALL SELECT u.form_id, reason, rebuilt, 0, 0, 1 - hit, hit FROM redaction_runs u JOIN (SELECT form_id, CAST((form_id, page) IN (SELECT form_id, page FROM regions) AS BIGINT) AS hit FROM words) w ON w.form_id = u.form_id AND rebuilt > 0) c
+GROUP BY form_id, reason, rebuilt""",
+    "calculation_order": """
+SELECT form_id, unnest(range(1, len(nodes) + 1)) AS pos, unnest(nodes) AS node FROM (
+  SELECT form_id, list(node ORDER BY pos, node) AS nodes FROM calc_order WHERE (form_id, node) IN (SELECT form_id, node FROM prune_fields) GROUP BY form_id) o""",
+    "route_sensitive": """
+SELECT slug, key, value, CASE WHEN key NOT IN (SELECT key FROM fields) THEN 'unknown key' WHEN key IN (SELECT key FROM fields WHERE sensitive) THEN 'sensitive'
+  WHEN key IN (SELECT choice FROM choices) AND (key, value) NOT IN (SELECT choice, answer FROM choices) THEN 'not an answer' END AS reason FROM asked_changes""",
+    "manifest_check": """
+SELECT name, true AS not_stored, false AS not_listed FROM (SELECT name FROM manifest EXCEPT SELECT name FROM sensitive_manifest) l
+UNION ALL SELECT name, false, true FROM (SELECT name FROM sensitive_manifest EXCEPT SELECT name FROM manifest) s""",
     "field_roots": """
 WITH RECURSIVE up AS (
   SELECT form_id, node, node AS at_, 0::BIGINT AS depth FROM field_nodes

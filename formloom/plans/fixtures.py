@@ -133,6 +133,10 @@ UNION ALL SELECT {_c('c_custkey')}, 'ssn', lpad(CAST((100000000 + c_custkey * 79
 UNION ALL SELECT {_c('c_custkey')}, 'ein', lpad(CAST((200000000 + c_custkey * 104729) % 1000000000 AS STRING), 9, '0'), 'vault' FROM customer WHERE c_custkey % 5 = 0
 UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'business_name', s_name, 'values' FROM supplier
 UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), 'ein', lpad(CAST((300000000 + s_suppkey * 7919) % 1000000000 AS STRING), 9, '0'), 'vault' FROM supplier""", ("customer", "supplier", "nation")),
+        # changes asked of the plain tier, a manifest out of step with what is stored, and secrets set again or emptied
+        "asked_changes": ("SELECT slug, CASE WHEN length(value) % 13 = 0 THEN concat(key, '_x') ELSE key END AS key, CASE WHEN slug LIKE '%7' THEN upper(value) ELSE value END AS value FROM identity_values", ("identity_values",)),
+        "manifest": ("SELECT name FROM sensitive_manifest WHERE NOT name LIKE '%17/%' UNION ALL SELECT concat(slug, '/dob') FROM identities WHERE ord % 50 = 0", ("sensitive_manifest", "identities")),
+        "sensitive_changes": ("SELECT slug, key, value, 1 AS seq FROM identity_values WHERE tier = 'vault' UNION ALL SELECT slug, key, CASE WHEN slug LIKE '%3' THEN '' ELSE concat(value, '0') END, 2 FROM identity_values WHERE tier = 'vault' AND (value LIKE '%7' OR slug LIKE '%3') UNION ALL SELECT slug, key, 'again', 3 FROM identity_values WHERE tier = 'vault' AND value LIKE '%77'", ("identity_values",)),
         "paragraphs": (f"SELECT doc_id AS form_id, CAST(seq AS BIGINT) AS seq, text_ AS text, CASE WHEN seq = 0 THEN 'Heading1' WHEN (doc_id + seq) % 11 = 0 THEN 'title' ELSE 'Normal' END AS style FROM {d.each('(SELECT doc_id, text FROM documents)', d.split('text', chr(92) + 'n'), 'seq', 'text_')}", ("documents",)),
         "form_lines": (_values(FORM_LINES, "line_id, line"), ()),
         "page_lines": ("SELECT p.form_id, p.seq, coalesce(f.line, p.text) AS text FROM paragraphs p LEFT JOIN form_lines f ON f.line_id = (p.form_id * 5 + p.seq) % 97", ("paragraphs", "form_lines")),
@@ -159,6 +163,7 @@ SELECT l_orderkey AS form_id, CAST(l_linenumber AS BIGINT) AS node,
        CASE WHEN l_linenumber = 1 THEN NULL WHEN l_orderkey % 97 = 0 AND l_linenumber = 2 THEN CAST(2 AS BIGINT) ELSE CAST(floor(l_linenumber / 2) AS BIGINT) END AS parent,
        CASE WHEN MIN(l_partkey) % 3 = 0 THEN 'Tx' WHEN MIN(l_partkey) % 3 = 1 THEN 'Btn' END AS ft, MIN(l_suppkey) % 65536 * (CASE WHEN MIN(l_partkey) % 2 = 0 THEN 1 ELSE 4097 END) AS flags
 FROM lineitem GROUP BY l_orderkey, l_linenumber""", ("lineitem",)),
+        "calc_order": ("SELECT form_id, node * 5 % 7 AS pos, node FROM field_nodes WHERE ft IS NOT NULL OR node % 3 = 0", ("field_nodes",)),
         "kept_widgets": ("SELECT form_id, node FROM field_nodes WHERE node % 2 = 1", ("field_nodes",)),
         "arrivals": ("""
 SELECT concat('/in/f', CAST(user_id AS STRING), CASE WHEN user_id % 10 = 0 THEN '.txt' WHEN user_id % 4 = 0 THEN '-filled.pdf' WHEN user_id % 3 = 0 THEN '.docx' ELSE '.pdf' END) AS path,

@@ -25,10 +25,10 @@ def _tables(spark, sf_dir: str):
 
 
 def sensitive_store(spark, sf_dir: str):
-    """Names and lengths of the sealed values; the ciphertext itself differs with every run."""
-    get = _tables(spark, sf_dir)
-    values = get("identity_values").where("tier = 'vault'").selectExpr("slug", "key", "value", "1 AS seq")
-    return text_udfs.sensitive_store(values, secrets.token_hex(8)).selectExpr("slug", "key", "CAST(length(ciphertext) AS BIGINT) AS n")
+    """Secrets set, set again and emptied: lengths of the sealed values, and the values opened again; the ciphertext differs with every run."""
+    key = secrets.token_hex(8)
+    store = text_udfs.sensitive_store(_tables(spark, sf_dir)("sensitive_changes"), key)
+    return text_udfs.opened(store, key).selectExpr("slug", "key", "CAST(length(ciphertext) AS BIGINT) AS n", "value AS opened")
 
 
 def lazy_unlock(spark, sf_dir: str):
@@ -85,7 +85,7 @@ LAZY_UNLOCK = Operator("lazy_unlock", ("lazy_unlock_keys", "identity_values"), l
 SINK = Operator("filled_values_sink", ("plan_values", "forms"), lambda d: "SELECT f.fmt, COUNT(*) AS n, COUNT(DISTINCT f.form_id) AS forms FROM plan_values p JOIN forms f ON f.form_id = p.form_id GROUP BY f.fmt")
 UPSERT = Operator("memory_upsert_stream", ("edits",), lambda d: "SELECT CAST(form_id AS VARCHAR) AS fingerprint, max_by(blank_id, seq) AS blank_id, max_by(slug, seq) AS key, MAX(seq) AS seq FROM edits WHERE action = 'save' GROUP BY form_id")
 TABLES = Operator("memory_tables", ("remember_form",), lambda d: "SELECT fingerprint, part, CASE WHEN part IN ('checked', 'cleared') THEN slug ELSE '' END AS slug, CASE WHEN part <> 'placed' THEN blank_id END AS blank_id, key, page, kind, x, y FROM remember_form")
-STORE = Operator("sensitive_store", ("identity_values",), lambda d: "SELECT slug, key, length(MAX(value)) + 28 AS n FROM identity_values WHERE tier = 'vault' AND value <> '' GROUP BY slug, key")
+STORE = Operator("sensitive_store", ("sensitive_changes",), lambda d: "SELECT slug, key, length(value) + 28 AS n, value AS opened FROM sensitive_changes c WHERE value <> '' AND NOT EXISTS (SELECT 1 FROM sensitive_changes l WHERE l.slug = c.slug AND l.key = c.key AND l.seq > c.seq)")
 
 
 def oracles() -> dict[str, str]:

@@ -127,3 +127,31 @@ def test_json_carries_all_keys_and_any_text(spark):
     assert apply(spark, "identity_json", stored_value=("slug string, key string, value string", values)) == sorted(values[:3], key=repr)
     keys = [(1, f"b{k}", f"k{k}") for k in range(9)] + [(2, "b1", None)]
     assert apply(spark, "memory_json", remember_form=("form_id long, blank_id string, key string", keys)) == keys[:9]
+
+
+def test_redaction_keeps_pages_without_a_region_and_refuses_the_rest(spark):
+    forms = ("form_id long, page_count long", [(1, 2), (2, 1), (3, 1), (4, 3)])
+    regions = ("form_id long, region_no long, page long", [(1, 1, 2), (1, 2, 2), (2, 5, 7), (2, 4, 0), (2, 1, 1), (4, 1, None), (9, 1, 1)])
+    runs = ("form_id long, reason string, rebuilt long", [(1, None, 1), (2, "no page 0", 0), (3, "nothing to black out", 0), (4, "no page ?", 0)])
+    assert apply(spark, "redaction_runs", forms=forms, regions=regions) == runs[1]
+    blanks = ("form_id long, blank_id string, page long", [(1, "a", 1), (1, "b", 2), (2, "c", 1), (3, "d", 1), (9, "e", 2)])
+    words = ("form_id long, page long, line_no long, word_no long, text string", [(1, 1, 0, 0, "x"), (1, 1, 0, 1, ""), (1, 2, 0, 0, "y"), (2, 2, 0, 0, "z"), (1, 1, 0, 0, "x")])
+    assert apply(spark, "redact_pages", blanks=blanks, regions=regions, redaction_runs=runs) == [(1, "a", 1)]
+    assert apply(spark, "redact_words", words=words, regions=regions, redaction_runs=runs) == [(1, 1, 0, 0, "x"), (1, 1, 0, 0, "x"), (1, 1, 0, 1, "")]
+    got = apply(spark, "redaction_counts", blanks=blanks, words=words, regions=regions, redaction_runs=runs)
+    assert got == [(1, None, 1, 1, 1, 3, 1), (2, "no page 0", 0, 0, 0, 0, 0), (3, "nothing to black out", 0, 0, 0, 0, 0), (4, "no page ?", 0, 0, 0, 0, 0)]
+
+
+def test_calculation_order_loses_what_is_gone(spark):
+    order = ("form_id long, pos long, node long", [(1, 3, 7), (1, 1, 8), (1, 2, 9), (1, 2, 5), (2, 1, 7), (None, 1, 7)])
+    assert apply(spark, "calculation_order", calc_order=order, prune_fields=("form_id long, node long", [(1, 7), (1, 5), (1, 9), (2, 8)])) == [(1, 1, 5), (1, 2, 9), (1, 3, 7)]
+
+
+def test_changes_refused_and_names_out_of_step(spark):
+    fields = ("key string, sensitive boolean", [("ssn", True), ("city", False), ("status", False)])
+    choices = ("choice string, answer string", [("status", "single"), ("status", "joint")])
+    asked = ("slug string, key string, value string", [("a", "ssn", "1"), ("a", "city", "x"), ("a", "nope", "x"), ("a", "status", "single"), ("a", "status", "Single"), ("a", None, "x"), ("a", "status", None)])
+    got = {(k, v): r for _, k, v, r in apply(spark, "route_sensitive", asked_changes=asked, fields=fields, choices=choices)}
+    assert got == {("ssn", "1"): "sensitive", ("city", "x"): None, ("nope", "x"): "unknown key", ("status", "single"): None, ("status", "Single"): "not an answer", (None, "x"): "unknown key", ("status", None): "not an answer"}
+    got = apply(spark, "manifest_check", sensitive_manifest=("slug string, name string", [("a", "a/x"), ("a", "a/y"), ("a", "a/y"), ("a", None)]), manifest=("name string", [("a/x",), ("b/z",), ("b/z",), (None,)]))
+    assert got == [("a/y", False, True), ("b/z", True, False)]
