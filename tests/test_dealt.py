@@ -36,3 +36,11 @@ def test_characters_of_odd_pages(spark):
     rows += [(1, 2, 0, " ", 0.0, 0.0, 1.0, 1.0), (2, 1, 7, "z", None, 0.0, 1.0, 1.0), (2, 1, 3, "y", 4.0, 0.0, 1.0, 1.0)]
     chars = spark.createDataFrame(rows[::-1], "form_id long, page long, i long, ch string, x0 double, y0 double, x1 double, y1 double").repartition(3)
     _same(geometry.words_of_pages(spark, chars), run(spark, geometry.chars_to_words(SPARK), {"chars": chars}))
+
+
+def test_memory_by_steps(spark):
+    get, op = Folder(spark, SF, queries.OPERATORS).get, queries.OPERATORS["apply_memory"]
+    tables = {x: get(x) for x in op.inputs}
+    found = op.apply(spark, **tables)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join ") < 10
+    _same(found, run(spark, op.sql(SPARK), tables))
