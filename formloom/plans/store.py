@@ -27,3 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/formloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, name: str, tasks: int, key: str) -> DataFrame:
+    """df, written to a new place in the shared folder in as many buckets of key as tasks, and read again.
+
+    What meets by that key, or by it and others, is joined and grouped without being dealt again. The table's name is new,
+    so it goes with the session's catalog and no other query finds it.
+    """
+    table = f"formloom_{name}_{uuid.uuid4().hex}"
+    out = df.repartition(tasks, key).write.format("parquet").bucketBy(tasks, key)
+    out.option("path", f"{shared_dir(df.sparkSession)}/formloom/{table}").saveAsTable(table)
+    return df.sparkSession.table(table)

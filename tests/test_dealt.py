@@ -44,3 +44,22 @@ def test_memory_by_steps(spark):
     found = op.apply(spark, **tables)
     assert found._jdf.queryExecution().executedPlan().toString().count("Join ") < 10
     _same(found, run(spark, op.sql(SPARK), tables))
+
+
+@pytest.mark.parametrize("name", ["coverage_report", "inspect_rows", "entry_notes"])
+def test_forms_are_dealt_once(spark, monkeypatch, name):
+    monkeypatch.setattr(registry, "FORM_ROWS", 1 << 11)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")  # the dictionary, none of the forms' tables
+    try:
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", "").replace("SinglePartition, ENSURE_REQUIREMENTS", "")
+
+
+def test_own_values_give_what_the_identities_give(spark, monkeypatch):
+    monkeypatch.setattr(registry, "FORM_ROWS", 1 << 11)
+    folder = Folder(spark, SF, queries.OPERATORS)
+    for name in registry.LOOK_UP:
+        op = queries.OPERATORS[name]
+        _same(op.apply(spark, **folder.given(op)), op.apply(spark, **{x: folder.get(x) for x in op.inputs}))
