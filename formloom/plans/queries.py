@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from formloom.operators import geometry, identity, labels, matching, overlay, pages, planning, privacy, rules, stream_text
 from formloom.operators import text_udfs
 from formloom.plans.registry import Folder, Operator, oracle, query
-from formloom.plans.store import shared_dir
+from formloom.plans.store import dealt, shared_dir
 from formloom.sources import files
 from formloom.streaming import arrivals
 
@@ -40,9 +40,11 @@ def lazy_unlock(spark, sf_dir: str):
 
 def prompt_batch(spark, sf_dir: str):
     """What a model is asked about every form; values at hand serve to take them out of labels only."""
-    get = _tables(spark, sf_dir)
+    folder = Folder(spark, sf_dir, OPERATORS)
+    get = folder.get
     forms = get("forms").select("form_id", "slug", "fmt").join(get("identities").selectExpr("slug", "kind AS identity_kind"), "slug", "left")
     forms = forms.join(get("values_in_hand").withColumnRenamed("in_hand", "known"), "slug", "left").withColumns({"known": F.coalesce("known", F.array().cast("array<string>")), "identity_kind": F.coalesce("identity_kind", F.lit("person"))})
+    forms = dealt(forms, "askers", folder.form_buckets(), "form_id")  # so that values at hand are dealt once a form, not once a label
     put = get("plan_entries").where("value IS NOT NULL AND key IS NOT NULL").selectExpr("form_id", "blank_id", "key AS put")
     return text_udfs.prompts(get("blanks").join(get("question_ids"), ["form_id", "blank_id"]).join(forms, "form_id").join(put, ["form_id", "blank_id"], "left"))
 
