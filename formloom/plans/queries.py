@@ -58,8 +58,8 @@ def scrub_known(spark, sf_dir: str):
 
 def memory_tables(spark, sf_dir: str):
     """Memory files of forms, written as JSON from what was remembered, read as the rows of their five tables."""
-    get = _tables(spark, sf_dir)
-    return files.memory_json(files.memory_files(get("remember_form")))
+    folder = Folder(spark, sf_dir, OPERATORS).of_saves()
+    return files.memory_json(files.memory_files(folder.get("remember_form")))
 
 
 def filled_values_sink(spark, sf_dir: str):

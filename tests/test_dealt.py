@@ -1,5 +1,6 @@
 """Words, lines and characters stay in the task that makes them; the folds over lists give what the statements give."""
 
+import duckdb
 import pytest
 
 from formloom.functions.dialect import SPARK
@@ -57,6 +58,18 @@ def test_forms_are_dealt_once(spark, monkeypatch, name):
     assert "Bucketed: true" in plan and "ENSURE_REQUIREMENTS" not in plan.replace("BroadcastExchange", "").replace("SinglePartition, ENSURE_REQUIREMENTS", "")
 
 
+def test_what_is_remembered_needs_saved_forms_only(spark):
+    whole, saved = Folder(spark, SF, queries.OPERATORS), Folder(spark, SF, queries.OPERATORS).of_saves()
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "customer", "supplier", "nation", "events"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(f"select fingerprint, part, slug, blank_id, key, seq from ({queries.oracles()['remember_form']})").fetchall()
+    got = saved.get("remember_form").select("fingerprint", "part", "slug", "blank_id", "key", "seq").collect()
+    assert got and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert 0 < saved.form_rows("lineitem").count() < whole.form_rows("lineitem").count()
+
+
+
 def test_own_values_give_what_the_identities_give(spark, monkeypatch):
     monkeypatch.setattr(registry, "FORM_ROWS", 1 << 11)
     folder = Folder(spark, SF, queries.OPERATORS)
