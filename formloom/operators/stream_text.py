@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from formloom.functions.dialect import Spark
-from formloom.plans.registry import Operator
+from collections.abc import Iterator
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from formloom.functions.dialect import SPARK, Spark
+from formloom.operators.batches import map_whole
+from formloom.plans.registry import Operator, run
 
 
 def _heading(d: Spark) -> str:
@@ -96,6 +106,92 @@ FROM (SELECT f.*, w.outside_text, w.all_text, CASE WHEN f.instr LIKE '%FORMCHECK
       FROM fields_ f JOIN whole w ON w.form_id = f.form_id AND w.seq = f.seq) k WHERE kind IS NOT NULL"""
 
 
+#: Fixed value: bytes of labels and values that go out in one batch.
+BATCH_BYTES = 1 << 24
+
+
+def fields_of_runs(spark: SparkSession, runs: DataFrame) -> DataFrame:
+    """field_machine() with a stack of the fields that are open, over the runs of whole paragraphs. A paragraph is held by one task."""
+
+    def strings(column: pa.ChunkedArray) -> tuple[memoryview, list[int]]:
+        """The column's texts one after the other, and where each begins."""
+        whole = pa.concat_arrays(column.cast(pa.large_string()).fill_null("").chunks)
+        at = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8)
+        return memoryview(whole.buffers()[2] or b""), at.tolist()
+
+    def fields(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        marks = pc.index_in(rows["fld_char"], value_set=pa.array(["", "begin", "separate", "end"])).fill_null(4).to_numpy()
+        begins, checked = rows["k"].to_numpy() == 1, rows["checked"].fill_null(False).to_numpy()
+        (text, t), (instr, i) = strings(rows["text"]), strings(rows["instr"])
+        out, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            at, no, *rest = zip(*out)
+            given = [pa.concat_arrays(rows[c].take(pa.array(at)).chunks) for c in ("form_id", "seq", "name")]
+            return pa.RecordBatch.from_arrays([*given[:2], pa.array(no, pa.int64()), given[2].fill_null(""), *(pa.array(c, pa.string()) for c in rest)], ["form_id", "seq", "field_no", "name", "kind", "left_", "right_", "value"])
+
+        def paragraph(end: int) -> Iterator[pa.RecordBatch]:
+            """The text and checkbox fields found in a paragraph, which ends before the row `end`."""
+            nonlocal out, size
+            before, no = b"".join(outside), 0
+            for f in found:
+                words, row = str(b"".join(f.instr), "utf-8").upper(), None
+                if "FORMCHECKBOX" in words:
+                    row = "checkbox", b"", b"" if f.end is None else bytes(text[t[f.end + 1]:t[end]]).strip(b" :\t"), "checked" if checked[f.begin] else ""
+                elif "FORMTEXT" in words:
+                    row = "text", before[:f.outside].strip(b" :\t"), b"", str(b"".join(f.result), "utf-8").strip("\t\n\f\r \u2002\u00a0")
+                if row:
+                    no += 1
+                    out.append((f.begin, no, *row))
+                    size += len(row[1]) + len(row[2]) + len(row[3])
+                    if size > BATCH_BYTES:
+                        yield send()
+                        out, size = [], 0
+
+        found, stack, outside, n, done = [], [], [], 0, 0
+        at = np.flatnonzero((marks > 0) | begins)
+        for k, mark, begin in zip(at.tolist(), marks[at].tolist(), begins[at].tolist()):
+            if done < k:  # the plain runs since the last mark
+                if not stack:
+                    outside.append(text[t[done]:t[k]])
+                    n += t[k] - t[done]
+                elif stack[-1].past:
+                    stack[-1].result.append(text[t[done]:t[k]])
+                else:
+                    stack[-1].instr.append(instr[i[done]:i[k]])
+            if begin:
+                yield from paragraph(k)
+                found, stack, outside, n = [], [], [], 0
+            done = k + 1 if mark else k
+            if mark == 1:
+                stack.append(SimpleNamespace(begin=k, end=None, outside=n, instr=[], result=[], past=False))
+                found.append(stack[-1])
+            elif mark == 3 and stack:
+                stack.pop().end = k
+            elif mark and not stack:
+                outside.append(text[t[k]:t[k + 1]])
+                n += t[k + 1] - t[k]
+            elif mark == 2:
+                stack[-1].past = True
+        end = len(rows)
+        if done < end:
+            if not stack:
+                outside.append(text[t[done]:t[end]])
+            elif stack[-1].past:
+                stack[-1].result.append(text[t[done]:t[end]])
+            else:
+                stack[-1].instr.append(instr[i[done]:i[end]])
+        yield from paragraph(end)
+        if out:
+            yield send()
+
+    columns = ["form_id", "seq", "fld_char", "instr", "name", "checked", "text"]
+    given = runs.where("form_id IS NOT NULL AND seq IS NOT NULL").select("run_no", *(F.col(c).cast("long").alias(c) for c in columns[:2]), *columns[2:])
+    found = map_whole(given, ["form_id", "seq"], [F.col("run_no").asc()], columns, fields, "form_id long, seq long, field_no long, name string, kind string, left_ string, right_ string, value string")
+    named = f"SELECT *, name <> '' AND NOT {SPARK.like('name', GENERIC_NAME)} AS named FROM found"
+    return run(spark, f"SELECT form_id, seq, field_no, kind, left_, right_, CASE WHEN named THEN name ELSE '' END AS inside, name AS native_name, named AS authoritative, value FROM ({named}) n", {"found": found})
+
+
 #: Fixed value: the sign of a ticked control.
 TICKED = "☒"
 
@@ -126,6 +222,6 @@ OPERATORS = [
     Operator("underscore_blanks", ("gap_lines", "above_carry"), underscore_blanks),
     Operator("table_cell_blanks", ("cells",), table_cell_blanks),
     Operator("splice_values", ("gap_lines",), splice_values),
-    Operator("field_machine", ("runs",), field_machine),
+    Operator("field_machine", ("runs",), field_machine, fields_of_runs),
     Operator("content_controls", ("controls",), content_controls),
 ]
