@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from formloom.functions import text as T
 from formloom.functions.dialect import Spark
+from formloom.operators.batches import map_whole
 from formloom.plans.checks import CHECKS
 from formloom.plans.registry import Operator
 
@@ -28,34 +31,46 @@ def line_cluster(spark: SparkSession, words: DataFrame) -> DataFrame:
     """Words to lines by vertical centre, page by page.
 
     Words go by centre, then x0, to the latest line whose first word's centre is near enough; else they begin a line.
-    Lines are numbered from the top. A page is held by one task.
+    Lines are numbered from the top. A page is held by one task. A word with the box's top and bottom of the one before it
+    goes where that one went, so only the first of such a run is tried against the lines.
     """
 
-    def lines(page: pd.DataFrame) -> pd.DataFrame:
-        centre = ((page["y0"] + page["y1"]) / 2).to_numpy()
-        height, top = (page["y1"] - page["y0"]).to_numpy(), page["y0"].to_numpy()
-        found, anchors, tops = [0] * len(page), [], []
-        for k in np.lexsort((page["word_no"], page["x0"], centre)).tolist():
-            for n in range(len(anchors) - 1, -1, -1):
-                a, off = anchors[n], centre[k] - centre[anchors[n]]
-                if off <= LINE_TOLERANCE * min(height[a], height[k]):
+    def lines(words: pa.Table) -> Iterator[pa.RecordBatch]:
+        y0, y1, centre = (words[c].to_numpy() for c in ("y0", "y1", "centre"))
+        height, begins = y1 - y0, words["k"].to_numpy() == 1
+        same = (height >= 0) & np.isfinite(centre) & ~begins
+        same[1:] &= (y0[1:] == y0[:-1]) & (y1[1:] == y1[:-1])
+        heads = np.flatnonzero(~same)
+        found, page, tops, anchors, first = [], [], [], [], 0
+        for begin, c, h, top in zip(begins[heads].tolist(), centre[heads].tolist(), height[heads].tolist(), y0[heads].tolist()):
+            if begin:
+                first, anchors = len(tops), []
+            line = -1
+            for n in range(len(anchors) - 1, -1, -1) if c == c else ():
+                off = c - anchors[n][0]
+                if off <= LINE_TOLERANCE * min(anchors[n][1], h):
+                    line = first + n
                     break
-                if off > LINE_TOLERANCE * height[k]:  # lines before this one lie further up still
-                    n = -1
+                if off > LINE_TOLERANCE * h:  # lines before this one lie further up still
                     break
-            else:
-                n = -1
-            if n < 0:
-                n = len(anchors)
-                anchors.append(k)
-                tops.append(top[k])
-            found[k], tops[n] = n, min(tops[n], top[k])
+            if line < 0:
+                line = len(tops)
+                anchors.append((c, h))
+                page.append(first)
+                tops.append(top)
+            found.append(line)
+            tops[line] = min(tops[line], top)
         place = np.empty(len(tops), np.int64)
-        place[np.argsort(tops, kind="stable")] = np.arange(len(tops))
-        return page[["form_id", "page", "word_no", "text"]].assign(line=place[found])
-
-    given = words.select("form_id", "page", "word_no", "text", "x0", "y0", "y1")
-    return given.groupBy("form_id", "page").applyInPandas(lines, "form_id long, page long, word_no long, text string, line long")
+        place[np.lexsort((tops, page))] = np.arange(len(tops))  # a page's lines are numbered from its first
+        place -= np.array(page, np.int64)
+        yield from words.select(["form_id", "page", "word_no", "text"]).append_column("line", pa.array(place[found][np.cumsum(~same) - 1])).to_batches()
+
+    box = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("x0", "y0", "y1")]
+    given = words.select(*(F.col(c).cast("long").alias(c) for c in ("form_id", "page", "word_no")), "text", *box)
+    given = given.withColumn("centre", (F.col("y0") + F.col("y1")) / 2)
+    order = [F.col("centre").asc(), F.col("x0").asc(), F.col("word_no").asc_nulls_last()]
+    columns = ["form_id", "page", "word_no", "text", "y0", "y1", "centre"]
+    return map_whole(given, ["form_id", "page"], order, columns, lines, "form_id long, page long, word_no long, text string, line long")
 
 
 def line_boxes(d: Spark) -> str:
