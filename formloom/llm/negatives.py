@@ -1,13 +1,14 @@
 """Hard negatives by segment summaries.
 
-A vector is cut into segments, and each segment's mean and deviation are stored. The inner product of two vectors is then
+A vector is cut into segments, and each segment's mean and deviation are kept with it. The inner product of two vectors is then
 at most the sum over segments of length * (product of means + product of deviations), and at least the same with minus.
 Finer segments bound it more closely; they are tried one level after the other, on the pairs that the level before could
 not rule out, and what is left is scored exactly in 64-bit integers.
 
-Vectors are packed into blocks of a fixed number of rows, and blocks of anchors meet blocks of rows: the anchors are a
-stated set of queries, and each task holds one block of either side and the best partners so far, whatever label or
-vector is frequent. Tasks give their best partners; a window per anchor chooses among them. First each anchor's positives
+Vectors are packed into blocks of a fixed number of rows, in the fewest bytes that hold their components, and blocks of
+anchors meet blocks of rows: the anchors are a stated set of queries, and each task gets a few blocks of either side and
+keeps the best partners so far, whatever label or vector is frequent. Blocks are written and dealt few at a time, so that
+no reader, join or batch holds more of them as tables grow. Tasks give their best partners; a window per anchor chooses among them. First each anchor's positives
 are found (the best of its label), then for each of them the best rows of other labels within its band of scores; what an
 anchor has already found rules out later pairs by their bounds.
 
@@ -31,12 +32,16 @@ from formloom.llm.shared import written
 
 #: Rows and anchors in a block.
 ROWS, ANCHORS = 1024, 256
+#: Bytes of vectors in a block (one vector at least), and blocks of either side that a task meets.
+BLOCK_BYTES, NEAR = 1 << 19, 8
+#: Numbers that are gathered at once for single pairs; where more than one pair in sixteen is left, whole products are made.
+GATHERED, SPARSE = 1 << 20, 16
 #: Segments of the levels, from coarse to fine; the finest summary is stored.
 LEVELS = (2, 8, 32)
 #: Anchor blocks whose partners a task holds at once; more are given out and begun anew.
 HELD = 128
 
-_VECTORS = "n int, width int, ids array<long>, labels array<long>, vectors array<long>, means array<double>, deviations array<double>"
+_VECTORS = "n int, width int, bytes int, ids array<long>, labels array<long>, vectors binary"
 _FOUND = "anchor_id long, place int, other_id long, score long"
 
 
@@ -50,10 +55,16 @@ def _widened(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
-def _summary(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and deviation of each segment of the finest level; the width of x is a multiple of their number."""
-    parts = x.reshape(len(x), LEVELS[-1], -1).astype(float)
-    return parts.mean(2), parts.std(2)
+def _summaries(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation of each segment by level; the width of x is a multiple of the finest level's number."""
+    x = x.astype(float)
+    return [((p := x.reshape(len(x), g, -1)).mean(2), p.std(2)) for g in LEVELS]
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """x in the fewest bytes a number that hold it."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
 def pack(rows: DataFrame, most: int, extra: str = "") -> DataFrame:
@@ -70,11 +81,14 @@ def pack(rows: DataFrame, most: int, extra: str = "") -> DataFrame:
                 width = -(-max(1, int(sizes.max())) // LEVELS[-1]) * LEVELS[-1]
                 x = np.zeros((len(part), width), np.int64)
                 x[np.arange(width) < sizes[:, None]] = lists.flatten().to_numpy()
-                means, deviations = _summary(x)
-                one = lambda a, t: pa.array([np.ravel(a)], pa.list_(t))
-                columns = [pa.array([len(part)], pa.int32()), pa.array([width], pa.int32()), one(part.column(0), pa.int64()), one(part.column(1), pa.int64()), one(x, pa.int64()), one(means, pa.float64()), one(deviations, pa.float64())]
-                columns += [pa.array([part.column(3 + k).to_pylist()], pa.list_(pa.list_(pa.int64()))) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+                x = _narrow(x)
+                one = lambda a: pa.array([np.ravel(a)], pa.list_(pa.int64()))
+                step = max(1, BLOCK_BYTES // (width * x.itemsize))
+                for at in range(0, len(part), step):
+                    some, own = part.slice(at, step), x[at : at + step]
+                    columns = [pa.array([len(own)], pa.int32()), pa.array([width], pa.int32()), pa.array([x.itemsize], pa.int32()), one(some.column(0)), one(some.column(1)), pa.array([own.tobytes()], pa.binary())]
+                    columns += [pa.array([some.column(3 + k).to_pylist()], pa.list_(pa.list_(pa.int64()))) for k in range(len(names))]
+                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     return rows.select("vec_id", "label", "v", *names).mapInArrow(packed, schema)
 
@@ -86,12 +100,9 @@ class Block:
         get = lambda name: b.column(prefix + name)[k].values.to_numpy(zero_copy_only=False)
         self.n, self.width = b.column(prefix + "n")[k].as_py(), b.column(prefix + "width")[k].as_py()
         self.ids, self.labels = get("ids"), get("labels")
-        self.x, self.levels = get("vectors").reshape(self.n, self.width), []
-        mean, deviation = get("means").reshape(self.n, -1), get("deviations").reshape(self.n, -1)
-        for g in LEVELS:
-            m = mean.reshape(self.n, g, -1)
-            second = (deviation**2 + mean**2).reshape(self.n, g, -1).mean(2)
-            self.levels.append((m.mean(2), np.sqrt(np.maximum(0, second - m.mean(2) ** 2))))
+        kept = np.frombuffer(b.column(prefix + "vectors")[k].as_buffer(), f"i{b.column(prefix + 'bytes')[k].as_py()}")
+        self.x = kept.reshape(self.n, self.width).astype(np.int64)
+        self.levels = _summaries(self.x)
         self.most = float(np.abs(self.x.astype(float)).max(initial=0))
         self.norm = float(np.sqrt((self.x.astype(float) ** 2).sum(1)).max(initial=0))
 
@@ -99,8 +110,7 @@ class Block:
         """The block with zeros after its vectors; the summaries are made anew."""
         if width > self.width:
             self.x, self.width = _widened(self.x, width), width
-            x = self.x.astype(float)
-            self.levels = [((p := x.reshape(self.n, g, -1)).mean(2), p.std(2)) for g in LEVELS]
+            self.levels = _summaries(self.x)
 
 
 def _pairs(q: Block, r: Block, level: int, a: np.ndarray | None, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -124,21 +134,46 @@ def survivors(q: Block, r: Block, open_: np.ndarray, least: np.ndarray, most: np
     r.widen(width)
     if q.most * r.most * width >= 2**53:
         raise ArithmeticError("the vectors' components are too large for exact scores")
+    between = lambda low, high, a: (high >= least[a]) & (low <= most[a])
+    few = lambda a: len(a) * SPARSE < q.n * r.n
+
+    def gathered(work: Callable, a: np.ndarray, b: np.ndarray, each: int) -> tuple[np.ndarray, ...]:
+        step = max(1, GATHERED // each)
+        return tuple(map(np.concatenate, zip(*(work(a[k : k + step], b[k : k + step]) for k in range(0, max(1, len(a)), step)))))
+
     low, high = _pairs(q, r, 0, None, None)
     a, b = np.nonzero(open_ & (high >= least[:, None]) & (low <= most[:, None]))
     left = [len(a)]
     for level in range(1, len(LEVELS)):
-        low, high = _pairs(q, r, level, a, b)
-        keep = (high >= least[a]) & (low <= most[a])
+        if few(a):
+            low, high = gathered(lambda a, b: _pairs(q, r, level, a, b), a, b, LEVELS[level])
+        else:
+            low, high = (x[a, b] for x in _pairs(q, r, level, None, None))
+        keep = between(low, high, a)
         a, b = a[keep], b[keep]
         left.append(len(a))
-    score = np.einsum("ij,ij->i", q.x[a], r.x[b])
-    keep = (score >= least[a]) & (score <= most[a])
+    if few(a):
+        (score,) = gathered(lambda a, b: (np.einsum("ij,ij->i", q.x[a], r.x[b]),), a, b, width)
+    else:  # exact in doubles too, as every sum stays below 2**53
+        score = (q.x.astype(float) @ r.x.T.astype(float))[a, b].astype(np.int64)
+    keep = between(score, score, a)
     if counts is not None:
         counts[:] = [*left, int(keep.sum())]
     return a[keep], b[keep], score[keep]
 
 
+def _leading(key: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the k best of their run of equal keys, ties with the last of them included."""
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(begins, append=len(key))
+    if sizes.max() <= k:
+        return np.ones(len(key), bool)
+    run = np.repeat(np.arange(len(begins)), sizes)
+    table = np.full((len(begins), sizes.max()), -np.inf)
+    table[run, np.arange(len(key)) - begins[run]] = score
+    return score >= np.partition(table, -k, 1)[:, -k][run]
+
+
 class Best:
     """The best partners so far of a number of lists: by score, then by smaller id."""
 
@@ -150,6 +185,8 @@ class Best:
     def add(self, key: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         if not len(key):
             return
+        lead = _leading(key, score, self.k)
+        key, ids, score = key[lead], ids[lead], score[lead]
         key, ids, score = (np.concatenate(x) for x in ((self.key, key), (self.id, ids), (self.score, score)))
         order = np.lexsort((ids, -score, key))
         key, ids, score = key[order], ids[order], score[order]
@@ -185,8 +222,8 @@ def _searched(pairs: DataFrame, begin: Callable, step: Callable) -> DataFrame:
 
 
 def _met(anchors: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every block of anchors with every block of rows."""
-    named = lambda df, p: df.select([F.col(c).alias(p + c) for c in df.columns])
+    """Every block of anchors with every block of rows, about NEAR of either side in a task."""
+    named = lambda df, p: df.repartition(max(1, -(-df.count() // NEAR))).select([F.col(c).alias(p + c) for c in df.columns])
     return named(anchors, "q_").crossJoin(named(rows, "r_").hint("shuffle_replicate_nl"))
 
 
@@ -245,12 +282,12 @@ def negatives(anchors: DataFrame, rows: DataFrame, places: int, k: int, low: int
 def mine(vectors: DataFrame, is_anchor: Column, n_positives: int = 5, n_negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score and negative_score for vectors (vec_id, label, v: longs)."""
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "v")
-    blocks = written(pack(rows, ROWS), "vectors")
+    blocks = written(pack(rows, ROWS), "vectors", NEAR)
     one = F.min(F.struct("label", "v")).alias("one")
     anchors = written(rows.where(is_anchor).groupBy("vec_id").agg(one).select("vec_id", "one.label", "one.v"), "anchors")
-    found = written(positives(written(pack(anchors, ANCHORS), "anchor-blocks"), blocks, n_positives), "positives")
+    found = written(positives(written(pack(anchors, ANCHORS), "anchor-blocks", NEAR), blocks, n_positives), "positives")
     scores = found.groupBy(F.col("anchor_id").alias("vec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
-    asking = written(pack(anchors.join(scores, "vec_id"), ANCHORS, "scores long"), "asking-blocks")
+    asking = written(pack(anchors.join(scores, "vec_id"), ANCHORS, "scores long"), "asking-blocks", NEAR)
     best = negatives(asking, blocks, n_positives, n_negatives, low, high)
     names = found.select("anchor_id", (F.col("rank") - 1).alias("place"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
     return best.join(names, ["anchor_id", "place"]).select("anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

@@ -21,11 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to a new place in the shared folder and read again."""
+def written(df: DataFrame, name: str, most: int = 0) -> DataFrame:
+    """df, written as Parquet to a new place in the shared folder and read again; where given, with at most so many rows a file.
+
+    Parquet is read by up to 4,096 rows at a time, but never of two files; that bounds what a reader holds of wide rows.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/formloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", most).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
