@@ -180,7 +180,8 @@ SELECT e.event_id % 1500 AS form_id, concat('b', CAST(1 + e.event_id % 7 AS STRI
         "offsets": ("SELECT form_id, blank_id, CASE WHEN blank_no % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(blank_no AS DOUBLE) END AS dx, CASE WHEN blank_no % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(-2 AS DOUBLE) END AS dy FROM blanks0 WHERE kind = 'signature' OR blank_no % 4 = 1", ("blanks0",)),
         "results": ("SELECT form_id, seq % 5 AS generation, seq, value FROM edits", ("edits",)),
         "ocr_tsv": ("SELECT form_id, page, concat_ws('\t', '5', '1', CAST(line_no AS STRING), '0', '0', CAST(word_no AS STRING), CAST(CAST(x0 * 2 AS BIGINT) AS STRING), CAST(CAST(y0 * 2 AS BIGINT) AS STRING), CASE WHEN word_no % 17 = 3 THEN '' ELSE CAST(length(text) * 10 AS STRING) END, '20', CASE WHEN word_no % 19 = 4 THEN 'n/a' ELSE CAST(length(text) * 17 % 100 AS STRING) END, CASE WHEN word_no % 23 = 5 THEN ' ' ELSE text END) AS row_ FROM words", ("words",)),
-        "chars": (f"SELECT form_id, CAST(1 + seq // 60 AS BIGINT) AS page, CAST(seq % 60 * 100000 + i AS BIGINT) AS i, substr(text, CAST(i + 1 AS INT), 1) AS ch, CAST(5 * i AS DOUBLE) AS x0, CAST(12 * (seq % 60) AS DOUBLE) AS y0, CAST(5 * i + 5 AS DOUBLE) AS x1, CAST(12 * (seq % 60) + 10 AS DOUBLE) AS y1 FROM {d.each('(SELECT form_id, seq, line_ AS text, ' + d.seq('1', 'length(line_)') + ' AS seq_ FROM (SELECT form_id, seq, concat(text, chr(9)) AS line_ FROM paragraphs) l0)', 'seq_', 'i', 'j')} c0".replace("//", "//" if d.name == "duck" else "DIV"), ("paragraphs",)),
+        # Spark splits a line into its characters at once; to look each up by its place would walk the line once a character
+        "chars": (f"SELECT form_id, CAST(1 + seq // 60 AS BIGINT) AS page, CAST(seq % 60 * 100000 + i AS BIGINT) AS i, {"substr(text, CAST(i + 1 AS INT), 1)" if d.name == "duck" else "j"} AS ch, CAST(5 * i AS DOUBLE) AS x0, CAST(12 * (seq % 60) AS DOUBLE) AS y0, CAST(5 * i + 5 AS DOUBLE) AS x1, CAST(12 * (seq % 60) + 10 AS DOUBLE) AS y1 FROM {d.each(f"(SELECT form_id, seq, line_ AS text, {d.seq('1', 'length(line_)') if d.name == 'duck' else d.split('line_', '')} AS seq_ FROM (SELECT form_id, seq, concat(text, chr(9)) AS line_ FROM paragraphs) l0)", 'seq_', 'i', 'j')} c0".replace("//", "//" if d.name == "duck" else "DIV"), ("paragraphs",)),
         "widget_pages": ("SELECT form_id, node, 1 + node % 3 AS page FROM field_nodes", ("field_nodes",)),
         "gap_lines": (f"SELECT form_id, seq, {d.rx(d.rx('text', ' (the|la|de|und|of) ', ' _____ '), '^([A-Za-z]+) ', chr(92) + '1: ')} AS text FROM paragraphs", ("paragraphs",)),
         # every fourteenth word of a paragraph begins a field, with another one inside on forms of even number
