@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from formloom.functions.dialect import Spark
+from pyspark.sql import DataFrame, SparkSession
+
+from formloom.functions.dialect import SPARK, Spark
 from formloom.operators import labels as L
-from formloom.plans.registry import Operator
+from formloom.plans.registry import Operator, run
+from formloom.plans.store import written
 
 # Fixed values, in points: the shortest rule, the height of a blank on it, the widest rule as a share of the page.
 SHORTEST, BLANK_HEIGHT, WIDEST = 36, 12, 0.85
@@ -112,6 +115,24 @@ SELECT form_id, page, 'signature' AS kind, label AS left_, x0, base AS y0, x1, b
 UNION ALL SELECT form_id, page, 'date', 'Date', dx1 + 8, base, least(dx1 + 8 + {DATE_WIDTH}, width - {MARGIN}), base + {DATE_HEIGHT} FROM lines_found WHERE n = 1 AND dx1 IS NOT NULL"""
 
 
+def signatures_near(spark: SparkSession, words: DataFrame, line_boxes: DataFrame, word_pages: DataFrame, real_signatures: DataFrame) -> DataFrame:
+    """printed_signature_lines() over the lines that it looks at alone: those with a word that begins a signature, and the line below each.
+
+    A line below is the page's next one among these lines as it is among all, so the statement finds the same. What it
+    needs of these lines is written, each table once; a join with them goes down to whole lines, before words are made.
+    """
+    near = """
+SELECT DISTINCT form_id, page, line_no FROM (
+  SELECT l.form_id, l.page, explode(array(l.line_no, l.next_)) AS line_no FROM (SELECT form_id, page, line_no, lead(line_no) OVER (PARTITION BY form_id, page ORDER BY line_no) AS next_ FROM line_boxes) l
+  LEFT SEMI JOIN (SELECT form_id, page, line_no FROM words WHERE lower(text) LIKE 'signature%') s ON s.form_id = l.form_id AND s.page = l.page AND s.line_no = l.line_no) n WHERE line_no IS NOT NULL"""
+    lines = written(run(spark, near, {"line_boxes": line_boxes, "words": words}), "signature_lines")
+    line, page, tasks = ["form_id", "page", "line_no"], ["form_id", "page"], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = {"words": (words, line), "line_boxes": (line_boxes, line), "word_pages": (word_pages, page), "real_signatures": (real_signatures, page)}
+    few = {name: written(df.join(lines, key, "left_semi"), f"signature_{name}").repartition(tasks, "form_id") for name, (df, key) in tables.items()}
+    return run(spark, printed_signature_lines(SPARK), few)
+
+
+
 OPERATORS = [
     Operator("classify_rules", ("strokes",), classify_rules),
     Operator("underscore_rules", ("words", "word_pages"), underscore_rules),
@@ -121,5 +142,5 @@ OPERATORS = [
     Operator("rule_left", ("rule_boxes", "rule_lines", "words"), lambda d: L.label_left(d, "rule_boxes", "rule_lines")),
     Operator("rule_above", ("rule_runs", "rule_lines"), lambda d: L.label_above(d, "rule_runs", "rule_lines"), lambda spark, rule_runs, rule_lines: L.fold_above(spark, rule_runs, rule_lines)),
     Operator("rule_blanks", ("rule_boxes", "rule_left", "rule_above"), rule_blanks),
-    Operator("printed_signature_lines", ("words", "line_boxes", "word_pages", "real_signatures"), printed_signature_lines),
+    Operator("printed_signature_lines", ("words", "line_boxes", "word_pages", "real_signatures"), printed_signature_lines, signatures_near),
 ]
