@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from formloom.functions import text as T
-from formloom.functions.dialect import Spark
-from formloom.plans.registry import Operator
+from formloom.functions.dialect import SPARK, Spark
+from formloom.plans.registry import Operator, run
+from formloom.plans.store import written
 
 
 def accept_groups(d: Spark) -> str:
@@ -75,7 +78,7 @@ SELECT m.form_id, m.blank_id, m.key AS suggested_key, concat('probably ', f.titl
 FROM blank_keys m JOIN fields f ON f.key = m.key WHERE m.scanned OR NOT m.exact"""
 
 
-def tick_choices(d: Spark) -> str:
+def tick_choices(d: Spark, labels: str = "") -> str:
     """Checkboxes whose label opens with the words of an answer: ticked, not this one, or missing."""
     toks = T.normalize(d, "label")
     slots = ("section", "row_", "inside", "left_", "above", "right_")
@@ -86,13 +89,19 @@ SELECT t.form_id, t.blank_id, t.choice, CASE WHEN v.value IS NULL THEN 'missing'
 FROM (SELECT b.form_id, b.blank_id, c.choice, c.stands FROM (SELECT b.* FROM blanks b {joins} WHERE b.kind = 'checkbox' AND NOT b.readonly AND NOT ({blocked})) b JOIN (
         SELECT label, choice, stands FROM (
           SELECT l.label, c.choice, {d.collect('c.answer')} AS stands, row_number() OVER (PARTITION BY l.label ORDER BY MIN(c.choice_ord)) AS k
-          FROM (SELECT label, concat({d.join('tokens', ' ')}, ' ') AS opening, {d.at('tokens', '1')} AS first_token FROM (SELECT DISTINCT label, {toks} AS tokens FROM blanks WHERE kind = 'checkbox') t0) l
+          FROM (SELECT label, concat({d.join('tokens', ' ')}, ' ') AS opening, {d.at('tokens', '1')} AS first_token FROM (SELECT DISTINCT label, {toks} AS tokens FROM {labels or "blanks WHERE kind = 'checkbox'"}) t0) l
           JOIN (SELECT *, {d.at(d.split('words_text', ' '), '1')} AS first_word FROM choices) c ON c.first_word = l.first_token
           WHERE l.opening LIKE concat(c.words_text, ' %') GROUP BY l.label, c.choice) g WHERE k = 1) c ON c.label = b.label) t
 JOIN forms f ON f.form_id = t.form_id
 LEFT JOIN stored_value v ON v.slug = f.slug AND v.key = t.choice"""
 
 
+def ticks_by_label(spark: SparkSession, **tables: DataFrame) -> DataFrame:
+    """tick_choices() with the distinct labels written, so that a label's tokens are made once a label, not once a box."""
+    tables["box_labels"] = written(run(spark, "SELECT DISTINCT label FROM blanks WHERE kind = 'checkbox'", tables), "box_labels")
+    return run(spark, tick_choices(SPARK, "box_labels"), tables)
+
+
 def plan_entries(d: Spark) -> str:
     """One entry per blank in document order."""
     return """
@@ -158,7 +167,7 @@ OPERATORS = [
     Operator("either_or", ("wanted_keys", "has_key", "preference_union"), either_or),
     Operator("plan_values", ("blank_keys", "splits", "forms", "fields", "either_or", "wanted_keys", "resolve_value", "street_line"), plan_values),
     Operator("suggestions", ("blank_keys", "fields"), suggestions),
-    Operator("tick_choices", ("blanks", "text_verdicts", "choices", "forms", "stored_value"), tick_choices),
+    Operator("tick_choices", ("blanks", "text_verdicts", "choices", "forms", "stored_value"), tick_choices, ticks_by_label),
     Operator("plan_entries", ("blanks", "forms", "blank_keys", "plan_values", "tick_choices", "suggestions", "either_or", "has_key"), plan_entries),
     Operator("missing_keys", ("plan_entries",), missing_keys),
     Operator("entry_notes", ("plan_entries", "blanks", "forms", "blank_keys", "suggestions", "tick_choices", "fields", "choices", "either_or", "has_key"), entry_notes),
